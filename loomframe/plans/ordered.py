@@ -36,23 +36,23 @@ def _order(order: Sequence[str | Column]) -> list[Column]:
 
 
 def sorted_chunks(df: DataFrame, order: Sequence[str | Column], by: Sequence[str] = ()) -> DataFrame:
-    """Range-sort by (by, order) and tag rows with ``_chunk`` and ``_offset``.
+    """Range-sort by (by, order) and tag rows with ``_seq_chunk`` and ``_seq_offset``.
 
     The sort splits on the full key, so a hot ``by`` value spreads over many chunks as long as
     ``order`` ends in a unique column. The checkpoint pins rows to chunks across retries.
     """
-    tagged = df.orderBy(*[F.col(b) for b in by], *_order(order)).withColumn("_m", F.monotonically_increasing_id())
+    tagged = df.orderBy(*[F.col(b) for b in by], *_order(order)).withColumn("_seq_m", F.monotonically_increasing_id())
     pinned = materialize(tagged)
     return (
-        pinned.withColumn("_chunk", F.shiftright("_m", _ROW_BITS))
-        .withColumn("_offset", F.col("_m").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)))
-        .drop("_m")
+        pinned.withColumn("_seq_chunk", F.shiftright("_seq_m", _ROW_BITS))
+        .withColumn("_seq_offset", F.col("_seq_m").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)))
+        .drop("_seq_m")
     )
 
 
 def _before(value: str, by: Sequence[str]) -> Column:
     """Sum of ``value`` over the earlier chunks of the same group (one row per chunk)."""
-    window = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    window = Window.partitionBy(*by).orderBy("_seq_chunk").rowsBetween(Window.unboundedPreceding, -1)
     return F.coalesce(F.sum(value).over(window), F.lit(0))
 
 
@@ -60,11 +60,11 @@ def row_numbers(df: DataFrame, order: Sequence[str | Column], by: Sequence[str]
     """``row_number()`` in any order. ``order`` must end in a unique column."""
     by = list(by)
     chunks = sorted_chunks(df, order, by)
-    sizes = chunks.groupBy(*by, "_chunk").agg(F.min("_offset").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    starts = sizes.select(*by, "_chunk", "_first", _before("_n", by).alias("_before"))
-    joined = join_stats(chunks, starts, [*by, "_chunk"])
-    return joined.withColumn(out, F.col("_offset") - F.col("_first") + F.col("_before") + 1).drop(
-        "_chunk", "_offset", "_first", "_before"
+    sizes = chunks.groupBy(*by, "_seq_chunk").agg(F.min("_seq_offset").alias("_seq_first"), F.count(F.lit(1)).alias("_seq_n"))
+    starts = sizes.select(*by, "_seq_chunk", "_seq_first", _before("_seq_n", by).alias("_seq_before"))
+    joined = join_stats(chunks, starts, [*by, "_seq_chunk"])
+    return joined.withColumn(out, F.col("_seq_offset") - F.col("_seq_first") + F.col("_seq_before") + 1).drop(
+        "_seq_chunk", "_seq_offset", "_seq_first", "_seq_before"
     )
 
 
@@ -77,25 +77,28 @@ def hashed_row_numbers(
     table and no checkpoint is needed.
     """
     by, key = list(by), list(key)
-    base = df.withColumn("_h", hash_hex(seed, *key)).withColumn("_chunk", F.substring("_h", 1, digits))
-    sizes = base.groupBy(*by, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
-    starts = sizes.select(*by, "_chunk", _before("_n", by).alias("_before"))
-    local = F.row_number().over(Window.partitionBy(*by, "_chunk").orderBy("_h", *key))
-    joined = join_stats(base.withColumn("_rn", local), starts, [*by, "_chunk"])
-    return joined.withColumn(out, F.col("_rn") + F.col("_before")).drop("_h", "_chunk", "_rn", "_before")
+    base = df.withColumn("_seq_h", hash_hex(seed, *key)).withColumn("_seq_chunk", F.substring("_seq_h", 1, digits))
+    sizes = base.groupBy(*by, "_seq_chunk").agg(F.count(F.lit(1)).alias("_seq_n"))
+    starts = sizes.select(*by, "_seq_chunk", _before("_seq_n", by).alias("_seq_before"))
+    local = F.row_number().over(Window.partitionBy(*by, "_seq_chunk").orderBy("_seq_h", *key))
+    joined = join_stats(base.withColumn("_seq_rn", local), starts, [*by, "_seq_chunk"])
+    return joined.withColumn(out, F.col("_seq_rn") + F.col("_seq_before")).drop("_seq_h", "_seq_chunk", "_seq_rn", "_seq_before")
 
 
 def running_sums(
-    df: DataFrame, value: str, order: Sequence[str | Column], by: Sequence[str] = (), out: str = "running"
+    df: DataFrame, values: Sequence[str], order: Sequence[str | Column], by: Sequence[str] = ()
 ) -> DataFrame:
-    """Inclusive running sum of ``value`` in order."""
+    """Inclusive running sum of each value in order, as ``cum_<value>``."""
     by = list(by)
     chunks = sorted_chunks(df, order, by)
-    sums = chunks.groupBy(*by, "_chunk").agg(F.sum(value).alias("_s"))
-    starts = sums.select(*by, "_chunk", _before("_s", by).alias("_before"))
-    window = Window.partitionBy(*by, "_chunk").orderBy("_offset").rowsBetween(Window.unboundedPreceding, 0)
-    joined = join_stats(chunks.withColumn("_local", F.sum(value).over(window)), starts, [*by, "_chunk"])
-    return joined.withColumn(out, F.col("_local") + F.col("_before")).drop("_chunk", "_offset", "_local", "_before")
+    sums = chunks.groupBy(*by, "_seq_chunk").agg(*[F.sum(v).alias(f"_seq_s_{v}") for v in values])
+    starts = sums.select(*by, "_seq_chunk", *[_before(f"_seq_s_{v}", by).alias(f"_seq_b_{v}") for v in values])
+    window = Window.partitionBy(*by, "_seq_chunk").orderBy("_seq_offset").rowsBetween(Window.unboundedPreceding, 0)
+    local = chunks.select("*", *[F.sum(v).over(window).alias(f"_seq_l_{v}") for v in values])
+    joined = join_stats(local, starts, [*by, "_seq_chunk"])
+    for v in values:
+        joined = joined.withColumn(f"cum_{v}", F.col(f"_seq_l_{v}") + F.col(f"_seq_b_{v}")).drop(f"_seq_l_{v}", f"_seq_b_{v}")
+    return joined.drop("_seq_chunk", "_seq_offset")
 
 
 def previous_values(
@@ -104,17 +107,17 @@ def previous_values(
     """``lag(value)`` plus ``<out>_exists``, which is false on the first row of a group."""
     by = list(by)
     chunks = sorted_chunks(df, order, by)
-    boxed = chunks.withColumn("_box", F.struct(F.col(value).alias("v")))
-    lasts = boxed.groupBy(*by, "_chunk").agg(F.max_by("_box", "_offset").alias("_last"))
-    edge = Window.partitionBy(*by).orderBy("_chunk")
-    carried = lasts.select(*by, "_chunk", F.lag("_last").over(edge).alias("_carry"))
-    local = Window.partitionBy(*by, "_chunk").orderBy("_offset")
-    joined = join_stats(boxed.withColumn("_prev", F.lag("_box").over(local)), carried, [*by, "_chunk"])
-    box = F.coalesce("_prev", "_carry")
+    boxed = chunks.withColumn("_seq_box", F.struct(F.col(value).alias("v")))
+    lasts = boxed.groupBy(*by, "_seq_chunk").agg(F.max_by("_seq_box", "_seq_offset").alias("_seq_last"))
+    edge = Window.partitionBy(*by).orderBy("_seq_chunk")
+    carried = lasts.select(*by, "_seq_chunk", F.lag("_seq_last").over(edge).alias("_seq_carry"))
+    local = Window.partitionBy(*by, "_seq_chunk").orderBy("_seq_offset")
+    joined = join_stats(boxed.withColumn("_seq_prev", F.lag("_seq_box").over(local)), carried, [*by, "_seq_chunk"])
+    box = F.coalesce("_seq_prev", "_seq_carry")
     return (
         joined.withColumn(out, box.getField("v"))
         .withColumn(f"{out}_exists", box.isNotNull())
-        .drop("_chunk", "_offset", "_box", "_prev", "_carry")
+        .drop("_seq_chunk", "_seq_offset", "_seq_box", "_seq_prev", "_seq_carry")
     )
 
 
@@ -123,13 +126,13 @@ def next_matching(
 ) -> DataFrame:
     """``value`` of the nearest later row with ``marked`` true (null when there is none)."""
     by = list(by)
-    chunks = sorted_chunks(df, order, by).withColumn("_hit", F.when(F.col(marked), F.struct(F.col(value).alias("v"))))
-    firsts = chunks.groupBy(*by, "_chunk").agg(F.min_by("_hit", F.when(F.col(marked), F.col("_offset"))).alias("_first"))
-    later = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(1, Window.unboundedFollowing)
-    carried = firsts.select(*by, "_chunk", F.first("_first", ignorenulls=True).over(later).alias("_carry"))
-    ahead = Window.partitionBy(*by, "_chunk").orderBy("_offset").rowsBetween(1, Window.unboundedFollowing)
-    local = F.first("_hit", ignorenulls=True).over(ahead)
-    joined = join_stats(chunks.withColumn("_near", local), carried, [*by, "_chunk"])
-    return joined.withColumn(out, F.coalesce("_near", "_carry").getField("v")).drop(
-        "_chunk", "_offset", "_hit", "_near", "_carry"
+    chunks = sorted_chunks(df, order, by).withColumn("_seq_hit", F.when(F.col(marked), F.struct(F.col(value).alias("v"))))
+    firsts = chunks.groupBy(*by, "_seq_chunk").agg(F.min_by("_seq_hit", F.when(F.col(marked), F.col("_seq_offset"))).alias("_seq_first"))
+    later = Window.partitionBy(*by).orderBy("_seq_chunk").rowsBetween(1, Window.unboundedFollowing)
+    carried = firsts.select(*by, "_seq_chunk", F.first("_seq_first", ignorenulls=True).over(later).alias("_seq_carry"))
+    ahead = Window.partitionBy(*by, "_seq_chunk").orderBy("_seq_offset").rowsBetween(1, Window.unboundedFollowing)
+    local = F.first("_seq_hit", ignorenulls=True).over(ahead)
+    joined = join_stats(chunks.withColumn("_seq_near", local), carried, [*by, "_seq_chunk"])
+    return joined.withColumn(out, F.coalesce("_seq_near", "_seq_carry").getField("v")).drop(
+        "_seq_chunk", "_seq_offset", "_seq_hit", "_seq_near", "_seq_carry"
     )

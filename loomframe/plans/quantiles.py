@@ -10,9 +10,11 @@ from loomframe.plans.ordered import join_stats, sorted_chunks
 
 
 def unpivot(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Long form (by..., feature, value) of numeric columns."""
+    """Long form (by..., feature, value) of numeric columns; no columns give no rows."""
+    if not cols:
+        return df.select(*by, F.lit(None).cast("string").alias("feature"), F.lit(None).cast("double").alias("value")).limit(0)
     pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in cols])
-    return df.select(*by, F.explode(pairs).alias("_p")).select(*by, "_p.feature", "_p.value")
+    return df.select(*by, F.explode(pairs).alias("_seq_p")).select(*by, "_seq_p.feature", "_seq_p.value")
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
@@ -26,30 +28,30 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
         F.count(F.lit(1)).alias("n")
     )
     chunks = sorted_chunks(counts, ["value"], keys)
-    ordered = Window.partitionBy(*keys).orderBy("_chunk")
-    sizes = chunks.groupBy(*keys, "_chunk").agg(F.sum("n").alias("_n"))
+    ordered = Window.partitionBy(*keys).orderBy("_seq_chunk")
+    sizes = chunks.groupBy(*keys, "_seq_chunk").agg(F.sum("n").alias("_seq_n"))
     placed = sizes.select(
         *keys,
-        "_chunk",
-        F.sum("_n").over(ordered.rowsBetween(Window.unboundedPreceding, 0)).alias("_upto"),
-        (F.sum("_n").over(ordered.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"),
-        F.sum("_n").over(Window.partitionBy(*keys)).alias("_total"),
+        "_seq_chunk",
+        F.sum("_seq_n").over(ordered.rowsBetween(Window.unboundedPreceding, 0)).alias("_seq_upto"),
+        (F.sum("_seq_n").over(ordered.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_seq_n")).alias("_seq_before"),
+        F.sum("_seq_n").over(Window.partitionBy(*keys)).alias("_seq_total"),
     )
     wanted = placed.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs]))).withColumn(
-        "_pos", F.col("prob") * (F.col("_total") - 1)
+        "_seq_pos", F.col("prob") * (F.col("_seq_total") - 1)
     )
-    lo, hi = F.floor("_pos"), F.ceil("_pos")
+    lo, hi = F.floor("_seq_pos"), F.ceil("_seq_pos")
     wanted = wanted.filter(
-        ((lo >= F.col("_before")) & (lo < F.col("_upto"))) | ((hi >= F.col("_before")) & (hi < F.col("_upto")))
-    ).select(*keys, "_chunk", "_before", "prob", "_pos")
-    needed = join_stats(chunks, wanted.select(*keys, "_chunk").distinct(), [*keys, "_chunk"], "left_semi")
-    local = Window.partitionBy(*keys, "_chunk").orderBy("_offset").rowsBetween(Window.unboundedPreceding, 0)
-    local_sums = needed.withColumn("_cum", F.sum("n").over(local))
-    rows = join_stats(local_sums, wanted, [*keys, "_chunk"])
-    start, stop = F.col("_before") + F.col("_cum") - F.col("n"), F.col("_before") + F.col("_cum")
+        ((lo >= F.col("_seq_before")) & (lo < F.col("_seq_upto"))) | ((hi >= F.col("_seq_before")) & (hi < F.col("_seq_upto")))
+    ).select(*keys, "_seq_chunk", "_seq_before", "prob", "_seq_pos")
+    needed = join_stats(chunks, wanted.select(*keys, "_seq_chunk").distinct(), [*keys, "_seq_chunk"], "left_semi")
+    local = Window.partitionBy(*keys, "_seq_chunk").orderBy("_seq_offset").rowsBetween(Window.unboundedPreceding, 0)
+    local_sums = needed.withColumn("_seq_cum", F.sum("n").over(local))
+    rows = join_stats(local_sums, wanted, [*keys, "_seq_chunk"])
+    start, stop = F.col("_seq_before") + F.col("_seq_cum") - F.col("n"), F.col("_seq_before") + F.col("_seq_cum")
     at_lo = F.max(F.when((lo >= start) & (lo < stop), F.col("value")))
     at_hi = F.max(F.when((hi >= start) & (hi < stop), F.col("value")))
-    share = F.max(F.col("_pos") - F.floor("_pos"))
+    share = F.max(F.col("_seq_pos") - F.floor("_seq_pos"))
     return rows.groupBy(*keys, "prob").agg((at_lo + (at_hi - at_lo) * share).alias("value"))
 
 

@@ -16,7 +16,7 @@ def get_session(app: str = "loomframe", master: str | None = None, shuffle_parti
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if master:
-        builder = builder.master(master).config("spark.ui.enabled", "false")
+        builder = builder.master(master).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
