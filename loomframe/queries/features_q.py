@@ -42,12 +42,11 @@ def equal_width_bins(t):
 
 
 @query("f3_whisker_cap", f"""
-WITH s AS (SELECT {KEY_SQL}, l_extendedprice / l_quantity * pow(l_linenumber, 2) AS x, {TRAIN_SQL} AS train FROM lineitem),
+WITH s AS (SELECT {KEY_SQL}, l_extendedprice * pow(l_linenumber, 2) AS x, {TRAIN_SQL} AS train FROM lineitem),
 q AS (SELECT quantile_cont(x, 0.26) AS a, quantile_cont(x, 0.76) AS b FROM s WHERE train)
 SELECT {KEY_SQL}, round(least(greatest(x, a - 1.5 * (b - a)), b + 1.5 * (b - a)), 4) AS x FROM s, q""")
 def whisker_cap(t):
-    unit = F.col("l_extendedprice") / F.col("l_quantity") * F.pow("l_linenumber", F.lit(2))
-    df = lines(t, unit.alias("x"))
+    df = lines(t, (F.col("l_extendedprice") * F.pow("l_linenumber", F.lit(2))).alias("x"))
     return ft.cap(df, ft.fit_whiskers(df.filter("train"), ["x"])).select(*LINE_KEY, F.round("x", 4).alias("x"))
 
 
@@ -141,11 +140,25 @@ def yeo_johnson_fixed(t):
     return t.customer.select("c_custkey", F.round(ft.yeo_johnson(F.col("c_acctbal"), 0.4), 4).alias("y"))
 
 
-@query("f10_yeo_johnson_fit")
+def _yj_round(no: int, step: float, span: int) -> str:
+    """One grid round around the best exponent of the round before."""
+    return f"""
+g{no} AS (SELECT round(c + i * {step}::DOUBLE, 10) AS lam FROM b{no - 1}, (SELECT unnest(range(-{span}, {span + 1})) AS i)),
+l{no} AS (SELECT lam, -count(*) / 2 * ln(var_pop(CASE WHEN lam = 0 THEN ln(x + 1) ELSE (pow(x + 1, lam) - 1) / lam END))
+                 + (lam - 1) * sum(ln(x + 1)) AS ll FROM s CROSS JOIN g{no} WHERE train GROUP BY lam),
+b{no} AS (SELECT arg_max(lam, ll) AS c FROM l{no}),"""
+
+
+@query("f10_yeo_johnson_fit", f"""
+WITH s AS (SELECT {KEY_SQL}, l_extendedprice AS x, {TRAIN_SQL} AS train FROM lineitem),
+b0 AS (SELECT 1.0::DOUBLE AS c), {_yj_round(1, 0.5, 6)} {_yj_round(2, 0.05, 10)} {_yj_round(3, 0.005, 10)} {_yj_round(4, 0.0005, 10)}
+y AS (SELECT {KEY_SQL}, train, (pow(x + 1, c) - 1) / c AS y FROM s, b4),
+m AS (SELECT avg(y) AS m, stddev_pop(y) AS sd FROM y WHERE train)
+SELECT {KEY_SQL}, round((y - m) / sd, 4) AS y FROM y, m""")
 def yeo_johnson_fit(t):
     df = lines(t, "l_extendedprice")
     params = ft.fit_yeo_johnson(df.filter("train"), ["l_extendedprice"])
-    return ft.apply_yeo_johnson(df, params).select(*LINE_KEY, F.round("l_extendedprice", 5).alias("y"))
+    return ft.apply_yeo_johnson(df, params).select(*LINE_KEY, F.round("l_extendedprice", 4).alias("y"))
 
 
 _CONDITIONS = ["l_returnflag = 'N'", "l_quantity <= 10", "l_discount = 0", "l_tax = 0", "l_linenumber = 1", "l_linestatus = 'O'"]
