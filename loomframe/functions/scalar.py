@@ -34,12 +34,13 @@ def file_name(url: Column | str) -> Column:
 
 
 def file_stem(url: Column | str) -> Column:
-    return F.regexp_replace(file_name(url), r"\.[^.]*$", "")
+    """File name up to its first dot."""
+    return F.substring_index(file_name(url), ".", 1)
 
 
 def file_extension(url: Column | str) -> Column:
-    """Text after the last dot of the file name, empty when there is none."""
-    return F.regexp_extract(file_name(url), r"\.([^.]*)$", 1)
+    """Second dot-separated piece of the file name, empty when there is none."""
+    return F.coalesce(F.get(F.split(file_name(url), r"\."), F.lit(1)), F.lit(""))
 
 
 def name_number(name: Column | str, position: int = 1) -> Column:

@@ -6,7 +6,6 @@ driver and bakes the numbers into the plan as constants. No row of data is joine
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 from itertools import combinations_with_replacement
 
@@ -158,52 +157,46 @@ def indicators(df: DataFrame, labels: Mapping[str, Sequence[str]], key: Sequence
     )
 
 
-def yeo_johnson(c: Column, lam: float) -> Column:
+def yeo_johnson(c: Column, lam: float | Column) -> Column:
     """Power transform for one exponent (Yeo and Johnson, 2000)."""
-    up = F.log1p(c) if lam == 0 else (F.pow(c + 1, F.lit(lam)) - 1) / lam
-    down = -F.log1p(-c) if lam == 2 else -(F.pow(1 - c, F.lit(2 - lam)) - 1) / (2 - lam)
+    if isinstance(lam, Column):
+        up = F.when(lam == 0, F.log1p(c)).otherwise((F.pow(c + 1, lam) - 1) / lam)
+        down = F.when(lam == 2, -F.log1p(-c)).otherwise(-(F.pow(1 - c, 2 - lam) - 1) / (2 - lam))
+    else:
+        up = F.log1p(c) if lam == 0 else (F.pow(c + 1, F.lit(lam)) - 1) / lam
+        down = -F.log1p(-c) if lam == 2 else -(F.pow(1 - c, F.lit(2 - lam)) - 1) / (2 - lam)
     return F.when(c >= 0, up).otherwise(down)
 
 
+def _likelihoods(df: DataFrame, grid: Mapping[str, Sequence[float]]) -> DataFrame:
+    """(feature, lam, ll): log-likelihood of every grid exponent, folded map-side to one row per exponent."""
+    cells = [F.struct(F.lit(c).alias("f"), F.col(c).cast("double").alias("x"), F.lit(list(lams)).alias("lams")) for c, lams in grid.items()]
+    rows = df.select(F.explode(F.array(*cells)).alias("r")).select("r.f", "r.x", F.explode("r.lams").alias("lam"))
+    rows = rows.filter(F.col("x").isNotNull())
+    jacobian = F.sum(F.signum("x") * F.log1p(F.abs("x")))
+    return rows.groupBy(F.col("f").alias("feature"), "lam").agg(
+        (-F.count(F.lit(1)) / 2 * F.log(F.var_pop(yeo_johnson(F.col("x"), F.col("lam")))) + (F.col("lam") - 1) * jacobian).alias("ll")
+    )
+
+
 def fit_yeo_johnson(df: DataFrame, columns: Sequence[str], tolerance: float = 5e-4) -> DataFrame:
     """Exponent of maximum likelihood per column, then mean and std of the transformed values.
 
-    A likelihood grid is one aggregation for all columns; each round narrows the grid tenfold.
+    Each round is one pass for all columns over a grid around the best exponents so far, then the grid
+    narrows tenfold.
     """
-    step, centers = 0.5, {c: 1.0 for c in columns}
-    span = 6
+    step, span, centers = 0.5, 6, {c: 1.0 for c in columns}
     while True:
         grid = {c: [round(centers[c] + i * step, 10) for i in range(-span, span + 1)] for c in columns}
-        exprs = []
-        for i, c in enumerate(columns):
-            x = F.col(c).cast("double")
-            jacobian = F.sum(F.signum(x) * F.log1p(F.abs(x)))
-            exprs += [
-                (-F.count(x) / 2 * F.log(F.var_pop(yeo_johnson(x, lam))) + (lam - 1) * jacobian).alias(f"_{i}_{j}")
-                for j, lam in enumerate(grid[c])
-            ]
-        row = df.agg(*exprs).first()
-        for i, c in enumerate(columns):
-            scored = [(row[f"_{i}_{j}"], lam) for j, lam in enumerate(grid[c])]
-            scored = [(v, lam) for v, lam in scored if v is not None and not math.isnan(v)]
-            if scored:  # a constant column keeps exponent one
-                centers[c] = max(scored)[1]
+        scored = _likelihoods(df, grid).filter("ll IS NOT NULL AND NOT isnan(ll)")
+        best = scored.groupBy("feature").agg(F.max_by("lam", "ll").alias("lam")).collect()
+        centers.update({r["feature"]: r["lam"] for r in best})  # a constant column keeps exponent one
         if step <= tolerance:
             break
         step, span = step / 10, 10
-    stats = df.agg(
-        *[
-            e.alias(f"_{3 * i + j}")
-            for i, c in enumerate(columns)
-            for j, e in enumerate(
-                (
-                    F.lit(centers[c]),
-                    F.avg(yeo_johnson(F.col(c).cast("double"), centers[c])),
-                    F.stddev_pop(yeo_johnson(F.col(c).cast("double"), centers[c])),
-                )
-            )
-        ]
-    )
+    values = {c: yeo_johnson(F.col(c).cast("double"), centers[c]) for c in columns}
+    exprs = [e for c in columns for e in (F.lit(centers[c]), F.avg(values[c]), F.stddev_pop(values[c]))]
+    stats = df.agg(*[e.alias(f"_{i}") for i, e in enumerate(exprs)])
     return _long(stats, [(c, s) for c in columns for s in ("lambda", "mean", "std")])
 
 

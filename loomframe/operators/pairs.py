@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from loomframe.functions.hashing import hash_hex, hash_long
-from loomframe.operators.window import quota
-from loomframe.plans.ordered import hashed_row_numbers, join_stats, next_matching, row_numbers
+from loomframe.operators.window import pair_numbers, quota
+from loomframe.plans.ordered import hashed_row_numbers, join_stats, next_matching
 
 
 def class_pairs(df: DataFrame, label: str, key: str, per_class: int, seed: str) -> DataFrame:
@@ -86,11 +86,11 @@ def negative_pairs(positives: DataFrame, label: str, ratio: float, seed: str) ->
     coin = lambda side: hash_long(f"{seed}-{side}", "place") % 2 == 0
     return matched.select(
         F.col("place").alias("draw"),
-        F.when(coin("a"), F.col("a_id")).otherwise(F.col("b_id")).alias("neg_a"),
-        F.when(coin("b"), F.col("_c")).otherwise(F.col("_d")).alias("neg_b"),
+        F.when(coin("a"), F.col("a_id")).otherwise(F.col("b_id")).alias("neg_a_id"),
+        F.when(coin("b"), F.col("_c")).otherwise(F.col("_d")).alias("neg_b_id"),
         F.col(label).alias("a_label"),
         "b_label",
-    )
+    ).withColumnsRenamed({"neg_a_id": "a_id", "neg_b_id": "b_id"})
 
 
 def _class_changes(df: DataFrame, label: str) -> DataFrame:
@@ -100,3 +100,54 @@ def _class_changes(df: DataFrame, label: str) -> DataFrame:
         "starts", F.col("_prior").isNotNull() & (F.col("_prior") != F.col(label))
     )
     return next_matching(marked.drop("_prior"), "starts", "place", ["place"], out="next_change")
+
+
+def unique_pairs(df: DataFrame, key: str, first_code: int) -> DataFrame:
+    """Consecutive rows as positive pairs with class codes of their own: (label, a_id, b_id).
+
+    An odd last row has no partner and is left out.
+    """
+    numbered = pair_numbers(df.select(key), [], [key])
+    sides = numbered.groupBy("pair").agg(
+        F.max(F.when(F.col("side") == "A", F.col(key))).alias("a_id"),
+        F.max(F.when(F.col("side") == "B", F.col(key))).alias("b_id"),
+    )
+    return sides.filter("b_id IS NOT NULL").select((F.col("pair") - 1 + first_code).alias("label"), "a_id", "b_id")
+
+
+def evaluation_batch(
+    positives: DataFrame, label: str, size: int, positive_share: float, seed: str, uniques: DataFrame | None = None
+) -> DataFrame:
+    """Labelled evaluation pairs (kind, a_id, b_id, target) of exactly ``size`` rows.
+
+    Uniques count inside the size: without them positives are floor(share * size) and negatives the
+    rest; with them negatives are floor((1 - share) * size) and positives what is left. Positives are
+    drawn with repeats. Negatives may also use the unique pairs as a source.
+    """
+    n_unique = uniques.count() if uniques is not None else 0
+    if n_unique:
+        n_negative = math.floor(round((1 - positive_share) * size, 9))
+        n_positive = size - n_negative - n_unique
+    else:
+        n_positive = math.floor(round(positive_share * size, 9))
+        n_negative = size - n_positive
+    key = [label, "a_id", "b_id"]
+    ranked = hashed_row_numbers(positives.select(*key), seed, key, out="place")
+    n = positives.count()
+    draws = positives.sparkSession.range(max(n_positive, 0)).select((hash_long(f"{seed}-p", "id") % n + 1).alias("place"))
+    drawn = join_stats(draws, ranked, ["place"]).select(
+        F.lit("positive").alias("kind"), "a_id", "b_id", F.lit(1).alias("target")
+    )
+    pool = positives.select(*key)
+    if n_unique:
+        pool = pool.unionByName(uniques.select(*key))
+        extra = uniques.select(F.lit("unique").alias("kind"), "a_id", "b_id", F.lit(1).alias("target"))
+        drawn = drawn.unionByName(extra)
+    total = pool.count()
+    negatives = negative_pairs(pool, label, 1.0, f"{seed}-n") if n_negative <= total else None
+    if negatives is None:
+        raise ValueError("the batch asks for more negatives than there are positive pairs to draw from")
+    chosen = negatives.filter(F.col("draw") <= n_negative).select(
+        F.lit("negative").alias("kind"), "a_id", "b_id", F.lit(0).alias("target")
+    )
+    return drawn.unionByName(chosen)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loomframe.functions.hashing import hash_hex
 from loomframe.operators import aggregate as agg, lookup, pairs, window
-from loomframe.queries.frames import hourly, tokens
+from loomframe.queries.frames import LINE_KEY, hour_number, hourly, tokens
 from loomframe.queries.sql import HOURLY, LINE_KEY as KEY_SQL, TOKENS, h
-from loomframe.queries.frames import LINE_KEY
 from loomframe.registry import query
 
 
@@ -38,10 +38,11 @@ def encode_decode(t):
 
 
 @query("j3_new_rows", """
-SELECT doc_id, lang, source, md5(text) AS body FROM documents WHERE doc_id >= 400""")
+SELECT doc_id, lang, source, md5(text) AS body FROM documents
+WHERE substr(md5('old:' || doc_id), 1, 1) >= '6'""")
 def new_rows(t):
     docs = t.documents.select("doc_id", "lang", "source", F.md5("text").alias("body"))
-    return lookup.new_rows(docs, docs.filter("doc_id < 400"))
+    return lookup.new_rows(docs, docs.filter(F.substring(hash_hex("old", "doc_id"), 1, 1) < "6"))
 
 
 @query("j4_sample_complement", """
@@ -130,8 +131,6 @@ spend AS (SELECT event_type, date_diff('hour', TIMESTAMP '2024-01-01 00:00:00',
           round(sum(value), 4) AS spend FROM events GROUP BY 1, 2)
 SELECT event_type, hour_no, spend FROM w JOIN spend USING (event_type, hour_no) WHERE n > p AND n > q""")
 def values_at_peaks(t):
-    from loomframe.queries.frames import hour_number
-
     peaks = window.local_maxima(hourly(t), ["event_type"], "hour_no", "n")
     spend = t.events.groupBy("event_type", hour_number("ts").alias("hour_no")).agg(F.round(F.sum("value"), 4).alias("spend"))
     return spend.join(peaks.select("event_type", "hour_no"), ["event_type", "hour_no"], "left_semi")

@@ -49,7 +49,7 @@ def padded_entries(t):
 WITH u AS (SELECT page_id, url, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS root,
                   regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://[^/]+', '') AS path FROM pages),
 n AS (SELECT *, regexp_extract(path, '([^/]*)$', 1) AS file FROM u)
-SELECT page_id, root, path, regexp_replace(file, '\.[^.]*$', '') AS stem, regexp_extract(file, '\.([^.]*)$', 1) AS extension FROM n""")
+SELECT page_id, root, path, split_part(file, '.', 1) AS stem, split_part(file, '.', 2) AS extension FROM n""")
 def url_parts(t):
     return t.pages.select(
         "page_id",
