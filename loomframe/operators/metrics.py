@@ -167,8 +167,3 @@ def best_run(runs: DataFrame, name: str, score: str, group: Sequence[str] = ())
     best = F.min(F.struct((-F.col(score)).alias("s"), F.col(name).alias("n"))).alias("b")
     out = runs.groupBy(*group).agg(best) if group else runs.agg(best)
     return out.select(*group, F.col("b.n").alias(name), (-F.col("b.s")).alias(score))
-
-
-def importance_order(names: Sequence[str], scores: Sequence[float], spark) -> DataFrame:
-    """(feature, importance) table of a fitted model."""
-    return spark.createDataFrame(list(zip(names, [float(s) for s in scores])), "feature string, importance double")

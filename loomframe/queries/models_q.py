@@ -1 +1,263 @@
-"""To come."""
+"""Models (M1-M10, M13, M14, M16), cross-validation (E10, E12), PCA (F17) and learned vectors."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from loomframe.functions.text import words
+from loomframe.operators import features as ft, metrics as mx, models as md, sampling, similarity as sim, window
+from loomframe.plans.checkpoints import scratch_path
+from loomframe.queries.sql import h
+from loomframe.registry import query
+
+STATS = ["n_chars", "n_words", "n_lines", "word_length", "distinct_share"]
+
+
+def doc_stats(t):
+    """Labelled documents with standardised text statistics."""
+    w = words("text")
+    n = F.greatest(F.size(w), F.lit(1))
+    df = t.documents.join(t.labels, "doc_id").select(
+        "doc_id",
+        "quality",
+        "toxic",
+        F.log1p(F.col("n_chars").cast("double")).alias("n_chars"),
+        F.log1p(F.size(w).cast("double")).alias("n_words"),
+        F.log1p(F.size(F.split("text", "\n")).cast("double")).alias("n_lines"),
+        (F.length(F.array_join(w, "")) / n).alias("word_length"),
+        (F.size(F.array_distinct(w)) / n).alias("distinct_share"),
+    )
+    return ft.scale(df, ft.fit_scaler(df, STATS, "standard"))
+
+
+def scored(t, estimator, columns=STATS, frame=None):
+    df = md.assemble(frame if frame is not None else doc_stats(t), columns)
+    out = estimator.fit(df).transform(df)
+    return out.select("doc_id", F.col("quality").alias("truth"), F.col("prediction").cast("int").alias("pred"))
+
+
+def _points(t):
+    e = F.col("embedding")
+    return t.embeddings.select("vec_id", e[0].cast("double").alias("x"), e[1].cast("double").alias("y"))
+
+
+def _u(i: int, j: int) -> str:
+    return h(f"'km:{i}:{j}'") + " / 4294967296.0::DOUBLE"
+
+
+@query("m1_kmeans_step", f"""
+WITH p AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings),
+b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM p),
+c AS ({" UNION ALL ".join(f"SELECT {i} AS cluster, x0 + {_u(i, 0)} * (x1 - x0) AS cx, y0 + {_u(i, 1)} * (y1 - y0) AS cy FROM b" for i in range(3))}),
+a AS (SELECT vec_id, x, y, arg_min(cluster, pow(x - cx, 2) + pow(y - cy, 2)) AS cluster FROM p CROSS JOIN c GROUP BY 1, 2, 3)
+SELECT cluster, round(avg(x), 6) AS x, round(avg(y), 6) AS y, count(*)::BIGINT AS n FROM a GROUP BY cluster""")
+def kmeans_step(t):
+    points = _points(t)
+    out = md.lloyd_step(points, ["x", "y"], md.box_centers(points, ["x", "y"], 3, "km"))
+    return out.withColumns({c: F.round(c, 6) for c in ("x", "y")})
+
+
+@query("m1_kmeans")
+def kmeans(t):
+    points = _points(t)
+    centers = md.k_means(points, ["x", "y"], 3, "km", 1e-6)
+    return md.lloyd_step(points, ["x", "y"], centers)
+
+
+_GD = """
+s AS (SELECT (l_quantity - (SELECT avg(l_quantity) FROM lineitem)) / (SELECT stddev_pop(l_quantity) FROM lineitem) AS x,
+             l_extendedprice AS y FROM lineitem),
+m AS (SELECT avg(x) AS sx, avg(x * x) AS sxx, avg(y) AS sy, avg(x * y) AS sxy, avg(y * y) AS syy FROM s)"""
+
+
+@query("m2_gradient_descent", f"""
+WITH RECURSIVE {_GD},
+g(epoch, a, b) AS (SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE UNION ALL
+  SELECT epoch + 1, a - 0.1::DOUBLE * (a + b * sx - sy), b - 0.1::DOUBLE * (a * sx + b * sxx - sxy) FROM g, m WHERE epoch < 50)
+SELECT epoch, round(a, 4) AS bias, round(b, 4) AS slope,
+       round((a * a + 2 * a * b * sx + b * b * sxx - 2 * (a * sy + b * sxy) + syy) / 2, 0) AS cost FROM g, m WHERE epoch = 50""")
+def gradient_descent(t):
+    df = t.lineitem.select("l_quantity", "l_extendedprice")
+    df = ft.scale(df, ft.fit_scaler(df, ["l_quantity"], "standard"))
+    theta, costs = md.gradient_descent(df, ["l_quantity"], "l_extendedprice", 0.1, 50)
+    return t.lineitem.agg(
+        F.lit(50).alias("epoch"),
+        F.round(F.lit(theta[0]), 4).alias("bias"),
+        F.round(F.lit(theta[1]), 4).alias("slope"),
+        F.round(F.lit(costs[-1]), 0).alias("cost"),
+    )
+
+
+@query("m3_linear_classifier")
+def linear_classifier(t):
+    df = doc_stats(t)
+    theta, _ = md.gradient_descent(df, STATS, "quality", 0.1, 100, factor=2.0)
+    return df.select("doc_id", F.col("quality").alias("truth"), md.linear_class(theta, STATS).alias("pred"))
+
+
+@query("m4_linear_regression", """
+SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS bias,
+       round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM lineitem""")
+def linear_regression(t):
+    model = md.linear_regression(t.lineitem, ["l_quantity"], "l_extendedprice")
+    return t.lineitem.agg(
+        F.round(F.lit(float(model.coefficients[0])), 4).alias("slope"),
+        F.round(F.lit(model.intercept), 4).alias("bias"),
+        F.round(F.lit(model.summary.r2), 6).alias("r2"),
+    )
+
+
+@query("m4_lasso")
+def lasso(t):
+    columns = ["l_quantity", "l_discount", "l_tax"]
+    model = md.linear_regression(t.lineitem, columns, "l_extendedprice", lasso=100.0)
+    return t.lineitem.agg(*[F.lit(float(w)).alias(c) for c, w in zip(columns, model.coefficients)], F.lit(model.intercept).alias("bias"))
+
+
+@query("m5_least_absolute")
+def least_absolute(t):
+    df = t.lineitem.select("l_quantity", (F.col("l_extendedprice") / 1000).alias("price"))
+    df = ft.scale(df, ft.fit_scaler(df, ["l_quantity"], "standard"))
+    theta, errors = md.least_absolute(df, ["l_quantity"], "price", 2.0, 20)
+    return t.lineitem.agg(
+        F.lit(theta[0]).alias("bias"), F.lit(theta[1]).alias("slope"), F.lit(errors[0]).alias("first"), F.lit(errors[-1]).alias("last")
+    )
+
+
+@query("m6_logistic_regression")
+def logistic_regression(t):
+    return scored(t, md.logistic_regression(t.labels.count(), "quality", 1.0))
+
+
+@query("m6_logistic_lasso")
+def logistic_lasso(t):
+    return scored(t, md.logistic_regression(t.labels.count(), "quality", 0.5, l1_ratio=1.0))
+
+
+@query("m7_linear_svm")
+def linear_svm(t):
+    return scored(t, md.linear_svm("quality", 1.0, t.labels.count()))
+
+
+@query("m7_one_vs_rest")
+def one_vs_rest(t):
+    e = F.col("embedding")
+    columns = [f"v{i}" for i in range(8)]
+    df = t.embeddings.select("vec_id", "label", *[e[i].cast("double").alias(c) for i, c in enumerate(columns)])
+    df = md.assemble(df, columns)
+    svm = md.linear_svm("label", 1.0, df.count(), classes=10)
+    return svm.fit(df).transform(df).select("vec_id", "label", F.col("prediction").cast("int").alias("pred"))
+
+
+@query("m8_rbf_svm")
+def rbf_svm(t):
+    lifted = md.fourier_features(STATS, 0.2, 32, "rff")
+    frame = doc_stats(t).withColumns(lifted)
+    return scored(t, md.linear_svm("quality", 1.0, t.labels.count()), list(lifted), frame)
+
+
+@query("m9_decision_tree")
+def decision_tree(t):
+    return scored(t, md.decision_tree("quality"))
+
+
+@query("m9_random_forest")
+def random_forest(t):
+    return scored(t, md.random_forest("quality", 20))
+
+
+@query("m9_gradient_boosting")
+def gradient_boosting(t):
+    return scored(t, md.gradient_boosting("quality", 5))
+
+
+@query("m10_ada_boost")
+def ada_boost(t):
+    df = md.assemble(doc_stats(t), STATS)
+    members = md.ada_boost(df, "quality", 8, 0.3)
+    return md.ada_score(df, members).select("doc_id", F.col("quality").alias("truth"), F.col("ada").alias("score"))
+
+
+@query("m11_fitted_vote")
+def fitted_vote(t):
+    df = md.assemble(doc_stats(t), STATS)
+    n = t.labels.count()
+    keep = ["doc_id", "quality", md.FEATURES]
+    forest = md.probability(md.random_forest("quality", 10).fit(df).transform(df), "p_forest").select(*keep, "p_forest")
+    plain = md.probability(md.logistic_regression(n, "quality").fit(forest).transform(forest), "p_linear").select(*keep, "p_forest", "p_linear")
+    margins = md.linear_svm("quality", 1.0, n).fit(plain).transform(plain)
+    margins = margins.withColumn("margin", md.vector_to_array("rawPrediction")[1]).drop("rawPrediction", "prediction")
+    voted = md.calibrated(margins, margins, "margin", "quality", "p_svm")
+    members = [F.col(c) for c in ("p_forest", "p_linear", "p_svm")]
+    return voted.select(
+        "doc_id",
+        F.col("quality").alias("truth"),
+        mx.soft_vote(members).alias("soft"),
+        mx.hard_vote([(m > 0.5).cast("int") for m in members]).alias("hard"),
+    )
+
+
+@query("m13_feature_importance")
+def feature_importance(t):
+    model = md.random_forest("quality", 20).fit(md.assemble(doc_stats(t), STATS))
+    return window.cumulative_share(md.feature_importance(model, STATS, t.spark), "importance", "feature", 0.95)
+
+
+@query("m14_saved_model")
+def saved_model(t):
+    path = scratch_path(t.spark, "model")
+    df = doc_stats(t)
+    md.save_pipeline(md.fit_pipeline(df, STATS, md.logistic_regression(t.labels.count(), "quality")), path)
+    out = md.load_pipeline(path).transform(df)
+    names = {0: "poor", 1: "good"}
+    decoded = F.when(F.col("prediction") == 1, names[1]).otherwise(names[0])
+    return out.select("doc_id", F.col("quality").alias("truth"), decoded.alias("decoded"))
+
+
+@query("m16_grid_search")
+def grid_search(t):
+    df = sampling.stratified_folds(md.assemble(doc_stats(t), STATS), "quality", ["doc_id"], 3)
+    lr = md.logistic_regression(t.labels.count(), "quality")
+    grid = md.random_grid(md.parameter_grid(lr, {"regParam": [0.001, 0.01, 0.1], "elasticNetParam": [0.0, 1.0]}), 4, "grid")
+    model = md.search(md.materialize(df.select("doc_id", "quality", md.FEATURES, "fold")), lr, grid, "quality", "fold", 3)
+    rows = [(i, p[lr.regParam], p[lr.elasticNetParam], m) for i, (p, m) in enumerate(zip(grid, model.avgMetrics))]
+    return t.spark.createDataFrame(rows, "run int, reg double, l1 double, accuracy double")
+
+
+@query("e10_cross_validation")
+def cross_validation(t):
+    df = sampling.stratified_folds(md.assemble(doc_stats(t), STATS), "quality", ["doc_id"], 3)
+    df = md.materialize(df.select("doc_id", "quality", md.FEATURES, "fold"))
+    scored_rows = md.out_of_fold(df, md.logistic_regression(t.labels.count(), "quality"), "fold", 3)
+    return mx.fold_summary(scored_rows, "fold", "quality", "prediction")
+
+
+@query("e12_out_of_fold", """
+SELECT doc_id, quality, 1::BIGINT AS times FROM labels""")
+def out_of_fold(t):
+    df = sampling.stratified_folds(md.assemble(doc_stats(t), STATS), "quality", ["doc_id"], 3)
+    df = md.materialize(df.select("doc_id", "quality", md.FEATURES, "fold"))
+    out = md.out_of_fold(df, md.logistic_regression(t.labels.count(), "quality"), "fold", 3)
+    return out.filter(md.vector_to_array("rawPrediction")[1].isNotNull()).groupBy("doc_id", "quality").agg(
+        F.count(F.lit(1)).alias("times")
+    )
+
+
+@query("f17_pca")
+def pca(t):
+    columns = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    keys = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+    model, out = md.pca(t.lineitem.select(*keys, *columns), columns, 2)
+    signs = md.component_signs(model)
+    return out.select(*keys, *[(md.vector_to_array("pca")[i] * s).alias(f"pc{i + 1}") for i, s in enumerate(signs)])
+
+
+@query("d8_learned_vectors")
+def learned_vectors(t):
+    links = t.lineitem.groupBy(F.col("l_partkey").cast("int").alias("item"), F.col("l_suppkey").cast("int").alias("tag")).agg(
+        F.count(F.lit(1)).cast("float").alias("weight")
+    )
+    items, tags = md.item_tag_vectors(links, "item", "tag", "weight", rank=8, rounds=3)
+    items, tags = sim.normalized(items, "vector"), sim.normalized(tags, "vector")
+    both = items.select(F.lit("item").alias("kind"), "id", "vector").unionByName(tags.select(F.lit("tag").alias("kind"), "id", "vector"))
+    return both.select("kind", "id", F.size("vector").alias("dims"), F.element_at("vector", 1).alias("first"))
