@@ -7,8 +7,11 @@ from math import comb
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from loomframe.functions.hashing import hex_to_long
+from loomframe.functions.text import explode_words
 from loomframe.functions.vectors import doubles
 from loomframe.operators.window import flag_repeats
+from loomframe.plans.checkpoints import materialize
 from loomframe.plans.ordered import join_stats, row_numbers
 
 _MAX_MASKS = 2000  # masked copies per key that are still cheaper than comparing
@@ -27,6 +30,20 @@ def median_bits(vector: Column | str, dims: int) -> Column:
     return F.concat(*chunks)
 
 
+def word_histogram(df: DataFrame, key: str, text: str, cells: int) -> DataFrame:
+    """(key, vector): how many words of a text fall into each hashed cell; texts without words give zeros."""
+    words_ = explode_words(df, text, [key]).select(key, (hex_to_long(F.md5("word")) % cells).alias("cell"))
+    counts = words_.groupBy(key, "cell").agg(F.count(F.lit(1)).alias("n"))
+    packed = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("cell", "n"))).alias("counts"))
+    full = F.transform(
+        F.sequence(F.lit(0), F.lit(cells - 1)),
+        lambda i: F.coalesce(F.element_at("counts", i.cast("bigint")), F.lit(0)).cast("double"),
+    )
+    return df.select(key).join(packed, key, "left").select(
+        key, F.coalesce(full, F.array_repeat(F.lit(0.0), cells)).alias("vector")
+    )
+
+
 def digit_distance(a: Column, b: Column) -> Column:
     """Number of positions at which two strings of one length differ."""
     same = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: (x != y).cast("int"))
@@ -51,21 +68,40 @@ def duplicate_rates(flagged: DataFrame) -> DataFrame:
 
 
 def _segments(digits: int, count: int) -> list[tuple[int, int]]:
-    """(start, length) of ``count`` nearly equal runs, 0-based."""
+    """(start, length) of ``count`` nearly equal runs, 1-based."""
     edges = [round(i * digits / count) for i in range(count + 1)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:])]
+    return [(a + 1, b - a) for a, b in zip(edges, edges[1:])]
+
+
+def _runs(runs: list[tuple[int, int]]) -> Column:
+    return F.array(*[F.struct(F.lit(s).alias("s"), F.lit(n).alias("n")) for s, n in runs])
+
+
+def _pick(text: Column, runs: Column, glue: str = "") -> Column:
+    """The given runs of a text, joined."""
+    return F.array_join(F.transform(runs, lambda r: F.substr(text, r["s"], r["n"])), glue)
 
 
-def _without(text: Column, length: int, holes: list[tuple[int, int]]) -> Column:
-    """Text with the given runs cut out."""
-    parts, at = [], 0
-    for start, size in sorted(holes):
-        if start > at:
-            parts.append(F.substring(text, at + 1, start - at))
-        at = start + size
-    if at < length:
-        parts.append(F.substring(text, at + 1, length - at))
-    return F.concat(*parts) if parts else F.lit("")
+def _segment_choices(digits: int, count: int, chosen: int) -> Column:
+    """Every choice of segments as a constant array of {tag, kept, cut}."""
+    segments = _segments(digits, count)
+    options = []
+    for combo in combinations(range(count), chosen):
+        kept = [segments[i] for i in combo]
+        cut = [s for i, s in enumerate(segments) if i not in combo]
+        tag = "-".join(map(str, combo))
+        options.append(F.struct(F.lit(tag).alias("tag"), _runs(kept).alias("kept"), _runs(cut).alias("cut")))
+    return F.array(*options)
+
+
+def _masks(digits: int, holes: int) -> list[list[int]]:
+    return [list(c) for c in combinations(range(1, digits + 1), holes)]
+
+
+def _by_length(low: int, high: int, make) -> Column:
+    """Constant chosen by the length of ``rest``, which lies in low..high."""
+    cells = [x for n in range(low, high + 1) for x in (F.lit(n), make(n))]
+    return F.element_at(F.create_map(*cells), F.length("rest"))
 
 
 def _shared(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -76,16 +112,17 @@ def _shared(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def _earliest(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(id, source): smallest id among rows that agree on ``keys``; no pairs are formed."""
-    firsts = rows.groupBy(*keys).agg(F.min("id").alias("source"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    return join_stats(rows, firsts.drop("size"), keys).filter(F.col("source") < F.col("id")).select("id", "source")
+    firsts = rows.groupBy(*keys).agg(F.min("id").alias("source"), F.max("id").alias("last")).filter("last > source")
+    return join_stats(rows, firsts.drop("last"), keys).filter(F.col("source") < F.col("id")).select("id", "source")
 
 
-def _masked_sources(rows: DataFrame, rest_digits: int, limit: int) -> DataFrame:
+def _masked_sources(rows: DataFrame, low: int, high: int, limit: int) -> DataFrame:
     """Exact sources inside buckets: two texts differ in at most ``limit`` digits exactly when some
-    choice of ``limit`` blanked digits makes them equal, so each masked copy is grouped, never paired."""
-    masks = [_without(F.col("rest"), rest_digits, [(i, 1) for i in holes]) for holes in combinations(range(rest_digits), limit)]
-    copies = rows.select("id", "bucket", F.posexplode(F.array(*masks)).alias("mask", "left"))
-    return _earliest(copies, ["bucket", "mask", "left"])
+    choice of ``limit`` blanked digits makes them equal, so masked copies are grouped, never paired."""
+    masks = _by_length(low, high, lambda n: F.lit(_masks(n, limit)))
+    copies = rows.select("id", "bucket", "rest", F.explode(masks).alias("mask"))
+    blanked = F.aggregate("mask", F.col("rest"), lambda text, i: F.overlay(text, F.lit("."), i))
+    return _earliest(copies.select("id", "bucket", blanked.alias("masked")), ["bucket", "masked"])
 
 
 def _compared_sources(rows: DataFrame, limit: int) -> DataFrame:
@@ -99,7 +136,7 @@ def _compared_sources(rows: DataFrame, limit: int) -> DataFrame:
     return found.filter("source IS NOT NULL")
 
 
-def near_sources(df: DataFrame, key: str, order: str, digits: int, limit: int) -> DataFrame:
+def near_sources(df: DataFrame, key: str, order: str, digits: int, limit: int, small: int = _SMALL_BUCKET) -> DataFrame:
     """(id, source): for each unique key, the earliest other key within ``limit`` differing digits.
 
     Keys must be unique (de-duplicate exactly first) and ``digits`` long. Two keys within the limit agree
@@ -109,50 +146,48 @@ def near_sources(df: DataFrame, key: str, order: str, digits: int, limit: int) -
     further shared segment until they are small or the remaining digits cannot exceed the limit.
     """
     spare = 3 if comb(limit + 3, 3) <= 64 and limit + 3 <= digits else 1
-    segments = _segments(digits, limit + spare)
-    buckets = []
-    for chosen in combinations(range(len(segments)), spare):
-        runs = [segments[i] for i in chosen]
-        tag = "-".join(str(i) for i in chosen)
-        kept = [F.substring(F.col(key), s + 1, n) for s, n in runs]
-        buckets.append(
-            (sum(n for _, n in runs), F.struct(F.concat_ws("|", F.lit(tag), *kept).alias("bucket"), _without(F.col(key), digits, runs).alias("rest")))
-        )
-    found = None
-    for width in sorted({w for w, _ in buckets}):
-        group = F.array(*[b for w, b in buckets if w == width])
-        rows = df.select(F.col(order).alias("id"), F.explode(group).alias("b")).select("id", "b.bucket", "b.rest")
-        part = _bucket_sources(rows, digits - width, limit)
-        found = part if found is None else found.unionByName(part)
+    segments = [n for _, n in _segments(digits, limit + spare)]
+    low = digits - sum(sorted(segments, reverse=True)[:spare])
+    high = digits - sum(sorted(segments)[:spare])
+    rows = _bucket_rows(df.select(F.col(order).alias("id"), F.col(key).alias("rest"), F.lit("").alias("bucket")), _segment_choices(digits, limit + spare, spare))
+    found = _bucket_sources(rows, low, high, limit, small)
     return found.groupBy("id").agg(F.min("source").alias("source"))
 
 
-def _bucket_sources(rows: DataFrame, rest_digits: int, limit: int) -> DataFrame:
+def _bucket_rows(rows: DataFrame, choices: Column) -> DataFrame:
+    """One row per segment choice: the kept segments extend the bucket, the cut ones remain."""
+    spread = rows.select("id", "bucket", "rest", F.explode(choices).alias("c"))
+    return spread.select(
+        "id",
+        F.concat_ws("/", F.col("bucket"), F.concat_ws(":", F.col("c.tag"), _pick(F.col("rest"), F.col("c.kept"), "|"))).alias("bucket"),
+        _pick(F.col("rest"), F.col("c.cut")).alias("rest"),
+    )
+
+
+def _bucket_sources(rows: DataFrame, low: int, high: int, limit: int, small: int) -> DataFrame:
+    """Sources over buckets whose remaining texts are low..high digits long."""
     shared = _shared(rows, ["bucket"])
-    if rest_digits <= limit:
+    if high <= limit:
         return _earliest(shared, ["bucket"])
-    if comb(rest_digits, limit) <= _MAX_MASKS:
-        return _masked_sources(shared, rest_digits, limit)
-    small = _compared_sources(shared.filter(F.col("size") <= _SMALL_BUCKET), limit)
-    large = shared.filter(F.col("size") > _SMALL_BUCKET)
-    if large.limit(1).count() == 0:
-        return small
-    found = small
-    segments = _segments(rest_digits, min(limit + 1, rest_digits))
-    for width in sorted({n for _, n in segments}):
-        cells = F.array(
-            *[
-                F.struct(
-                    F.concat_ws("|", F.col("bucket"), F.lit(str(s)), F.substring("rest", s + 1, n)).alias("bucket"),
-                    _without(F.col("rest"), rest_digits, [(s, n)]).alias("rest"),
-                )
-                for s, n in segments
-                if n == width
-            ]
-        )
-        deeper = large.select("id", F.explode(cells).alias("b")).select("id", "b.bucket", "b.rest")
-        found = found.unionByName(_bucket_sources(deeper, rest_digits - width, limit))
-    return found
+    if low <= limit:
+        short, rest = F.length("rest") <= limit, F.length("rest") > limit
+        longer = _longer_sources(shared.filter(rest), limit + 1, high, limit, small)
+        return _earliest(shared.filter(short), ["bucket"]).unionByName(longer)
+    return _longer_sources(shared, low, high, limit, small)
+
+
+def _longer_sources(shared: DataFrame, low: int, high: int, limit: int, small: int) -> DataFrame:
+    if comb(high, limit) <= _MAX_MASKS:
+        return _masked_sources(shared, low, high, limit)
+    pinned = materialize(shared)
+    found = _compared_sources(pinned.filter(F.col("size") <= small), limit)
+    large = pinned.filter(F.col("size") > small)
+    if large.isEmpty():
+        return found
+    choices = _by_length(low, high, lambda n: _segment_choices(n, limit + 1, 1))
+    widest = max(n for total in (low, high) for _, n in _segments(total, limit + 1))
+    deeper = _bucket_rows(large, choices)
+    return found.unionByName(_bucket_sources(deeper, low - widest, high - 1, limit, small))
 
 
 def near_duplicates(df: DataFrame, key: str, order: str, digits: int, limit: int) -> DataFrame:

@@ -175,9 +175,10 @@ def logistic_regression(n: int, label: str, c: float = 1.0, l1_ratio: float = 0.
     )
 
 
-def linear_svm(label: str, c: float = 1.0, n: int = 1000, classes: int = 2) -> Estimator:
-    svm = LinearSVC(featuresCol=FEATURES, labelCol=label, regParam=1.0 / (c * n))
-    return svm if classes == 2 else OneVsRest(classifier=svm, featuresCol=FEATURES, labelCol=label)
+def linear_svm(label: str, c: float = 1.0, n: int = 1000, classes: int = 2, rounds: int = 50) -> Estimator:
+    """Hinge loss with an L2 penalty; more than two classes are fitted one against the rest, side by side."""
+    svm = LinearSVC(featuresCol=FEATURES, labelCol=label, regParam=1.0 / (c * n), maxIter=rounds)
+    return svm if classes == 2 else OneVsRest(classifier=svm, featuresCol=FEATURES, labelCol=label, parallelism=4)
 
 
 def fourier_features(columns: Sequence[str], gamma: float, components: int, seed: str) -> dict[str, Column]:
@@ -213,7 +214,7 @@ def ada_boost(df: DataFrame, label: str, rounds: int, rate: float, refresh: int
     Weights are a column of the frame; every ``refresh`` rounds the frame is checkpointed so that the
     plan stays short.
     """
-    frame = df.select(FEATURES, label).withColumn("weight", F.lit(1.0))
+    frame = materialize(df.select(FEATURES, label).withColumn("weight", F.lit(1.0)))
     members: list[tuple[float, Model]] = []
     for i in range(rounds):
         stump = DecisionTreeClassifier(featuresCol=FEATURES, labelCol=label, maxDepth=1, weightCol="weight", seed=42).fit(frame)

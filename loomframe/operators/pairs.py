@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from loomframe.functions.hashing import hash_hex, hash_long
 from loomframe.operators.window import pair_numbers, quota
+from loomframe.plans.checkpoints import materialize
 from loomframe.plans.ordered import hashed_row_numbers, join_stats, next_matching
 
 
@@ -57,9 +58,9 @@ def random_class_pairs(df: DataFrame, label: str, key: str, per_class: int, seed
     return with_a.join(b_side, b_on).select(label, "draw", "a_id", "b_id")
 
 
-def negative_total(positives: DataFrame, ratio: float) -> int:
-    """ratio * positives rounded down to an even number."""
-    wanted = positives.count() * ratio
+def even_share(n: int, ratio: float) -> int:
+    """ratio * n rounded down to an even number."""
+    wanted = round(n * ratio, 9)
     return int(wanted - wanted % 2)
 
 
@@ -70,12 +71,12 @@ def negative_pairs(positives: DataFrame, label: str, ratio: float, seed: str) ->
     later row (wrapping around) of another class.
     """
     key = [label, "a_id", "b_id"]
-    ranked = hashed_row_numbers(positives.select(*key), seed, key, out="place")
-    wanted = negative_total(positives, ratio)
-    # The list is laid out twice so that the search for another class can run past its end.
-    n = positives.count()
+    ranked = materialize(hashed_row_numbers(positives.select(*key), seed, key, out="place"))
+    n = ranked.count()
+    wanted = even_share(n, ratio)
     if n < wanted:
         raise ValueError("a ratio above one would reuse rows")
+    # The list is laid out twice so that the search for another class can run past its end.
     twice = ranked.unionByName(ranked.withColumn("place", F.col("place") + n))
     starts = _class_changes(twice, label)
     first = starts.filter(F.col("place") <= wanted)
@@ -124,6 +125,7 @@ def evaluation_batch(
     rest; with them negatives are floor((1 - share) * size) and positives what is left. Positives are
     drawn with repeats. Negatives may also use the unique pairs as a source.
     """
+    positives = materialize(positives)
     n_unique = uniques.count() if uniques is not None else 0
     if n_unique:
         n_negative = math.floor(round((1 - positive_share) * size, 9))
@@ -143,11 +145,9 @@ def evaluation_batch(
         pool = pool.unionByName(uniques.select(*key))
         extra = uniques.select(F.lit("unique").alias("kind"), "a_id", "b_id", F.lit(1).alias("target"))
         drawn = drawn.unionByName(extra)
-    total = pool.count()
-    negatives = negative_pairs(pool, label, 1.0, f"{seed}-n") if n_negative <= total else None
-    if negatives is None:
+    if n_negative > even_share(n + n_unique, 1.0):
         raise ValueError("the batch asks for more negatives than there are positive pairs to draw from")
-    chosen = negatives.filter(F.col("draw") <= n_negative).select(
+    chosen = negative_pairs(pool, label, 1.0, f"{seed}-n").filter(F.col("draw") <= n_negative).select(
         F.lit("negative").alias("kind"), "a_id", "b_id", F.lit(0).alias("target")
     )
     return drawn.unionByName(chosen)

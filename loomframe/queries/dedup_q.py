@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from loomframe.functions.vectors import doubles
 from loomframe.operators import dedup, pairs, similarity as sim
+from loomframe.plans.checkpoints import materialize
+from loomframe.queries.sql import WORDS, h
 from loomframe.registry import query
 
 BITS = """
@@ -22,6 +24,24 @@ uq AS (SELECT vec_id, key FROM f WHERE vec_id = first_id),
 src AS (SELECT b.vec_id AS id, min(a.vec_id) AS source FROM uq a JOIN uq b ON a.vec_id < b.vec_id AND hamming(a.key, b.key) <= 3 GROUP BY 1)"""
 
 
+# The same over documents: the vector counts the words in 64 hashed cells.
+NEAR_DOCS = f"""
+tk AS (SELECT doc_id, {h('w')} % 64 AS b, count(*) AS n FROM (SELECT doc_id, unnest({WORDS}) AS w FROM documents) GROUP BY 1, 2),
+g AS (SELECT doc_id, b, coalesce(n, 0) AS n FROM (SELECT doc_id, unnest(range(64)) AS b FROM documents) LEFT JOIN tk USING (doc_id, b)),
+md AS (SELECT doc_id, median(n) AS m FROM g GROUP BY 1),
+nb AS (SELECT doc_id, b // 4 AS nibble, sum(CASE WHEN n >= m THEN pow(2, 3 - b % 4) ELSE 0 END)::INT AS d FROM g JOIN md USING (doc_id) GROUP BY 1, 2),
+bits AS (SELECT doc_id, string_agg(printf('%x', d), '' ORDER BY nibble) AS key FROM nb GROUP BY 1),
+f AS (SELECT doc_id, key, min(doc_id) OVER (PARTITION BY key) AS first_id FROM bits),
+uq AS (SELECT doc_id, key FROM f WHERE doc_id = first_id),
+src AS (SELECT b.doc_id AS id, min(a.doc_id) AS source FROM uq a JOIN uq b ON a.doc_id < b.doc_id AND hamming(a.key, b.key) <= 3 GROUP BY 1)"""
+
+
+def document_bits(t):
+    return dedup.word_histogram(t.documents, "doc_id", "text", 64).select(
+        "doc_id", dedup.median_bits("vector", 64).alias("key")
+    )
+
+
 def bits(t):
     return t.embeddings.select("vec_id", dedup.median_bits("embedding", 64).alias("key"))
 
@@ -54,6 +74,20 @@ def near_duplicates(t):
     return dedup.near_duplicates(bits(t), "key", "vec_id", 16, 3).select("vec_id", "first_id", "source_id")
 
 
+@query("j7_near_documents", f"""
+WITH {NEAR_DOCS} SELECT id, source, hamming(x.key, y.key)::INT AS distance FROM src JOIN uq x ON x.doc_id = id JOIN uq y ON y.doc_id = source""")
+def near_document_matches(t):
+    flagged = dedup.exact_duplicates(document_bits(t), "key", "doc_id")
+    keys = materialize(flagged.filter("NOT is_duplicate").select("doc_id", "key"))
+    return dedup.with_source_distance(dedup.near_sources(keys, "key", "doc_id", 16, 3), keys, "key", "doc_id")
+
+
+@query("d3_near_documents", f"""
+WITH {NEAR_DOCS} SELECT f.doc_id AS doc_id, first_id, coalesce(source, first_id) AS source_id FROM f LEFT JOIN src ON id = first_id""")
+def near_documents(t):
+    return dedup.near_duplicates(materialize(document_bits(t)), "key", "doc_id", 16, 3).select("doc_id", "first_id", "source_id")
+
+
 @query("d4_compact_numbers", """
 WITH f AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(text)) AS first_id FROM documents)
 SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS number FROM f WHERE doc_id = first_id""")

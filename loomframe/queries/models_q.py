@@ -30,8 +30,17 @@ def doc_stats(t):
     return ft.scale(df, ft.fit_scaler(df, STATS, "standard"))
 
 
+def training_frame(df, columns=STATS, keep=("doc_id", "quality")):
+    """Feature vectors checkpointed once: every pass of an iterative fit reads them, not the texts."""
+    return md.materialize(md.assemble(df, columns).select(*keep, md.FEATURES))
+
+
+def folded_frame(t, k):
+    return sampling.stratified_folds(training_frame(doc_stats(t)), "quality", ["doc_id"], k)
+
+
 def scored(t, estimator, columns=STATS, frame=None):
-    df = md.assemble(frame if frame is not None else doc_stats(t), columns)
+    df = training_frame(frame if frame is not None else doc_stats(t), columns)
     out = estimator.fit(df).transform(df)
     return out.select("doc_id", F.col("quality").alias("truth"), F.col("prediction").cast("int").alias("pred"))
 
@@ -90,7 +99,7 @@ def gradient_descent(t):
 
 @query("m3_linear_classifier")
 def linear_classifier(t):
-    df = doc_stats(t)
+    df = md.materialize(doc_stats(t))
     theta, _ = md.gradient_descent(df, STATS, "quality", 0.1, 100, factor=2.0)
     return df.select("doc_id", F.col("quality").alias("truth"), md.linear_class(theta, STATS).alias("pred"))
 
@@ -144,7 +153,7 @@ def one_vs_rest(t):
     e = F.col("embedding")
     columns = [f"v{i}" for i in range(8)]
     df = t.embeddings.select("vec_id", "label", *[e[i].cast("double").alias(c) for i, c in enumerate(columns)])
-    df = md.assemble(df, columns)
+    df = training_frame(df, columns, ("vec_id", "label"))
     svm = md.linear_svm("label", 1.0, df.count(), classes=10)
     return svm.fit(df).transform(df).select("vec_id", "label", F.col("prediction").cast("int").alias("pred"))
 
@@ -173,14 +182,14 @@ def gradient_boosting(t):
 
 @query("m10_ada_boost")
 def ada_boost(t):
-    df = md.assemble(doc_stats(t), STATS)
+    df = training_frame(doc_stats(t))
     members = md.ada_boost(df, "quality", 8, 0.3)
     return md.ada_score(df, members).select("doc_id", F.col("quality").alias("truth"), F.col("ada").alias("score"))
 
 
 @query("m11_fitted_vote")
 def fitted_vote(t):
-    df = md.assemble(doc_stats(t), STATS)
+    df = training_frame(doc_stats(t))
     n = t.labels.count()
     keep = ["doc_id", "quality", md.FEATURES]
     forest = md.probability(md.random_forest("quality", 10).fit(df).transform(df), "p_forest").select(*keep, "p_forest")
@@ -199,14 +208,14 @@ def fitted_vote(t):
 
 @query("m13_feature_importance")
 def feature_importance(t):
-    model = md.random_forest("quality", 20).fit(md.assemble(doc_stats(t), STATS))
+    model = md.random_forest("quality", 20).fit(training_frame(doc_stats(t)))
     return window.cumulative_share(md.feature_importance(model, STATS, t.spark), "importance", "feature", 0.95)
 
 
 @query("m14_saved_model")
 def saved_model(t):
     path = scratch_path(t.spark, "model")
-    df = doc_stats(t)
+    df = md.materialize(doc_stats(t))
     md.save_pipeline(md.fit_pipeline(df, STATS, md.logistic_regression(t.labels.count(), "quality")), path)
     out = md.load_pipeline(path).transform(df)
     names = {0: "poor", 1: "good"}
@@ -216,18 +225,17 @@ def saved_model(t):
 
 @query("m16_grid_search")
 def grid_search(t):
-    df = sampling.stratified_folds(md.assemble(doc_stats(t), STATS), "quality", ["doc_id"], 3)
+    df = folded_frame(t, 3)
     lr = md.logistic_regression(t.labels.count(), "quality")
     grid = md.random_grid(md.parameter_grid(lr, {"regParam": [0.001, 0.01, 0.1], "elasticNetParam": [0.0, 1.0]}), 4, "grid")
-    model = md.search(md.materialize(df.select("doc_id", "quality", md.FEATURES, "fold")), lr, grid, "quality", "fold", 3)
-    rows = [(i, p[lr.regParam], p[lr.elasticNetParam], m) for i, (p, m) in enumerate(zip(grid, model.avgMetrics))]
+    model = md.search(df, lr, grid, "quality", "fold", 3)
+    rows = [(i, p[lr.regParam], p[lr.elasticNetParam], float(m)) for i, (p, m) in enumerate(zip(grid, model.avgMetrics))]
     return t.spark.createDataFrame(rows, "run int, reg double, l1 double, accuracy double")
 
 
 @query("e10_cross_validation")
 def cross_validation(t):
-    df = sampling.stratified_folds(md.assemble(doc_stats(t), STATS), "quality", ["doc_id"], 3)
-    df = md.materialize(df.select("doc_id", "quality", md.FEATURES, "fold"))
+    df = folded_frame(t, 3)
     scored_rows = md.out_of_fold(df, md.logistic_regression(t.labels.count(), "quality"), "fold", 3)
     return mx.fold_summary(scored_rows, "fold", "quality", "prediction")
 
@@ -235,8 +243,7 @@ def cross_validation(t):
 @query("e12_out_of_fold", """
 SELECT doc_id, quality, 1::BIGINT AS times FROM labels""")
 def out_of_fold(t):
-    df = sampling.stratified_folds(md.assemble(doc_stats(t), STATS), "quality", ["doc_id"], 3)
-    df = md.materialize(df.select("doc_id", "quality", md.FEATURES, "fold"))
+    df = folded_frame(t, 3)
     out = md.out_of_fold(df, md.logistic_regression(t.labels.count(), "quality"), "fold", 3)
     return out.filter(md.vector_to_array("rawPrediction")[1].isNotNull()).groupBy("doc_id", "quality").agg(
         F.count(F.lit(1)).alias("times")
