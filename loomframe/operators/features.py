@@ -12,6 +12,8 @@ from itertools import combinations_with_replacement
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomframe.operators.window import top_label_share
+from loomframe.plans.checkpoints import materialize
+from loomframe.plans.parallel import spread
 from loomframe.plans.quantiles import exact_quantiles, unpivot
 
 SCALERS = ("standard", "minmax", "robust")
@@ -185,6 +187,7 @@ def fit_yeo_johnson(df: DataFrame, columns: Sequence[str], tolerance: float = 5e
     Each round is one pass for all columns over a grid around the best exponents so far, then the grid
     narrows tenfold.
     """
+    df = materialize(spread(df.select(*columns)))  # the passes read the narrow columns, not their source
     step, span, centers = 0.5, 6, {c: 1.0 for c in columns}
     while True:
         grid = {c: [round(centers[c] + i * step, 10) for i in range(-span, span + 1)] for c in columns}

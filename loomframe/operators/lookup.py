@@ -8,16 +8,17 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from loomframe.functions.hashing import hash_long
 from loomframe.functions.vectors import nearest_index
+from loomframe.plans.lookups import lookup_join
 from loomframe.plans.ordered import join_stats, row_numbers
 
 
 def encode(df: DataFrame, dictionary: DataFrame, label: str, code: str = "code") -> DataFrame:
     """Attach the code of each label; the dictionary holds a label once, so a hot label splits cleanly."""
-    return join_stats(df, dictionary.select(label, code), [label])
+    return lookup_join(df, dictionary.select(label, code), [label])
 
 
 def decode(df: DataFrame, dictionary: DataFrame, code: str, label: str) -> DataFrame:
-    return join_stats(df, dictionary.select(code, label), [code])
+    return lookup_join(df, dictionary.select(code, label), [code])
 
 
 def new_rows(df: DataFrame, state: DataFrame) -> DataFrame:

@@ -168,10 +168,15 @@ def component_signs(model) -> list[float]:
 # --- classifiers ----------------------------------------------------------------------------------
 
 
-def logistic_regression(n: int, label: str, c: float = 1.0, l1_ratio: float = 0.0) -> LogisticRegression:
+def logistic_regression(n: int, label: str, c: float = 1.0, l1_ratio: float = 0.0, rounds: int = 50) -> LogisticRegression:
     """Penalty strength given as C of n rows, on unscaled features."""
     return LogisticRegression(
-        featuresCol=FEATURES, labelCol=label, regParam=1.0 / (c * n), elasticNetParam=l1_ratio, standardization=False
+        featuresCol=FEATURES,
+        labelCol=label,
+        regParam=1.0 / (c * n),
+        elasticNetParam=l1_ratio,
+        standardization=False,
+        maxIter=rounds,
     )
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from loomframe.functions.text import latin_words
 from loomframe.operators.aggregate import first_seen_codes
 from loomframe.operators.lookup import encode
-from loomframe.plans.ordered import join_stats
+from loomframe.plans.checkpoints import materialize
+from loomframe.plans.lookups import lookup_join
 
 
 def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -29,17 +30,17 @@ def fit_vocabulary(
 
     df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     kept = df.filter((F.col("df") >= limit(min_df)) & (F.col("df") <= limit(max_df)))
-    return kept.withColumn("idf", F.log(F.lit(1.0 + n_documents) / (F.col("df") + 1)) + 1)
+    return materialize(kept.withColumn("idf", F.log(F.lit(1.0 + n_documents) / (F.col("df") + 1)) + 1))
 
 
 def tf_idf(counts: DataFrame, vocabulary: DataFrame, key: str, sublinear: bool = False) -> DataFrame:
     """(key, term, weight), unit length per document; terms outside the vocabulary drop out.
 
-    The vocabulary holds a term once, so frequent terms split on the document side. The length is a
+    The vocabulary is the fitted table, stored and size-checked before a broadcast. The length is a
     window over one document's own terms.
     """
     tf = F.log("tf") + 1 if sublinear else F.col("tf")
-    raw = join_stats(counts, vocabulary.select("term", "idf"), ["term"]).withColumn("raw", tf * F.col("idf"))
+    raw = lookup_join(counts, vocabulary.select("term", "idf"), ["term"]).withColumn("raw", tf * F.col("idf"))
     length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
     return raw.select(key, "term", (F.col("raw") / length).alias("weight"))
 

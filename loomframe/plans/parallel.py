@@ -1,0 +1,15 @@
+"""Spread CPU-heavy work when a source has fewer splits than the cluster has cores."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(source: DataFrame) -> DataFrame:
+    """Rebalance a scan of few splits; a source with enough splits is returned as it is.
+
+    Meant for plain scans ahead of tokenising, hashing or pixel work. A large table always has more
+    splits than cores, so this never shuffles one.
+    """
+    cores = source.sparkSession.sparkContext.defaultParallelism
+    return source.repartition(cores) if source.rdd.getNumPartitions() < cores else source

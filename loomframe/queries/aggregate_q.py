@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from loomframe.functions.text import words
 from loomframe.operators import aggregate as agg
+from loomframe.plans.parallel import spread
 from loomframe.queries.frames import cust_nulls, hourly, tokens
 from loomframe.queries.sql import CUST_NULLS, HOURLY, TOKENS, WORDS
 from loomframe.registry import query
@@ -40,7 +41,7 @@ def word_frequency(t):
 @query("a4_corpus_stats", f"""
 SELECT source, count(*)::BIGINT AS documents, sum(len({WORDS}))::BIGINT AS words FROM documents GROUP BY source""")
 def corpus_stats(t):
-    return t.documents.groupBy("source").agg(
+    return spread(t.documents).groupBy("source").agg(
         F.count(F.lit(1)).alias("documents"), F.sum(F.size(words("text"))).alias("words")
     )
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from loomframe.functions.vectors import doubles
 from loomframe.operators import dedup, pairs, similarity as sim
 from loomframe.plans.checkpoints import materialize
+from loomframe.plans.parallel import spread
 from loomframe.queries.sql import WORDS, h
 from loomframe.registry import query
 
@@ -37,7 +38,7 @@ src AS (SELECT b.doc_id AS id, min(a.doc_id) AS source FROM uq a JOIN uq b ON a.
 
 
 def document_bits(t):
-    return dedup.word_histogram(t.documents, "doc_id", "text", 64).select(
+    return dedup.word_histogram(spread(t.documents), "doc_id", "text", 64).select(
         "doc_id", dedup.median_bits("vector", 64).alias("key")
     )
 

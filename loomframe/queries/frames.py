@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from loomframe.functions.hashing import hash_long
 from loomframe.functions.text import explode_words
+from loomframe.plans.parallel import spread
 from loomframe.registry import Tables
 
 LINE_KEY = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
@@ -23,7 +24,7 @@ def cust_nulls(t: Tables) -> DataFrame:
 
 
 def tokens(t: Tables) -> DataFrame:
-    return explode_words(t.documents, "text", ["doc_id", "lang", "source"])
+    return explode_words(spread(t.documents), "text", ["doc_id", "lang", "source"])
 
 
 def hour_number(ts: str):

@@ -27,8 +27,8 @@ FROM coded JOIN dict USING (code) GROUP BY doc_id""")
 def encode_decode(t):
     df = tokens(t)
     dictionary = agg.sorted_codes(df, "word")
-    coded = lookup.encode(df.select("doc_id", "word"), dictionary, "word").select("doc_id", "code")
-    per_code = coded.groupBy("doc_id", "code").agg(F.count(F.lit(1)).alias("n"))
+    per_word = df.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
+    per_code = lookup.encode(per_word, dictionary, "word").select("doc_id", "code", "n")
     return lookup.decode(per_code, dictionary, "code", "word").groupBy("doc_id").agg(
         F.sum("n").alias("n"),
         F.sum(F.col("code") * F.col("n")).alias("code_sum"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from loomframe.functions.text import words
 from loomframe.operators import features as ft, metrics as mx, models as md, sampling, similarity as sim, window
 from loomframe.plans.checkpoints import scratch_path
+from loomframe.plans.parallel import spread
 from loomframe.queries.sql import h
 from loomframe.registry import query
 
@@ -17,7 +18,7 @@ def doc_stats(t):
     """Labelled documents with standardised text statistics."""
     w = words("text")
     n = F.greatest(F.size(w), F.lit(1))
-    df = t.documents.join(t.labels, "doc_id").select(
+    df = spread(t.documents).join(t.labels, "doc_id").select(
         "doc_id",
         "quality",
         "toxic",
@@ -36,7 +37,8 @@ def training_frame(df, columns=STATS, keep=("doc_id", "quality")):
 
 
 def folded_frame(t, k):
-    return sampling.stratified_folds(training_frame(doc_stats(t)), "quality", ["doc_id"], k)
+    folds = sampling.stratified_folds(training_frame(doc_stats(t)), "quality", ["doc_id"], k)
+    return md.materialize(folds)
 
 
 def scored(t, estimator, columns=STATS, frame=None):

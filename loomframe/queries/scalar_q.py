@@ -8,6 +8,7 @@ from loomframe.functions import scalar as sc, text as tx
 from loomframe.functions.hashing import hash_hex
 from loomframe.functions.vectors import doubles
 from loomframe.operators import state
+from loomframe.plans.parallel import spread
 from loomframe.queries.sql import WORDS, h
 from loomframe.registry import query
 
@@ -24,7 +25,7 @@ CLEAN_SQL = r"""regexp_replace(regexp_replace(regexp_replace(lower(text), '[^\p{
 @query("x2_regex_clean", f"""
 SELECT doc_id, md5(regexp_replace({CLEAN_SQL}, '\\s\\s+', ' ', 'g')) AS body FROM documents""")
 def regex_clean(t):
-    return t.documents.select("doc_id", F.md5(tx.squeeze(tx.strip_noise(F.col("text")))).alias("body"))
+    return spread(t.documents).select("doc_id", F.md5(tx.squeeze(tx.strip_noise(F.col("text")))).alias("body"))
 
 
 @query("x3_split_columns", """
@@ -94,7 +95,7 @@ def is_numeric(t):
 
 @query("x8_join_tokens", f"SELECT doc_id, md5(array_to_string({WORDS}, ', ')) AS joined FROM documents")
 def join_tokens(t):
-    return t.documents.select("doc_id", F.md5(F.array_join(tx.words("text"), ", ")).alias("joined"))
+    return spread(t.documents).select("doc_id", F.md5(F.array_join(tx.words("text"), ", ")).alias("joined"))
 
 
 @query("x9_hex_bytes", """
@@ -150,7 +151,7 @@ SELECT doc_id, md5(array_to_string(list_sort(list_transform(ws, lambda w: md5('m
        array_to_string(list_slice(ws, 2, 4), '|') AS middle, len(ws)::INT AS n,
        list_sum(list_transform(ws, lambda w: length(w)))::BIGINT AS letters FROM d WHERE len(ws) > 0""")
 def array_ops(t):
-    df = t.documents.select("doc_id", tx.words("text").alias("ws")).filter(F.size("ws") > 0)
+    df = spread(t.documents).select("doc_id", tx.words("text").alias("ws")).filter(F.size("ws") > 0)
     lengths = F.transform("ws", lambda w: F.length(w).cast("bigint"))
     return df.select(
         "doc_id",
@@ -209,15 +210,15 @@ FROM documents""")
 def row_difference(t):
     lengths = F.transform(tx.words("text"), lambda w: F.length(w))
     absent = F.array_except(F.sequence(F.lit(1), F.lit(12)), lengths)
-    return t.documents.select("doc_id", F.array_join(F.transform(absent, lambda n: n.cast("string")), ",").alias("absent"))
+    return spread(t.documents).select("doc_id", F.array_join(F.transform(absent, lambda n: n.cast("string")), ",").alias("absent"))
 
 
 @query("u4_distinct", f"""
 SELECT doc_id, len(list_distinct({WORDS}))::INT AS n_distinct,
        (SELECT count(DISTINCT w) FROM (SELECT unnest({WORDS}) AS w FROM documents))::BIGINT AS corpus FROM documents""")
 def distinct(t):
-    corpus = t.documents.select(F.explode(tx.words("text")).alias("w")).distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
-    return t.documents.select("doc_id", F.size(F.array_distinct(tx.words("text"))).alias("n_distinct"), corpus.alias("corpus"))
+    corpus = spread(t.documents).select(F.explode(tx.words("text")).alias("w")).distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
+    return spread(t.documents).select("doc_id", F.size(F.array_distinct(tx.words("text"))).alias("n_distinct"), corpus.alias("corpus"))
 
 
 @query("u5_same_rows", """

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from loomframe.functions.hashing import hash_hex
 from loomframe.functions.text import clean_document
 from loomframe.operators import text
+from loomframe.plans.parallel import spread
 from loomframe.queries.frames import STOP_WORDS
 from loomframe.queries.scalar_q import CLEAN_SQL
 from loomframe.registry import query
@@ -22,7 +23,7 @@ c AS (SELECT quality, word, count(*)::BIGINT AS n FROM w GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY n DESC, word) AS rn FROM c)
 SELECT quality, word, n, rn FROM r WHERE rn <= 10""")
 def entry_top_words(t):
-    cleaned = t.documents.join(t.labels.select("doc_id", "quality"), "doc_id").select(
+    cleaned = spread(t.documents).join(t.labels.select("doc_id", "quality"), "doc_id").select(
         "quality", clean_document(F.col("text"), STOP_WORDS).alias("cleaned")
     )
     return text.top_words(cleaned, "quality", "cleaned", 10)
@@ -30,7 +31,7 @@ def entry_top_words(t):
 
 @query("f18_clean_documents", f"SELECT doc_id, md5(array_to_string({CLEAN_TOKENS}, ' ')) AS cleaned FROM documents")
 def clean_documents(t):
-    return t.documents.select("doc_id", F.md5(clean_document(F.col("text"), STOP_WORDS)).alias("cleaned"))
+    return spread(t.documents).select("doc_id", F.md5(clean_document(F.col("text"), STOP_WORDS)).alias("cleaned"))
 
 
 _TRAIN = "substr(md5('split:' || doc_id), 1, 1) < 'd'"
@@ -47,7 +48,7 @@ SELECT doc_id, term, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id))
 
 
 def _tfidf(t, min_df, sublinear: bool):
-    docs = t.documents.select("doc_id", "text", (F.substring(hash_hex("split", "doc_id"), 1, 1) < "d").alias("train"))
+    docs = spread(t.documents).select("doc_id", "text", (F.substring(hash_hex("split", "doc_id"), 1, 1) < "d").alias("train"))
     train = docs.filter("train")
     vocabulary = text.fit_vocabulary(text.term_counts(train, "doc_id", "text"), train.count(), min_df)
     weights = text.tf_idf(text.term_counts(docs, "doc_id", "text"), vocabulary, "doc_id", sublinear)
