@@ -15,7 +15,8 @@ from loomframe.plans.checkpoints import materialize
 from loomframe.plans.ordered import join_stats, row_numbers
 
 _MAX_MASKS = 2000  # masked copies per key that are still cheaper than comparing
-_SMALL_BUCKET = 128  # rows of a bucket compared inside one array
+_MAX_CHOICES = 100  # bucket rows per key
+_BLOCK = 128  # members of a bucket compared inside one array
 
 
 def median_bits(vector: Column | str, dims: int) -> Column:
@@ -46,8 +47,11 @@ def word_histogram(df: DataFrame, key: str, text: str, cells: int) -> DataFrame:
 
 def digit_distance(a: Column, b: Column) -> Column:
     """Number of positions at which two strings of one length differ."""
-    same = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: (x != y).cast("int"))
-    return F.aggregate(same, F.lit(0), lambda n, d: n + d)
+    return _cell_distance(F.split(a, ""), F.split(b, ""))
+
+
+def _cell_distance(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x != y).cast("int")), F.lit(0), lambda n, d: n + d)
 
 
 def exact_duplicates(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -119,38 +123,61 @@ def _earliest(rows: DataFrame, keys: list[str]) -> DataFrame:
 def _masked_sources(rows: DataFrame, low: int, high: int, limit: int) -> DataFrame:
     """Exact sources inside buckets: two texts differ in at most ``limit`` digits exactly when some
     choice of ``limit`` blanked digits makes them equal, so masked copies are grouped, never paired."""
-    masks = _by_length(low, high, lambda n: F.lit(_masks(n, limit)))
+    masks = _by_length(low, high, lambda n: F.lit(_masks(n, min(n, limit))))
     copies = rows.select("id", "bucket", "rest", F.explode(masks).alias("mask"))
     blanked = F.aggregate("mask", F.col("rest"), lambda text, i: F.overlay(text, F.lit("."), i))
     return _earliest(copies.select("id", "bucket", blanked.alias("masked")), ["bucket", "masked"])
 
 
-def _compared_sources(rows: DataFrame, limit: int) -> DataFrame:
-    """Sources inside small buckets: each bucket is one short array, compared in place."""
-    packed = rows.groupBy("bucket").agg(F.collect_list(F.struct("id", "rest")).alias("members"))
-    each = rows.join(packed, "bucket")
-    near = F.filter(
-        "members", lambda m: (m["id"] < F.col("id")) & (digit_distance(m["rest"], F.col("rest")) <= limit)
-    )
-    found = each.select("id", F.array_min(F.transform(near, lambda m: m["id"])).alias("source"))
-    return found.filter("source IS NOT NULL")
+def _compared_sources(rows: DataFrame, limit: int, block: int) -> DataFrame:
+    """Sources inside buckets of any size, in rounds over blocks of ``block`` members in id order.
 
-
-def near_sources(df: DataFrame, key: str, order: str, digits: int, limit: int, small: int = _SMALL_BUCKET) -> DataFrame:
+    A member that finds a match in one round is done, because later blocks only hold later ids. In a
+    dense bucket nearly all members finish in the first round; each round doubles the blocks it covers.
+    Only the smallest matching id leaves a comparison, never a pair.
+    """
+    ranked = materialize(
+        row_numbers(rows.select("id", "bucket", F.split("rest", "").alias("cells")), ["id"], ["bucket"]).withColumn(
+            "block", F.floor((F.col("rn") - 1) / block)
+        )
+    )
+    blocks = materialize(
+        ranked.groupBy("bucket", "block").agg(F.collect_list(F.struct("id", "cells")).alias("members"))
+    )
+    near = F.filter("members", lambda m: (m["id"] < F.col("id")) & (_cell_distance(m["cells"], F.col("cells")) <= limit))
+    pending, found, first, width = ranked, None, 0, 1
+    while True:
+        now = blocks.filter((F.col("block") >= first) & (F.col("block") < first + width)).select(
+            "bucket", F.col("block").alias("at"), "members"
+        )
+        tried = pending.join(now, "bucket").filter("at <= block")
+        best = tried.select("id", "bucket", F.array_min(F.transform(near, lambda m: m["id"])).alias("source"))
+        hits = materialize(
+            best.filter("source IS NOT NULL").groupBy("id", "bucket").agg(F.min("source").alias("source"))
+        )
+        found = hits if found is None else found.unionByName(hits)
+        first, width = first + width, width * 2
+        pending = materialize(
+            pending.filter(F.col("block") >= first).join(hits.select("id", "bucket"), ["id", "bucket"], "left_anti")
+        )
+        if pending.isEmpty():
+            return found.select("id", "source")
+
+
+def near_sources(df: DataFrame, key: str, order: str, digits: int, limit: int, block: int = _BLOCK) -> DataFrame:
     """(id, source): for each unique key, the earliest other key within ``limit`` differing digits.
 
     Keys must be unique (de-duplicate exactly first) and ``digits`` long. Two keys within the limit agree
     on at least ``spare`` of ``limit + spare`` segments, so every choice of ``spare`` segments is a bucket.
     Keys alone in a bucket drop out at once. The rest are matched exactly: by grouping masked copies when
-    the limit is small; otherwise small buckets are compared in place and large ones are cut again by a
-    further shared segment until they are small or the remaining digits cannot exceed the limit.
+    the limit is small, else by comparing blocks of members in id order until each has its first match.
     """
-    spare = 3 if comb(limit + 3, 3) <= 64 and limit + 3 <= digits else 1
+    spare = max(n for n in (1, 2, 3) if n == 1 or (comb(limit + n, n) <= _MAX_CHOICES and limit + n <= digits))
     segments = [n for _, n in _segments(digits, limit + spare)]
     low = digits - sum(sorted(segments, reverse=True)[:spare])
     high = digits - sum(sorted(segments)[:spare])
     rows = _bucket_rows(df.select(F.col(order).alias("id"), F.col(key).alias("rest"), F.lit("").alias("bucket")), _segment_choices(digits, limit + spare, spare))
-    found = _bucket_sources(rows, low, high, limit, small)
+    found = _bucket_sources(rows, low, high, limit, block)
     return found.groupBy("id").agg(F.min("source").alias("source"))
 
 
@@ -164,30 +191,14 @@ def _bucket_rows(rows: DataFrame, choices: Column) -> DataFrame:
     )
 
 
-def _bucket_sources(rows: DataFrame, low: int, high: int, limit: int, small: int) -> DataFrame:
+def _bucket_sources(rows: DataFrame, low: int, high: int, limit: int, block: int) -> DataFrame:
     """Sources over buckets whose remaining texts are low..high digits long."""
     shared = _shared(rows, ["bucket"])
     if high <= limit:
         return _earliest(shared, ["bucket"])
-    if low <= limit:
-        short, rest = F.length("rest") <= limit, F.length("rest") > limit
-        longer = _longer_sources(shared.filter(rest), limit + 1, high, limit, small)
-        return _earliest(shared.filter(short), ["bucket"]).unionByName(longer)
-    return _longer_sources(shared, low, high, limit, small)
-
-
-def _longer_sources(shared: DataFrame, low: int, high: int, limit: int, small: int) -> DataFrame:
     if comb(high, limit) <= _MAX_MASKS:
         return _masked_sources(shared, low, high, limit)
-    pinned = materialize(shared)
-    found = _compared_sources(pinned.filter(F.col("size") <= small), limit)
-    large = pinned.filter(F.col("size") > small)
-    if large.isEmpty():
-        return found
-    choices = _by_length(low, high, lambda n: _segment_choices(n, limit + 1, 1))
-    widest = max(n for total in (low, high) for _, n in _segments(total, limit + 1))
-    deeper = _bucket_rows(large, choices)
-    return found.unionByName(_bucket_sources(deeper, low - widest, high - 1, limit, small))
+    return _compared_sources(shared, limit, block)
 
 
 def near_duplicates(df: DataFrame, key: str, order: str, digits: int, limit: int) -> DataFrame:

@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from loomframe.plans.ordered import join_stats, sorted_chunks
+from loomframe.plans.checkpoints import materialize
+from loomframe.plans.ordered import join_stats, running_sums, sorted_chunks
 
 
 def unpivot(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -18,11 +19,67 @@ def unpivot(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataF
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """(by..., feature, prob, value), nulls skipped; one sort for all columns and probabilities.
+    """(by..., feature, prob, value), nulls skipped; exact, for all columns and probabilities together.
 
-    Equal values are counted before the sort, chunk totals locate the wanted ranks, and only the
-    chunks that hold them are scanned again.
+    Without groups, an approximate pass brackets every wanted rank, and the exact pass only shuffles the
+    values inside the brackets and a count of those below. Should a bracket miss its rank, and for
+    grouped quantiles, all distinct values are sorted instead.
     """
+    if not by:
+        rows = _bracketed(df, cols, probs)
+        if rows is not None:
+            return df.sparkSession.createDataFrame(rows, "feature string, prob double, value double")
+    return _sorted_quantiles(df, cols, probs, by)
+
+
+_RANK_ERROR = 1e-4  # of the approximate pass; brackets reach three times as far
+
+
+def _bracketed(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> list[tuple[str, float, float]] | None:
+    """One (column, probability, value) per wanted quantile, or None when a bracket missed."""
+    reach = 3 * _RANK_ERROR
+    edges = [min(max(p + side * reach, 0.0), 1.0) for p in probs for side in (-1, 1)]
+    accuracy = int(1 / _RANK_ERROR)
+    numbers = [F.col(c).cast("double") for c in cols]
+    rough = df.agg(
+        *[e for x in numbers for e in (F.count(x), F.percentile_approx(x, edges, accuracy))]
+    ).first()
+    wanted = []  # (cell, column number, prob, low, high, rank)
+    for i in range(len(cols)):
+        n, cuts = rough[2 * i], rough[2 * i + 1]
+        for j, p in enumerate(probs if n else []):
+            low = None if edges[2 * j] == 0.0 else cuts[2 * j]
+            high = None if edges[2 * j + 1] == 1.0 else cuts[2 * j + 1]
+            wanted.append((len(wanted), i, float(p), low, high, float(p) * (n - 1)))
+    if not wanted:
+        return []
+    cells = []
+    for cell, i, _, low, high, _ in wanted:
+        x = numbers[i]
+        kept = x if low is None else F.when(x >= low, x)  # null stands for "below the bracket"
+        inside = x.isNotNull() if high is None else x <= high
+        cells.append(F.when(inside, F.struct(F.lit(cell).alias("cell"), kept.alias("value"))))
+    rows = df.select(F.explode(F.filter(F.array(*cells), lambda c: c.isNotNull())).alias("c")).select("c.*")
+    counts = materialize(rows.groupBy("cell", "value").agg(F.count(F.lit(1)).alias("n")))
+    below = {r["cell"]: r["n"] for r in counts.filter("value IS NULL").collect()}
+    ranks = F.create_map(*[F.lit(v) for cell, *_, rank in wanted for v in (cell, rank - below.get(cell, 0))])
+    summed = running_sums(counts.filter("value IS NOT NULL"), ["n"], ["value"], ["cell"])
+    at, start = F.element_at(ranks, F.col("cell")), F.col("cum_n") - F.col("n")
+    holds = lambda r: F.when((r >= start) & (r < F.col("cum_n")), F.col("value"))
+    ends = summed.groupBy("cell").agg(F.max(holds(F.floor(at))).alias("a"), F.max(holds(F.ceil(at))).alias("b"))
+    found = {r["cell"]: (r["a"], r["b"]) for r in ends.collect()}
+    out = []
+    for cell, i, p, _, _, rank in wanted:
+        a, b = found.get(cell, (None, None))
+        if a is None or b is None:
+            return None
+        out.append((cols[i], p, a + (b - a) * (rank - int(rank))))
+    return out
+
+
+def _sorted_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str]) -> DataFrame:
+    """Equal values are counted before the sort, chunk totals locate the wanted ranks, and only the
+    chunks that hold them are scanned again."""
     keys = [*by, "feature"]
     counts = unpivot(df, cols, by).filter(F.col("value").isNotNull()).groupBy(*keys, "value").agg(
         F.count(F.lit(1)).alias("n")

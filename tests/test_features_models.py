@@ -131,14 +131,14 @@ def mutated_keys(digits, families, copies, limit, seed):
     return sorted(keys, key=lambda k: hash((seed, k[::-1])))
 
 
-@pytest.mark.parametrize("digits,limit,small", [(16, 3, 128), (16, 1, 128), (64, 10, 128), (64, 10, 4), (12, 8, 2)])
-def test_near_sources_match_brute_force(spark, digits, limit, small):
-    """Includes a shared prefix (a hot bucket) and, with a tiny bucket size, the re-cutting path."""
+@pytest.mark.parametrize("digits,limit,block", [(16, 3, 128), (16, 1, 128), (64, 10, 128), (64, 10, 4), (12, 8, 2), (8, 6, 2)])
+def test_near_sources_match_brute_force(spark, digits, limit, block):
+    """Includes a shared prefix (a hot bucket) and, with tiny blocks, several rounds of comparison."""
     keys = mutated_keys(digits, 6, 10, limit, digits + limit)
     hot = ["0" * (digits // 2) + k[digits // 2 :] for k in keys[:25]]
     keys = list(dict.fromkeys(keys + hot))
     df = spark.createDataFrame(list(enumerate(keys)), "id long, key string")
-    got = {r["id"]: r["source"] for r in dedup.near_sources(df, "key", "id", digits, limit, small).collect()}
+    got = {r["id"]: r["source"] for r in dedup.near_sources(df, "key", "id", digits, limit, block).collect()}
     assert got == brute_sources(keys, limit)
 
 
@@ -287,8 +287,11 @@ def test_fourier_features_separate_a_ring(spark):
 
 
 def test_random_grid_is_a_sample():
-    grid = [{i: i} for i in range(0)]
-    assert md.random_grid(grid, 3, "s") == []
+    lr = md.logistic_regression(10, "label")
+    grid = md.parameter_grid(lr, {"regParam": [0.1, 0.2, 0.3], "elasticNetParam": [0.0, 1.0]})
+    picked = md.random_grid(grid, 4, "s")
+    assert len(grid) == 6 and len(picked) == 4 and all(p in grid for p in picked)
+    assert picked == md.random_grid(grid, 4, "s") != md.random_grid(grid, 4, "t")
 
 
 def test_auc_and_threshold(spark):

@@ -90,6 +90,14 @@ def test_quantiles_match_numpy(spark, values, prob):
         assert got[("x", prob)] == pytest.approx(np.quantile(present, prob))
 
 
+def test_sorted_path_agrees(skewed):
+    frame, df = skewed
+    a = quantiles.exact_quantiles(df, ["x", "id"], [0.1, 0.77])
+    b = quantiles._sorted_quantiles(df, ["x", "id"], [0.1, 0.77], [])
+    key = lambda r: (r["feature"], r["prob"])
+    assert {key(r): r["value"] for r in a.collect()} == pytest.approx({key(r): r["value"] for r in b.collect()})
+
+
 def test_quantiles_by_group(skewed):
     frame, df = skewed
     got = {(r["cls"], r["prob"]): r["value"] for r in quantiles.exact_quantiles(df, ["x"], [0.26, 0.9], ["cls"]).collect()}
