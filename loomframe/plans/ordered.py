@@ -21,12 +21,15 @@ def join_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str], how: str =
     """Equi-join a grouped table back on its keys, nulls matching nulls.
 
     ``stats`` has one row per key, so a hot key only splits the left side (AQE skew join); the
-    choice between broadcast and shuffle is left to the measured size.
+    choice between broadcast and shuffle is left to the measured size. Keys that hold no null are
+    compared plainly, which keeps a partitioning on them usable.
     """
+    nullable = {f.name: f.nullable and not f.name.startswith("_seq_") for f in df.schema}
     renamed = stats.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in stats.columns if c not in keys])
     condition = None
     for key in keys:
-        match = F.col(key).eqNullSafe(F.col(f"_k_{key}"))
+        left, right = F.col(key), F.col(f"_k_{key}")
+        match = left.eqNullSafe(right) if nullable[key] else left == right
         condition = match if condition is None else condition & match
     return df.join(renamed, condition, how).drop(*[f"_k_{k}" for k in keys])
 

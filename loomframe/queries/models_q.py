@@ -33,12 +33,12 @@ def doc_stats(t):
 
 def training_frame(df, columns=STATS, keep=("doc_id", "quality")):
     """Feature vectors checkpointed once: every pass of an iterative fit reads them, not the texts."""
-    return md.materialize(md.assemble(df, columns).select(*keep, md.FEATURES))
+    return md.materialize(md.assemble(df, columns).select(*keep, md.FEATURES).hint("rebalance"))
 
 
 def folded_frame(t, k):
     folds = sampling.stratified_folds(training_frame(doc_stats(t)), "quality", ["doc_id"], k)
-    return md.materialize(folds)
+    return md.materialize(folds.hint("rebalance"))
 
 
 def scored(t, estimator, columns=STATS, frame=None):
@@ -101,7 +101,7 @@ def gradient_descent(t):
 
 @query("m3_linear_classifier")
 def linear_classifier(t):
-    df = md.materialize(doc_stats(t))
+    df = md.materialize(doc_stats(t).hint("rebalance"))
     theta, _ = md.gradient_descent(df, STATS, "quality", 0.1, 100, factor=2.0)
     return df.select("doc_id", F.col("quality").alias("truth"), md.linear_class(theta, STATS).alias("pred"))
 
@@ -217,7 +217,7 @@ def feature_importance(t):
 @query("m14_saved_model")
 def saved_model(t):
     path = scratch_path(t.spark, "model")
-    df = md.materialize(doc_stats(t))
+    df = md.materialize(doc_stats(t).hint("rebalance"))
     md.save_pipeline(md.fit_pipeline(df, STATS, md.logistic_regression(t.labels.count(), "quality")), path)
     out = md.load_pipeline(path).transform(df)
     names = {0: "poor", 1: "good"}
