@@ -38,6 +38,12 @@ def _order(order: Sequence[str | Column]) -> list[Column]:
     return [F.col(o) if isinstance(o, str) else o for o in order]
 
 
+def _keyed(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Group columns as keys without nulls, so that a window and the join after it share one shuffle."""
+    keys = {f"_seq_b{i}": F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n")) for i, c in enumerate(by)}
+    return df.withColumns(keys) if keys else df, list(keys)
+
+
 def sorted_chunks(df: DataFrame, order: Sequence[str | Column], by: Sequence[str] = ()) -> DataFrame:
     """Range-sort by (by, order) and tag rows with ``_seq_chunk`` and ``_seq_offset``.
 
@@ -61,13 +67,13 @@ def _before(value: str, by: Sequence[str]) -> Column:
 
 def row_numbers(df: DataFrame, order: Sequence[str | Column], by: Sequence[str] = (), out: str = "rn") -> DataFrame:
     """``row_number()`` in any order. ``order`` must end in a unique column."""
-    by = list(by)
-    chunks = sorted_chunks(df, order, by)
+    keyed, by = _keyed(df, by)
+    chunks = sorted_chunks(keyed, order, by)
     sizes = chunks.groupBy(*by, "_seq_chunk").agg(F.min("_seq_offset").alias("_seq_first"), F.count(F.lit(1)).alias("_seq_n"))
     starts = sizes.select(*by, "_seq_chunk", "_seq_first", _before("_seq_n", by).alias("_seq_before"))
     joined = join_stats(chunks, starts, [*by, "_seq_chunk"])
     return joined.withColumn(out, F.col("_seq_offset") - F.col("_seq_first") + F.col("_seq_before") + 1).drop(
-        "_seq_chunk", "_seq_offset", "_seq_first", "_seq_before"
+        "_seq_chunk", "_seq_offset", "_seq_first", "_seq_before", *by
     )
 
 
@@ -79,21 +85,23 @@ def hashed_row_numbers(
     The leading hex digits cut every group into up to 16^digits even chunks, so no sort of the whole
     table and no checkpoint is needed.
     """
-    by, key = list(by), list(key)
-    base = df.withColumn("_seq_h", hash_hex(seed, *key)).withColumn("_seq_chunk", F.substring("_seq_h", 1, digits))
+    (keyed, by), key = _keyed(df, by), list(key)
+    base = keyed.withColumn("_seq_h", hash_hex(seed, *key)).withColumn("_seq_chunk", F.substring("_seq_h", 1, digits))
     sizes = base.groupBy(*by, "_seq_chunk").agg(F.count(F.lit(1)).alias("_seq_n"))
     starts = sizes.select(*by, "_seq_chunk", _before("_seq_n", by).alias("_seq_before"))
     local = F.row_number().over(Window.partitionBy(*by, "_seq_chunk").orderBy("_seq_h", *key))
     joined = join_stats(base.withColumn("_seq_rn", local), starts, [*by, "_seq_chunk"])
-    return joined.withColumn(out, F.col("_seq_rn") + F.col("_seq_before")).drop("_seq_h", "_seq_chunk", "_seq_rn", "_seq_before")
+    return joined.withColumn(out, F.col("_seq_rn") + F.col("_seq_before")).drop(
+        "_seq_h", "_seq_chunk", "_seq_rn", "_seq_before", *by
+    )
 
 
 def running_sums(
     df: DataFrame, values: Sequence[str], order: Sequence[str | Column], by: Sequence[str] = ()
 ) -> DataFrame:
     """Inclusive running sum of each value in order, as ``cum_<value>``."""
-    by = list(by)
-    chunks = sorted_chunks(df, order, by)
+    keyed, by = _keyed(df, by)
+    chunks = sorted_chunks(keyed, order, by)
     sums = chunks.groupBy(*by, "_seq_chunk").agg(*[F.sum(v).alias(f"_seq_s_{v}") for v in values])
     starts = sums.select(*by, "_seq_chunk", *[_before(f"_seq_s_{v}", by).alias(f"_seq_b_{v}") for v in values])
     window = Window.partitionBy(*by, "_seq_chunk").orderBy("_seq_offset").rowsBetween(Window.unboundedPreceding, 0)
@@ -101,15 +109,15 @@ def running_sums(
     joined = join_stats(local, starts, [*by, "_seq_chunk"])
     for v in values:
         joined = joined.withColumn(f"cum_{v}", F.col(f"_seq_l_{v}") + F.col(f"_seq_b_{v}")).drop(f"_seq_l_{v}", f"_seq_b_{v}")
-    return joined.drop("_seq_chunk", "_seq_offset")
+    return joined.drop("_seq_chunk", "_seq_offset", *by)
 
 
 def previous_values(
     df: DataFrame, value: str, order: Sequence[str | Column], by: Sequence[str] = (), out: str = "previous"
 ) -> DataFrame:
     """``lag(value)`` plus ``<out>_exists``, which is false on the first row of a group."""
-    by = list(by)
-    chunks = sorted_chunks(df, order, by)
+    keyed, by = _keyed(df, by)
+    chunks = sorted_chunks(keyed, order, by)
     boxed = chunks.withColumn("_seq_box", F.struct(F.col(value).alias("v")))
     lasts = boxed.groupBy(*by, "_seq_chunk").agg(F.max_by("_seq_box", "_seq_offset").alias("_seq_last"))
     edge = Window.partitionBy(*by).orderBy("_seq_chunk")
@@ -120,7 +128,7 @@ def previous_values(
     return (
         joined.withColumn(out, box.getField("v"))
         .withColumn(f"{out}_exists", box.isNotNull())
-        .drop("_seq_chunk", "_seq_offset", "_seq_box", "_seq_prev", "_seq_carry")
+        .drop("_seq_chunk", "_seq_offset", "_seq_box", "_seq_prev", "_seq_carry", *by)
     )
 
 
@@ -128,8 +136,8 @@ def next_matching(
     df: DataFrame, marked: str, value: str, order: Sequence[str | Column], by: Sequence[str] = (), out: str = "next"
 ) -> DataFrame:
     """``value`` of the nearest later row with ``marked`` true (null when there is none)."""
-    by = list(by)
-    chunks = sorted_chunks(df, order, by).withColumn("_seq_hit", F.when(F.col(marked), F.struct(F.col(value).alias("v"))))
+    keyed, by = _keyed(df, by)
+    chunks = sorted_chunks(keyed, order, by).withColumn("_seq_hit", F.when(F.col(marked), F.struct(F.col(value).alias("v"))))
     firsts = chunks.groupBy(*by, "_seq_chunk").agg(F.min_by("_seq_hit", F.when(F.col(marked), F.col("_seq_offset"))).alias("_seq_first"))
     later = Window.partitionBy(*by).orderBy("_seq_chunk").rowsBetween(1, Window.unboundedFollowing)
     carried = firsts.select(*by, "_seq_chunk", F.first("_seq_first", ignorenulls=True).over(later).alias("_seq_carry"))
@@ -137,5 +145,5 @@ def next_matching(
     local = F.first("_seq_hit", ignorenulls=True).over(ahead)
     joined = join_stats(chunks.withColumn("_seq_near", local), carried, [*by, "_seq_chunk"])
     return joined.withColumn(out, F.coalesce("_seq_near", "_seq_carry").getField("v")).drop(
-        "_seq_chunk", "_seq_offset", "_seq_hit", "_seq_near", "_seq_carry"
+        "_seq_chunk", "_seq_offset", "_seq_hit", "_seq_near", "_seq_carry", *by
     )

@@ -113,7 +113,7 @@ WITH known AS (SELECT DISTINCT l_partkey AS part, l_suppkey AS supp FROM lineite
 n AS (SELECT (SELECT count(*) FROM part) AS np, (SELECT count(*) FROM supplier) AS ns),
 draws AS (
   SELECT i AS draw, {h("'neg-l:' || i")} % np AS part, {h("'neg-r:' || i")} % ns AS supp
-  FROM (SELECT unnest(range((SELECT (ceil(count(*) / 10) * 4)::BIGINT FROM part))) AS i), n),
+  FROM (SELECT unnest(range((SELECT (ceil(count(*) / 10) * 60)::BIGINT FROM part))) AS i), n),
 valid AS (SELECT d.* FROM draws d ANTI JOIN known k ON d.part = k.part AND d.supp = k.supp),
 r AS (SELECT row_number() OVER (ORDER BY draw) AS rn, part, supp FROM valid)
 SELECT * FROM r WHERE rn <= (SELECT floor(count(*) / 10) FROM part)""")

@@ -143,7 +143,7 @@ def negative_pairs(t):
 WITH known AS (SELECT DISTINCT l_partkey AS part, l_suppkey AS supp FROM lineitem),
 n AS (SELECT (SELECT count(*) FROM part) AS np, (SELECT count(*) FROM supplier) AS ns),
 draws AS (SELECT i AS draw, {h("'link-l:' || i")} % np AS part, {h("'link-r:' || i")} % ns AS supp
-          FROM (SELECT unnest(range((SELECT count(*) * 4 FROM part))) AS i), n),
+          FROM (SELECT unnest(range((SELECT count(*) * 60 FROM part))) AS i), n),
 valid AS (SELECT row_number() OVER (ORDER BY draw) AS rn, part, supp FROM draws d ANTI JOIN known k ON d.part = k.part AND d.supp = k.supp)
 SELECT part, supp, 1 AS target FROM known UNION ALL
 SELECT part, supp, -1 FROM valid WHERE rn <= (SELECT count(*) FROM part)""")
