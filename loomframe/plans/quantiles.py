@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from loomframe.plans.checkpoints import materialize
 from loomframe.plans.ordered import join_stats, running_sums, sorted_chunks
 
 
@@ -21,8 +22,8 @@ def unpivot(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataF
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """(by..., feature, prob, value), nulls skipped; exact, for all columns and probabilities together.
 
-    Without groups, an approximate pass brackets every wanted rank, and the exact pass only shuffles the
-    values inside the brackets and a count of those below. Should a bracket miss its rank, and for
+    Without groups, an approximate pass brackets every wanted rank; then the values below each bracket
+    are counted, and only those inside it are shuffled and ranked. Should a bracket miss its rank, and for
     grouped quantiles, all distinct values are sorted instead.
     """
     if not by:
@@ -53,17 +54,20 @@ def _bracketed(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> li
             wanted.append((len(wanted), i, float(p), low, high, float(p) * (n - 1)))
     if not wanted:
         return []
-    cells = []
+    cells, below = [], []
     for cell, i, _, low, high, _ in wanted:
         x = numbers[i]
-        kept = x if low is None else F.when(x >= low, x)  # null stands for "below the bracket"
-        inside = x.isNotNull() if high is None else x <= high
-        cells.append(F.when(inside, F.struct(F.lit(cell).alias("cell"), kept.alias("value"))))
-    rows = df.select(F.explode(F.filter(F.array(*cells), lambda c: c.isNotNull())).alias("c")).select("c.*")
-    counts = materialize(rows.groupBy("cell", "value").agg(F.count(F.lit(1)).alias("n")))
-    below = {r["cell"]: r["n"] for r in counts.filter("value IS NULL").collect()}
-    ranks = F.create_map(*[F.lit(v) for cell, *_, rank in wanted for v in (cell, rank - below.get(cell, 0))])
-    summed = running_sums(counts.filter("value IS NOT NULL"), ["n"], ["value"], ["cell"])
+        inside = x.isNotNull()
+        inside = inside if low is None else inside & (x >= low)
+        inside = inside if high is None else inside & (x <= high)
+        cells.append(F.when(inside, F.struct(F.lit(cell).alias("cell"), x.alias("value"))))
+        below.append(F.lit(0) if low is None else F.count_if(x < low))
+    under = df.agg(*below).first()
+    hits = df.filter(reduce(or_, [c.isNotNull() for c in cells]))  # a plain filter ahead of the arrays
+    rows = hits.select(F.explode(F.filter(F.array(*cells), lambda c: c.isNotNull())).alias("c")).select("c.*")
+    counts = rows.groupBy("cell", "value").agg(F.count(F.lit(1)).alias("n"))
+    ranks = F.create_map(*[F.lit(v) for cell, *_, rank in wanted for v in (cell, rank - under[cell])])
+    summed = running_sums(counts, ["n"], ["value"], ["cell"])
     at, start = F.element_at(ranks, F.col("cell")), F.col("cum_n") - F.col("n")
     holds = lambda r: F.when((r >= start) & (r < F.col("cum_n")), F.col("value"))
     ends = summed.groupBy("cell").agg(F.max(holds(F.floor(at))).alias("a"), F.max(holds(F.ceil(at))).alias("b"))
