@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
+from loomframe.llm.packing import pack_documents
 from loomframe.llm.token_counts import token_counts
 from loomframe.llm.token_files import token_file_table
 from loomframe.registry import Tables, query
@@ -14,6 +15,11 @@ def op3(t: Tables):
     return token_file_table(t.documents, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
+@query("op5_retrieval_packing")
+def op5(t: Tables):
+    return pack_documents(t.documents, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
 @query("op6_token_counts")
 def op6(t: Tables):
     return token_counts(t.documents, public_tokenizers.path("word_bpe_49k.json"))

@@ -171,6 +171,12 @@ class ChunkEncoder:
         return flat[take], ends[np.searchsorted(starts, offsets)]
 
 
+@lru_cache(maxsize=2)
+def worker_encoder(path: str, fold: bool = False) -> ChunkEncoder:
+    """One encoder per Python worker, so that later tasks profit from the chunks of earlier ones."""
+    return ChunkEncoder(path, fold)
+
+
 def bounded(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = BATCH_BYTES) -> Iterator[pa.Table]:
     """Regroup Arrow batches into tables of about ``limit`` text bytes (one row at least)."""
     held, size = [], 0
