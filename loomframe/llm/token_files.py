@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomframe.llm.ranges import id_bounds, part_of, parts_for
-from loomframe.llm.tokens import ChunkEncoder, bounded
+from loomframe.llm.tokens import bounded, worker_encoder
 from loomframe.plans.checkpoints import scratch_path
 
 BLOCK = 512  # bits per entry of the rank directory
@@ -127,7 +127,7 @@ def _write(path: str, end_id: int, id_type: pa.DataType):
         )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(path)
+        encoder = worker_encoder(path)
         part, number, first, held = None, 0, 0, ([], [], [])
         size = 0
         for table in bounded(batches):
