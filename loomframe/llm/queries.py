@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import public_tokenizers
 
+from loomframe.llm.exact import exact_groups
+from loomframe.llm.mixing import mix_plan
 from loomframe.llm.packing import pack_documents
 from loomframe.llm.token_counts import token_counts
 from loomframe.llm.token_files import token_file_table
@@ -15,6 +17,11 @@ def op3(t: Tables):
     return token_file_table(t.documents, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
+@query("op4_pivotal_mixing")
+def op4(t: Tables):
+    return mix_plan(t.documents).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 @query("op5_retrieval_packing")
 def op5(t: Tables):
     return pack_documents(t.documents, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
@@ -23,3 +30,17 @@ def op5(t: Tables):
 @query("op6_token_counts")
 def op6(t: Tables):
     return token_counts(t.documents, public_tokenizers.path("word_bpe_49k.json"))
+
+
+OP10_SQL = r"""
+WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
+g AS (SELECT *, first_value(doc_id) OVER (PARTITION BY norm ORDER BY n DESC, doc_id NULLS LAST) AS keep_id,
+             row_number() OVER (PARTITION BY norm ORDER BY n DESC, doc_id NULLS LAST) AS place,
+             count(*) OVER (PARTITION BY norm) AS group_size FROM n)
+SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(norm) AS text_sha256 FROM g
+"""
+
+
+@query("op10_block_naming", OP10_SQL)
+def op10(t: Tables):
+    return exact_groups(t.documents)
