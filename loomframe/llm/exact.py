@@ -6,8 +6,8 @@ ones is their name. Names of adjacent pairs are named again in the same way (the
 place of the content), which halves a document's names each round, until one is left. Equal numbers of blocks
 and equal last names mean equal texts, block by block: nothing rests on a digest, so nothing can collide.
 
-A name joins back on the content it stands for, so a block that a third of all rows share is one row on the
-naming side and splits on the other (skew join). Most documents have one block and are done in round 0.
+A name joins back on the content it stands for. Hot blocks, counted beforehand, get theirs by broadcast; hot
+pairs and groups are split by Spark's skew join. Most documents have one block and are done in round 0.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from loomframe.plans.checkpoints import materialize
 
 BLOCK = 4096  # code points per block
+HOT = 1 / 512  # share of all blocks from which one is hot
 SPACES = " \t\n\x0b\x0c\r"  # fixed value: the characters that do not count
 
 
@@ -29,14 +30,39 @@ def normalized(text: Column) -> Column:
 
 
 def _named(occurrences: DataFrame, content: list[str]) -> DataFrame:
-    """Add ``name``, the smallest occurrence number of equal content."""
+    """Add ``name``, the smallest occurrence number of equal content (integers here).
+
+    The names are checkpointed, so that both sides of the join are plain shuffles, which Spark splits at hot keys.
+    """
     names = occurrences.groupBy(*content).agg(F.min("occurrence").alias("name"))
-    names = names.select(*[F.col(c).alias(f"_{c}") for c in content], "name")
+    names = materialize(names.select(*[F.col(c).alias(f"_{c}") for c in content], "name"))
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) if c == "second" else F.col(c) == F.col(f"_{c}") for c in content]
     joined = occurrences.hint("merge").join(names, same)
     return joined.drop(*content, *[f"_{c}" for c in content], "occurrence")
 
 
+def _named_blocks(blocks: DataFrame) -> DataFrame:
+    """The same for blocks of text, which move twice: once to be named, once to fetch their names.
+
+    A block that makes up more than ``HOT`` of all of them does not move to fetch its name: there are fewer than
+    ``1 / HOT`` such blocks, so their names are broadcast (with their whole content; digests only preselect).
+    """
+    tagged = blocks.withColumn("digest", F.xxhash64("content"))
+    counts = materialize(tagged.groupBy("digest").agg(F.count(F.lit(1)).alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = [r["digest"] for r in counts.filter((F.col("n") > total * HOT) & (F.col("n") > 1)).select("digest").collect()]
+
+    def named(rows: DataFrame, broadcast: bool) -> DataFrame:
+        names = rows.groupBy("content").agg(F.min("occurrence").alias("name")).withColumnRenamed("content", "_content")
+        joined = rows.join(F.broadcast(names), F.col("content") == F.col("_content")) if broadcast else rows.hint("merge").join(names, F.col("content") == F.col("_content"))
+        return joined.drop("content", "_content", "occurrence", "digest")
+
+    if not hot:
+        return named(tagged, False)
+    is_hot = F.col("digest").isin(hot)
+    return named(tagged.filter(~is_hot), False).unionByName(named(tagged.filter(is_hot), True))
+
+
 def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """(row, id, n_chars, text_sha256, blocks, name) of every row; (blocks, name) is equal for equal texts only.
 
@@ -54,7 +80,7 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cut = base.select("row", "blocks", "id", "n_chars", "sha", F.posexplode(whole).alias("place", "content"))
     for column in ("id", "n_chars", "sha"):  # kept on the first block of a row only
         cut = cut.withColumn(column, F.when(F.col("place") == 0, F.col(column)))
-    rows = materialize(_named(cut.withColumn("occurrence", F.monotonically_increasing_id()), ["content"]))
+    rows = materialize(_named_blocks(cut.withColumn("occurrence", F.monotonically_increasing_id())))
     done = rows.filter("blocks = 1").drop("place")
     rows = rows.filter("blocks > 1").withColumn("left", F.col("blocks"))
     while not rows.isEmpty():
@@ -82,7 +108,7 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     best = F.min(F.struct(-F.col("n_chars"), F.col("id").isNull(), F.col("id").alias("id"), F.col("row").alias("row"))).alias("best")
     groups = named.groupBy("blocks", "name").agg(F.count(F.lit(1)).alias("group_size"), best)
     groups = groups.select(F.col("blocks").alias("_blocks"), F.col("name").alias("_name"), "group_size", "best")
-    joined = named.hint("merge").join(groups, (F.col("blocks") == F.col("_blocks")) & (F.col("name") == F.col("_name")))
+    joined = named.hint("merge").join(materialize(groups), (F.col("blocks") == F.col("_blocks")) & (F.col("name") == F.col("_name")))
     return joined.select(
         F.col("id").alias(id_col), F.col("best.id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256",
         *([F.col("row").alias(row_col)] if row_col else []),

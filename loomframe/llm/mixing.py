@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from loomframe.plans.checkpoints import materialize
 from loomframe.plans.ordered import join_stats, row_numbers
 
-LEAF_ROWS = 4096
+LEAF_ROWS = 1024
 FAN_IN = 64
 CLASSES_PER_OCTAVE = 4  # size classes per doubling of the words
 WORD = r"[^\x20\x09-\x0D]+"  # fixed value: a word is a run without ASCII white space
