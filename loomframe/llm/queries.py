@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
+from loomframe.llm.chat import canonical_turns, digests, format_turns
 from loomframe.llm.exact import exact_groups
 from loomframe.llm.mixing import mix_plan
 from loomframe.llm.packing import pack_documents
@@ -11,6 +12,31 @@ from loomframe.llm.token_counts import token_counts
 from loomframe.llm.token_files import token_file_table
 from loomframe.registry import Tables, query
 
+#: The conversation that op2 adds to the table: control strings inside its texts.
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+OP2_SQL = r"""
+WITH rows_ AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+coded AS (
+  SELECT *, length(text) + length(regexp_replace(text, '[^\\<\[]', '', 'g')) + length(role) + length(regexp_replace(role, '[^\\<\[\n]', '', 'g')) + 24 AS size
+  FROM rows_)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(size)::BIGINT AS formatted_chars
+FROM coded GROUP BY conv_id
+"""
+
+
+@query("op2_chat_format", OP2_SQL)
+def op2(t: Tables):
+    rows = t.conversations.select("conv_id", "turn", "role", "text")
+    added = t.spark.createDataFrame([(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)], rows.schema)
+    turns = canonical_turns(rows.unionByName(added), "conv_id")
+    return digests(format_turns(turns, "conv_id"), "conv_id")
+
 
 @query("op3_token_files")
 def op3(t: Tables):
