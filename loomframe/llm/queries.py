@@ -8,6 +8,7 @@ from loomframe.llm.chat import canonical_turns, digests, format_turns
 from loomframe.llm.exact import exact_groups
 from loomframe.llm.mixing import mix_plan
 from loomframe.llm.packing import pack_documents
+from loomframe.llm.simhash import near_groups
 from loomframe.llm.token_counts import token_counts
 from loomframe.llm.token_files import token_file_table
 from loomframe.registry import Tables, query
@@ -58,6 +59,11 @@ def op6(t: Tables):
     return token_counts(t.documents, public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query("op9_simhash_groups")
+def op9(t: Tables):
+    return near_groups(t.documents)
+
+
 OP10_SQL = r"""
 WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
 g AS (SELECT *, first_value(doc_id) OVER (PARTITION BY norm ORDER BY n DESC, doc_id NULLS LAST) AS keep_id,
