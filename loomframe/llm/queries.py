@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from loomframe.llm.chat import canonical_turns, digests, format_turns
+from loomframe.llm.chunk_prints import successor_likeness
 from loomframe.llm.exact import exact_groups
 from loomframe.llm.mixing import mix_plan
 from loomframe.llm.packing import pack_documents
@@ -59,6 +60,11 @@ def op6(t: Tables):
     return token_counts(t.documents, public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query("op8_chunk_fingerprints")
+def op8(t: Tables):
+    return successor_likeness(t.documents)
+
+
 @query("op9_simhash_groups")
 def op9(t: Tables):
     return near_groups(t.documents)
