@@ -10,6 +10,7 @@ from loomframe.llm.exact import exact_groups
 from loomframe.llm.mixing import mix_plan
 from loomframe.llm.packing import pack_documents
 from loomframe.llm.simhash import near_groups
+from loomframe.llm.suffix_tree import language_scores
 from loomframe.llm.token_counts import token_counts
 from loomframe.llm.token_files import token_file_table
 from loomframe.registry import Tables, query
@@ -60,6 +61,11 @@ def op6(t: Tables):
     return token_counts(t.documents, public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query("op7_suffix_tree_scores")
+def op7(t: Tables):
+    return language_scores(t.documents)
+
+
 @query("op8_chunk_fingerprints")
 def op8(t: Tables):
     return successor_likeness(t.documents)
