@@ -13,8 +13,15 @@ from loomframe.llm.simhash import near_groups
 from loomframe.llm.suffix_tree import language_scores
 from loomframe.llm.token_counts import token_counts
 from loomframe.llm.token_files import token_file_table
+from loomframe.llm.toxicity import toxicity_scores
 from loomframe.registry import Tables, query
 
+
+@query("op1_weak_toxicity")
+def op1(t: Tables):
+    return toxicity_scores(t.documents, t.labels)
+
+
 #: The conversation that op2 adds to the table: control strings inside its texts.
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
