@@ -35,6 +35,7 @@ LABELLED_ROWS = 30_000  # labelled rows that mining reads at most
 FIT_ROWS = 60_000  # rows that the classifier is fitted on at most
 VOTERS, FEATURES, CANDIDATES = 256, 4096, 100_000  # bounds of the voters, the classifier's features, and what is mined from
 LEAST_DOCS = 4  # toxic rows that a mined feature has to be in
+PRECISION = 0.85  # toxic share that the labelled rows with a mined feature have to exceed
 ROUNDS = 8
 REDUNDANT = 0.6  # correlation from which two voters are taken to tell the same
 BELIEF = 100  # documents that a first guess of a voter's rates counts as
@@ -127,7 +128,9 @@ def mined_features(rows: DataFrame, labels: DataFrame) -> tuple[list[str], np.nd
     given = list(INSULTS)
     if not toxic or not clean:
         return given, np.full(len(given), 0.05), np.full(len(given), 0.0005), 0.1
-    texts = rows.join(used, F.col("id") == F.col("_id")).groupBy(F.xxhash64("text").alias("_h")).agg(F.first("text").alias("text"), F.max("label").alias("label")).select("text", "label")
+    # The sample is bounded, so its ids are broadcast and only its texts move; equal texts count once.
+    texts = rows.join(F.broadcast(used), F.col("id") == F.col("_id")).groupBy(F.xxhash64("text").alias("_h"))
+    texts = materialize(texts.agg(F.first("text").alias("text"), F.max("label").alias("label")).select("text", "label"))
     found = texts.filter("label = 1").mapInArrow(lambda b: _mine(_only_text(b)), "feature string, n long")
     found = found.groupBy("feature").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_DOCS)
     some = {r["feature"]: r["n"] for r in found.orderBy(F.desc("n"), "feature").limit(CANDIDATES).collect()}
@@ -143,7 +146,7 @@ def mined_features(rows: DataFrame, labels: DataFrame) -> tuple[list[str], np.nd
     rate = np.clip(own / n, 1e-9, 1 - 1e-9)
     evidence = n * (rate * np.log(rate / share) + (1 - rate) * np.log((1 - rate) / (1 - share)))
     # As many features as were looked at would make a fluke of this size likely once: ask for more.
-    strength = np.where((own >= LEAST_DOCS) & (rate > max(0.5, 2 * share)) & (evidence > np.log(max(len(some), 1)) + 1), evidence, 0)
+    strength = np.where((own >= LEAST_DOCS) & (rate > PRECISION) & (evidence > np.log(max(len(some), 1)) + 1), evidence, 0)
     order = [names[i] for i in np.argsort(-strength, kind="stable") if strength[i] > 0]
     voters = list(dict.fromkeys([*given, *order[: VOTERS - len(given)]]))
     chosen = list(dict.fromkeys([*voters, *order]))[:FEATURES]
