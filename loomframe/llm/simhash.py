@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomframe.llm.components import components
+from loomframe.llm.rows import without_rows
 from loomframe.llm.tokens import bounded, text_buffer
 from loomframe.plans.checkpoints import materialize
 
@@ -266,5 +267,6 @@ def drop_near(docs: DataFrame, *, limit: int = 3, shingle: int = 3, id_col: str
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
     groups = near_groups(numbered.select(F.col(row), F.col(text_col)), limit=limit, shingle=shingle, id_col=row, text_col=text_col)
     named = groups.select(F.col(row).alias("_r"), "component_id").join(numbered.select(F.col(row), F.col(id_col).alias("_id")), F.col("_r") == F.col(row))
-    kept = named.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull(), F.col("_id").alias("id"), F.col("_r").alias("r")))["r"].alias(row))
-    return numbered.join(kept.select(row), row, "left_semi").drop(row)
+    best = named.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull(), F.col("_id").alias("id"), F.col("_r").alias("r")))["r"].alias("best"))
+    dropped = named.join(materialize(best), "component_id").filter("_r <> best").select(F.col("_r").alias(row))
+    return without_rows(numbered, row, materialize(dropped))

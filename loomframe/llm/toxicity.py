@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
+from loomframe.llm.rows import without_rows
 from loomframe.llm.suffix_tree import words_of
 from loomframe.llm.tokens import bounded
 from loomframe.plans.checkpoints import materialize
@@ -33,7 +34,8 @@ INSULTS = ("clown", "disgusting", "dumb", "fool", "idiot", "imbecile", "loser",
 PREFIXES = (4, 5, 6, 7)  # code points of a pattern's word beginning
 LABELLED_ROWS = 30_000  # labelled rows that mining reads at most
 FIT_ROWS = 60_000  # rows that the classifier is fitted on at most
-VOTERS, FEATURES, CANDIDATES = 256, 4096, 100_000  # bounds of the voters, the classifier's features, and what is mined from
+VOTERS, FEATURES, CANDIDATES = 256, 4096, 50_000  # bounds of the voters, the classifier's features, and what is mined from
+MINED_BYTES = 1 << 20  # text bytes that mining handles at once
 LEAST_DOCS = 4  # toxic rows that a mined feature has to be in
 PRECISION = 0.85  # toxic share that the labelled rows with a mined feature have to exceed
 ROUNDS = 8
@@ -78,12 +80,12 @@ def _hits(known: dict[str, int], codes: np.ndarray, distinct: pa.Array, firsts:
 def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(feature, n) over rows, each feature once per row."""
     seen: Counter[str] = Counter()
-    for table in bounded(batches):
+    for table in bounded(batches, limit=MINED_BYTES):
         codes, distinct, firsts = words_of(table["text"])
         own = [features_of(w) for w in distinct.to_pylist()]
         for a, b in zip(firsts, firsts[1:]):
             seen.update({f for c in np.unique(codes[a:b]).tolist() for f in own[c]})
-        if len(seen) > 500_000:
+        if len(seen) > 100_000:
             yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array(list(seen.values()), pa.int64())], ["feature", "n"])
             seen.clear()
     yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["feature", "n"])
@@ -94,7 +96,7 @@ def _count(known):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(known.value), np.int64)
-        for table in bounded(batches):
+        for table in bounded(batches, limit=MINED_BYTES):
             total += np.bincount(_hits(known.value, *words_of(table["text"]))[1], minlength=len(total))
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["feature", "n"])
@@ -274,4 +276,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     row = "_toxic_row"
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
     bad = toxicity_scores(numbered, labels, row_col=row, **options).filter("predicted = 1").select(row)
-    return numbered.join(bad, row, "left_anti").drop(row)
+    return without_rows(numbered, row, materialize(bad))
