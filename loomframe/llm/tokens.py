@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 BATCH_BYTES = 4 << 20  # text bytes handled at once; a longer text is a batch of its own
-CACHE_CHUNKS = 600_000  # chunks a worker remembers (short ones, about 100 bytes each)
+CACHE_CHUNKS = 450_000  # chunks a worker remembers (short ones, about 100 bytes each)
 CACHE_CHUNK_BYTES = 48  # longer chunks are encoded anew in each batch
 
 #: UTF-8 endings of the white-space characters beyond ASCII.
