@@ -19,6 +19,11 @@ def padded_entries(c: Column, width: int, fill: Any = "") -> list[Column]:
     return [F.coalesce(F.get(c, F.lit(i)), F.lit(fill)) for i in range(width)]
 
 
+def padded_list(c: Column, width: Column, fill: Any = "") -> Column:
+    """List entries filled up to ``width`` with ``fill``; no entry is dropped where ``width`` is the longest list."""
+    return F.transform(F.sequence(F.lit(0), width - 1), lambda i: F.coalesce(F.get(c, i), F.lit(fill)))
+
+
 def site_root(url: Column | str) -> Column:
     return F.regexp_extract(url, r"^([a-z]+://[^/?#]+)", 1)
 

@@ -11,7 +11,7 @@ WORD = r"([\p{L}\p{N}_]+)"
 NOT_WORD_OR_SPACE = r"[^\p{L}\p{N}_\s]"
 LATIN_WORD = r"([a-zA-Z]+)"
 MASK_PREFIX = "^xxxx"
-SPACE_AND_DIGITS = " [0-9]+"
+SPACE_AND_DIGITS = r" \p{Nd}+"
 
 
 def words(text: Column | str) -> Column:

@@ -86,6 +86,12 @@ def group_centroids(df: DataFrame, group: str, dims: Sequence[str]) -> DataFrame
     return df.groupBy(group).agg(*[F.avg(d).alias(d) for d in dims], F.count(F.lit(1)).alias("n"))
 
 
+def vector_centroids(df: DataFrame, group: str, vector: str) -> DataFrame:
+    """(group, dim, mean, n): mean of every vector entry (0-based) per group, for vectors of any length."""
+    entries = df.select(group, F.posexplode(F.col(vector)).alias("dim", "value"))
+    return entries.groupBy(group, "dim").agg(F.avg(F.col("value").cast("double")).alias("mean"), F.count(F.lit(1)).alias("n"))
+
+
 def rates_of_total(df: DataFrame, group: str, hit: Column) -> DataFrame:
     """(group, attempts, writes, attempt_rate, write_rate): shares of all attempts and of all writes."""
     total = df.agg(F.count(F.lit(1))).scalar()

@@ -60,7 +60,8 @@ def split_on_substring(df: DataFrame, column: str, needle: str) -> tuple[DataFra
 
 
 def exclude_values(df: DataFrame, column: str, values: Sequence[Any]) -> DataFrame:
-    return df.filter(~F.col(column).isin(*values)) if values else df
+    """Rows without the listed values; null rows stay."""
+    return df.filter(F.col(column).isNull() | ~F.col(column).isin(*values)) if values else df
 
 
 def frequent_terms(df: DataFrame, term: str, minimum: int, stop_terms: Sequence[str] = ()) -> DataFrame:

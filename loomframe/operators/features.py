@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from loomframe.operators.window import top_label_share
 from loomframe.plans.checkpoints import materialize
-from loomframe.plans.parallel import spread
 from loomframe.plans.quantiles import exact_quantiles, unpivot
 
 SCALERS = ("standard", "minmax", "robust")
@@ -51,11 +50,12 @@ def fit_equal_width(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def equal_width_bin(c: Column, low: float, high: float, bins: int) -> Column:
-    """0-based bin of n equal right-closed bins over [low, high]; the low edge is inside bin 0."""
+    """0-based bin of n equal right-closed bins over [low, high]; the low edge is inside bin 0, null has no bin."""
     width = (high - low) / bins
     if width == 0:
         return F.when(c.isNotNull(), F.lit((bins - 1) // 2))
-    return F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.ceil((c - low) / width) - 1)).cast("int")
+    inside = F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.ceil((c - low) / width) - 1)).cast("int")
+    return F.when(c.isNotNull(), inside)
 
 
 def fit_whiskers(df: DataFrame, columns: Sequence[str], low: float = 0.26, high: float = 0.76, reach: float = 1.5) -> DataFrame:
@@ -187,7 +187,7 @@ def fit_yeo_johnson(df: DataFrame, columns: Sequence[str], tolerance: float = 5e
     Each round is one pass for all columns over a grid around the best exponents so far, then the grid
     narrows tenfold.
     """
-    df = materialize(spread(df.select(*columns)))  # the passes read the narrow columns, not their source
+    df = materialize(df.select(*columns))  # the passes read the narrow columns, not their source
     step, span, centers = 0.5, 6, {c: 1.0 for c in columns}
     while True:
         grid = {c: [round(centers[c] + i * step, 10) for i in range(-span, span + 1)] for c in columns}
@@ -248,7 +248,3 @@ def polynomial(columns: Sequence[str], degree: int = 2) -> dict[str, Column]:
                 term = term * F.col(c)
             out["*".join(combo)] = term
     return out
-
-
-def long_values(df: DataFrame, columns: Sequence[str], key: Sequence[str]) -> DataFrame:
-    return unpivot(df, columns, key)

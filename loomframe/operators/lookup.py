@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -42,6 +43,17 @@ def assign_centers(df: DataFrame, dims: Sequence[str], centers: Sequence[Sequenc
     return df.withColumn(out, nearest_index([F.col(d) for d in dims], centers))
 
 
+def nearest_vector(vector: Column, centers: Sequence[tuple[Any, Sequence[float]]]) -> Column:
+    """Label of the nearest center (least squared distance, ties by label); the centers are one constant array."""
+    table = F.array(*[F.struct(F.lit(label).alias("label"), F.array(*[F.lit(float(x)) for x in center]).alias("center")) for label, center in centers])
+
+    def rated(entry: Column) -> Column:
+        squares = F.zip_with(vector, entry["center"], lambda x, c: (x - c) * (x - c))
+        return F.struct(F.aggregate(squares, F.lit(0.0), lambda a, x: a + x).alias("distance"), entry["label"].alias("label"))
+
+    return F.array_min(F.transform(table, rated))["label"]
+
+
 def rejected_draws(
     positives: DataFrame, left: str, right: str, n_left: int, n_right: int, wanted: int, seed: str
 ) -> DataFrame:

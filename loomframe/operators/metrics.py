@@ -15,10 +15,13 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def confusion_matrix(df: DataFrame, truth: str, pred: str) -> DataFrame:
-    """(truth, pred, n, share) on the full grid of seen classes; shares are of all rows."""
+    """(truth, pred, n, share) on the full grid of seen classes, of any one type; shares are of all rows.
+
+    Null labels are no class: their rows count in the total only.
+    """
     seen = df.groupBy(F.col(truth).alias("truth"), F.col(pred).alias("pred")).agg(F.count(F.lit(1)).alias("n"))
-    labels = sorted({v for r in seen.collect() for v in (r["truth"], r["pred"])})  # classes squared, a report-sized table
-    grid = df.sparkSession.createDataFrame([(a, b) for a in labels for b in labels], "truth int, pred int")
+    labels = seen.select(F.col("truth").alias("v")).union(seen.select("pred")).agg(F.collect_set("v").alias("v"))  # one entry per class
+    grid = labels.select("v", F.explode("v").alias("truth")).select("truth", F.explode("v").alias("pred"))
     total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
     filled = grid.join(seen, ["truth", "pred"], "left").select("truth", "pred", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
     return filled.withColumn("share", F.col("n") / total)

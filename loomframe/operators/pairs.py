@@ -35,6 +35,18 @@ def class_pairs(df: DataFrame, label: str, key: str, per_class: int, seed: str)
     )
 
 
+def paired_members(df: DataFrame, label: str, key: str, seed: str) -> DataFrame:
+    """Members of each class paired off in seeded order: (label, a_id, b_id), every member in one pair at most.
+
+    An odd last member of a class has no partner. The output grows with the rows, whatever the class sizes.
+    """
+    ranked = hashed_row_numbers(df.select(label, key), seed, [key], [label])
+    sides = ranked.groupBy(label, F.floor((F.col("rn") + 1) / 2).alias("_pair")).agg(
+        F.max(F.when(F.col("rn") % 2 == 1, F.col(key))).alias("a_id"), F.max(F.when(F.col("rn") % 2 == 0, F.col(key))).alias("b_id")
+    )
+    return sides.filter("b_id IS NOT NULL").select(label, "a_id", "b_id")
+
+
 def random_class_pairs(df: DataFrame, label: str, key: str, per_class: int, seed: str) -> DataFrame:
     """``per_class`` draws of two different members per class, repeats allowed: (label, draw, a_id, b_id).
 
@@ -76,6 +88,8 @@ def negative_pairs(positives: DataFrame, label: str, ratio: float, seed: str) ->
     wanted = even_share(n, ratio)
     if n < wanted:
         raise ValueError("a ratio above one would reuse rows")
+    if wanted and ranked.select(label).distinct().limit(2).count() < 2:
+        raise ValueError("negative pairs need positives of two classes at least")
     # The list is laid out twice so that the search for another class can run past its end.
     twice = ranked.unionByName(ranked.withColumn("place", F.col("place") + n))
     starts = _class_changes(twice, label)
@@ -133,10 +147,12 @@ def evaluation_batch(
     else:
         n_positive = math.floor(round(positive_share * size, 9))
         n_negative = size - n_positive
+    if n_positive < 0:
+        raise ValueError("the unique pairs and negatives alone exceed the batch")
     key = [label, "a_id", "b_id"]
     ranked = hashed_row_numbers(positives.select(*key), seed, key, out="place")
     n = positives.count()
-    draws = positives.sparkSession.range(max(n_positive, 0)).select((hash_long(f"{seed}-p", "id") % n + 1).alias("place"))
+    draws = positives.sparkSession.range(n_positive).select((hash_long(f"{seed}-p", "id") % n + 1).alias("place"))
     drawn = join_stats(draws, ranked, ["place"]).select(
         F.lit("positive").alias("kind"), "a_id", "b_id", F.lit(1).alias("target")
     )

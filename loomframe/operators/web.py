@@ -7,24 +7,35 @@ from pyspark.sql import Column, DataFrame, functions as F
 from loomframe.functions.scalar import file_extension, file_stem, site_root
 
 # How an anchor and its attributes look.
-ANCHOR = r"(?is)(<a\s[^>]*>.*?</a>)"
+ANCHOR = r"(?is)(<a\s[^>]*>(?:(?!<a\s|</a>).)*)"
 OPEN_TAG = r"(?is)^(<a\s[^>]*>)"
 
 
 def attribute(tag: Column, name: str) -> Column:
-    """Value of a double-quoted attribute in an opening tag, empty when absent."""
-    return F.regexp_extract(tag, rf'(?i)\s{name}\s*=\s*"([^"]*)"', 1)
+    """Value of an attribute in an opening tag, quoted either way or bare; empty when absent."""
+    forms = ('"([^"]*)"', "'([^']*)'", r"""([^\s"'>]+)""")
+    values = [F.regexp_extract(tag, rf"(?i)\s{name}\s*=\s*{form}", 1) for form in forms]
+    return F.coalesce(*[F.when(v != "", v) for v in values], F.lit(""))
+
+
+def resolved(target: Column, url: Column | str) -> Column:
+    """A link made absolute: as it is, from the site's root, or from the page's folder."""
+    page = F.regexp_replace(F.col(url) if isinstance(url, str) else url, r"[?#].*$", "")
+    folder = F.regexp_extract(page, r"^([a-z]+://[^/]+(?:/.*)?/)", 1)
+    folder = F.when(folder != "", folder).otherwise(F.concat(site_root(page), F.lit("/")))
+    near = F.when(target.startswith("/"), F.concat(site_root(page), target)).otherwise(F.concat(folder, target))
+    return F.when(target.rlike("^[a-z]+://"), target).otherwise(near)
 
 
 def anchors(df: DataFrame, key: str, html: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(key, keep..., pos, tag, body) of every anchor in page order."""
+    """(key, keep..., pos, tag, body) of every anchor in page order; a body ends at ``</a>`` or the next anchor."""
     found = df.select(key, *keep, F.posexplode(F.regexp_extract_all(F.col(html), F.lit(ANCHOR), F.lit(1))).alias("pos", "a"))
     return found.select(
         key,
         *keep,
         "pos",
         F.regexp_extract("a", OPEN_TAG, 1).alias("tag"),
-        F.regexp_replace(F.regexp_replace("a", OPEN_TAG, ""), r"(?i)</a>$", "").alias("body"),
+        F.regexp_replace("a", OPEN_TAG, "").alias("body"),
     )
 
 
@@ -36,8 +47,7 @@ def page_links(df: DataFrame, key: str, url: str, html: str, pattern: str, sourc
     found = anchors(df, key, html, (url,)).withColumn("href", attribute(F.col("tag"), "href"))
     kept = found.filter(F.col("href").rlike(pattern) & (F.col("href") != "#"))
     target = attribute(F.col("tag"), source)
-    absolute = F.when(target.rlike("^[a-z]+://"), target).otherwise(F.concat(site_root(url), target))
-    return kept.select(key, "pos", absolute.alias("link")).filter(F.lower(file_extension("link")) != "gif")
+    return kept.select(key, "pos", resolved(target, url).alias("link")).filter(F.lower(file_extension("link")) != "gif")
 
 
 def distinct_by_stem(links: DataFrame, key: str) -> DataFrame:

@@ -1,22 +1,18 @@
-"""Join a long table with a dictionary whose size is checked first."""
+"""Join a long table with a dictionary."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from loomframe.plans.ordered import join_stats
 
-BROADCAST_ROWS = 500_000  # narrow rows: about 50 MB per executor
 
+def lookup_join(df: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join with a table that holds each key once.
 
-def lookup_join(df: DataFrame, table: DataFrame, keys: Sequence[str], limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Inner join with a table that holds each key once and is cheap to count (checkpointed or stored).
-
-    Up to ``limit`` rows it is broadcast. Beyond, a merge join keeps the planner from broadcasting the
-    long side on a size guess, and lets AQE split hot keys.
+    Spark broadcasts the table if it measures below ``spark.sql.autoBroadcastJoinThreshold``; beyond, both
+    sides are shuffled and hot keys are split at run time.
     """
-    if table.limit(limit + 1).count() <= limit:
-        return join_stats(df, F.broadcast(table), keys)
-    return join_stats(df.hint("merge"), table, keys)
+    return join_stats(df, table, keys)

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from loomframe.functions.text import words
 from loomframe.operators import aggregate as agg
-from loomframe.plans.parallel import spread
 from loomframe.queries.frames import cust_nulls, hourly, tokens
 from loomframe.queries.sql import CUST_NULLS, HOURLY, TOKENS, WORDS
 from loomframe.registry import query
@@ -41,7 +40,7 @@ def word_frequency(t):
 @query("a4_corpus_stats", f"""
 SELECT source, count(*)::BIGINT AS documents, sum(len({WORDS}))::BIGINT AS words FROM documents GROUP BY source""")
 def corpus_stats(t):
-    return spread(t.documents).groupBy("source").agg(
+    return t.documents.groupBy("source").agg(
         F.count(F.lit(1)).alias("documents"), F.sum(F.size(words("text"))).alias("words")
     )
 
@@ -116,13 +115,10 @@ def population_stats(t):
 
 
 @query("a11_group_centroids", """
-SELECT label, round(avg(embedding[1]::DOUBLE), 6) AS x, round(avg(embedding[2]::DOUBLE), 6) AS y, count(*)::BIGINT AS n
-FROM embeddings GROUP BY label""")
+WITH v AS (SELECT label, unnest(range(len(embedding)))::INT AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings)
+SELECT label, dim, round(avg(x), 6) AS mean, count(*)::BIGINT AS n FROM v GROUP BY label, dim""")
 def group_centroids(t):
-    df = t.embeddings.select(
-        "label", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y")
-    )
-    return agg.group_centroids(df, "label", ["x", "y"]).withColumns({c: F.round(c, 6) for c in ("x", "y")})
+    return agg.vector_centroids(t.embeddings, "label", "embedding").withColumn("mean", F.round("mean", 6))
 
 
 @query("a12_xor_words", """

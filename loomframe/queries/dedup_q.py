@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from loomframe.functions.vectors import doubles
 from loomframe.operators import dedup, pairs, similarity as sim
 from loomframe.plans.checkpoints import materialize
-from loomframe.plans.parallel import spread
 from loomframe.queries.sql import WORDS, h
 from loomframe.registry import query
 
@@ -38,7 +37,7 @@ src AS (SELECT b.doc_id AS id, min(a.doc_id) AS source FROM uq a JOIN uq b ON a.
 
 
 def document_bits(t):
-    return dedup.word_histogram(spread(t.documents), "doc_id", "text", 64).select(
+    return dedup.word_histogram(t.documents, "doc_id", "text", 64).select(
         "doc_id", dedup.median_bits("vector", 64).alias("key")
     )
 
@@ -139,8 +138,8 @@ def tag_query(t):
 
 _PAIRS = """
 m AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY md5('pos:' || vec_id), vec_id) AS pos FROM embeddings),
-pp AS (SELECT a.vec_id AS a_id, b.vec_id AS b_id, 1 AS target FROM m a JOIN m b ON a.label = b.label AND a.pos < b.pos
-       WHERE a.pos <= 8 AND b.pos <= 8),
+pp AS (SELECT a.vec_id AS a_id, b.vec_id AS b_id, 1 AS target FROM m a JOIN m b ON a.label = b.label AND b.pos = a.pos + 1
+       WHERE a.pos % 2 = 1),
 pv AS (SELECT a_id, b_id, target, x.embedding::DOUBLE[] AS va, y.embedding::DOUBLE[] AS vb FROM pp
        JOIN embeddings x ON x.vec_id = a_id JOIN embeddings y ON y.vec_id = b_id),
 ds AS (SELECT a_id, b_id, target, sqrt(greatest(pow(list_distance(va, vb), 2), 1e-7)) AS euclid, list_cosine_similarity(va, vb) AS cosine FROM pv),
@@ -149,7 +148,7 @@ sc AS (SELECT *, (1 / (1 + exp(-(1.5 - euclid)))) * (exp(0.2) / (exp(0.2) + exp(
 
 
 def _distances(t):
-    chosen = pairs.class_pairs(t.embeddings, "label", "vec_id", 8, "pos").select("a_id", "b_id", F.lit(1).alias("target"))
+    chosen = pairs.paired_members(t.embeddings, "label", "vec_id", "pos").select("a_id", "b_id", F.lit(1).alias("target"))
     df = sim.pair_vectors(chosen, t.embeddings, "vec_id", "embedding")
     df = df.withColumns({"euclid": sim.euclidean(F.col("va"), F.col("vb")), "cosine": sim.cosine(F.col("va"), F.col("vb"))})
     mix = sim.weighted_mix(sim.sigmoid(F.lit(1.5) - F.col("euclid")), sim.sigmoid(F.col("cosine")), (0.2, 0.7))

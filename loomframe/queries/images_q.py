@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from loomframe.functions.hashing import hash_hex
 from loomframe.operators import images
 from loomframe.plans.checkpoints import scratch_path
-from loomframe.plans.parallel import spread
 from loomframe.registry import query
 from loomframe.sources import readers
 
@@ -29,7 +28,7 @@ def _neighbours(table: str, side: int, fn: str) -> str:
 
 
 def _drawn(t):
-    return images.vector_images(spread(t.embeddings), "vec_id", "embedding", 8)
+    return images.vector_images(t.embeddings, "vec_id", "embedding", 8)
 
 
 @query("a19_files_per_class", """

@@ -95,17 +95,16 @@ def band_names(t):
 
 
 @query("j9_nearest_center", """
-WITH c AS (SELECT label, avg(embedding[1]::DOUBLE) AS cx, avg(embedding[2]::DOUBLE) AS cy FROM embeddings GROUP BY label)
-SELECT vec_id, arg_min(c.label, pow(embedding[1]::DOUBLE - cx, 2) + pow(embedding[2]::DOUBLE - cy, 2)) AS center
-FROM embeddings CROSS JOIN c GROUP BY vec_id""")
+WITH v AS (SELECT vec_id, label, unnest(range(len(embedding))) AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings),
+c AS (SELECT label, dim, avg(x) AS m FROM v GROUP BY label, dim),
+d AS (SELECT vec_id, c.label AS center, sum((x - m) * (x - m)) AS dist FROM v JOIN c USING (dim) GROUP BY vec_id, c.label)
+SELECT vec_id, arg_min(center, dist) AS center FROM d GROUP BY vec_id""")
 def nearest_center(t):
-    points = t.embeddings.select(
-        "vec_id", "label", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y")
-    )
-    centers = agg.group_centroids(points, "label", ["x", "y"]).orderBy("label").collect()
-    labels = F.array(*[F.lit(r["label"]) for r in centers])
-    placed = lookup.assign_centers(points, ["x", "y"], [(r["x"], r["y"]) for r in centers], "slot")
-    return placed.select("vec_id", F.element_at(labels, F.col("slot") + 1).alias("center"))
+    rows = agg.vector_centroids(t.embeddings, "label", "embedding").orderBy("label", "dim").collect()  # classes x dimensions
+    centers: dict = {}
+    for r in rows:
+        centers.setdefault(r["label"], []).append(r["mean"])
+    return t.embeddings.select("vec_id", lookup.nearest_vector(F.col("embedding").cast("array<double>"), list(centers.items())).alias("center"))
 
 
 @query("j10_rejected_draws", f"""

@@ -95,17 +95,23 @@ u0 AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS rn FROM embeddings
 u AS (SELECT 99 + ceil(rn / 2)::BIGINT AS label, max(CASE WHEN rn % 2 = 1 THEN vec_id END) AS a_id,
              max(CASE WHEN rn % 2 = 0 THEN vec_id END) AS b_id FROM u0 GROUP BY ceil(rn / 2) HAVING count(*) = 2)"""
 
+_PAIRED = _POSITIVES.replace("a.pos < b.pos\n      WHERE a.pos <= 8 AND b.pos <= 8", "b.pos = a.pos + 1\n      WHERE a.pos % 2 = 1")
 
-def _positives(t):
-    """(class pairs, unique pairs): label 9 plays the folder of one-off pairs."""
-    classes = pairs.class_pairs(t.embeddings.filter("label <> 9"), "label", "vec_id", 8, "pos")
+
+def _positives(t, quota: int | None = None):
+    """(class pairs, unique pairs): label 9 plays the folder of one-off pairs.
+
+    With a quota, all pairs among so many members of each class; without, every member in one pair.
+    """
+    members = t.embeddings.filter("label <> 9")
+    classes = pairs.class_pairs(members, "label", "vec_id", quota, "pos") if quota else pairs.paired_members(members, "label", "vec_id", "pos")
     uniques = pairs.unique_pairs(t.embeddings.filter("label = 9"), "vec_id", 100)
     return classes.select(F.col("label").cast("bigint").alias("label"), "a_id", "b_id"), uniques
 
 
 @query("ds7_positive_pairs", f"WITH {_POSITIVES} SELECT * FROM p UNION ALL SELECT * FROM u")
 def positive_pairs(t):
-    classes, uniques = _positives(t)
+    classes, uniques = _positives(t, quota=8)
     return classes.unionByName(uniques)
 
 
@@ -132,7 +138,7 @@ neg AS (SELECT nx.place AS draw, CASE WHEN {h(f"'{seed}-a:' || nx.place")} % 2 =
 
 
 @query("ds9_negative_pairs", f"""
-WITH {_POSITIVES}, allp AS (SELECT * FROM p UNION ALL SELECT * FROM u), {_negatives_sql("allp", "neg")}
+WITH {_PAIRED}, allp AS (SELECT * FROM p UNION ALL SELECT * FROM u), {_negatives_sql("allp", "neg")}
 SELECT * FROM neg WHERE draw <= (SELECT floor(count(*) * 0.75 / 2) * 2 FROM allp)""")
 def negative_pairs(t):
     classes, uniques = _positives(t)
@@ -186,7 +192,7 @@ def permuted_copies(t):
 
 
 @query("ds12_evaluation_batch", f"""
-WITH {_POSITIVES},
+WITH {_PAIRED},
 r AS (SELECT *, row_number() OVER (ORDER BY md5('tb:' || label || ':' || a_id || ':' || b_id), label, a_id, b_id) AS place FROM p),
 s AS (SELECT (SELECT count(*) FROM p) AS n, (SELECT count(*) FROM u) AS nu, (SELECT count(*) FROM p) AS size),
 z AS (SELECT *, floor(round(0.3::DOUBLE * size, 9))::BIGINT AS nn FROM s),

@@ -8,7 +8,6 @@ from loomframe.functions import scalar as sc, text as tx
 from loomframe.functions.hashing import hash_hex
 from loomframe.functions.vectors import doubles
 from loomframe.operators import state
-from loomframe.plans.parallel import spread
 from loomframe.queries.sql import WORDS, h
 from loomframe.registry import query
 
@@ -19,13 +18,13 @@ def lower_trim(t):
 
 
 CLEAN_SQL = r"""regexp_replace(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', '', 'g'), '^xxxx', ''),
-  ' [0-9]+', ' ', 'g')"""
+  ' \p{Nd}+', ' ', 'g')"""
 
 
 @query("x2_regex_clean", f"""
 SELECT doc_id, md5(regexp_replace({CLEAN_SQL}, '\\s\\s+', ' ', 'g')) AS body FROM documents""")
 def regex_clean(t):
-    return spread(t.documents).select("doc_id", F.md5(tx.squeeze(tx.strip_noise(F.col("text")))).alias("body"))
+    return t.documents.select("doc_id", F.md5(tx.squeeze(tx.strip_noise(F.col("text")))).alias("body"))
 
 
 @query("x3_split_columns", """
@@ -36,14 +35,15 @@ def split_columns(t):
 
 
 @query("x4_padded_entries", """
-SELECT p_partkey, string_split(p_name, ' ')[1] AS w1, coalesce(string_split(p_name, ' ')[2], '') AS w2,
-       coalesce(string_split(p_name, ' ')[3], '') AS w3, (SELECT max(len(string_split(p_name, ' '))) FROM part)::INT AS longest
-FROM part""")
+WITH w AS (SELECT p_partkey, string_split(p_name, ' ') AS ws FROM part), m AS (SELECT max(len(ws))::INT AS longest FROM w),
+p AS (SELECT p_partkey, ws, longest, unnest(range(longest)) AS pos FROM w, m)
+SELECT p_partkey, pos::INT AS pos, coalesce(ws[pos + 1], '') AS word, longest FROM p""")
 def padded_entries(t):
     words = F.split("p_name", " ")
     longest = t.part.agg(F.max(F.size(words)).alias("m")).scalar()
-    cells = [c.alias(f"w{i + 1}") for i, c in enumerate(sc.padded_entries(words, 3))]
-    return t.part.select("p_partkey", *cells, longest.alias("longest"))
+    wide = t.part.select("p_partkey", words.alias("ws"), longest.alias("longest"))
+    wide = wide.withColumn("ws", sc.padded_list(F.col("ws"), F.col("longest")))
+    return wide.select("p_partkey", "longest", F.posexplode("ws").alias("pos", "word"))
 
 
 @query("x5_url_parts", r"""
@@ -95,7 +95,7 @@ def is_numeric(t):
 
 @query("x8_join_tokens", f"SELECT doc_id, md5(array_to_string({WORDS}, ', ')) AS joined FROM documents")
 def join_tokens(t):
-    return spread(t.documents).select("doc_id", F.md5(F.array_join(tx.words("text"), ", ")).alias("joined"))
+    return t.documents.select("doc_id", F.md5(F.array_join(tx.words("text"), ", ")).alias("joined"))
 
 
 @query("x9_hex_bytes", """
@@ -151,7 +151,7 @@ SELECT doc_id, md5(array_to_string(list_sort(list_transform(ws, lambda w: md5('m
        array_to_string(list_slice(ws, 2, 4), '|') AS middle, len(ws)::INT AS n,
        list_sum(list_transform(ws, lambda w: length(w)))::BIGINT AS letters FROM d WHERE len(ws) > 0""")
 def array_ops(t):
-    df = spread(t.documents).select("doc_id", tx.words("text").alias("ws")).filter(F.size("ws") > 0)
+    df = t.documents.select("doc_id", tx.words("text").alias("ws")).filter(F.size("ws") > 0)
     lengths = F.transform("ws", lambda w: F.length(w).cast("bigint"))
     return df.select(
         "doc_id",
@@ -210,15 +210,15 @@ FROM documents""")
 def row_difference(t):
     lengths = F.transform(tx.words("text"), lambda w: F.length(w))
     absent = F.array_except(F.sequence(F.lit(1), F.lit(12)), lengths)
-    return spread(t.documents).select("doc_id", F.array_join(F.transform(absent, lambda n: n.cast("string")), ",").alias("absent"))
+    return t.documents.select("doc_id", F.array_join(F.transform(absent, lambda n: n.cast("string")), ",").alias("absent"))
 
 
 @query("u4_distinct", f"""
 SELECT doc_id, len(list_distinct({WORDS}))::INT AS n_distinct,
        (SELECT count(DISTINCT w) FROM (SELECT unnest({WORDS}) AS w FROM documents))::BIGINT AS corpus FROM documents""")
 def distinct(t):
-    corpus = spread(t.documents).select(F.explode(tx.words("text")).alias("w")).distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
-    return spread(t.documents).select("doc_id", F.size(F.array_distinct(tx.words("text"))).alias("n_distinct"), corpus.alias("corpus"))
+    corpus = t.documents.select(F.explode(tx.words("text")).alias("w")).distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
+    return t.documents.select("doc_id", F.size(F.array_distinct(tx.words("text"))).alias("n_distinct"), corpus.alias("corpus"))
 
 
 @query("u5_same_rows", """
