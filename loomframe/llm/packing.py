@@ -33,8 +33,9 @@ class Bm25Shard:
         lengths = np.diff(ends)
         owner = np.repeat(np.arange(n, dtype=np.int64), lengths)
         vocabulary = int(ids.max()) + 1 if len(ids) else 1
-        pair, tf = np.unique(owner * vocabulary + ids, return_counts=True)
-        doc, term = pair // vocabulary, pair % vocabulary
+        # Narrow integers where they fit: sorting them is what an index costs most.
+        pair, tf = np.unique((owner * vocabulary + ids).astype(np.int32 if n * vocabulary < 1 << 31 else np.int64), return_counts=True)
+        doc, term = np.divmod(pair.astype(np.int64), vocabulary)
         df = np.bincount(term, minlength=vocabulary)
         idf = np.log((n - df + 0.5) / (df + 0.5))
         telling = idf[term] > 0  # a term of half the shard or more tells nothing and has no postings
@@ -42,7 +43,7 @@ class Bm25Shard:
         norm = K1 * (1 - B + B * lengths[doc] / max(lengths.mean(), 1))
         self.terms_of = np.searchsorted(doc, np.arange(n + 1))
         self.term = term
-        by_term = np.argsort(term, kind="stable")
+        by_term = np.argsort(term.astype(np.uint16) if vocabulary <= 1 << 16 else term, kind="stable")
         self.posting_doc = doc[by_term]
         self.posting_weight = (idf[term] * tf * (K1 + 1) / (tf + norm))[by_term]
         self.postings = np.searchsorted(term[by_term], np.arange(vocabulary + 1))

@@ -107,6 +107,25 @@ class ChunkEncoder:
     def clear(self) -> None:
         self.slots: dict[bytes, int] = {}
         self.starts, self.lengths, self.ids, self.n_ids, self.n_slots = [], [], [], 0, 0
+        self.used = np.zeros(0, np.int64)  # times a chunk was met again
+
+    def make_room(self) -> None:
+        """Forget the chunks that were not met again, and of the others the less used half of the limit."""
+        starts, lengths, flat = self.starts_array(), self.lengths_array(), self.flat()
+        again = np.sort(self.used[self.used > 0])
+        least = max(int(again[-(self.limit // 2)]) + 1 if len(again) > self.limit // 2 else 1, 1)
+        kept = [(c, i) for c, i in self.slots.items() if self.used[i] >= least]
+        slots = np.array([i for _, i in kept], np.int64)
+        used = self.used[slots] // 2
+        self.clear()
+        if not kept:
+            return
+        length = lengths[slots]
+        ends = np.cumsum(length)
+        self.ids = [flat[np.repeat(starts[slots] - ends + length, length) + np.arange(ends[-1])]]
+        self.starts, self.lengths, self.used = [ends - length], [length], used
+        self.n_ids, self.n_slots = int(ends[-1]), len(kept)
+        self.slots = {c: i for i, (c, _) in enumerate(kept)}
 
     def encode(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the chunks one after the other, number of ids of each), by the library."""
@@ -122,11 +141,13 @@ class ChunkEncoder:
     def table(self, distinct: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, length, flat ids) so that chunk ``k`` has ``flat[start[k] : start[k] + length[k]]``."""
         chunks = distinct.to_pylist()
-        if self.n_slots + len(chunks) > self.limit:
-            self.clear()
+        if self.n_slots and self.n_slots + len(chunks) > self.limit:
+            self.make_room()
         get = self.slots.get
         slot = np.array([get(c, -1) for c in chunks], np.int64)
         missing = np.flatnonzero(slot < 0)
+        self.used = np.concatenate([self.used, np.zeros(len(missing), np.int64)])
+        self.used[slot[slot >= 0]] += 1
         if len(missing):
             new = [chunks[i] for i in missing.tolist()]
             ids, lengths = self.encode(new)
