@@ -219,3 +219,5 @@ def bounded(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int
                 held, size = [], 0
     if held:
         yield pa.Table.from_batches(held)
+    held = None
+    pa.default_memory_pool().release_unused()  # the worker lives on; its next task may be another operator's
