@@ -17,17 +17,17 @@ from pyspark.ml.classification import (
     OneVsRest,
     RandomForestClassifier,
 )
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.evaluation import Evaluator, MulticlassClassificationEvaluator
+from pyspark.ml.feature import IDF, PCA, HashingTF, RegexTokenizer, StandardScaler, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.recommendation import ALS
 from pyspark.ml.regression import LinearRegression
+from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loomframe.functions.vectors import nearest_index
-from loomframe.operators.aggregate import group_centroids
 from loomframe.operators.features import fit_scaler, scale
+from loomframe.operators.lookup import nearest_vector
 from loomframe.plans.checkpoints import materialize
 
 FEATURES = "features"
@@ -51,38 +51,39 @@ def unit_draw(seed: str, *parts: int) -> float:
     return int(md5(text.encode()).hexdigest()[:8], 16) / 2**32
 
 
-def box_centers(df: DataFrame, dims: Sequence[str], k: int, seed: str) -> list[list[float]]:
-    """k seeded points in the bounding box of the data."""
-    box = df.agg(*[e for d in dims for e in (F.min(d), F.max(d))]).first()
-    return [
-        [box[2 * j] + unit_draw(seed, i, j) * (box[2 * j + 1] - box[2 * j]) for j in range(len(dims))] for i in range(k)
-    ]
+def box_centers(df: DataFrame, vector: str, k: int, seed: str) -> list[list[float]]:
+    """k seeded points in the bounding box of the vectors."""
+    v = array_to_vector(F.col(vector))
+    box = df.agg(Summarizer.min(v).alias("low"), Summarizer.max(v).alias("high")).first()
+    low, high = box["low"].toArray().tolist(), box["high"].toArray().tolist()
+    return [[a + unit_draw(seed, i, j) * (b - a) for j, (a, b) in enumerate(zip(low, high))] for i in range(k)]
 
 
-def lloyd_step(df: DataFrame, dims: Sequence[str], centers: Sequence[Sequence[float]]) -> DataFrame:
-    """(cluster, dims..., n): means of the points nearest to each center, one partial aggregation."""
-    placed = df.withColumn("cluster", nearest_index([F.col(d) for d in dims], centers))
-    return group_centroids(placed, "cluster", dims)
+def lloyd_step(df: DataFrame, vector: str, centers: Sequence[Sequence[float]]) -> DataFrame:
+    """(cluster, center, n): mean of the vectors nearest to each center, one partial aggregation."""
+    placed = df.select(vector, nearest_vector(F.col(vector), list(enumerate(centers))).alias("cluster"))
+    means = placed.groupBy("cluster").agg(Summarizer.mean(array_to_vector(F.col(vector))).alias("m"), F.count(F.lit(1)).alias("n"))
+    return means.select("cluster", vector_to_array("m").alias("center"), "n")
 
 
-def k_means(
-    df: DataFrame, dims: Sequence[str], k: int, seed: str, tolerance: float = 1e-3, max_rounds: int = 100
-) -> list[list[float]]:
+def k_means(df: DataFrame, vector: str, k: int, seed: str, tolerance: float = 1e-3, max_rounds: int = 300) -> list[list[float]]:
     """Centers after Lloyd rounds, until their summed squared shift is at most the tolerance.
 
-    A cluster without points keeps its center.
+    A cluster without points keeps its center. Raises when the rounds run out before that.
     """
-    points = df.select(*dims).persist()
-    centers = box_centers(points, dims, k, seed)
-    for _ in range(max_rounds):
-        moved = {r["cluster"]: [r[d] for d in dims] for r in lloyd_step(points, dims, centers).collect()}
-        fresh = [moved.get(i, c) for i, c in enumerate(centers)]
-        shift = sum((a - b) ** 2 for old, new in zip(centers, fresh) for a, b in zip(old, new))
-        centers = fresh
-        if shift <= tolerance:
-            break
-    points.unpersist()
-    return centers
+    points = df.select(vector).persist()
+    centers = box_centers(points, vector, k, seed)
+    try:
+        for _ in range(max_rounds):
+            moved = {r["cluster"]: r["center"] for r in lloyd_step(points, vector, centers).collect()}  # k rows
+            fresh = [moved.get(i, c) for i, c in enumerate(centers)]
+            shift = sum((a - b) ** 2 for old, new in zip(centers, fresh) for a, b in zip(old, new))
+            centers = fresh
+            if shift <= tolerance:
+                return centers
+    finally:
+        points.unpersist()
+    raise RuntimeError(f"centers still move by {shift} after {max_rounds} rounds")
 
 
 # --- linear models by gradient descent ------------------------------------------------------------
@@ -148,7 +149,7 @@ def least_absolute(df: DataFrame, columns: Sequence[str], label: str, rate: floa
 
 def linear_regression(df: DataFrame, columns: Sequence[str], label: str, lasso: float = 0.0):
     """Closed-form least squares, or lasso when a penalty is given; the model carries coefficients and R2."""
-    kind = {"solver": "normal"} if lasso == 0 else {"elasticNetParam": 1.0, "regParam": lasso}
+    kind = {"solver": "normal"} if lasso == 0 else {"elasticNetParam": 1.0, "regParam": lasso, "tol": 1e-10, "maxIter": 500}
     return LinearRegression(featuresCol=FEATURES, labelCol=label, **kind).fit(assemble(df, columns))
 
 
@@ -160,15 +161,16 @@ def pca(df: DataFrame, columns: Sequence[str], k: int):
 
 
 def component_signs(model) -> list[float]:
-    """Sign per component that makes its largest loading positive."""
-    loadings = model.pc.toArray()
-    return [1.0 if max(col, key=abs) >= 0 else -1.0 for col in loadings.T.tolist()]
+    """Sign per component that makes its first loading away from zero positive."""
+    return [1.0 if next((v for v in col if abs(v) > 1e-6), 1.0) > 0 else -1.0 for col in model.pc.toArray().T.tolist()]
 
 
 # --- classifiers ----------------------------------------------------------------------------------
 
 
-def logistic_regression(n: int, label: str, c: float = 1.0, l1_ratio: float = 0.0, rounds: int = 50) -> LogisticRegression:
+def logistic_regression(
+    n: int, label: str, c: float = 1.0, l1_ratio: float = 0.0, rounds: int = 50, tolerance: float = 1e-6
+) -> LogisticRegression:
     """Penalty strength given as C of n rows, on unscaled features."""
     return LogisticRegression(
         featuresCol=FEATURES,
@@ -177,6 +179,7 @@ def logistic_regression(n: int, label: str, c: float = 1.0, l1_ratio: float = 0.
         elasticNetParam=l1_ratio,
         standardization=False,
         maxIter=rounds,
+        tol=tolerance,
     )
 
 
@@ -251,6 +254,29 @@ def ada_score(df: DataFrame, members: Sequence[tuple[float, Model]], out: str =
     return frame.withColumn(out, votes / F.lit(total)).select(*keep, out)
 
 
+def scaled_line(columns: Sequence[str], label: str, **settings) -> Pipeline:
+    """Standard scaler and linear regression as one estimator, so that a fold refits both."""
+    return Pipeline(
+        stages=[
+            VectorAssembler(inputCols=list(columns), outputCol="_raw"),
+            StandardScaler(inputCol="_raw", outputCol=FEATURES, withMean=True),
+            LinearRegression(featuresCol=FEATURES, labelCol=label, tol=1e-10, maxIter=500, **settings),
+        ]
+    )
+
+
+def text_classifier(text: str, classifier: Estimator, width: int = 1 << 16) -> Pipeline:
+    """Words, hashed term counts, inverse document frequencies and a classifier, fitted together."""
+    return Pipeline(
+        stages=[
+            RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"[\p{L}\p{N}_]+", gaps=False),
+            HashingTF(inputCol="_words", outputCol="_tf", numFeatures=width),
+            IDF(inputCol="_tf", outputCol=FEATURES),
+            classifier,
+        ]
+    )
+
+
 def fit_pipeline(df: DataFrame, columns: Sequence[str], estimator: Estimator) -> PipelineModel:
     return Pipeline(stages=[VectorAssembler(inputCols=list(columns), outputCol=FEATURES), estimator]).fit(df)
 
@@ -292,12 +318,12 @@ def random_grid(grid: Sequence[dict], draws: int, seed: str) -> list[dict]:
     return sorted(grid, key=lambda p: md5((seed + ":" + repr(sorted((k.name, v) for k, v in p.items()))).encode()).hexdigest())[:draws]
 
 
-def search(df: DataFrame, estimator: Estimator, grid: Sequence[dict], label: str, fold: str, k: int, metric: str = "accuracy", parallelism: int = 4) -> CrossValidatorModel:
-    """Cross-validated search over given folds; grid points run side by side."""
+def search(df: DataFrame, estimator: Estimator, grid: Sequence[dict], label: str, fold: str, k: int, evaluator: Evaluator | None = None, parallelism: int = 4) -> CrossValidatorModel:
+    """Cross-validated search over given folds (by accuracy unless told otherwise); grid points run side by side."""
     return CrossValidator(
         estimator=estimator,
         estimatorParamMaps=list(grid),
-        evaluator=MulticlassClassificationEvaluator(labelCol=label, metricName=metric),
+        evaluator=evaluator or MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy"),
         numFolds=k,
         foldCol=fold,
         parallelism=parallelism,

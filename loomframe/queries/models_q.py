@@ -2,22 +2,35 @@
 
 from __future__ import annotations
 
+from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.sql import functions as F
 
 from loomframe.functions.text import words
 from loomframe.operators import features as ft, metrics as mx, models as md, sampling, similarity as sim, window
 from loomframe.plans.checkpoints import scratch_path
-from loomframe.queries.sql import h
+from loomframe.queries.sql import WORDS, h
 from loomframe.registry import query
 
 STATS = ["n_chars", "n_words", "n_lines", "word_length", "distinct_share"]
 
 
-def doc_stats(t):
-    """Labelled documents with standardised text statistics."""
+# Labelled documents with raw statistics, and a hold-out part drawn by seeded hash.
+_DOC_STATS = f"""
+raw AS (SELECT doc_id, quality, n_chars, text, {WORDS} AS w FROM documents JOIN labels USING (doc_id)),
+stats AS (SELECT doc_id, quality, ln(1 + n_chars::DOUBLE) AS n_chars, ln(1 + len(w)::DOUBLE) AS n_words,
+                 ln(1 + len(string_split(text, chr(10)))::DOUBLE) AS n_lines,
+                 len(array_to_string(w, ''))::DOUBLE / greatest(len(w), 1) AS word_length,
+                 len(list_distinct(w))::DOUBLE / greatest(len(w), 1) AS distinct_share FROM raw),
+ranked AS (SELECT *, row_number() OVER (ORDER BY md5('hold:' || doc_id), doc_id) <= ceil(round(0.25::DOUBLE * count(*) OVER (), 9)) AS test FROM stats),
+fitted AS (SELECT {", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in STATS)} FROM ranked WHERE NOT test),
+z AS (SELECT doc_id, quality, test, {", ".join(f"({c} - m_{c}) / s_{c} AS {c}" for c in STATS)} FROM ranked, fitted)"""
+
+
+def raw_stats(t):
+    """Labelled documents with text statistics."""
     w = words("text")
     n = F.greatest(F.size(w), F.lit(1))
-    df = t.documents.join(t.labels, "doc_id").select(
+    return t.documents.join(t.labels, "doc_id").select(
         "doc_id",
         "quality",
         "toxic",
@@ -27,6 +40,18 @@ def doc_stats(t):
         (F.length(F.array_join(w, "")) / n).alias("word_length"),
         (F.size(F.array_distinct(w)) / n).alias("distinct_share"),
     )
+
+
+def held_out(t):
+    """Statistics with ``part`` (a quarter is test), standardised as the train rows tell."""
+    df = md.materialize(raw_stats(t).hint("rebalance"))
+    df = sampling.split_exact(df, ["doc_id"], 0.25, "hold")
+    return ft.scale(df, ft.fit_scaler(df.filter("part = 'train'"), STATS, "standard"))
+
+
+def doc_stats(t):
+    """Labelled documents with standardised text statistics."""
+    df = raw_stats(t)
     return ft.scale(df, ft.fit_scaler(df, STATS, "standard"))
 
 
@@ -36,42 +61,74 @@ def training_frame(df, columns=STATS, keep=("doc_id", "quality")):
 
 
 def folded_frame(t, k):
-    folds = sampling.stratified_folds(training_frame(doc_stats(t)), "quality", ["doc_id"], k)
-    return md.materialize(folds.hint("rebalance"))
+    """Labelled documents with their length, in class-wise folds."""
+    df = t.documents.join(t.labels, "doc_id").select("doc_id", "quality", F.log1p(F.col("n_chars").cast("double")).alias("x"))
+    return md.materialize(sampling.stratified_folds(df, "quality", ["doc_id"], k).hint("rebalance"))
+
+
+# The same folds; ``i`` is the place of a document inside its class.
+_FOLDS = """
+d AS (SELECT doc_id, quality, ln(1 + n_chars::DOUBLE) AS x FROM documents JOIN labels USING (doc_id)),
+c AS (SELECT quality, count(*) AS n, min(doc_id) AS f FROM d GROUP BY quality),
+o AS (SELECT quality, n, coalesce(sum(n) OVER (ORDER BY f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s FROM c),
+a AS (SELECT quality, i AS fold, (SELECT count(*) FROM range(s, s + n) x(p) WHERE p % 3 = i) AS dealt FROM o, (SELECT unnest(range(0, 3)) AS i)),
+b AS (SELECT quality, fold, sum(dealt) OVER (PARTITION BY quality ORDER BY fold) AS upto, sum(dealt) OVER (PARTITION BY quality ORDER BY fold) - dealt AS start FROM a),
+r AS (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY doc_id) - 1 AS i FROM d),
+folded AS (SELECT doc_id, r.quality AS quality, x, fold::INT AS fold FROM r JOIN b ON r.quality = b.quality AND i >= start AND i < upto)"""
+_LINES = """
+fit AS (SELECT k.fold AS fold, regr_slope(quality, x) AS slope, regr_intercept(quality, x) AS bias
+        FROM folded f JOIN (SELECT DISTINCT fold FROM folded) k ON f.fold <> k.fold GROUP BY k.fold),
+oof AS (SELECT doc_id, quality, fold, bias + slope * x AS score FROM folded JOIN fit USING (fold))"""
 
 
 def scored(t, estimator, columns=STATS, frame=None):
-    df = training_frame(frame if frame is not None else doc_stats(t), columns)
-    out = estimator.fit(df).transform(df)
+    """Fitted on train rows, scored on the held-out rows."""
+    df = training_frame(frame if frame is not None else held_out(t), columns, ("doc_id", "quality", "part"))
+    out = estimator.fit(df.filter("part = 'train'")).transform(df.filter("part = 'test'"))
     return out.select("doc_id", F.col("quality").alias("truth"), F.col("prediction").cast("int").alias("pred"))
 
 
-def _points(t):
-    e = F.col("embedding")
-    return t.embeddings.select("vec_id", e[0].cast("double").alias("x"), e[1].cast("double").alias("y"))
+_CENTERS = f"""
+p AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+e AS (SELECT vec_id, unnest(range(len(v))) AS dim, unnest(v) AS x FROM p),
+box AS (SELECT dim, min(x) AS low, max(x) AS high FROM e GROUP BY dim),
+start AS (SELECT cluster, list(low + {h("'km:' || cluster || ':' || dim")} / 4294967296.0::DOUBLE * (high - low) ORDER BY dim) AS center
+          FROM box, (SELECT unnest(range(0, 3)) AS cluster) GROUP BY cluster)"""
 
 
-def _u(i: int, j: int) -> str:
-    return h(f"'km:{i}:{j}'") + " / 4294967296.0::DOUBLE"
+def _rounded_centers(df):
+    cells = df.select(F.col("cluster").cast("bigint").alias("cluster"), "n", F.posexplode("center").alias("dim", "mean"))
+    return cells.withColumn("mean", F.round("mean", 5))
 
 
 @query("m1_kmeans_step", f"""
-WITH p AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings),
-b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM p),
-c AS ({" UNION ALL ".join(f"SELECT {i} AS cluster, x0 + {_u(i, 0)} * (x1 - x0) AS cx, y0 + {_u(i, 1)} * (y1 - y0) AS cy FROM b" for i in range(3))}),
-a AS (SELECT vec_id, x, y, arg_min(cluster, pow(x - cx, 2) + pow(y - cy, 2)) AS cluster FROM p CROSS JOIN c GROUP BY 1, 2, 3)
-SELECT cluster, round(avg(x), 6) AS x, round(avg(y), 6) AS y, count(*)::BIGINT AS n FROM a GROUP BY cluster""")
+WITH {_CENTERS},
+near AS (SELECT vec_id, arg_min(cluster, list_distance(v, center)) AS cluster FROM p, start GROUP BY vec_id)
+SELECT cluster::BIGINT AS cluster, dim::INT AS dim, round(avg(x), 5) AS mean, count(*)::BIGINT AS n FROM near JOIN e USING (vec_id) GROUP BY 1, 2""")
 def kmeans_step(t):
-    points = _points(t)
-    out = md.lloyd_step(points, ["x", "y"], md.box_centers(points, ["x", "y"], 3, "km"))
-    return out.withColumns({c: F.round(c, 6) for c in ("x", "y")})
-
-
-@query("m1_kmeans")
+    points = t.embeddings.select(F.col("embedding").cast("array<double>").alias("v"))
+    return _rounded_centers(md.lloyd_step(points, "v", md.box_centers(points, "v", 3, "km")))
+
+
+@query("m1_kmeans", f"""
+WITH RECURSIVE {_CENTERS},
+g(round, cluster, center, shift) AS (
+  SELECT 0, cluster, center, 1e9::DOUBLE FROM start
+  UNION ALL
+  SELECT round, cluster, fresh, sum(pow(list_distance(center, fresh), 2)) OVER () FROM (
+    SELECT g.round + 1 AS round, g.cluster AS cluster, g.center AS center, coalesce(m.center, g.center) AS fresh
+    FROM g LEFT JOIN (
+      SELECT cluster, list(mean ORDER BY dim) AS center FROM (
+        SELECT near.cluster AS cluster, e.dim AS dim, avg(e.x) AS mean
+        FROM (SELECT vec_id, arg_min(cluster, list_distance(v, center)) AS cluster FROM p, g GROUP BY vec_id) near JOIN e USING (vec_id)
+        GROUP BY 1, 2) GROUP BY cluster) m ON g.cluster = m.cluster
+    WHERE g.shift > 1e-6)),
+final AS (SELECT cluster, center FROM g WHERE round = (SELECT max(round) FROM g)),
+near AS (SELECT vec_id, arg_min(cluster, list_distance(v, center)) AS cluster FROM p, final GROUP BY vec_id)
+SELECT cluster::BIGINT AS cluster, dim::INT AS dim, round(avg(x), 5) AS mean, count(*)::BIGINT AS n FROM near JOIN e USING (vec_id) GROUP BY 1, 2""")
 def kmeans(t):
-    points = _points(t)
-    centers = md.k_means(points, ["x", "y"], 3, "km", 1e-6)
-    return md.lloyd_step(points, ["x", "y"], centers)
+    points = t.embeddings.select(F.col("embedding").cast("array<double>").alias("v"))
+    return _rounded_centers(md.lloyd_step(points, "v", md.k_means(points, "v", 3, "km", 1e-6)))
 
 
 _GD = """
@@ -98,11 +155,25 @@ def gradient_descent(t):
     )
 
 
-@query("m3_linear_classifier")
+_LINE_3 = "t0 + " + " + ".join(f"t{j} * {c}" for j, c in enumerate(STATS, 1))
+
+
+@query("m3_linear_classifier", f"""
+WITH RECURSIVE {_DOC_STATS},
+g(epoch, {", ".join(f"t{j}" for j in range(6))}) AS (SELECT 0, {", ".join(["0::DOUBLE"] * 6)} UNION ALL
+  SELECT epoch + 1, {", ".join(f"t{j} - 0.2::DOUBLE * avg(({_LINE_3} - quality) * {c})" for j, c in enumerate(["1", *STATS]))}
+  FROM g, z WHERE epoch < 100 AND NOT test GROUP BY epoch, t0, t1, t2, t3, t4, t5)
+SELECT doc_id, quality AS truth, round({_LINE_3}, 6) AS score, (CASE WHEN {_LINE_3} < 0.5 THEN 0 ELSE 1 END)::INT AS pred
+FROM z, g WHERE test AND epoch = 100""")
 def linear_classifier(t):
-    df = md.materialize(doc_stats(t).hint("rebalance"))
-    theta, _ = md.gradient_descent(df, STATS, "quality", 0.1, 100, factor=2.0)
-    return df.select("doc_id", F.col("quality").alias("truth"), md.linear_class(theta, STATS).alias("pred"))
+    df = held_out(t)
+    theta, _ = md.gradient_descent(df.filter("part = 'train'"), STATS, "quality", 0.1, 100, factor=2.0)
+    return df.filter("part = 'test'").select(
+        "doc_id",
+        F.col("quality").alias("truth"),
+        F.round(md.linear_score(theta, STATS), 6).alias("score"),
+        md.linear_class(theta, STATS).alias("pred"),
+    )
 
 
 @query("m4_linear_regression", """
@@ -117,31 +188,77 @@ def linear_regression(t):
     )
 
 
-@query("m4_lasso")
-def lasso(t):
-    columns = ["l_quantity", "l_discount", "l_tax"]
-    model = md.linear_regression(t.lineitem, columns, "l_extendedprice", lasso=100.0)
-    return t.spark.range(1).select(*[F.lit(float(w)).alias(c) for c, w in zip(columns, model.coefficients)], F.lit(model.intercept).alias("bias"))
+_LASSO = ["l_quantity", "l_discount", "l_tax"]
+
+
+def _descend(j: int) -> str:
+    """Coordinate j of the standardised lasso; coordinates before it are already new."""
+    rest = " - ".join([f"r{j}", *[f"c{min(j, k)}{max(j, k)} * {'n' if k < j else 'w'}{k}" for k in range(3) if k != j]])
+    return f"sign({rest}) * greatest(abs({rest}) - 100 / sy, 0)"
 
 
-@query("m5_least_absolute")
+@query("m4_lasso", f"""
+WITH RECURSIVE m AS (SELECT stddev_pop(l_extendedprice) AS sy, avg(l_extendedprice) AS my,
+  {", ".join(f"stddev_pop({c}) AS s{j}, avg({c}) AS m{j}, corr({c}, l_extendedprice) AS r{j}" for j, c in enumerate(_LASSO))},
+  {", ".join(f"corr({_LASSO[i]}, {_LASSO[j]}) AS c{i}{j}" for i in range(3) for j in range(i + 1, 3))} FROM lineitem),
+g(round, w0, w1, w2) AS (SELECT 0, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE UNION ALL
+  SELECT round + 1, n0, n1, {_descend(2)} FROM (SELECT *, {_descend(1)} AS n1 FROM (SELECT *, {_descend(0)} AS n0 FROM g, m WHERE round < 100)))
+SELECT {", ".join(f"round(w{j} * sy / s{j}, 2) AS {c}" for j, c in enumerate(_LASSO))},
+       round(my - {" - ".join(f"w{j} * sy / s{j} * m{j}" for j in range(3))}, 2) AS bias FROM g, m WHERE round = 100""")
+def lasso(t):
+    model = md.linear_regression(t.lineitem, _LASSO, "l_extendedprice", lasso=100.0)
+    values = [*map(float, model.coefficients), float(model.intercept)]
+    return t.spark.range(1).select(*[F.round(F.lit(w), 2).alias(c) for c, w in zip([*_LASSO, "bias"], values)])
+
+
+@query("m5_least_absolute", """
+WITH RECURSIVE s AS (SELECT (l_quantity - (SELECT avg(l_quantity) FROM lineitem)) / (SELECT stddev_pop(l_quantity) FROM lineitem) AS x,
+                            l_extendedprice / 1000 AS y FROM lineitem),
+g(epoch, a, b, cost) AS (SELECT 0, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE UNION ALL
+  SELECT epoch + 1, a - 2 * avg(sign(a + b * x - y)), b - 2 * avg(sign(a + b * x - y) * x), avg(abs(a + b * x - y))
+  FROM g, s WHERE epoch < 20 GROUP BY epoch, a, b)
+SELECT round(max(a) FILTER (epoch = 20), 5) AS bias, round(max(b) FILTER (epoch = 20), 5) AS slope,
+       round(max(cost) FILTER (epoch = 1), 5) AS first, round(max(cost) FILTER (epoch = 20), 5) AS last FROM g""")
 def least_absolute(t):
     df = t.lineitem.select("l_quantity", (F.col("l_extendedprice") / 1000).alias("price"))
     df = ft.scale(df, ft.fit_scaler(df, ["l_quantity"], "standard"))
     theta, errors = md.least_absolute(df, ["l_quantity"], "price", 2.0, 20)
-    return t.spark.range(1).select(
-        F.lit(theta[0]).alias("bias"), F.lit(theta[1]).alias("slope"), F.lit(errors[0]).alias("first"), F.lit(errors[-1]).alias("last")
-    )
-
-
-@query("m6_logistic_regression")
+    values = {"bias": theta[0], "slope": theta[1], "first": errors[0], "last": errors[-1]}
+    return t.spark.range(1).select(*[F.round(F.lit(v), 5).alias(c) for c, v in values.items()])
+
+
+def _newton(c: float, l1_ratio: float) -> str:
+    """Proximal Newton steps of the logistic loss over one column, with a free intercept."""
+    return f"""
+WITH RECURSIVE {_DOC_STATS},
+pen AS (SELECT 1 / ({c}::DOUBLE * count(*)) * {1 - l1_ratio} AS l2, 1 / ({c}::DOUBLE * count(*)) * {l1_ratio} AS l1 FROM z WHERE NOT test),
+g(step, b, w) AS (SELECT 0, 0::DOUBLE, 0::DOUBLE UNION ALL
+  SELECT step + 1, b - (gb + hbw * (nw - w)) / hbb, nw FROM (
+    SELECT *, sign(h * w - gr) * greatest(abs(h * w - gr) - l1, 0) / h AS nw FROM (
+      SELECT *, hww - hbw * hbw / hbb AS h, gw - hbw * gb / hbb AS gr FROM (
+        SELECT step, b, w, l1, avg(p - quality) AS gb, avg((p - quality) * x) + l2 * w AS gw, avg(p * (1 - p)) AS hbb,
+               avg(p * (1 - p) * x) AS hbw, avg(p * (1 - p) * x * x) + l2 AS hww
+        FROM (SELECT g.*, pen.*, quality, n_words AS x, 1 / (1 + exp(-(b + w * n_words))) AS p FROM g, pen, z WHERE step < 25 AND NOT test)
+        GROUP BY step, b, w, l1, l2))))
+SELECT doc_id, quality AS truth, round(1 / (1 + exp(-(b + w * n_words))), 4) AS score FROM z, g WHERE test AND step = 25"""
+
+
+def _logistic(t, c, l1_ratio):
+    df = training_frame(held_out(t), ["n_words"], ("doc_id", "quality", "part"))
+    train = df.filter("part = 'train'")
+    model = md.logistic_regression(train.count(), "quality", c, l1_ratio, rounds=500, tolerance=1e-12).fit(train)
+    out = md.probability(model.transform(df.filter("part = 'test'")), "score")
+    return out.select("doc_id", F.col("quality").alias("truth"), F.round("score", 4).alias("score"))
+
+
+@query("m6_logistic_regression", _newton(1.0, 0.0))
 def logistic_regression(t):
-    return scored(t, md.logistic_regression(t.labels.count(), "quality", 1.0))
+    return _logistic(t, 1.0, 0.0)
 
 
-@query("m6_logistic_lasso")
+@query("m6_logistic_lasso", _newton(0.5, 1.0))
 def logistic_lasso(t):
-    return scored(t, md.logistic_regression(t.labels.count(), "quality", 0.5, l1_ratio=1.0))
+    return _logistic(t, 0.5, 1.0)
 
 
 @query("m7_linear_svm")
@@ -151,18 +268,29 @@ def linear_svm(t):
 
 @query("m7_one_vs_rest")
 def one_vs_rest(t):
-    e = F.col("embedding")
-    columns = [f"v{i}" for i in range(8)]
-    df = t.embeddings.select("vec_id", "label", *[e[i].cast("double").alias(c) for i, c in enumerate(columns)])
-    df = training_frame(df, columns, ("vec_id", "label"))
-    svm = md.linear_svm("label", 1.0, df.count(), classes=10)
-    return svm.fit(df).transform(df).select("vec_id", "label", F.col("prediction").cast("int").alias("pred"))
+    vector = md.array_to_vector(F.col("embedding").cast("array<double>"))
+    df = sampling.split_exact(t.embeddings.select("vec_id", "label", vector.alias(md.FEATURES)), ["vec_id"], 0.25, "hold")
+    df = md.materialize(df.hint("rebalance"))
+    train = df.filter("part = 'train'")
+    svm = md.linear_svm("label", 1.0, train.count(), classes=10)
+    return svm.fit(train).transform(df.filter("part = 'test'")).select("vec_id", "label", F.col("prediction").cast("int").alias("pred"))
+
+
+@query("m7_text_svm")
+def text_svm(t):
+    """TF-IDF of whole texts into a linear SVM: fitted on train documents, scored on the others."""
+    df = t.documents.join(t.labels, "doc_id").select("doc_id", "quality", F.coalesce("text", F.lit("")).alias("text"))
+    df = md.materialize(sampling.split_exact(df, ["doc_id"], 0.25, "hold").hint("rebalance"))
+    train = df.filter("part = 'train'")
+    model = md.text_classifier("text", md.linear_svm("quality", 1.0, train.count())).fit(train)
+    out = model.transform(df.filter("part = 'test'"))
+    return out.select("doc_id", F.col("quality").alias("truth"), F.col("prediction").cast("int").alias("pred"))
 
 
 @query("m8_rbf_svm")
 def rbf_svm(t):
     lifted = md.fourier_features(STATS, 0.2, 32, "rff")
-    frame = doc_stats(t).withColumns(lifted)
+    frame = held_out(t).withColumns(lifted)
     return scored(t, md.linear_svm("quality", 1.0, t.labels.count()), list(lifted), frame)
 
 
@@ -173,7 +301,7 @@ def decision_tree(t):
 
 @query("m9_random_forest")
 def random_forest(t):
-    return scored(t, md.random_forest("quality", 20))
+    return scored(t, md.random_forest("quality", 45, depth=10))
 
 
 @query("m9_gradient_boosting")
@@ -224,40 +352,67 @@ def saved_model(t):
     return out.select("doc_id", F.col("quality").alias("truth"), decoded.alias("decoded"))
 
 
-@query("m16_grid_search")
+_GRID = {"regParam": [0.001, 0.01, 0.1], "elasticNetParam": [0.0, 1.0]}
+_GRID_SQL = ", ".join(
+    "({}, {}, '{}')".format(reg, l1, repr([("elasticNetParam", l1), ("regParam", reg)]).replace("'", "''"))
+    for reg in _GRID["regParam"]
+    for l1 in _GRID["elasticNetParam"]
+)
+
+
+@query("m16_grid_search", f"""
+WITH {_FOLDS},
+grid AS (SELECT reg::DOUBLE AS reg, l1::DOUBLE AS l1, (row_number() OVER (ORDER BY md5('grid:' || name)) - 1)::INT AS run
+         FROM (VALUES {_GRID_SQL}) v(reg, l1, name)),
+m AS (SELECT k.fold AS fold, avg(x) AS mx, avg(quality) AS my, stddev_pop(x) AS sx, stddev_pop(quality) AS sy, corr(x, quality) AS rho
+      FROM folded f JOIN (SELECT DISTINCT fold FROM folded) k ON f.fold <> k.fold GROUP BY k.fold),
+w AS (SELECT run, reg, l1, m.*, sign(rho) * greatest(abs(rho) - reg * l1 / sy, 0) / (1 + reg * (1 - l1) / sy) * sy / sx AS slope
+      FROM grid, m WHERE run < 4),
+s AS (SELECT run, reg, l1, fold, sqrt(avg(pow(my + slope * (x - mx) - quality, 2))) AS rmse FROM folded JOIN w USING (fold) GROUP BY 1, 2, 3, 4)
+SELECT run, reg, l1, round(avg(rmse), 6) AS rmse FROM s GROUP BY 1, 2, 3""")
 def grid_search(t):
     df = folded_frame(t, 3)
-    lr = md.logistic_regression(t.labels.count(), "quality")
-    grid = md.random_grid(md.parameter_grid(lr, {"regParam": [0.001, 0.01, 0.1], "elasticNetParam": [0.0, 1.0]}), 4, "grid")
-    model = md.search(df, lr, grid, "quality", "fold", 3)
-    rows = [(i, p[lr.regParam], p[lr.elasticNetParam], float(m)) for i, (p, m) in enumerate(zip(grid, model.avgMetrics))]
-    return t.spark.createDataFrame(rows, "run int, reg double, l1 double, accuracy double")
-
-
-@query("e10_cross_validation")
+    line = md.scaled_line(["x"], "quality")
+    model = line.getStages()[-1]
+    grid = md.random_grid(md.parameter_grid(model, _GRID), 4, "grid")
+    found = md.search(df, line, grid, "quality", "fold", 3, RegressionEvaluator(labelCol="quality", metricName="rmse"))
+    rows = [(i, p[model.regParam], p[model.elasticNetParam], float(m)) for i, (p, m) in enumerate(zip(grid, found.avgMetrics))]
+    return t.spark.createDataFrame(rows, "run int, reg double, l1 double, rmse double").withColumn("rmse", F.round("rmse", 6))
+
+
+@query("e10_cross_validation", f"""
+WITH {_FOLDS}, {_LINES},
+p AS (SELECT fold, avg((quality = (score >= 0.85)::INT)::INT) AS acc FROM oof GROUP BY fold)
+SELECT round(avg(acc), 6) AS mean, round(stddev_pop(acc), 6) AS std, count(*)::BIGINT AS folds FROM p""")
 def cross_validation(t):
-    df = folded_frame(t, 3)
-    scored_rows = md.out_of_fold(df, md.logistic_regression(t.labels.count(), "quality"), "fold", 3)
-    return mx.fold_summary(scored_rows, "fold", "quality", "prediction")
+    out = md.out_of_fold(folded_frame(t, 3), md.scaled_line(["x"], "quality"), "fold", 3)
+    out = out.withColumn("pred", (F.col("prediction") >= 0.85).cast("int"))
+    return mx.fold_summary(out, "fold", "quality", "pred").withColumns({c: F.round(c, 6) for c in ("mean", "std")})
 
 
-@query("e12_out_of_fold", """
-SELECT doc_id, quality, 1::BIGINT AS times FROM labels""")
+@query("e12_out_of_fold", f"WITH {_FOLDS}, {_LINES} SELECT doc_id, quality, fold, round(score, 6) AS score FROM oof")
 def out_of_fold(t):
-    df = folded_frame(t, 3)
-    out = md.out_of_fold(df, md.logistic_regression(t.labels.count(), "quality"), "fold", 3)
-    return out.filter(md.vector_to_array("rawPrediction")[1].isNotNull()).groupBy("doc_id", "quality").agg(
-        F.count(F.lit(1)).alias("times")
-    )
+    out = md.out_of_fold(folded_frame(t, 3), md.scaled_line(["x"], "quality"), "fold", 3)
+    return out.select("doc_id", "quality", F.col("fold").cast("int").alias("fold"), F.round("prediction", 6).alias("score"))
 
 
-@query("f17_pca")
+@query("f17_pca", """
+WITH z AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber,
+  (l_quantity - avg(l_quantity) OVER ()) / stddev_pop(l_quantity) OVER () AS a,
+  (l_extendedprice - avg(l_extendedprice) OVER ()) / stddev_pop(l_extendedprice) OVER () AS b FROM lineitem),
+r AS (SELECT corr(l_quantity, l_extendedprice) AS r FROM lineitem)
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round((a + sign(r) * b) / sqrt(2), 5) AS pc1, round((a - sign(r) * b) / sqrt(2), 5) AS pc2,
+       round((1 + abs(r)) / 2, 6) AS share1, round((1 - abs(r)) / 2, 6) AS share2 FROM z, r""")
 def pca(t):
-    columns = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    columns = ["l_quantity", "l_extendedprice"]
     keys = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
     model, out = md.pca(t.lineitem.select(*keys, *columns), columns, 2)
-    signs = md.component_signs(model)
-    return out.select(*keys, *[(md.vector_to_array("pca")[i] * s).alias(f"pc{i + 1}") for i, s in enumerate(signs)])
+    signs, shares = md.component_signs(model), model.explainedVariance.toArray().tolist()
+    return out.select(
+        *keys,
+        *[F.round(md.vector_to_array("pca")[i] * s, 5).alias(f"pc{i + 1}") for i, s in enumerate(signs)],
+        *[F.round(F.lit(s), 6).alias(f"share{i + 1}") for i, s in enumerate(shares)],
+    )
 
 
 @query("d8_learned_vectors")

@@ -243,12 +243,15 @@ def blobs(spark):
 
 def test_k_means_matches_numpy(blobs):
     x, df = blobs
-    start = np.array(md.box_centers(df, ["x", "y"], 2, "k"))
+    df = df.select(F.array("x", "y").alias("v"))
+    start = np.array(md.box_centers(df, "v", 2, "k"))
     centers = start.copy()
     for _ in range(50):
         nearest = ((x[:, None] - centers[None]) ** 2).sum(-1).argmin(1)
         centers = np.array([x[nearest == i].mean(0) if (nearest == i).any() else centers[i] for i in range(2)])
-    assert np.array(md.k_means(df, ["x", "y"], 2, "k", 0.0, 50)) == pytest.approx(centers)
+    assert np.array(md.k_means(df, "v", 2, "k", 1e-12, 50)) == pytest.approx(centers)
+    with pytest.raises(RuntimeError):
+        md.k_means(df, "v", 2, "k", -1.0, 2)
 
 
 def test_gradient_descent_matches_numpy(blobs):

@@ -6,7 +6,7 @@ import __spark_entry__ as entry_module
 import check
 from conftest import SF
 
-SLOW = {"m7_one_vs_rest", "m16_grid_search", "m8_rbf_svm", "m10_ada_boost", "m11_fitted_vote"}
+SLOW = {"m7_one_vs_rest", "m7_text_svm", "m16_grid_search", "m8_rbf_svm", "m10_ada_boost", "m11_fitted_vote"}
 
 
 @pytest.fixture(scope="module")
