@@ -28,18 +28,16 @@ def surplus_move(df: DataFrame, by: str, order: Sequence[str], final: int, sourc
 
 
 def local_maxima(df: DataFrame, by: Sequence[str], position: str, value: str, compat: bool = False) -> DataFrame:
-    """Interior points above both neighbours. The input is a profile: one row per column of a series.
+    """Interior points above both neighbours; ``position`` is unique inside a series, which may be of any length.
 
     ``compat`` leaves out the first interior point and reports an index one too low.
     """
-    w = Window.partitionBy(*by).orderBy(position)
-    v = F.col(value)
-    marked = df.withColumns(
-        {
-            "index": (F.row_number().over(w) - 1).cast("bigint"),
-            "_peak": (v > F.lag(value).over(w)) & (v > F.lead(value).over(w)),
-        }
-    ).filter("_peak").drop("_peak")
+    numbered = row_numbers(df, [position], by, out="index")
+    before = previous_values(numbered, value, [position], by, out="_before")
+    both = previous_values(before, value, [F.col(position).desc()], by, out="_after")
+    peak = (F.col(value) > F.col("_before")) & (F.col(value) > F.col("_after"))
+    marked = both.filter(peak).drop("_before", "_before_exists", "_after", "_after_exists")
+    marked = marked.withColumn("index", F.col("index").cast("bigint") - 1)
     return marked.filter(F.col("index") > 1).withColumn("index", F.col("index") - 1) if compat else marked
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loomframe.functions.hashing import hash_hex
 from loomframe.operators import aggregate as agg, lookup, pairs, window
+from loomframe.plans.checkpoints import materialize
 from loomframe.queries.frames import LINE_KEY, hour_number, hourly, tokens
 from loomframe.queries.sql import HOURLY, LINE_KEY as KEY_SQL, TOKENS, h
 from loomframe.registry import query
@@ -22,18 +23,18 @@ def equi_lookup(t):
 WITH {TOKENS},
 dict AS (SELECT word, row_number() OVER (ORDER BY word) - 1 AS code FROM (SELECT DISTINCT word FROM tokens)),
 coded AS (SELECT doc_id, pos, code FROM tokens JOIN dict USING (word))
-SELECT doc_id, count(*)::BIGINT AS n, sum(code)::BIGINT AS code_sum, min(word) AS first_word, max(word) AS last_word
+SELECT doc_id, count(*)::BIGINT AS n, sum(code)::BIGINT AS code_sum, md5(string_agg(word, ' ' ORDER BY pos)) AS decoded
 FROM coded JOIN dict USING (code) GROUP BY doc_id""")
 def encode_decode(t):
-    df = tokens(t)
-    dictionary = agg.sorted_codes(df, "word")
-    per_word = df.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
-    per_code = lookup.encode(per_word, dictionary, "word").select("doc_id", "code", "n")
-    return lookup.decode(per_code, dictionary, "code", "word").groupBy("doc_id").agg(
-        F.sum("n").alias("n"),
-        F.sum(F.col("code") * F.col("n")).alias("code_sum"),
-        F.min("word").alias("first_word"),
-        F.max("word").alias("last_word"),
+    df = materialize(tokens(t).select("doc_id", "pos", "word"))
+    dictionary = materialize(agg.sorted_codes(df, "word"))
+    coded = lookup.encode(df, dictionary, "word").select("doc_id", "pos", "code")
+    labels = lookup.decode(coded, dictionary, "code", "word")
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"])  # one document's words
+    return labels.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("code").alias("code_sum"),
+        F.md5(F.array_join(in_order, " ").cast("binary")).alias("decoded"),
     )
 
 

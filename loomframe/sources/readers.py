@@ -9,9 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 NAME_ROLE = "array<struct<name:string,job:string,department:string>>"
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """Headered CSV; quotes are doubled inside cells, and a cell may span lines."""
-    return spark.read.schema(schema).csv(path, header=True, escape='"', multiLine=True)
+def read_csv(spark: SparkSession, path: str, schema: str | T.StructType, multi_line: bool = False) -> DataFrame:
+    """Headered CSV; quotes are doubled inside cells.
+
+    Files are split among tasks. Cells that span lines need ``multi_line``, which makes each file one task.
+    """
+    return spark.read.schema(schema).csv(path, header=True, escape='"', multiLine=multi_line)
 
 
 def read_bare_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:

@@ -220,7 +220,7 @@ def write(tmp_path, name, content):
 
 def test_text_readers(spark, tmp_path):
     csv = write(tmp_path, "a.csv", '﻿kind,note,x\nReal,"say ""hi""\nthere",1.5\nCopy,,\n')
-    rows = readers.read_csv(spark, csv, "kind string, note string, x double").collect()
+    rows = readers.read_csv(spark, csv, "kind string, note string, x double", multi_line=True).collect()
     assert [tuple(r) for r in rows] == [("Real", 'say "hi"\nthere', 1.5), ("Copy", None, None)]
     spaced = write(tmp_path, "b.data", "18.0   8  307.0\t\"chevrolet\"\n25.0   4  ?\t\"ford pinto\"\n")
     got = readers.read_spaced(spark, spaced, [("mpg", "double"), ("cylinders", "int"), ("power", "double")]).collect()
