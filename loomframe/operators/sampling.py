@@ -126,16 +126,22 @@ def permuted_copies(df: DataFrame, key: str, tags: str, copies: int, seed: str)
     return rows.withColumn(tags, F.transform(mixed, lambda m: m["t"]))
 
 
+# Primes below 2^31: each is coprime to any smaller number of codes, so its multiples visit every code.
+WALK_STEPS = [2147483647, 2147483629, 2147483587, 2147483579]
+
+
 def foreign_tags(own: Column, key: str, n_tags: int, width: int, seed: str) -> Column:
-    """``width`` different tag codes out of 0..n_tags that the item does not have, in seeded order."""
-    free = F.array_except(F.sequence(F.lit(0), F.lit(n_tags)).cast("array<bigint>"), own)
-    mixed = F.array_sort(
-        F.transform(
-            free,
-            lambda c: F.struct(F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"), c.cast("string"))).alias("h"), c.alias("c")),
-        )
-    )
-    return F.transform(F.slice(mixed, 1, width), lambda m: m["c"])
+    """``width`` different tag codes out of 0..n_tags (below 2^31) that the item does not have, fewer if there are fewer.
+
+    Each item walks the codes from a seeded start with a seeded step; ``width`` steps and one per own tag
+    are enough, whatever the number of tags.
+    """
+    n = n_tags + 1
+    start = hash_long(seed, key) % n
+    step = F.element_at(F.array(*[F.lit(p).cast("bigint") for p in WALK_STEPS]), (hash_long(seed + "-step", key) % len(WALK_STEPS) + 1).cast("int"))
+    places = F.sequence(F.lit(0), F.least(F.lit(n), F.size(own) + width) - 1).cast("array<bigint>")
+    walk = F.transform(places, lambda i: (start + i * step) % n)
+    return F.slice(F.array_except(walk, own), 1, width)
 
 
 def batch_ids(df: DataFrame, order: Sequence[str], size: int, out: str = "batch") -> DataFrame:

@@ -168,9 +168,10 @@ own AS (SELECT p_partkey, list(code) AS codes FROM p JOIN d USING (label) GROUP
 
 @query("ds10_foreign_tags", f"""
 WITH {_PART_TAGS},
-free AS (SELECT p_partkey, unnest(range(0, (SELECT count(*) FROM d) + 1)) AS code FROM own),
-r AS (SELECT f.p_partkey AS p_partkey, code, row_number() OVER (PARTITION BY f.p_partkey ORDER BY md5('ft:' || f.p_partkey || ':' || code), code) AS rn
-      FROM free f JOIN own o USING (p_partkey) WHERE NOT list_contains(codes, code))
+w AS (SELECT p_partkey, codes, (SELECT count(*) FROM d) + 1 AS n, {h("'ft:' || p_partkey")} AS start,
+             {sampling.WALK_STEPS}[({h("'ft-step:' || p_partkey")} % {len(sampling.WALK_STEPS)}) + 1] AS step FROM own),
+walk AS (SELECT p_partkey, codes, i, (start % n + i * step) % n AS code FROM (SELECT *, unnest(range(0, least(n, len(codes) + 3))) AS i FROM w)),
+r AS (SELECT p_partkey, code, row_number() OVER (PARTITION BY p_partkey ORDER BY i) AS rn FROM walk WHERE NOT list_contains(codes, code))
 SELECT p_partkey, string_agg(code::VARCHAR, ',' ORDER BY rn) AS tags FROM r WHERE rn <= 3 GROUP BY p_partkey""")
 def foreign_tags(t):
     dictionary = text.label_codes(t.part, "p_partkey", "p_name", " ")

@@ -50,3 +50,15 @@ def test_digits_of_any_script_and_long_lists(spark):
     df = spark.createDataFrame([("a \u0663\u0664 b 12", ["x", None, "z", "w"])], "t string, l array<string>")
     row = df.select(strip_noise(F.col("t")).alias("t"), padded_list(F.col("l"), F.lit(6)).alias("l")).first()
     assert row["t"] == "a  b " and row["l"] == ["x", "", "z", "w", "", ""]
+
+
+def test_foreign_tags_are_whole_and_not_own(spark):
+    from loomframe.operators import sampling
+
+    rows = [(1, [1, 2]), (2, []), (3, [0, 1, 2, 3, 4, 5]), (4, [0, 1, 2, 3, 4]), (5, [2, 2, 2])]
+    df = spark.createDataFrame(rows, "id long, own array<bigint>")
+    got = df.select("id", sampling.foreign_tags(F.col("own"), "id", 5, 3, "s").alias("tags")).collect()
+    own = dict(rows)
+    for r in got:
+        free = set(range(6)) - set(own[r["id"]])
+        assert set(r["tags"]) <= free and len(r["tags"]) == len(set(r["tags"])) == min(3, len(free))
