@@ -227,7 +227,10 @@ def least_absolute(t):
     return t.spark.range(1).select(*[F.round(F.lit(v), 5).alias(c) for c, v in values.items()])
 
 
-def _newton(c: float, l1_ratio: float) -> str:
+_SCORE = "1 / (1 + exp(-(b + w * n_words)))"
+
+
+def _newton(c: float, l1_ratio: float, shown: str = f"round({_SCORE}, 4) AS score") -> str:
     """Proximal Newton steps of the logistic loss over one column, with a free intercept."""
     return f"""
 WITH RECURSIVE {_DOC_STATS},
@@ -240,7 +243,7 @@ g(step, b, w) AS (SELECT 0, 0::DOUBLE, 0::DOUBLE UNION ALL
                avg(p * (1 - p) * x) AS hbw, avg(p * (1 - p) * x * x) + l2 AS hww
         FROM (SELECT g.*, pen.*, quality, n_words AS x, 1 / (1 + exp(-(b + w * n_words))) AS p FROM g, pen, z WHERE step < 25 AND NOT test)
         GROUP BY step, b, w, l1, l2))))
-SELECT doc_id, quality AS truth, round(1 / (1 + exp(-(b + w * n_words))), 4) AS score FROM z, g WHERE test AND step = 25"""
+SELECT doc_id, quality AS truth, {shown} FROM z, g WHERE test AND step = 25"""
 
 
 def _logistic(t, c, l1_ratio):
@@ -341,15 +344,17 @@ def feature_importance(t):
     return window.cumulative_share(md.feature_importance(model, STATS, t.spark), "importance", "feature", 0.95)
 
 
-@query("m14_saved_model")
+@query("m14_saved_model", _newton(1.0, 0.0, f"round({_SCORE}, 4) AS score, CASE WHEN {_SCORE} > 0.5 THEN 'good' ELSE 'poor' END AS decoded"))
 def saved_model(t):
+    """Fitted, saved, loaded again, and applied to the held-out rows with class names."""
     path = scratch_path(t.spark, "model")
-    df = md.materialize(doc_stats(t).hint("rebalance"))
-    md.save_pipeline(md.fit_pipeline(df, STATS, md.logistic_regression(t.labels.count(), "quality")), path)
-    out = md.load_pipeline(path).transform(df)
-    names = {0: "poor", 1: "good"}
-    decoded = F.when(F.col("prediction") == 1, names[1]).otherwise(names[0])
-    return out.select("doc_id", F.col("quality").alias("truth"), decoded.alias("decoded"))
+    df = md.materialize(held_out(t).select("doc_id", "quality", "part", "n_words"))
+    train = df.filter("part = 'train'")
+    fitted = md.logistic_regression(train.count(), "quality", rounds=500, tolerance=1e-12)
+    md.save_pipeline(md.fit_pipeline(train, ["n_words"], fitted), path)
+    out = md.probability(md.load_pipeline(path).transform(df.filter("part = 'test'")), "score")
+    decoded = F.when(F.col("prediction") == 1, "good").otherwise("poor")
+    return out.select("doc_id", F.col("quality").alias("truth"), F.round("score", 4).alias("score"), decoded.alias("decoded"))
 
 
 _GRID = {"regParam": [0.001, 0.01, 0.1], "elasticNetParam": [0.0, 1.0]}
