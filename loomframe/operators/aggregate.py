@@ -82,10 +82,6 @@ def population_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return cells.select(F.explode(F.array(*cells.columns)).alias("c")).select("c.*")
 
 
-def group_centroids(df: DataFrame, group: str, dims: Sequence[str]) -> DataFrame:
-    return df.groupBy(group).agg(*[F.avg(d).alias(d) for d in dims], F.count(F.lit(1)).alias("n"))
-
-
 def vector_centroids(df: DataFrame, group: str, vector: str) -> DataFrame:
     """(group, dim, mean, n): mean of every vector entry (0-based) per group, for vectors of any length."""
     entries = df.select(group, F.posexplode(F.col(vector)).alias("dim", "value"))

@@ -8,7 +8,6 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomframe.functions.hashing import hash_long
-from loomframe.functions.vectors import nearest_index
 from loomframe.plans.lookups import lookup_join
 from loomframe.plans.ordered import join_stats, row_numbers
 
@@ -38,11 +37,6 @@ def band_names(values: Sequence[Column], bands: Sequence[tuple[str, Sequence[tup
     return name
 
 
-def assign_centers(df: DataFrame, dims: Sequence[str], centers: Sequence[Sequence[float]], out: str) -> DataFrame:
-    """Index of the nearest center per row; the k centers travel as constants of the plan."""
-    return df.withColumn(out, nearest_index([F.col(d) for d in dims], centers))
-
-
 def nearest_vector(vector: Column, centers: Sequence[tuple[Any, Sequence[float]]]) -> Column:
     """Label of the nearest center (least squared distance, ties by label); the centers are one constant array."""
     table = F.array(*[F.struct(F.lit(label).alias("label"), F.array(*[F.lit(float(x)) for x in center]).alias("center")) for label, center in centers])
