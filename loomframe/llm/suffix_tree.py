@@ -1,10 +1,12 @@
 """Language-model scores by a probabilistic suffix tree over word symbols.
 
-Symbols are the ``COMMON`` most frequent words of training, one symbol for all other words, and the end of a text.
-The tree's contexts are the last 1 to ``DEPTH`` symbols, start of the text included. A context is kept if its
-next-symbol distribution diverges enough from that of its longest kept suffix: the code length it saves over all
-its occurrences has to exceed the cost of its parameters. Kept distributions are smoothed with that suffix's, down to
-uniform symbols, and a symbol is scored by the longest kept suffix of what precedes it.
+Symbols are the most frequent words of training, one symbol for all other words, and the end of a text. The tree's
+contexts are the last symbols, start of the text included. The number of symbols (``symbols_for``) and the longest
+context (``depth_for``) grow with the training tokens. A context is kept if its next-symbol distribution diverges
+enough from that of its longest kept suffix: the code length it saves over all its occurrences has to exceed the cost
+of its parameters. Nothing else decides, in particular no count: totals are those of all occurrences. Kept
+distributions are smoothed with that suffix's, down to uniform symbols, and a symbol is scored by the longest kept
+suffix of what precedes it.
 
 A word under the symbol of the others has its discounted share of their count; what is discounted is the chance of
 an unseen word, one class like in the base model:
@@ -13,14 +15,18 @@ an unseen word, one class like in the base model:
 
 with C the occurrences and V the number of distinct other words, n1 and n2 the number seen once and twice.
 
-Size: a next-symbol count below ``EDGE_SHARE`` of all tokens counts as unseen, so at most ``(DEPTH + 1) /
-EDGE_SHARE`` counts reach the driver and the broadcast, however large the corpus is. The word counts, which grow
-with the corpus, stay distributed: blocks of rows send their distinct words to hash buckets, the buckets add up and
-answer each block, and answers meet the texts of their block in sorted order.
+Size: neither the word counts nor the tree are gathered. Blocks of rows send their distinct words to hash buckets, the
+buckets add up and answer each block, and answers meet the texts of their block in sorted order. The tree goes the
+same way: a block sends its distinct positions (context and next symbol, with their training counts) to buckets by the
+last two symbols of the context, so that a bucket has all occurrences of its contexts of two and more symbols; it
+tests them from short to long and answers with the chance of every position asked. Contexts of one symbol are counted
+and tested before, and a symbol's go to the buckets of that symbol, of which a frequent one has many. The driver and
+the broadcast hold one number per symbol.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,18 +37,29 @@ from pyspark.sql import DataFrame, functions as F
 from loomframe.llm.tokens import bounded, spaces, text_buffer
 from loomframe.plans.checkpoints import materialize
 
-DEPTH = 2
-COMMON = 500
-EDGE_SHARE = 5e-7
+DEPTH = 2  # longest context of a small corpus
+COMMON = 500  # symbols of a small corpus
+EDGE_SHARE = 0  # share of the tokens below which a count would be dropped: none is
 BLOCK_ROWS = 512  # rows of a scan partition that ask together
 OTHER, STOP, START = 0, 1, 2  # the common words follow from 3
 _FIRST_WORD = 3
 _BITS = 10  # of a symbol
 _DEPTH_SHIFT = _BITS * (DEPTH + 1)
 _FLUSH = 4_000_000  # distinct counts a task holds before it hands them in
+_NONE = 0xFFFFFFFF  # in place of a symbol before the start
 _LOWER = np.array([x | 32 if 65 <= x <= 90 else x for x in range(256)], np.uint8)
 
 
+def symbols_for(tokens: int) -> int:
+    """Words that are symbols of their own: a quarter of the square root of the training tokens, ``COMMON`` at least."""
+    return max(COMMON, math.isqrt(tokens) // 4)
+
+
+def depth_for(tokens: int) -> int:
+    """Symbols of the longest context: one more than ``DEPTH`` from 1e7 training tokens on, two more from 1e9 on."""
+    return DEPTH + max(0, (len(str(tokens)) - 6) // 2)
+
+
 def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """(code of each word, distinct words as bytes, first word of each row and the end), ASCII letters lowered."""
     raw, offsets = text_buffer(texts)
@@ -91,9 +108,25 @@ def edge_keys(symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.concatenate(keys)
 
 
+def tested(context: np.ndarray, n: np.ndarray, shorter: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted contexts, context of each edge, kept, share left to the suffix, chance of each edge).
+
+    An edge has its context, its count and its chance after the context's longest kept suffix.
+    """
+    state, where, kinds = np.unique(context, return_inverse=True, return_counts=True)
+    total = np.bincount(where, n, minlength=len(state))
+    left = kinds / (total + kinds)
+    chance = n / (total + kinds)[where] + left[where] * shorter
+    saved = np.bincount(where, n * np.log2(chance / shorter), minlength=len(state))
+    return state, where, saved > 0.5 * kinds * np.log2(np.maximum(total, 2)), left, chance
+
+
 @dataclass
 class SuffixTree:
-    """Kept contexts per depth: sorted states with their share left to the suffix, sorted edges with probabilities."""
+    """The tree on one machine, for up to ``DEPTH`` symbols; what the buckets answer has to agree with it.
+
+    Kept contexts per depth: sorted states with their share left to the suffix, sorted edges with probabilities.
+    """
 
     root: np.ndarray
     states: list[np.ndarray]
@@ -115,13 +148,8 @@ class SuffixTree:
             at = at[np.argsort(rest[at], kind="stable")]
             edge, n = rest[at], counts[at].astype(float)
             context, symbol = edge >> _BITS, edge & ((1 << _BITS) - 1)
-            state, where, kinds = np.unique(context, return_inverse=True, return_counts=True)
-            total = np.bincount(where, n, minlength=len(state))
-            left = kinds / (total + kinds)
             shorter = tree.probability(context, np.full(len(context), d - 1), symbol)
-            chance = n / (total + kinds)[where] + left[where] * shorter
-            saved = np.bincount(where, n * np.log2(chance / shorter), minlength=len(state))
-            kept = saved > 0.5 * kinds * np.log2(np.maximum(total, 2))
+            state, where, kept, left, chance = tested(context, n, shorter)
             inside = kept[where]
             tree.states.append(state[kept])
             tree.left.append(left[kept])
@@ -158,8 +186,11 @@ class SuffixTree:
 class Model:
     """What a task needs besides the counts of its block's words."""
 
-    tree: SuffixTree | None
     common: np.ndarray  # sorted hashes of the words that are symbols
+    root: np.ndarray  # chance of each symbol without a context
+    depth: int
+    salts: np.ndarray  # buckets that share the contexts ending in a symbol
+    buckets: int
     tokens: int
     distinct: int
     ends: int
@@ -174,6 +205,13 @@ class Model:
         at = np.minimum(np.searchsorted(self.common, keys), len(self.common) - 1)
         return np.where(self.common[at] == keys, at + _FIRST_WORD, OTHER)
 
+    def bucket(self, last: np.ndarray, salt: np.ndarray) -> np.ndarray:
+        return (_mixed(_mixed(last.astype(np.uint64)) + salt.astype(np.uint64)) % np.uint64(self.buckets)).astype(np.int64)
+
+    def buckets_of(self, last: int) -> np.ndarray:
+        salts = np.arange(self.salts[last])
+        return np.unique(self.bucket(np.full(len(salts), last), salts))
+
     def within(self, symbol: np.ndarray, count: np.ndarray) -> np.ndarray:
         """log10 of the chance of each word, given its symbol."""
         known = np.log10(np.maximum(count - self.discount, 1e-300) / max(self.other, 1))
@@ -181,6 +219,61 @@ class Model:
         return np.where(symbol != OTHER, 0.0, np.where(count > 0, known, unseen))
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """64 bits mixed, one to one."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _chained(key: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    return _mixed(key * np.uint64(0x9E3779B97F4A7C15) + symbol.astype(np.uint64) + np.uint64(1))
+
+
+def spots_of(symbols: np.ndarray, lengths: np.ndarray, depth: int) -> np.ndarray:
+    """Per position: the symbol, then those before it, the last one first, ``_NONE`` beyond the start."""
+    place = np.arange(len(symbols)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    out = np.full((depth + 1, len(symbols)), _NONE, np.uint32)
+    out[0] = symbols
+    for back in range(1, depth + 1):
+        out[back, back:] = symbols[: max(len(symbols) - back, 0)]
+        out[back, place == back - 1] = START
+        out[back, place < back - 1] = _NONE
+    return out
+
+
+def spot_keys(spots: np.ndarray) -> np.ndarray:
+    key = np.zeros(spots.shape[1], np.uint64)
+    for symbol in spots[::-1]:
+        key = _chained(key, symbol)
+    return key
+
+
+def spot_chances(spots: np.ndarray, n: np.ndarray, chance: np.ndarray) -> np.ndarray:
+    """Chance of each distinct position from all that share its last two symbols.
+
+    ``n`` are the counts in training; ``chance`` is that after the longest kept context of up to one symbol.
+    """
+    key = _chained(np.zeros(spots.shape[1], np.uint64), spots[1])
+    for symbol in spots[2:]:
+        key = _chained(key, symbol)
+        usable = np.flatnonzero(symbol != _NONE)
+        edge = _chained(key[usable], spots[0][usable])
+        known = np.flatnonzero(n[usable])
+        edges, first, where = np.unique(edge[known], return_index=True, return_inverse=True)
+        if not len(edges):
+            return chance
+        one = usable[known[first]]
+        state, of, kept, left, after = tested(key[one], np.bincount(where, n[usable[known]]), chance[one])
+        i = np.minimum(np.searchsorted(state, key[usable]), len(state) - 1)
+        hit = (state[i] == key[usable]) & kept[i]
+        j = np.minimum(np.searchsorted(edges, edge), len(edges) - 1)
+        found = edges[j] == edge
+        chance = chance.copy()
+        chance[usable] = np.where(hit, np.where(found, after[j], left[i] * chance[usable]), chance[usable])
+    return chance
+
+
 def _sequences(codes: np.ndarray, firsts: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(symbols of the rows, each with its end, lengths)."""
     lengths = np.diff(firsts) + 1
@@ -234,8 +327,15 @@ def _add_up(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys, np.bincount(where, np.concatenate([n for _, n in parts]), minlength=len(keys)).astype(np.int64)
 
 
-def _answer(common: int):
-    """Per bucket: totals for every asking block (kind 1), sums of the corpus (2), and its most frequent words (3).
+def _put_together(parts: list[tuple[np.ndarray, np.ndarray]], of: type) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys of the parts with their values; each key was asked of one bucket."""
+    keys, values = (np.concatenate([p[k] for p in parts]) if parts else np.empty(0, t) for k, t in enumerate((np.uint64, of)))
+    order = np.argsort(keys, kind="stable")
+    return keys[order], values[order]
+
+
+def _answer():
+    """Per bucket: totals for every asking block (kind 1), sums of the corpus (2), and all its words of training (3).
 
     Rows come sorted by bucket; what the blocks ask of one bucket is held at once.
     """
@@ -251,9 +351,7 @@ def _answer(common: int):
         for block, asked, _ in held:
             yield row(1, block, asked, total[np.searchsorted(keys, asked)])
         yield row(2, 0, np.empty(0, np.int64), np.array([total.sum(), (total > 0).sum(), (total == 1).sum(), (total == 2).sum()]))
-        top = np.lexsort((keys, -total))[:common]
-        top = top[total[top] > 0]
-        yield row(3, 0, keys[top], total[top])
+        yield row(3, 0, keys[total > 0], total[total > 0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, held = None, []
@@ -283,18 +381,20 @@ def _pairs_of(kind: int):
     return run
 
 
-def _count_edges(model):
+def _count_pairs(model):
+    """(key, n) of pairs of adjacent symbols: the contexts of one symbol and what follows them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def hand_in() -> pa.RecordBatch:
             keys, n = _add_up(held)
-            return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(n)], ["key", "n"])
+            return pa.RecordBatch.from_arrays([pa.array((keys >> np.uint64(32)).astype(np.int64)), pa.array((keys & np.uint64(_NONE)).astype(np.int64)), pa.array(n)], ["last", "symbol", "n"])
 
         for table in bounded(batches):
             codes, distinct, firsts = words_of(table["text"])
-            symbols, lengths = _sequences(codes, firsts, model.value.symbols(hashes(distinct.to_pylist())))
-            held.append(np.unique(edge_keys(symbols, lengths), return_counts=True))
+            spots = spots_of(*_sequences(codes, firsts, model.value.symbols(hashes(distinct.to_pylist()))), 1).astype(np.uint64)
+            held.append(np.unique((spots[1] << np.uint64(32)) | spots[0], return_counts=True))
             size += len(held[-1][0])
             if size > _FLUSH:
                 held = [_add_up(held)]
@@ -308,13 +408,126 @@ def _count_edges(model):
     return run
 
 
+_ASKED = ["bucket", "kind", "block", "keys", "n"]
+
+
+def _single_contexts(model):
+    """The kept contexts of one symbol, as one row for each bucket of the symbol; all rows of a symbol lie together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [[batch.column(k).to_numpy() for k in ("last", "symbol", "n")] for batch in batches]
+        if not found:
+            return
+        last, symbol, n = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((symbol, last))
+        last, symbol, n = last[order], symbol[order], n[order].astype(float)
+        state, where, kept, left, chance = tested(last, n, model.value.root[symbol])
+        cuts = np.searchsorted(where, np.arange(len(state) + 1))
+        for k in np.flatnonzero(kept):
+            a, b, buckets = cuts[k], cuts[k + 1], model.value.buckets_of(state[k]).tolist()
+            keys, values = symbol[a:b].astype(np.uint32).tobytes(), np.append(left[k], chance[a:b]).tobytes()
+            many = len(buckets)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(buckets, pa.int32()), pa.array([0] * many, pa.int32()), pa.array([int(state[k])] * many, pa.int64()), pa.array([keys] * many, pa.binary()), pa.array([values] * many, pa.binary())], _ASKED
+            )
+
+    return run
+
+
+def _ask_spots(model):
+    """Distinct positions of each block, as one row per (block, bucket) with their training counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = None, []
+        for table in bounded(batches):
+            blocks, training = table["block"].to_numpy(), ~table["held_out"].to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
+            for a, b in zip(edges, edges[1:]):
+                if block is not None and blocks[a] != block:
+                    yield rows(block, held)
+                    held = []
+                block = int(blocks[a])
+                codes, distinct, firsts = words_of(table["text"].slice(a, b - a))
+                symbols, lengths = _sequences(codes, firsts, model.value.symbols(hashes(distinct.to_pylist())))
+                held.append((spots_of(symbols, lengths, model.value.depth), np.repeat(training[a:b], lengths)))
+        if block is not None:
+            yield rows(block, held)
+
+    def rows(block: int, held: list) -> pa.RecordBatch:
+        spots, counted = np.concatenate([x for x, _ in held], axis=1), np.concatenate([t for _, t in held])
+        _, first, where = np.unique(spot_keys(spots), return_index=True, return_inverse=True)
+        n, spots = np.bincount(where, counted, minlength=len(first)).astype(np.uint32), spots[:, first]
+        salt = _mixed(spots[2].astype(np.uint64)) % model.value.salts[spots[1]].astype(np.uint64)
+        bucket = model.value.bucket(spots[1], salt)
+        order = np.lexsort((*spots, bucket))  # by the bucket, then from the oldest symbol on
+        bucket, spots, n = bucket[order], spots[:, order], n[order]
+        cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+        spans = list(zip(cuts, cuts[1:]))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([int(bucket[a]) for a, _ in spans], pa.int32()), pa.array([1] * len(spans), pa.int32()), pa.array([block] * len(spans), pa.int64()),
+                pa.array([spots[:, a:b].tobytes() for a, b in spans], pa.binary()), pa.array([n[a:b].tobytes() for a, b in spans], pa.binary()),
+            ],
+            _ASKED,
+        )
+
+    return run
+
+
+def _answer_spots(model):
+    """Per bucket: the chance of every position that a block asks for (kind 2).
+
+    Rows come sorted by bucket, its contexts of one symbol first; what the blocks ask of one bucket is held at once.
+    """
+
+    def close(singles: dict, held: list) -> Iterator[pa.RecordBatch]:
+        spots, n = np.concatenate([x for _, x, _ in held], axis=1), np.concatenate([x for _, _, x in held])
+        keys, first, where = np.unique(spot_keys(spots), return_index=True, return_inverse=True)
+        n, spots = np.bincount(where, n, minlength=len(keys)), spots[:, first]
+        chance = model.value.root[spots[0]]
+        order = np.argsort(spots[1], kind="stable")
+        lasts, starts = np.unique(spots[1][order], return_index=True)
+        for last, a, b in zip(lasts.tolist(), starts, [*starts[1:], len(order)]):
+            if last in singles:
+                symbol, values = singles[last]
+                at = order[a:b]
+                j = np.minimum(np.searchsorted(symbol, spots[0][at]), len(symbol) - 1)
+                chance[at] = np.where(symbol[j] == spots[0][at], values[1:][j], values[0] * chance[at])
+        chance = spot_chances(spots, n, chance)
+        start = 0
+        for block, asked, _ in held:
+            own = np.unique(where[start : start + asked.shape[1]])
+            start += asked.shape[1]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([2], pa.int32()), pa.array([block], pa.int64()), pa.array([keys[own].tobytes()], pa.binary()), pa.array([chance[own].tobytes()], pa.binary())],
+                ["kind", "block", "keys", "totals"],
+            )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, singles, held = None, {}, []
+        for batch in batches:
+            for b, kind, block, keys, n in zip(*(batch.column(k).to_pylist() for k in _ASKED)):
+                if b != bucket:
+                    if held:
+                        yield from close(singles, held)
+                    bucket, singles, held = b, {}, []
+                if kind == 0:
+                    singles[block] = np.frombuffer(keys, np.uint32), np.frombuffer(n)
+                else:
+                    held.append((block, np.frombuffer(keys, np.uint32).reshape(model.value.depth + 1, -1), np.frombuffer(n, np.uint32)))
+        if held:
+            yield from close(singles, held)
+
+    return run
+
+
 _SCORES = (("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))
 
 
 def _score(broadcast):
     """Rows come sorted by block, a block's answers before its texts."""
 
-    def score(part: pa.Table, keys: np.ndarray, totals: np.ndarray) -> pa.RecordBatch:
+    def score(part: pa.Table, keys: np.ndarray, totals: np.ndarray, spots: np.ndarray, chances: np.ndarray) -> pa.RecordBatch:
         model: Model = broadcast.value
         codes, distinct, firsts = words_of(part["text"])
         own = hashes(distinct.to_pylist())
@@ -326,7 +539,8 @@ def _score(broadcast):
         add = lambda x: np.bincount(words, x[codes], minlength=n)
         base_total = model.tokens + 0.1 * (model.distinct + 1)
         base = add(np.log10((c + 0.1) / base_total)) + np.log10((model.ends + 0.1) / base_total)
-        spelled = np.bincount(owner, model.tree.log10_symbols(symbols, lengths), minlength=n) + add(model.within(symbol, c))
+        after = chances[np.searchsorted(spots, spot_keys(spots_of(symbols, lengths, model.depth)))]
+        spelled = np.bincount(owner, np.log10(after), minlength=n) + add(model.within(symbol, c))
         columns = [
             part["held_out"].combine_chunks(), pa.array(lengths), pa.array(add(c > 0).astype(np.int64) + bool(model.ends)),
             pa.array(np.full(n, model.tokens, np.int64)), pa.array(base), pa.array(spelled),
@@ -334,34 +548,35 @@ def _score(broadcast):
         return pa.RecordBatch.from_arrays([part["id"].combine_chunks(), *columns], ["id", *[name for name, _ in _SCORES]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, answers = None, []
+        block, answers, chances = None, [], []
         for table in bounded(batches):
             blocks, kinds = table["block"].to_numpy(), table["kind"].to_numpy()
             cuts = np.flatnonzero((np.diff(blocks) != 0) | (np.diff(kinds) != 0)) + 1
             edges = [0, *cuts.tolist(), len(blocks)]
             for a, b in zip(edges, edges[1:]):
                 if blocks[a] != block:
-                    block, answers = blocks[a], []
+                    block, answers, chances = blocks[a], [], []
                 part = table.slice(a, b - a)
-                if kinds[a] == 1:
-                    packed = zip(part["keys"].to_pylist(), part["totals"].to_pylist())
-                    answers += [(np.frombuffer(k, np.uint64), np.frombuffer(n, np.int64)) for k, n in packed]
+                if kinds[a] < 3:
+                    packed, of = zip(part["keys"].to_pylist(), part["totals"].to_pylist()), np.int64 if kinds[a] == 1 else np.float64
+                    (answers if kinds[a] == 1 else chances).extend((np.frombuffer(k, np.uint64), np.frombuffer(n, of)) for k, n in packed)
                     continue
-                answers = [_add_up(answers)]  # each word was asked of one bucket
-                yield score(part, *answers[0])
+                answers, chances = [_put_together(answers, np.int64)], [_put_together(chances, np.float64)]
+                yield score(part, *answers[0], *chances[0])
 
     return run
 
 
 def language_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, held_fold: int = 0,
-                    common: int = COMMON) -> DataFrame:
+                    common: int | None = None, depth: int | None = None) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
     Rows whose crc32 of the id (as text) leaves ``held_fold`` modulo ``folds`` are held out of training; a null id
     is a training row. A null text is an empty one: its only token is the end. Repeated rows count as often as
     they are there. With no training row, symbols are uniform. An empty table gives no rows. Other columns are not
     read. The input has to be recomputable (files or a checkpoint): blocks are runs of ``BLOCK_ROWS`` rows of a scan
-    partition. ``base_score`` is the add-0.1 unigram model's log10 probability.
+    partition. ``base_score`` is the add-0.1 unigram model's log10 probability. ``common`` (words that are symbols) and
+    ``depth`` (symbols of the longest context, 2 at least) follow from the training tokens where they are not given.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -371,26 +586,37 @@ def language_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), held.alias("held_out"), block.alias("block"))
     asked = rows.select("text", "held_out", "block").mapInArrow(_ask(buckets), "bucket int, block long, keys binary, n binary")
     packed = "kind int, block long, keys binary, totals binary"
-    answers = materialize(asked.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer(common), packed))
+    answers = materialize(asked.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer(), packed))
     pairs = lambda kind: answers.filter(F.col("kind") == kind).select("keys", "totals").mapInArrow(_pairs_of(kind), "key long, n long")
     sums = {r["key"]: r["n"] for r in pairs(2).groupBy("key").agg(F.sum("n").alias("n")).collect()}
     words, distinct, once, twice = (sums.get(k, 0) for k in range(4))
-    top = pairs(3).orderBy(F.desc("n"), "key").limit(common).collect()
     ends = rows.filter("not held_out").count()
+    common, depth = symbols_for(words + ends) if common is None else common, depth_for(words + ends) if depth is None else depth
+    top = pairs(3).orderBy(F.desc("n"), "key").limit(common).collect()
     discount = min(max(once / (once + 2 * twice), 0.1), 0.9) if once + twice else 0.5
     other, others = words - sum(r["n"] for r in top), distinct - len(top)
-    symbols = np.sort(np.array([r["key"] for r in top], np.int64).view(np.uint64))
-    model = Model(None, symbols, int(words + ends), int(distinct + bool(ends)), int(ends), discount, int(other), int(others))
-    counted = rows.filter("not held_out").select("text").mapInArrow(_count_edges(spark.sparkContext.broadcast(model)), "key long, n long")
-    counted = counted.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= model.tokens * EDGE_SHARE).toPandas()
-    model.tree = SuffixTree.fit(counted["key"].to_numpy(np.int64), counted["n"].to_numpy(np.int64), len(symbols) + _FIRST_WORD)
+    top = sorted((r["key"] % 2**64, r["n"]) for r in top)
+    seen = np.array([other, ends, 0, *(n for _, n in top)], float)  # in the order of OTHER, STOP, START and the common words
+    kinds = max(np.count_nonzero(seen), 1)
+    follows = np.where(np.arange(len(seen)) == START, ends, seen)
+    salts = np.ceil(2 * buckets * follows / max(words + ends, 1)).astype(np.int64).clip(1)
+    model = Model(
+        np.array([k for k, _ in top], np.uint64), (seen + kinds / len(seen)) / (seen.sum() + kinds), depth, salts, buckets,
+        int(words + ends), int(distinct + bool(ends)), int(ends), discount, int(other), int(others),
+    )
+    sent = spark.sparkContext.broadcast(model)
+    counted = rows.filter("not held_out").select("text").mapInArrow(_count_pairs(sent), "last long, symbol long, n long")
+    counted = counted.groupBy("last", "symbol").agg(F.sum("n").alias("n")).repartition(parts, "last")
+    asked = "bucket int, kind int, block long, keys binary, n binary"
+    spots = rows.select("text", "held_out", "block").mapInArrow(_ask_spots(sent), asked).unionByName(counted.mapInArrow(_single_contexts(sent), asked))
+    chances = spots.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_answer_spots(sent), packed)
 
     shape = "cast(null as binary) as keys", "cast(null as binary) as totals"
-    asking = rows.selectExpr("block", "2 as kind", "id", "text", "held_out", *shape)
+    asking = rows.selectExpr("block", "3 as kind", "id", "text", "held_out", *shape)
     id_type = dict(rows.dtypes)["id"]
-    answering = answers.filter("kind = 1").selectExpr("block", "kind", f"cast(null as {id_type}) as id", "'' as text", "false as held_out", "keys", "totals")
+    answering = answers.filter("kind = 1").unionByName(chances).selectExpr("block", "kind", f"cast(null as {id_type}) as id", "'' as text", "false as held_out", "keys", "totals")
     met = answering.unionByName(asking).repartition(parts, "block").sortWithinPartitions("block", "kind")
     schema = rows.select("id").schema
     for name, kind in _SCORES:
         schema = schema.add(name, {pa.bool_(): "boolean", pa.int64(): "long", pa.float64(): "double"}[kind])
-    return met.mapInArrow(_score(spark.sparkContext.broadcast(model)), schema).withColumnRenamed("id", id_col)
+    return met.mapInArrow(_score(sent), schema).withColumnRenamed("id", id_col)

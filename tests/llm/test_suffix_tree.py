@@ -132,3 +132,26 @@ def test_whole_table(tables, monkeypatch):
     same(got, expected(rows, 50))
     held = [r for r in got if r["held_out"]]
     assert sum(r["score"] for r in held) > 0.97 * sum(r["base_score"] for r in held) and all(r["score"] < 0 for r in got)
+
+
+def test_longer_contexts(tables, monkeypatch):
+    monkeypatch.setitem(globals(), "DEPTH", 4)
+    rows = [(r["doc_id"], r["text"]) for r in tables.documents.limit(120).collect()]
+    docs = tables.documents.sparkSession.createDataFrame(rows, "doc_id long, text string")
+    same(language_scores(docs, common=30, depth=4).collect(), expected(rows, 30))
+
+
+def test_rare_counts_of_a_large_corpus_are_kept(spark):
+    """Over 2M tokens with the parameters of use: what is seen once or twice counts in full."""
+    rare = [(1000 + i, f"a{i % 3} b{i % 5} c{i % 7} rare{i % 40} end") for i in range(200)]
+    rows = [(i, "word " * 30_000) for i in range(85)] + rare
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).cache()
+    got = language_scores(docs).collect()
+    assert got[0]["train_tokens"] > 2_000_000
+    same(got, expected(rows, 500))
+
+
+def test_the_tree_grows_with_the_corpus():
+    sizes = [10**k for k in range(3, 13)]
+    assert [model.depth_for(n) for n in sizes] == [2, 2, 2, 2, 3, 3, 4, 4, 5, 5]
+    assert all(model.symbols_for(a) < model.symbols_for(b) for a, b in zip(sizes[4:], sizes[5:])) and model.symbols_for(0) == 500
