@@ -73,3 +73,28 @@ def test_odd_rows(odd_docs, no_docs):
         assert r["ids_crc32"] == zlib.crc32(part.tobytes()) and r["doc_tokens"] == len(ids[r["doc_id"]])
     assert pack_documents(odd_docs, WORDS, 1).filter("doc_id = 7 and start = 0").count() == 3
     assert pack_documents(no_docs, WORDS, 1).collect() == []
+
+
+def test_neighbours_meet_across_files_and_shards(spark, monkeypatch):
+    """60 topics of 8 documents, dealt to 8 partitions one each; the shards hold a few topics."""
+    monkeypatch.setattr("loomframe.llm.packing.SHARD_TOKENS", 2400, raising=False)
+    monkeypatch.setattr("loomframe.llm.packing.SHARD_BYTES", 2400 * 4, raising=False)
+    draw = np.random.default_rng(5)
+    vocabulary = [f"{a}{b}{c}" for a in "bdfgklmnprst" for b in "aeiou" for c in "bdfgklmnprst"]
+    topics = [draw.choice(vocabulary, 12, replace=False) for _ in range(60)]
+    texts = [" ".join([*draw.choice(topics[i % 60], 20), *draw.choice(vocabulary, 10)]) for i in range(480)]
+    docs = spark.createDataFrame([(i, t, i // 60) for i, t in enumerate(texts)], "doc_id long, text string, part int")
+    got = pack_documents(docs.repartitionByRange(8, "part"), WORDS, 1, window=256).collect()
+    ids = [[*load(WORDS).encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    check([(r["doc_id"], r["start"], r["length"], r["sequence_id"], r["offset"]) for r in got], {i: len(x) for i, x in enumerate(ids)}, 256)
+    shards = defaultdict(set)
+    for r in got:
+        shards[r["doc_id"]].add(r["sequence_id"] >> 24)
+    assert len(set.union(*shards.values())) > 5
+    index = Bm25Shard(np.array(sum(ids, [])), np.concatenate([[0], np.cumsum([len(x) for x in ids])]))
+    met = 0
+    for i in range(480):
+        score = index.scores(i)
+        score[i] = 0
+        met += bool(shards[i] & shards[int(score.argmax())])
+    assert met > 0.5 * 480  # 0.58 of the true nearest neighbours
