@@ -2,7 +2,8 @@
 
 1. Voters. A lexicon voter fires on a word, a pattern voter on a word beginning (``abcd*``). A short list of
    insults is given; the others are mined from a bounded number of labelled rows: features common among toxic
-   ones and rare among the rest.
+   ones and rare among the rest, the latter also if each group of near copies counts once. Each next voter is the one
+   with the most evidence in toxic rows that earlier ones do not cover yet, so a group of near copies takes few places.
 2. Label model, without labels, over the votes of all documents: a class prior and, per voter, the chance to fire
    on a toxic and on a clean document, fitted by expectation maximisation. Each round is one aggregate over the
    distinct vote patterns. Voters that fire together more often than their class explains are correlated; a voter
@@ -25,7 +26,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from loomframe.llm.rows import without_rows
-from loomframe.llm.suffix_tree import words_of
+from loomframe.llm.simhash import Labels
+from loomframe.llm.suffix_tree import hashes, words_of
 from loomframe.llm.tokens import bounded
 from loomframe.plans.checkpoints import materialize
 
@@ -38,6 +40,7 @@ VOTERS, FEATURES, CANDIDATES = 256, 4096, 50_000  # bounds of the voters, the cl
 MINED_BYTES = 1 << 20  # text bytes that mining handles at once
 LEAST_DOCS = 4  # toxic rows that a mined feature has to be in
 PRECISION = 0.85  # toxic share that the labelled rows with a mined feature have to exceed
+BANDS, BAND = 16, 3  # near copies in mining: texts that agree in one band of that many least hashes of 3-word shingles
 ROUNDS = 8
 REDUNDANT = 0.6  # correlation from which two voters are taken to tell the same
 BELIEF = 100  # documents that a first guess of a voter's rates counts as
@@ -104,6 +107,67 @@ def _count(known):
     return run
 
 
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, bands) with ``BANDS`` hashes of each text."""
+    seeds = np.random.default_rng(7).integers(1, 1 << 62, BANDS * BAND, np.uint64) | np.uint64(1)
+    for table in bounded(batches, limit=MINED_BYTES):
+        codes, distinct, firsts = words_of(table["text"])
+        own = hashes(distinct.to_pylist())[codes] if len(codes) else np.empty(0, np.uint64)
+        out = []
+        for a, b in zip(firsts, firsts[1:]):
+            words = np.unique(_shingles(own[a:b]))
+            least = [np.min(_shuffled(words ^ seed), initial=np.uint64((1 << 64) - 1)) for seed in seeds]
+            out.append([int(hash(tuple(int(x) for x in least[k : k + BAND]))) for k in range(0, len(least), BAND)] if len(words) else [])
+        yield pa.RecordBatch.from_arrays([table["row"].combine_chunks(), pa.array(out, pa.list_(pa.int64()))], ["row", "bands"])
+
+
+def _shuffled(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+def _shingles(words: np.ndarray) -> np.ndarray:
+    """Hashes of three adjacent words, or of all where there are fewer."""
+    size = min(3, len(words))
+    out = np.zeros(len(words) - size + 1 if size else 0, np.uint64)
+    for k in range(size):
+        out = _shuffled(out * np.uint64(0x9E3779B97F4A7C15) + words[k : len(words) - size + 1 + k])
+    return out
+
+
+def near_copies(rows: list, bands: list) -> np.ndarray:
+    """A number for the group of each text: those linked over equal bands."""
+    labels = Labels(len(rows))
+    for k in range(BANDS):
+        at = np.array([i for i, b in enumerate(bands) if len(b)], np.int64)
+        if len(at):
+            _, first, where = np.unique(np.array([bands[i][k] for i in at], np.int64), return_index=True, return_inverse=True)
+            labels.join(at[first][where], at)
+    return labels.of
+
+
+def cover(rows: np.ndarray, features: np.ndarray, strength: np.ndarray, picks: int) -> list[int]:
+    """Features in the order of choice, ``picks`` of them one by one.
+
+    ``rows`` and ``features`` are the pairs of toxic rows and features in them. The evidence of a feature counts by its
+    share of rows not covered; a row counts half as much with each chosen feature in it. The others follow by what is left.
+    """
+    weight = np.ones(rows.max(initial=-1) + 1)
+    own = np.maximum(np.bincount(features, minlength=len(strength)), 1)
+    order = np.argsort(features, kind="stable")
+    starts = np.searchsorted(features[order], np.arange(len(strength) + 1))
+    open_, chosen = strength > 0, []
+    while True:
+        gain = np.where(open_, strength * np.bincount(features, weight[rows], minlength=len(strength)) / own, -1)
+        if len(chosen) >= picks or not open_.any():
+            rest = np.argsort(-gain, kind="stable")
+            return chosen + rest[open_[rest]].tolist()
+        best = int(np.argmax(gain))
+        chosen.append(best)
+        open_[best] = False
+        weight[rows[order[starts[best] : starts[best + 1]]]] /= 2
+
+
 def _vote(known):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in bounded(batches):
@@ -123,6 +187,7 @@ def _share(frame: DataFrame, key: str, most: int) -> DataFrame:
 
 def mined_features(rows: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, float]:
     """(features, voters first; their rates among toxic and clean rows; toxic share) from labelled rows that are not held out."""
+    spark = rows.sparkSession
     marks = labels.filter("label is not null").groupBy("_id").agg(F.max("label").alias("label")).filter(~held_out("_id"))
     used = materialize(_share(marks, "_id", LABELLED_ROWS))
     sizes = {bool(r["label"]): r["n"] for r in used.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -133,23 +198,40 @@ def mined_features(rows: DataFrame, labels: DataFrame) -> tuple[list[str], np.nd
     # The sample is bounded, so its ids are broadcast and only its texts move; equal texts count once.
     texts = rows.join(F.broadcast(used), F.col("id") == F.col("_id")).groupBy(F.xxhash64("text").alias("_h"))
     texts = materialize(texts.agg(F.first("text").alias("text"), F.max("label").alias("label")).select("text", "label"))
+    numbered = texts.withColumn("row", F.monotonically_increasing_id())
+    banded = numbered.select("row", "text").mapInArrow(_bands, "row long, bands array<long>").collect()
+    groups = near_copies(banded, [r["bands"] for r in banded]).tolist()
+    groups = spark.createDataFrame([(r["row"], g) for r, g in zip(banded, groups)], "row long, g long")
+    # The features of a group of near copies are those of its texts, put one after the other.
+    merged = numbered.join(F.broadcast(groups), "row").groupBy("g", "label").agg(F.array_join(F.collect_list("text"), " ").alias("text"))
     found = texts.filter("label = 1").mapInArrow(lambda b: _mine(_only_text(b)), "feature string, n long")
     found = found.groupBy("feature").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_DOCS)
     some = {r["feature"]: r["n"] for r in found.orderBy(F.desc("n"), "feature").limit(CANDIDATES).collect()}
     known = {f: i for i, f in enumerate(sorted({*some, *given}))}
-    sent = rows.sparkSession.sparkContext.broadcast(known)
-    counted = texts.filter("label = 0").mapInArrow(_count(sent), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
-    other = np.zeros(len(known))
-    for r in counted:
-        other[r["feature"]] = r["n"]
+    sent = spark.sparkContext.broadcast(known)
+
+    def counted(frame: DataFrame) -> np.ndarray:
+        out = np.zeros(len(known))
+        for r in frame.select("text").mapInArrow(_count(sent), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect():
+            out[r["feature"]] = r["n"]
+        return out
+
+    other, merged = counted(texts.filter("label = 0")), materialize(merged)
+    once, once_other = (counted(merged.filter(F.col("label") == k)) for k in (1, 0))
     names = sorted(known)
     own = np.array([some.get(f, 0) for f in names], float)
     share, n = toxic / (toxic + clean), np.maximum(own + other, 1)
     rate = np.clip(own / n, 1e-9, 1 - 1e-9)
     evidence = n * (rate * np.log(rate / share) + (1 - rate) * np.log((1 - rate) / (1 - share)))
     # As many features as were looked at would make a fluke of this size likely once: ask for more.
-    strength = np.where((own >= LEAST_DOCS) & (rate > PRECISION) & (evidence > np.log(max(len(some), 1)) + 1), evidence, 0)
-    order = [names[i] for i in np.argsort(-strength, kind="stable") if strength[i] > 0]
+    rate_once = once / np.maximum(once + once_other, 1)
+    strength = np.where((own >= LEAST_DOCS) & (rate > PRECISION) & (rate_once > PRECISION) & (evidence > np.log(max(len(some), 1)) + 1), evidence, 0)
+    strong = np.flatnonzero(strength)
+    at = spark.sparkContext.broadcast({names[i]: k for k, i in enumerate(strong)})
+    voted = numbered.filter("label = 1").select(F.col("row").alias("id"), "row", F.lit(False).alias("held_out"), "text")
+    fired = [r["features"] for r in voted.mapInArrow(_vote(at), "id long, row long, held_out boolean, features array<int>").collect()] if len(strong) else []
+    pairs = np.repeat(np.arange(len(fired)), [len(f) for f in fired]), np.array([k for f in fired for k in f], np.int64)
+    order = [names[strong[k]] for k in cover(*pairs, strength[strong], VOTERS)]
     voters = list(dict.fromkeys([*given, *order[: VOTERS - len(given)]]))
     chosen = list(dict.fromkeys([*voters, *order]))[:FEATURES]
     at = [known[f] for f in chosen]

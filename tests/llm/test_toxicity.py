@@ -82,3 +82,40 @@ def test_odd_rows(spark, odd_docs, no_docs):
 def test_given_table(tables):
     rows = toxicity_scores(tables.documents, tables.labels).join(tables.labels, "doc_id").collect()
     assert sum(r["predicted"] for r in rows if not r["toxic"]) <= 0.02 * len(rows)
+
+
+def test_a_hot_group_leaves_room_for_other_words(spark):
+    """A third of the labelled rows are near copies of one toxic text; the other toxic rows have words of their own."""
+    draw = random.Random(8)
+    word = lambda n: "".join(draw.choice("bdgklmnprst") + draw.choice("aeiou") for _ in range(n))
+    plain, hot = [word(3) for _ in range(300)], [word(5) for _ in range(90)]
+    bad = ["zz" + word(2) + "q" for _ in range(14)]
+    rows, labels = [], {}
+    for i in range(2400):
+        kind = i % 3
+        if kind == 0:  # two words in a hundred differ from copy to copy
+            words = [*hot, *plain[:30]]
+            for _ in range(2):
+                words[draw.randrange(len(words))] = draw.choice(plain)
+        else:
+            words = [draw.choice(plain) for _ in range(40)]
+            if kind == 1 and i % 9 == 1:
+                words[draw.randrange(40)] = draw.choice(bad)
+                words[draw.randrange(40)] = draw.choice(bad)
+        toxic = kind == 0 or kind == 1 and i % 9 == 1
+        rows.append((i, " ".join(words)))
+        labels[i] = int(toxic)
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(labels.items()), "doc_id long, toxic int")
+    names = toxicity.mined_features(docs.selectExpr("doc_id as id", "text"), marks.selectExpr("doc_id as _id", "toxic as label"))[0]
+    voters = set(names[: toxicity.VOTERS])
+    found = sum(b in voters or any(b.startswith(v[:-1]) for v in voters if v.endswith("*")) for b in bad)
+    assert found == 14
+    got = {r["doc_id"]: r for r in toxicity_scores(docs, marks).collect()}
+    for kind in (0, 1, 2):
+        held = [i for i in labels if got[i]["held_out"] and i % 3 == kind]
+        assert sum(got[i]["predicted"] == labels[i] for i in held) > 0.95 * len(held) > 50
+
+
+def test_cover_turns_to_rows_not_covered():
+    rows = np.array([0, 0, 1, 1, 2, 2, 3])
+    assert toxicity.cover(rows, np.array([0, 1, 0, 1, 0, 1, 2]), np.array([9.0, 8.0, 5.0]), 2) == [0, 2, 1]
