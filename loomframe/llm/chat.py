@@ -95,15 +95,16 @@ def canonical_turns(records: DataFrame, key: str, ignore: tuple[str, ...] = ())
 def json_layout(record: Column) -> Column:
     """Fingerprint of the layout of one JSON object, null if it has none of the known ones.
 
-    The paths are its keys and, for a layout with a list of objects, the keys of the list's first object.
+    The paths are its keys and, for a layout with a list of objects, the keys that all objects of the list have to have.
     """
     keys, layout = F.array_sort(F.json_object_keys(record)), F.lit(None).cast("string")
     for m in MAPPINGS.values():
         tops, nested = sorted({f.split("[")[0] for f in m.fields}), sorted(f.split(".")[1] for f in m.fields if "[]." in f)
         same = keys == F.array(*[F.lit(t) for t in tops])
         if nested:
-            first = F.array_sort(F.json_object_keys(F.get_json_object(record, f"$.{tops[0]}[0]")))
-            same = same & (first.isNull() | (first == F.array(*[F.lit(n) for n in nested])))
+            value, known = F.get_json_object(record, f"$.{tops[0]}"), F.array(*[F.lit(n) for n in nested])
+            alike = F.forall(F.from_json(value, "array<string>"), lambda e: F.coalesce(F.array_sort(F.json_object_keys(e)) == known, F.lit(False)))
+            same = same & (value.isNull() | F.coalesce(alike, F.lit(False)))
         layout = F.when(same, F.lit(m.fingerprint)).otherwise(layout)
     return layout
 
