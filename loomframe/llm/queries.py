@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from loomframe.llm.chat import canonical_turns, digests, format_turns
 from loomframe.llm.chunk_prints import successor_likeness
 from loomframe.llm.exact import exact_groups
 from loomframe.llm.mixing import mix_plan
 from loomframe.llm.packing import pack_documents
+from loomframe.llm.prefix_trie import UNIT, conversation_paths, prefix_trie
 from loomframe.llm.simhash import near_groups
 from loomframe.llm.suffix_tree import language_scores
 from loomframe.llm.token_counts import token_counts
 from loomframe.llm.token_files import token_file_table
 from loomframe.llm.toxicity import toxicity_scores
+from loomframe.plans.checkpoints import materialize
 from loomframe.registry import Tables, query
 
 
@@ -95,3 +98,53 @@ SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(norm) AS text_sha2
 @query("op10_block_naming", OP10_SQL)
 def op10(t: Tables):
     return exact_groups(t.documents)
+
+
+OP11_SQL = r"""
+WITH t AS (
+  SELECT conv_id, coalesce(text, '') AS text, coalesce(role, '') AS role, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS unit, turn
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({'unit': unit, 'bytes': strlen(text)} ORDER BY turn NULLS FIRST, role, unit) AS turns FROM t GROUP BY conv_id),
+crc AS (
+  SELECT conv_id, turns, conv_id - ((conv_id % 5) + 5) % 5 AS source,
+         xor(list_reduce(flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: [ord(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+                         lambda a, v: CASE WHEN v >= 0 THEN xor(a, v) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END, 4294967295::BIGINT), 4294967295) % 9 AS h
+  FROM own),
+rebuilt AS (
+  SELECT c.conv_id, list_concat(list_slice(coalesce(s.turns, []), 1, c.h), list_slice(c.turns, c.h + 1, len(c.turns))) AS turns
+  FROM crc c LEFT JOIN own s ON s.conv_id = c.source),
+prefixes AS (
+  SELECT conv_id, depth, len(turns) = depth AS ends, CASE WHEN depth > 0 THEN turns[depth].bytes ELSE 0 END AS bytes,
+         sha256(array_to_string(list_transform(turns[1:depth], lambda x: x.unit), ',')) AS key,
+         CASE WHEN depth > 0 THEN sha256(array_to_string(list_transform(turns[1:depth - 1], lambda x: x.unit), ',')) END AS parent
+  FROM (SELECT conv_id, turns, unnest(range(len(turns) + 1)) AS depth FROM rebuilt)),
+nodes AS (
+  SELECT key, depth, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(bytes) AS saved,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM prefixes GROUP BY key, depth),
+families AS (SELECT parent AS key, count(*) AS n_children FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+subtrees AS (
+  SELECT p.key, sum(n.saved) AS saved_tokens, count(*) FILTER (n.key NOT IN (SELECT key FROM families)) AS n_leaves
+  FROM nodes n JOIN prefixes p ON p.conv_id = n.conv_id AND p.depth <= n.depth GROUP BY p.key)
+SELECT n.conv_id, n.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(f.n_children, 0)::BIGINT AS n_children, s.n_leaves, s.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN subtrees s USING (key) LEFT JOIN families f USING (key) LEFT JOIN nodes u ON u.key = n.parent
+"""
+
+
+def shared_openings(paths):
+    """The dealt input of op11: a conversation's first turns are those of a neighbour that others open with too."""
+    paths = materialize(paths)
+    h = F.pmod(F.crc32(F.col("conv").cast("string").cast("binary")), F.lit(9)).cast("int") * UNIT
+    own = paths.select("conv", "path", h.alias("h"), (F.col("conv") - F.pmod("conv", F.lit(5))).alias("source"))
+    sources = paths.select(F.col("conv").alias("source"), F.col("path").alias("opening"))
+    opening = F.coalesce(F.col("opening"), F.unhex(F.lit("")))
+    rest = F.substring(F.col("path"), F.col("h") + 1, F.octet_length("path"))
+    return own.join(sources, "source", "left").select("conv", F.concat(F.substring(opening, F.lit(1), F.col("h")), rest).alias("path"))
+
+
+@query("op11_truncation_peeling", OP11_SQL)
+def op11(t: Tables):
+    nodes = prefix_trie(shared_openings(conversation_paths(t.conversations)))
+    return nodes.select(
+        F.col("conv").alias("conv_id"), F.col("depth").cast("long").alias("depth"), F.col("parent").alias("parent_conv_id"),
+        "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")

@@ -16,7 +16,7 @@ from loomframe.plans.checkpoints import scratch_path
 
 def test_registration():
     names = list(entry_module.queries())
-    assert "pipeline" in names and [n.split("_")[0] for n in names if re.match(r"op\d+_", n)].__len__() == 10
+    assert "pipeline" in names and [n.split("_")[0] for n in names if re.match(r"op\d+_", n)].__len__() == 13
 
 
 @pytest.mark.parametrize("n", [0, 1, 700])
