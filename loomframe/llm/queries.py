@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import public_tokenizers
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from loomframe.llm.exact import exact_groups
 from loomframe.llm.mixing import mix_plan
 from loomframe.llm.packing import pack_documents
 from loomframe.llm.prefix_trie import UNIT, conversation_paths, prefix_trie
+from loomframe.llm.quality_rules import ALPHA, DELTA, RULES, TOLERATED, USEFUL, quality_verdicts
 from loomframe.llm.simhash import near_groups
 from loomframe.llm.suffix_tree import language_scores
 from loomframe.llm.token_counts import token_counts
@@ -148,3 +151,74 @@ def op11(t: Tables):
     return nodes.select(
         F.col("conv").alias("conv_id"), F.col("depth").cast("long").alias("depth"), F.col("parent").alias("parent_conv_id"),
         "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+
+def _op12_ratio(value: str) -> str:
+    return re.sub(r"try_divide\((\S+), (\w+)\)", r"(\1 / nullif(\2, 0))", value)
+
+
+def _op12_rules() -> str:
+    """The rules of ``quality_rules.RULES`` as DuckDB rows (r, stratum, good, held, rule, value, cutoff)."""
+    return " UNION ALL ".join(
+        f"SELECT r, stratum, good, held, '{name}' AS rule, {_op12_ratio(value)} AS value, unnest({list(cutoffs)}::DOUBLE[]) AS cutoff FROM known"
+        for name, (value, cutoffs) in RULES.items())
+
+
+def _op12_hits() -> str:
+    return " UNION ALL ".join(
+        f"SELECT c.r FROM counts c JOIN chosen x ON x.stratum IS NOT DISTINCT FROM c.stratum AND x.rule = '{name}' WHERE {_op12_ratio(value)} > x.cutoff"
+        for name, (value, _) in RULES.items())
+
+
+OP12_SQL = rf"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, lang AS stratum, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+words AS (SELECT r, len(ws) AS n, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM docs WHERE len(ws) > 7),
+places AS (SELECT r, n, i, string_agg(w, ' ') OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS words8 FROM words),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, md5(words8)) AS n FROM places WHERE i <= n - 7) WHERE n > 1),
+repeats AS (SELECT r, sum(step)::BIGINT AS n_repeat_words FROM (SELECT r, least(8, coalesce(lead(i) OVER (PARTITION BY r ORDER BY i) - i, 8)) AS step FROM twice) GROUP BY r),
+lines AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM docs) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+counts AS (
+  SELECT r, doc_id, stratum, len(ws)::BIGINT AS n_words, list_unique(ws)::BIGINT AS n_distinct_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+         len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(regexp_extract_all(text, '[!?]'))::BIGINT AS n_marks, len(regexp_extract_all(text, '[A-Z]'))::BIGINT AS n_capitals,
+         coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+         len(ws) < 20 OR 100 * coalesce(n_repeat_words, 0) > 30 * len(ws) AS base_failed
+  FROM docs LEFT JOIN repeats USING (r) LEFT JOIN lines USING (r)),
+marks AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+known AS (SELECT c.*, quality >= 1 AS good, ('0x' || substr(md5(c.doc_id::VARCHAR), 1, 8))::BIGINT % 2 = 1 AS held FROM counts c JOIN marks USING (doc_id) WHERE NOT base_failed),
+long AS ({_op12_rules()}),
+sums AS (
+  SELECT stratum, rule, cutoff, count(*) FILTER (good) AS fit_good, count(*) FILTER (NOT good) AS fit_bad,
+         count(*) FILTER (good AND value > cutoff) AS good_hit, count(*) FILTER (NOT good AND value > cutoff) AS bad_hit
+  FROM long WHERE NOT held GROUP BY ALL),
+best AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY stratum, rule ORDER BY bad_hit DESC, cutoff DESC) AS choice FROM sums
+                 WHERE good_hit <= fit_good * {ALPHA * TOLERATED / len(RULES)}::DOUBLE AND bad_hit >= greatest(fit_bad * {USEFUL}::DOUBLE, 1))
+  WHERE choice = 1),
+proposed AS (SELECT stratum, rule, cutoff, row_number() OVER (PARTITION BY stratum ORDER BY bad_hit DESC, rule) AS place FROM best),
+held_good AS (SELECT stratum, count(*) AS holdout FROM known WHERE good AND held GROUP BY stratum),
+fallen AS (
+  SELECT stratum, place, count(*) AS n
+  FROM (SELECT l.r, any_value(l.stratum) AS stratum, min(p.place) AS place FROM long l JOIN proposed p ON p.stratum IS NOT DISTINCT FROM l.stratum AND p.rule = l.rule AND p.cutoff = l.cutoff
+        WHERE good AND held AND value > l.cutoff GROUP BY l.r)
+  GROUP BY stratum, place),
+steps AS (
+  SELECT p.*, coalesce(h.holdout, 0) AS holdout, (sum(coalesce(f.n, 0)) OVER (PARTITION BY p.stratum ORDER BY p.place ROWS UNBOUNDED PRECEDING))::BIGINT AS rejected
+  FROM proposed p LEFT JOIN held_good h ON h.stratum IS NOT DISTINCT FROM p.stratum LEFT JOIN fallen f ON f.stratum IS NOT DISTINCT FROM p.stratum AND f.place = p.place),
+tested AS (
+  SELECT *, CASE WHEN rejected >= holdout * {ALPHA}::DOUBLE THEN 1 ELSE
+         list_sum(list_transform(range(rejected + 1), lambda i: exp(lgamma(holdout + 1) - lgamma(i + 1) - lgamma(holdout - i + 1) + i * ln({ALPHA}) + (holdout - i) * ln(1 - {ALPHA})))) END AS p_value
+  FROM steps),
+chosen AS (
+  SELECT * FROM (SELECT *, bool_and(p_value <= {DELTA}::DOUBLE / (SELECT count(*) FROM (SELECT DISTINCT stratum FROM proposed))) OVER (PARTITION BY stratum ORDER BY place ROWS UNBOUNDED PRECEDING) AS certified FROM tested)
+  WHERE certified),
+hits AS (SELECT DISTINCT r FROM ({_op12_hits()}))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND h.r IS NULL AS kept
+FROM counts LEFT JOIN hits h USING (r)
+"""
+
+
+@query("op12_risk_controlled_rules", OP12_SQL)
+def op12(t: Tables):
+    verdicts = quality_verdicts(t.documents, t.labels)
+    return verdicts.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
