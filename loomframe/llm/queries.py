@@ -14,6 +14,7 @@ from loomframe.llm.mixing import mix_plan
 from loomframe.llm.packing import pack_documents
 from loomframe.llm.prefix_trie import UNIT, conversation_paths, prefix_trie
 from loomframe.llm.quality_rules import ALPHA, DELTA, RULES, TOLERATED, USEFUL, quality_verdicts
+from loomframe.llm.runs import periodic_runs, with_planted_runs
 from loomframe.llm.simhash import near_groups
 from loomframe.llm.suffix_tree import language_scores
 from loomframe.llm.token_counts import token_counts
@@ -222,3 +223,9 @@ FROM counts LEFT JOIN hits h USING (r)
 def op12(t: Tables):
     verdicts = quality_verdicts(t.documents, t.labels)
     return verdicts.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op13_difference_cover_runs")
+def op13(t: Tables):
+    docs = t.documents.select("doc_id", with_planted_runs("doc_id", "text").alias("text"))
+    return periodic_runs(docs, keep_text=False)
