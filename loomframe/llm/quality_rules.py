@@ -163,7 +163,7 @@ def certified_cutoffs(counts: DataFrame, labels: DataFrame, id_col: str = "doc_i
     # A few rows per stratum from here on, and one with all rules of a stratum, in order.
     best = best.select("_stratum", "b.stratum", "rule", "b.cutoff", F.row_number().over(Window.partitionBy("_stratum").orderBy(F.desc("b.bad_hit"), "rule")).alias("place"))
     proposed = materialize(best)
-    ladders = proposed.groupBy("_stratum").agg(F.collect_list(F.struct("place", "rule", "cutoff")).alias("ladder"))
+    ladders = materialize(proposed.groupBy("_stratum").agg(F.collect_list(F.struct("place", "rule", "cutoff")).alias("ladder")))  # of known size
     held = join_stats(known.filter("held AND good"), ladders, ["_stratum"])
     first = F.array_min(F.transform(F.filter("ladder", lambda x: F.element_at("values", x["rule"]) > x["cutoff"]), lambda x: x["place"]))
     fallen = held.groupBy("_stratum", F.coalesce(first, F.lit(0)).alias("place")).agg(F.count(F.lit(1)).alias("n"))
