@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loomframe.llm.rows import without_rows
+from loomframe.llm.rows import free_name, without_rows
 from loomframe.plans.checkpoints import materialize
 
 BLOCK = 4096  # code points per block
@@ -118,6 +118,6 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 def drop_exact(docs: DataFrame, **columns) -> DataFrame:
     """The rows that stay, columns and their names as they are."""
-    row = "_exact_row"
+    row = free_name(docs.columns, "_exact_row")
     dropped = materialize(exact_groups(docs, row_col=row, **columns).filter("not kept").select(row))
     return without_rows(docs.withColumn(row, F.monotonically_increasing_id()), row, dropped)

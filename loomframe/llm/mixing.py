@@ -22,6 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from loomframe.llm.rows import free_name
 from loomframe.plans.checkpoints import materialize
 from loomframe.plans.ordered import join_stats, row_numbers
 
@@ -49,7 +50,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, m
     table = placed.select(
         "source", "source_size", F.element_at(values, ((F.col("_rank") - 1) % len(weights) + 1).cast("int")).alias("_weight"),
         (F.col("source_size") * float(most)).alias("_limit"),
-    ).cache()
+    )
+    table = materialize(table)
     total = (table.agg(F.sum("source_size")).first()[0] or 0) * share
     level, capped = 0.0, -1  # target = min(limit, weight * level)
     while True:
@@ -131,7 +133,7 @@ def mix_plan(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), share:
     """
     row = F.col(row_col).cast("long") if row_col else F.lit(0).cast("long")
     id_type = dict(docs.dtypes)[id_col]
-    sizes = materialize(docs.select(F.col(id_col).cast("string").alias("key"), F.col(source_col).alias("source"), row.alias("row"), word_count(F.col(text_col)).alias("size")))
+    sizes = materialize(docs.select(F.col(id_col).cast("string").alias("key"), F.col(source_col).alias("source"), row.alias("row"), F.xxhash64(F.col(text_col)).alias("text"), word_count(F.col(text_col)).alias("size")))
     targets = materialize(source_targets(sizes.select("source", "size"), weights, share, most))
     level = F.when(F.col("size") > 0, F.floor(F.log2("size") * CLASSES_PER_OCTAVE)).otherwise(-1).cast("int")
     rows = join_stats(sizes.withColumn("class", level), targets, ["source"])
@@ -140,7 +142,7 @@ def mix_plan(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), share:
     rows = rows.withColumn("fraction", F.when(F.col("size") == 0, 0.0).otherwise(F.col("fraction")))
     counts = sizes.withColumn("class", level).groupBy("source", "class").agg(F.count(F.lit(1)).alias("n"))
     leaves = F.greatest(F.ceil(F.col("n") / LEAF_ROWS), F.lit(1))
-    rows = join_stats(rows, counts, ["source", "class"]).withColumn("node", F.pmod(F.xxhash64(F.lit(seed), "key", "size"), leaves)).drop("n")
+    rows = join_stats(rows, counts, ["source", "class"]).withColumn("node", F.pmod(F.xxhash64(F.lit(seed), "key", "size", "text"), leaves)).drop("n", "text")
     most_leaves = sizes.withColumn("class", level).groupBy("source", "class").count().agg(F.max("count")).first()[0] or 0
     nodes = -(-most_leaves // LEAF_ROWS)
 
@@ -167,8 +169,8 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
 
     Rows are numbered by their place in the input, which has to be recomputable (files or a checkpoint).
     """
-    row, copies = "_mix_row", "_mix_copies"
+    row, copies, one = (free_name(docs.columns, stem) for stem in ("_mix_row", "_mix_copies", "_mix_i"))
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
     plan = mix_plan(numbered, row_col=row, **options).filter("copies > 0").select(F.col(row), F.col("copies").alias(copies))
-    taken = numbered.join(plan, row).withColumn("_mix_i", F.explode(F.sequence(F.lit(1), F.col(copies))))
-    return taken.select(*docs.columns)
+    taken = numbered.join(plan, row).withColumn(one, F.explode(F.sequence(F.lit(1), F.col(copies))))
+    return taken.select(*[F.col(f"`{c}`") for c in docs.columns])

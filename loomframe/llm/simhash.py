@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomframe.llm.components import components
-from loomframe.llm.rows import without_rows
+from loomframe.llm.rows import free_name, without_rows
 from loomframe.llm.tokens import bounded, text_buffer
 from loomframe.plans.checkpoints import materialize
 
@@ -263,7 +263,7 @@ def drop_near(docs: DataFrame, *, limit: int = 3, shingle: int = 3, id_col: str
 
     Columns and their names stay as they are. The input has to be recomputable (files or a checkpoint).
     """
-    row = "_near_row"
+    row = free_name(docs.columns, "_near_row")
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
     groups = near_groups(numbered.select(F.col(row), F.col(text_col)), limit=limit, shingle=shingle, id_col=row, text_col=text_col)
     named = groups.select(F.col(row).alias("_r"), "component_id").join(numbered.select(F.col(row), F.col(id_col).alias("_id")), F.col("_r") == F.col(row))

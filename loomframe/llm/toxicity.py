@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from loomframe.llm.rows import without_rows
+from loomframe.llm.rows import free_name, without_rows
 from loomframe.llm.simhash import Labels
 from loomframe.llm.suffix_tree import hashes, words_of
 from loomframe.llm.tokens import bounded
@@ -180,16 +180,20 @@ def _vote(known):
 
 
 def _share(frame: DataFrame, key: str, most: int) -> DataFrame:
-    """A repeatable share of the rows, by hash, of about ``most`` rows."""
+    """A share of the rows of a checkpoint, ``most`` at most, by a hash of key and place: a hot key is spread as well."""
     n = frame.count()
-    return frame if n <= most else frame.filter(F.pmod(F.xxhash64(F.lit("share"), key), F.lit(1_000_000)) < int(1_000_000 * most / n))
+    if n <= most:
+        return frame
+    order = F.xxhash64(F.lit("share"), F.col(key), F.monotonically_increasing_id())
+    rough = frame.withColumn("_order", order).filter(F.pmod("_order", F.lit(1_000_000)) < int(1_000_000 * min(1.0, 1.2 * most / n)) + 1)
+    return rough.orderBy("_order").limit(most).drop("_order")
 
 
 def mined_features(rows: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, float]:
     """(features, voters first; their rates among toxic and clean rows; toxic share) from labelled rows that are not held out."""
     spark = rows.sparkSession
     marks = labels.filter("label is not null").groupBy("_id").agg(F.max("label").alias("label")).filter(~held_out("_id"))
-    used = materialize(_share(marks, "_id", LABELLED_ROWS))
+    used = materialize(_share(materialize(marks), "_id", LABELLED_ROWS))
     sizes = {bool(r["label"]): r["n"] for r in used.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = sizes.get(True, 0), sizes.get(False, 0)
     given = list(INSULTS)
@@ -198,6 +202,7 @@ def mined_features(rows: DataFrame, labels: DataFrame) -> tuple[list[str], np.nd
     # The sample is bounded, so its ids are broadcast and only its texts move; equal texts count once.
     texts = rows.join(F.broadcast(used), F.col("id") == F.col("_id")).groupBy(F.xxhash64("text").alias("_h"))
     texts = materialize(texts.agg(F.first("text").alias("text"), F.max("label").alias("label")).select("text", "label"))
+    texts = materialize(_share(texts, "text", LABELLED_ROWS))  # an id with a label may have any number of texts
     numbered = texts.withColumn("row", F.monotonically_increasing_id())
     banded = numbered.select("row", "text").mapInArrow(_bands, "row long, bands array<long>").collect()
     groups = near_copies(banded, [r["bands"] for r in banded]).tolist()
@@ -345,7 +350,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id
     patterns = materialize(patterns)
     gains, odds, none = label_model(patterns, hit[:n_voters], miss[:n_voters], min(max(prior, 0.001), 0.5))
     posterior = _posterior(F.filter("features", lambda f: f < n_voters), gains, odds, none)
-    sample = _share(voted.filter("not held_out"), "id", FIT_ROWS).select("features", posterior.alias("r")).toPandas()
+    sample = _share(voted.filter("not held_out"), "row", FIT_ROWS).select("features", posterior.alias("r")).toPandas()
     model = fit_linear(list(sample["features"]), sample["r"].to_numpy(float), len(names)) if len(sample) else (np.zeros(len(names)), -4.0)
     sent = spark.sparkContext.broadcast(model)
     shape = rows.select("id", "row", "held_out").schema.add("score", "double").add("predicted", "integer")
@@ -355,7 +360,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """Rows below the limit, columns and their names as they are; the input has to be recomputable."""
-    row = "_toxic_row"
+    row = free_name(docs.columns, "_toxic_row")
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
     bad = toxicity_scores(numbered, labels, row_col=row, **options).filter("predicted = 1").select(row)
     return without_rows(numbered, row, materialize(bad))
