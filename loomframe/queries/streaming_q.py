@@ -59,3 +59,20 @@ def table_stream(t):
     inc.append_chunks(stream, f"{root}/out", f"{root}/checkpoint")
     stored = t.spark.read.parquet(f"{root}/out")
     return stored.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("t2_streamed_pairs", """
+WITH r AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn, count(*) OVER (PARTITION BY user_id) AS n FROM events)
+SELECT event_id, user_id, ceil(rn / 2)::BIGINT AS pair, CASE WHEN rn % 2 = 1 THEN 'A' ELSE 'B' END AS side FROM r WHERE rn <= n - n % 2""")
+def streamed_pairs(t):
+    """Events arrive in three lots; the stream stops after each and goes on from its checkpoint."""
+    root = scratch_path(t.spark, "streamed_pairs")
+    events = t.events.select("event_id", "ts", "user_id")
+    low, high = events.agg(F.min("ts"), F.max("ts")).first()
+    cuts = [low + (high - low) * k / 3 for k in range(1, 3)] if low else []
+    lot = sum(((F.col("ts") > F.lit(c)).cast("int") for c in cuts), F.lit(0))
+    for k in range(3):
+        events.filter(lot == k).repartition(2, "ts").write.parquet(f"{root}/in/lot={k}")
+        stream = inc.file_stream(t.spark, f"{root}/in/lot=*", events.schema, files_per_batch=64)
+        inc.append_chunks(inc.paired_stream(stream, ["user_id"], "ts", ["ts", "event_id"]), f"{root}/out", f"{root}/checkpoint")
+    return t.spark.read.parquet(f"{root}/out").select("event_id", "user_id", "pair", "side")

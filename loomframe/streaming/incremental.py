@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from loomframe.operators.state import save_split, update_split
 from loomframe.operators.window import pair_numbers
@@ -74,3 +77,50 @@ def newer_pairs(df: DataFrame, time: str, mark, order: Sequence[str], last_pair:
     if n % 2:
         raise ValueError(f"{n} new rows do not form pairs")
     return pair_numbers(fresh, [], order, offset=last_pair).drop("rn")
+
+
+def _pair_up(time: str, order: Sequence[str], names: Sequence[str]):
+    """State function of one key: (last time, last pair, the unpaired item's values or nothing)."""
+
+    def run(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, pair, waiting = state.get if state.exists else (None, 0, None)
+        rows = pd.concat([c.astype(object).where(c.notna(), None) for c in chunks], ignore_index=True)[list(names)]
+        rows = rows[rows[time].notna()]
+        if last is not None:
+            rows = rows[rows[time] > last]
+        if rows.empty:
+            return
+        rows = rows.sort_values(list(order), kind="stable", ignore_index=True)
+        newest = rows[time].iloc[-1]
+        if waiting is not None:  # the partner of the item left over is the first newer one
+            rows = pd.concat([pd.DataFrame([list(waiting)], columns=list(names), dtype=object), rows], ignore_index=True)
+        whole = len(rows) // 2 * 2
+        spare = tuple(rows.iloc[whole].tolist()) if whole < len(rows) else None
+        state.update((newest.to_pydatetime() if isinstance(newest, pd.Timestamp) else newest, pair + whole // 2, spare))
+        if whole:
+            done = rows.iloc[:whole].copy()
+            done["pair"] = pair + 1 + done.index // 2
+            done["side"] = ["A", "B"] * (whole // 2)
+            yield done
+
+    return run
+
+
+def paired_stream(stream: DataFrame, keys: Sequence[str], time: str, order: Sequence[str]) -> DataFrame:
+    """Each key's items as A/B pairs, numbered on from batch to batch: the columns, ``pair`` and ``side``.
+
+    The state of a key holds the time of its last item, the number of its last pair, and an item without a
+    partner, which waits for the next newer item; only pairs come out. Items that are not newer than the last
+    one were processed before and are passed over, as are items without a time. ``order`` starts with ``time``.
+    A stream that ends and starts again from its checkpoint numbers on where it stopped.
+
+    One key's items of one micro-batch are sorted together, so the source's batch size bounds what a task holds,
+    whatever share of the rows a key has.
+    """
+    fields = stream.schema.fields
+    names = [f.name for f in fields]
+    out = StructType([*fields, StructField("pair", LongType()), StructField("side", StringType())])
+    waiting = StructType([StructField(f.name, f.dataType, True) for f in fields])
+    kept = StructType([StructField("last", stream.schema[time].dataType), StructField("pair", LongType()), StructField("waiting", waiting)])
+    grouped = stream.groupBy(*keys) if keys else stream.withColumn("_all", F.lit(0)).groupBy("_all")
+    return grouped.applyInPandasWithState(_pair_up(time, order, names), out, kept, "append", GroupStateTimeout.NoTimeout)
