@@ -11,7 +11,6 @@ from itertools import product
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
-    GBTClassifier,
     LinearSVC,
     LogisticRegression,
     OneVsRest,
@@ -210,50 +209,6 @@ def random_forest(label: str, trees: int = 50, depth: int = 5, seed: int = 42) -
     return RandomForestClassifier(featuresCol=FEATURES, labelCol=label, numTrees=trees, maxDepth=depth, seed=seed)
 
 
-def gradient_boosting(label: str, rounds: int = 20, rate: float = 0.1, depth: int = 3, seed: int = 42) -> GBTClassifier:
-    return GBTClassifier(
-        featuresCol=FEATURES, labelCol=label, maxIter=rounds, stepSize=rate, maxDepth=depth, subsamplingRate=0.9, seed=seed
-    )
-
-
-def ada_boost(df: DataFrame, label: str, rounds: int, rate: float, refresh: int = 10) -> list[tuple[float, Model]]:
-    """(say, stump) list (Freund and Schapire, 1997; two classes 0/1).
-
-    Weights are a column of the frame; every ``refresh`` rounds the frame is checkpointed so that the
-    plan stays short.
-    """
-    frame = materialize(df.select(FEATURES, label).withColumn("weight", F.lit(1.0)))
-    members: list[tuple[float, Model]] = []
-    for i in range(rounds):
-        stump = DecisionTreeClassifier(featuresCol=FEATURES, labelCol=label, maxDepth=1, weightCol="weight", seed=42).fit(frame)
-        scored = stump.transform(frame).withColumn("miss", (F.col("prediction") != F.col(label)).cast("double"))
-        row = scored.agg(F.sum(F.col("weight") * F.col("miss")).alias("bad"), F.sum("weight").alias("all")).first()
-        error = row["bad"] / row["all"]
-        if error >= 0.5:
-            break
-        if error <= 0:
-            members.append((1.0, stump))
-            break
-        say = rate * math.log((1 - error) / error)
-        members.append((say, stump))
-        scaled = F.col("weight") * F.exp(F.lit(say) * F.col("miss")) / F.lit(row["all"])
-        frame = scored.withColumn("weight", scaled).select(FEATURES, label, "weight")
-        if (i + 1) % refresh == 0:
-            frame = materialize(frame)
-    return members
-
-
-def ada_score(df: DataFrame, members: Sequence[tuple[float, Model]], out: str = "ada") -> DataFrame:
-    """Weighted share of stumps that vote for class 1."""
-    keep, frame, votes = df.columns, df, F.lit(0.0)
-    for i, (say, stump) in enumerate(members):
-        named = stump.copy({stump.predictionCol: f"_v{i}", stump.probabilityCol: "", stump.rawPredictionCol: ""})
-        frame = named.transform(frame)
-        votes = votes + F.col(f"_v{i}") * F.lit(say)
-    total = sum(say for say, _ in members) or 1.0
-    return frame.withColumn(out, votes / F.lit(total)).select(*keep, out)
-
-
 def scaled_line(columns: Sequence[str], label: str, **settings) -> Pipeline:
     """Standard scaler and linear regression as one estimator, so that a fold refits both."""
     return Pipeline(

@@ -6,7 +6,7 @@ from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.sql import functions as F
 
 from loomframe.functions.text import words
-from loomframe.operators import features as ft, metrics as mx, models as md, sampling, similarity as sim, window
+from loomframe.operators import boosting as bo, features as ft, metrics as mx, models as md, sampling, similarity as sim, window
 from loomframe.plans.checkpoints import scratch_path
 from loomframe.queries.sql import WORDS, h
 from loomframe.registry import query
@@ -49,12 +49,6 @@ def held_out(t):
     return ft.scale(df, ft.fit_scaler(df.filter("part = 'train'"), STATS, "standard"))
 
 
-def doc_stats(t):
-    """Labelled documents with standardised text statistics."""
-    df = raw_stats(t)
-    return ft.scale(df, ft.fit_scaler(df, STATS, "standard"))
-
-
 def training_frame(df, columns=STATS, keep=("doc_id", "quality")):
     """Feature vectors checkpointed once: every pass of an iterative fit reads them, not the texts."""
     return md.materialize(md.assemble(df, columns).select(*keep, md.FEATURES).hint("rebalance"))
@@ -82,9 +76,12 @@ oof AS (SELECT doc_id, quality, fold, bias + slope * x AS score FROM folded JOIN
 
 
 def scored(t, estimator, columns=STATS, frame=None):
-    """Fitted on train rows, scored on the held-out rows."""
+    """Fitted on train rows, scored on the held-out rows; ``estimator`` may be a function of the number of train rows."""
     df = training_frame(frame if frame is not None else held_out(t), columns, ("doc_id", "quality", "part"))
-    out = estimator.fit(df.filter("part = 'train'")).transform(df.filter("part = 'test'"))
+    train = df.filter("part = 'train'")
+    if not hasattr(estimator, "fit"):
+        estimator = estimator(train.count())
+    out = estimator.fit(train).transform(df.filter("part = 'test'"))
     return out.select("doc_id", F.col("quality").alias("truth"), F.col("prediction").cast("int").alias("pred"))
 
 
@@ -266,7 +263,7 @@ def logistic_lasso(t):
 
 @query("m7_linear_svm")
 def linear_svm(t):
-    return scored(t, md.linear_svm("quality", 1.0, t.labels.count()))
+    return scored(t, lambda n: md.linear_svm("quality", 1.0, n))
 
 
 @query("m7_one_vs_rest")
@@ -294,7 +291,7 @@ def text_svm(t):
 def rbf_svm(t):
     lifted = md.fourier_features(STATS, 0.2, 32, "rff")
     frame = held_out(t).withColumns(lifted)
-    return scored(t, md.linear_svm("quality", 1.0, t.labels.count()), list(lifted), frame)
+    return scored(t, lambda n: md.linear_svm("quality", 1.0, n), list(lifted), frame)
 
 
 @query("m9_decision_tree")
@@ -309,27 +306,67 @@ def random_forest(t):
 
 @query("m9_gradient_boosting")
 def gradient_boosting(t):
-    return scored(t, md.gradient_boosting("quality", 5))
+    """Up to 200 rounds of depth 3 with early stop; the rounds that were used are in the result."""
+    df = md.materialize(held_out(t).select("doc_id", "quality", "part", *STATS).hint("rebalance"))
+    model = bo.gradient_trees(df.filter("part = 'train'"), STATS, "quality", ["doc_id"])
+    out = bo.gradient_score(df.filter("part = 'test'"), model, "score")
+    return out.select(
+        "doc_id", F.col("quality").alias("truth"), "score", (F.col("score") > 0.5).cast("int").alias("pred"), F.lit(len(model.trees)).alias("rounds"))
+
+
+#: Coarse statistics of few values each, for which SQL can follow the boosting: (name, Spark and SQL expression).
+COARSE = {"chars": "floor(2 * n_chars)", "words": "floor(2 * n_words)", "lines": "floor(2 * n_lines)", "length": "floor(2 * word_length)", "distinct": "floor(10 * distinct_share)"}
+
+_ADA = f"""
+WITH RECURSIVE {_DOC_STATS},
+few AS (SELECT doc_id, quality AS y, test, [{", ".join(f"({e})::INT" for e in COARSE.values())}] AS x FROM ranked),
+g(round, x, y, w, f, c, l, r, say) AS (
+  SELECT 0, x, y, count(*)::DOUBLE, 0::BIGINT, 0, 0, 0, 0::DOUBLE FROM few WHERE NOT test GROUP BY x, y
+  UNION ALL
+  SELECT g.round + 1, g.x, g.y, g.w * exp(CASE WHEN (CASE WHEN g.x[s.f] <= s.c THEN s.l ELSE s.r END) <> g.y THEN s.say ELSE 0 END), s.f, s.c, s.l, s.r, s.say
+  FROM g, (
+    SELECT f, c, (l1 > l0)::INT AS l, (r1 > r0)::INT AS r,
+           (least(l0, l1) + least(r0, r1)) / (l0 + l1 + r0 + r1) AS err, 0.3::DOUBLE * ln((1 - err) / err) AS say
+    FROM (
+      SELECT f, c, sum(w0) OVER up AS l0, sum(w1) OVER up AS l1, sum(w0) OVER every - sum(w0) OVER up AS r0, sum(w1) OVER every - sum(w1) OVER up AS r1,
+             row_number() OVER (PARTITION BY f ORDER BY c DESC) AS last
+      FROM (SELECT f, x[f] AS c, coalesce(sum(w) FILTER (y = 0), 0) AS w0, coalesce(sum(w) FILTER (y = 1), 0) AS w1 FROM (SELECT unnest(range(1, 6)) AS f, x, y, w FROM g) GROUP BY f, x[f])
+      WINDOW up AS (PARTITION BY f ORDER BY c), every AS (PARTITION BY f))
+    WHERE last > 1
+    ORDER BY round((2 * l0 * l1 / (l0 + l1) + 2 * r0 * r1 / (r0 + r1)) / (l0 + l1 + r0 + r1), 10), f, c LIMIT 1) s
+  WHERE g.round < 500 AND s.err < 0.5),
+members AS (SELECT DISTINCT round, f, c, l, r, say FROM g WHERE round > 0)
+SELECT doc_id, few.y AS truth, round(sum(say * CASE WHEN few.x[f] <= c THEN l ELSE r END) / sum(say), 6) AS score, count(*)::INT AS rounds
+FROM few, members WHERE test GROUP BY doc_id, few.y"""
+
+
+def coarse_stats(t):
+    """Labelled documents with coarse statistics and ``part``."""
+    df = md.materialize(raw_stats(t).hint("rebalance"))
+    df = sampling.split_exact(df, ["doc_id"], 0.25, "hold")
+    return md.materialize(df.select("doc_id", "quality", "part", *[F.expr(e).cast("int").alias(c) for c, e in COARSE.items()]))
 
 
-@query("m10_ada_boost")
+@query("m10_ada_boost", _ADA)
 def ada_boost(t):
-    df = training_frame(doc_stats(t))
-    members = md.ada_boost(df, "quality", 8, 0.3)
-    return md.ada_score(df, members).select("doc_id", F.col("quality").alias("truth"), F.col("ada").alias("score"))
+    df = coarse_stats(t)
+    model = bo.ada_stumps(df.filter("part = 'train'"), list(COARSE), "quality")
+    out = bo.ada_score(df.filter("part = 'test'"), model, "score")
+    return out.select("doc_id", F.col("quality").alias("truth"), F.round("score", 6).alias("score"), F.lit(len(model.members)).alias("rounds"))
 
 
 @query("m11_fitted_vote")
 def fitted_vote(t):
-    df = training_frame(doc_stats(t))
-    n = t.labels.count()
-    keep = ["doc_id", "quality", md.FEATURES]
-    forest = md.probability(md.random_forest("quality", 10).fit(df).transform(df), "p_forest").select(*keep, "p_forest")
-    plain = md.probability(md.logistic_regression(n, "quality").fit(forest).transform(forest), "p_linear").select(*keep, "p_forest", "p_linear")
-    margins = md.linear_svm("quality", 1.0, n).fit(plain).transform(plain)
+    """Soft and hard vote of gradient boosting, AdaBoost and a calibrated SVM, fitted on train rows, for the held-out rows."""
+    df = held_out(t).select("doc_id", "quality", "part", *STATS)
+    df = md.materialize(md.assemble(df, STATS).hint("rebalance"))
+    train = df.filter("part = 'train'")
+    df = bo.gradient_score(df, bo.gradient_trees(train, STATS, "quality", ["doc_id"]), "p_boost")
+    df = bo.ada_score(df, bo.ada_stumps(train, STATS, "quality"), "p_ada")
+    margins = md.linear_svm("quality", 1.0, train.count()).fit(train).transform(df)
     margins = margins.withColumn("margin", md.vector_to_array("rawPrediction")[1]).drop("rawPrediction", "prediction")
-    voted = md.calibrated(margins, margins, "margin", "quality", "p_svm")
-    members = [F.col(c) for c in ("p_forest", "p_linear", "p_svm")]
+    voted = md.calibrated(margins.filter("part = 'train'"), margins.filter("part = 'test'"), "margin", "quality", "p_svm")
+    members = [F.col(c) for c in ("p_boost", "p_ada", "p_svm")]
     return voted.select(
         "doc_id",
         F.col("quality").alias("truth"),
@@ -340,7 +377,8 @@ def fitted_vote(t):
 
 @query("m13_feature_importance")
 def feature_importance(t):
-    model = md.random_forest("quality", 20).fit(training_frame(doc_stats(t)))
+    df = training_frame(held_out(t), STATS, ("doc_id", "quality", "part"))
+    model = md.random_forest("quality", 45, depth=10).fit(df.filter("part = 'train'"))
     return window.cumulative_share(md.feature_importance(model, STATS, t.spark), "importance", "feature", 0.95)
 
 

@@ -271,13 +271,6 @@ def test_least_absolute_falls(blobs):
     assert errors[-1] < errors[0]
 
 
-def test_ada_boost_and_vote(blobs):
-    df = md.assemble(blobs[1], ["x", "y"])
-    members = md.ada_boost(df, "label", 4, 0.3, refresh=2)
-    scored = md.ada_score(df, members)
-    assert scored.filter((F.col("ada") > 0.5).cast("int") == F.col("label")).count() >= 118
-
-
 def test_fourier_features_separate_a_ring(spark):
     rng = np.random.default_rng(2)
     angle, radius = rng.uniform(0, 2 * math.pi, 200), np.r_[rng.uniform(0, 1, 100), rng.uniform(2, 3, 100)]
