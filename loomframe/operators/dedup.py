@@ -17,6 +17,8 @@ from loomframe.plans.ordered import join_stats, row_numbers
 _MAX_MASKS = 2000  # masked copies per key that are still cheaper than comparing
 _MAX_CHOICES = 100  # bucket rows per key
 _BLOCK = 128  # members of a bucket compared inside one array
+_WORK = 4_000_000  # comparisons in a bucket that is not split any further
+_TASK_MEMBERS = 16_384  # members of a bucket that one task holds
 
 
 def median_bits(vector: Column | str, dims: int) -> Column:
@@ -129,55 +131,117 @@ def _masked_sources(rows: DataFrame, low: int, high: int, limit: int) -> DataFra
     return _earliest(copies.select("id", "bucket", blanked.alias("masked")), ["bucket", "masked"])
 
 
-def _compared_sources(rows: DataFrame, limit: int, block: int) -> DataFrame:
-    """Sources inside buckets of any size, in rounds over blocks of ``block`` members in id order.
+def _salted(rows: DataFrame, others: DataFrame, spread: str, keys: list[str]) -> DataFrame:
+    """Join on ``keys`` with the rows of a key dealt to ``spread`` (a column of ``rows``) tasks.
 
-    A member that finds a match in one round is done, because later blocks only hold later ids. In a
-    dense bucket nearly all members finish in the first round; each round doubles the blocks it covers.
-    Only the smallest matching id leaves a comparison, never a pair.
+    ``others`` is the short side: its rows are sent to each of these tasks, as many as its own ``spread`` says.
     """
-    ranked = materialize(
-        row_numbers(rows.select("id", "bucket", F.split("rest", "").alias("cells")), ["id"], ["bucket"]).withColumn(
-            "block", F.floor((F.col("rn") - 1) / block)
-        )
-    )
-    blocks = materialize(
-        ranked.groupBy("bucket", "block").agg(F.collect_list(F.struct("id", "cells")).alias("members"))
-    )
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64(*[c for c in rows.columns if c not in (*keys, spread)]), F.col(spread))).drop(spread)
+    sent = others.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col(spread) - 1))).drop(spread)
+    return dealt.join(sent, [*keys, "salt"]).drop("salt")
+
+
+def _first_match(limit: int) -> Column:
+    """Smallest id among ``members`` that is earlier than ``id`` and near ``cells``."""
     near = F.filter("members", lambda m: (m["id"] < F.col("id")) & (_cell_distance(m["cells"], F.col("cells")) <= limit))
-    pending, found, first, width = ranked, None, 0, 1
+    return F.array_min(F.transform(near, lambda m: m["id"]))
+
+
+def _matches(tried: DataFrame, limit: int) -> DataFrame:
+    best = tried.select("id", "bucket", _first_match(limit).alias("source")).filter("source IS NOT NULL")
+    return best.groupBy("id", "bucket").agg(F.min("source").alias("source"))
+
+
+def _compared(rows: DataFrame, limit: int, block: int) -> DataFrame:
+    """(id, bucket, source): each seeker of a bucket held against all members, in lists of about ``block`` of them.
+
+    The members of a bucket are dealt to as many tasks as their number asks for; the seekers, few where the members are
+    many, go to all of these.
+    """
+    cells = rows.select("id", "bucket", "seeks", "n", F.split("rest", "").alias("cells"))
+    parts = F.ceil(F.col("n") / F.lit(_TASK_MEMBERS)).cast("long")
+    listed = cells.withColumn("list", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / F.lit(block)).cast("long")))
+    lists = listed.groupBy("bucket", "list").agg(F.collect_list(F.struct("id", "cells")).alias("members"), F.first(parts).alias("parts"))
+    seekers = cells.filter("seeks").select("id", "bucket", "cells", parts.alias("parts"))
+    return _matches(_salted(lists, seekers, "parts", ["bucket"]), limit)
+
+
+def _against_first(rows: DataFrame, limit: int, block: int) -> DataFrame:
+    """(id, bucket, source): each seeker held against the ``block`` earliest members of its bucket.
+
+    In a dense bucket nearly all end here, and no match can be earlier.
+    """
+    cells = rows.select("id", "bucket", "seeks", "n", F.split("rest", "").alias("cells"))
+    parts = F.ceil(F.col("n") / F.lit(_TASK_MEMBERS)).cast("long")
+    some = cells.groupBy("bucket", F.pmod(F.xxhash64("id"), parts).alias("part")).agg(
+        F.slice(F.sort_array(F.collect_list(F.struct("id", "cells"))), 1, block).alias("members"), F.first(parts).alias("parts"))
+    first = some.groupBy("bucket", "parts").agg(F.slice(F.sort_array(F.flatten(F.collect_list("members"))), 1, block).alias("members"))
+    seekers = cells.filter("seeks").select("id", "bucket", "cells", parts.alias("parts"))
+    return _matches(_salted(seekers, first, "parts", ["bucket"]), limit)
+
+
+def _split_sources(rows: DataFrame, limit: int, block: int, work: int) -> DataFrame:
+    """(id, source) over buckets of any size.
+
+    Where seekers times members of a bucket are at most ``work``, all are compared. In a larger bucket seekers first
+    try the earliest members; for those without a match the bucket is split by one more segment of the remaining
+    text: two texts that differ in at most ``limit`` digits agree on one of ``limit + 1`` segments. So buckets
+    shrink until they can be compared, and where no more than ``limit`` digits remain, all members match.
+    """
+    rows, found = rows.withColumn("seeks", F.lit(True)), None
     while True:
-        now = blocks.filter((F.col("block") >= first) & (F.col("block") < first + width)).select(
-            "bucket", F.col("block").alias("at"), "members"
-        )
-        tried = pending.join(now, "bucket").filter("at <= block")
-        best = tried.select("id", "bucket", F.array_min(F.transform(near, lambda m: m["id"])).alias("source"))
-        hits = materialize(
-            best.filter("source IS NOT NULL").groupBy("id", "bucket").agg(F.min("source").alias("source"))
-        )
+        sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.count_if("seeks").alias("seekers")).filter("n > 1 AND seekers > 0")
+        sized = materialize(join_stats(rows, sizes, ["bucket"]))
+        whole = F.length("rest") <= limit
+        light = F.col("seekers") * F.col("n") <= work
+        firsts = sized.filter(whole).groupBy("bucket").agg(F.min("id").alias("source"))
+        same = join_stats(sized.filter(whole & F.col("seeks")), firsts, ["bucket"]).filter("source < id").select("id", "source")
+        hits = same.unionByName(_compared(sized.filter(~whole & light), limit, block).select("id", "source"))
+        heavy = sized.filter(~whole & ~light)
+        if heavy.isEmpty():
+            hits = materialize(hits)
+            return hits if found is None else found.unionByName(hits)
+        tried = materialize(_against_first(heavy, limit, block))
+        hits = materialize(hits.unionByName(tried.select("id", "source")))
         found = hits if found is None else found.unionByName(hits)
-        first, width = first + width, width * 2
-        pending = materialize(
-            pending.filter(F.col("block") >= first).join(hits.select("id", "bucket"), ["id", "bucket"], "left_anti")
-        )
-        if pending.isEmpty():
-            return found.select("id", "source")
+        done = tried.select("id", "bucket", F.lit(True).alias("done"))
+        left = heavy.join(done, ["id", "bucket"], "left").select("id", "bucket", "rest", (F.col("seeks") & F.col("done").isNull()).alias("seeks"))
+        rows = _split_buckets(left, limit)
 
 
-def near_sources(df: DataFrame, key: str, order: str, digits: int, limit: int, block: int = _BLOCK) -> DataFrame:
+def _split_buckets(rows: DataFrame, limit: int) -> DataFrame:
+    """Each bucket cut into ``limit + 1`` sets of buckets, one per segment of the remaining text.
+
+    Digits in which a bucket's members agree say nothing: they are left out. The others are dealt to the segments by
+    how many members differ there from the earliest one, so that each segment tells members apart.
+    """
+    firsts = rows.groupBy("bucket").agg(F.min_by("rest", "id").alias("first"))
+    cells = join_stats(rows.select("bucket", "rest"), firsts, ["bucket"])
+    differs = F.zip_with(F.split("rest", ""), F.split("first", ""), lambda x, y: (x != y).cast("int"))
+    counts = cells.select("bucket", F.posexplode(differs).alias("at", "off")).groupBy("bucket", "at").agg(F.sum("off").alias("off")).filter("off > 0")
+    orders = counts.groupBy("bucket").agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("off")).alias("o"), "at"))), lambda x: x["at"]).alias("places"))
+    told = join_stats(rows, orders, ["bucket"]).withColumn("cells", F.transform("places", lambda at: F.substr("rest", at + 1, F.lit(1))))
+    n = F.lit(limit + 1)
+    segments = F.when(F.size("cells") > limit, F.sequence(F.lit(0), F.lit(limit))).otherwise(F.array(F.lit(-1)))  # -1: all members match
+    spread = told.select("id", "bucket", "seeks", "cells", F.explode(segments).alias("s"))
+    kept, cut = (F.array_join(F.filter("cells", lambda _, i: ((i % n) == F.col("s")) == keep), "") for keep in (True, False))
+    return spread.select("id", F.concat_ws("/", "bucket", F.concat_ws(":", "s", kept)).alias("bucket"), cut.alias("rest"), "seeks")
+
+
+def near_sources(df: DataFrame, key: str, order: str, digits: int, limit: int, block: int = _BLOCK, work: int = _WORK) -> DataFrame:
     """(id, source): for each unique key, the earliest other key within ``limit`` differing digits.
 
     Keys must be unique (de-duplicate exactly first) and ``digits`` long. Two keys within the limit agree
     on at least ``spare`` of ``limit + spare`` segments, so every choice of ``spare`` segments is a bucket.
     Keys alone in a bucket drop out at once. The rest are matched exactly: by grouping masked copies when
-    the limit is small, else by comparing blocks of members in id order until each has its first match.
+    the limit is small, else by comparing them, after large buckets were split further.
     """
     spare = max(n for n in (1, 2, 3) if n == 1 or (comb(limit + n, n) <= _MAX_CHOICES and limit + n <= digits))
     segments = [n for _, n in _segments(digits, limit + spare)]
     low = digits - sum(sorted(segments, reverse=True)[:spare])
     high = digits - sum(sorted(segments)[:spare])
     rows = _bucket_rows(df.select(F.col(order).alias("id"), F.col(key).alias("rest"), F.lit("").alias("bucket")), _segment_choices(digits, limit + spare, spare))
-    found = _bucket_sources(rows, low, high, limit, block)
+    found = _bucket_sources(rows, low, high, limit, block, work)
     return found.groupBy("id").agg(F.min("source").alias("source"))
 
 
@@ -191,14 +255,13 @@ def _bucket_rows(rows: DataFrame, choices: Column) -> DataFrame:
     )
 
 
-def _bucket_sources(rows: DataFrame, low: int, high: int, limit: int, block: int) -> DataFrame:
+def _bucket_sources(rows: DataFrame, low: int, high: int, limit: int, block: int, work: int) -> DataFrame:
     """Sources over buckets whose remaining texts are low..high digits long."""
-    shared = _shared(rows, ["bucket"])
     if high <= limit:
-        return _earliest(shared, ["bucket"])
+        return _earliest(_shared(rows, ["bucket"]), ["bucket"])
     if comb(high, limit) <= _MAX_MASKS:
-        return _masked_sources(shared, low, high, limit)
-    return _compared_sources(shared, limit, block)
+        return _masked_sources(_shared(rows, ["bucket"]), low, high, limit)
+    return _split_sources(rows, limit, block, work)
 
 
 def near_duplicates(df: DataFrame, key: str, order: str, digits: int, limit: int) -> DataFrame:

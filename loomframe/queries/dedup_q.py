@@ -36,9 +36,13 @@ uq AS (SELECT doc_id, key FROM f WHERE doc_id = first_id),
 src AS (SELECT b.doc_id AS id, min(a.doc_id) AS source FROM uq a JOIN uq b ON a.doc_id < b.doc_id AND hamming(a.key, b.key) <= 3 GROUP BY 1)"""
 
 
-def document_bits(t):
-    return dedup.word_histogram(t.documents, "doc_id", "text", 64).select(
-        "doc_id", dedup.median_bits("vector", 64).alias("key")
+#: Keys of 64 digits, of which 10 may differ; short texts share most digits and fill a few large buckets.
+NEAR_WIDE = NEAR_DOCS.replace("% 64", "% 256").replace("range(64)", "range(256)").replace("<= 3", "<= 10")
+
+
+def document_bits(t, bits=64):
+    return dedup.word_histogram(t.documents, "doc_id", "text", bits).select(
+        "doc_id", dedup.median_bits("vector", bits).alias("key")
     )
 
 
@@ -88,6 +92,20 @@ def near_documents(t):
     return dedup.near_duplicates(materialize(document_bits(t)), "key", "doc_id", 16, 3).select("doc_id", "first_id", "source_id")
 
 
+@query("j7_near_wide_keys", f"""
+WITH {NEAR_WIDE} SELECT id, source, hamming(x.key, y.key)::INT AS distance FROM src JOIN uq x ON x.doc_id = id JOIN uq y ON y.doc_id = source""")
+def near_wide_matches(t):
+    flagged = dedup.exact_duplicates(document_bits(t, 256), "key", "doc_id")
+    keys = materialize(flagged.filter("NOT is_duplicate").select("doc_id", "key"))
+    return dedup.with_source_distance(dedup.near_sources(keys, "key", "doc_id", 64, 10), keys, "key", "doc_id")
+
+
+@query("d3_near_wide_keys", f"""
+WITH {NEAR_WIDE} SELECT f.doc_id AS doc_id, first_id, coalesce(source, first_id) AS source_id FROM f LEFT JOIN src ON id = first_id""")
+def near_wide(t):
+    return dedup.near_duplicates(materialize(document_bits(t, 256)), "key", "doc_id", 64, 10).select("doc_id", "first_id", "source_id")
+
+
 @query("d4_compact_numbers", """
 WITH f AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(text)) AS first_id FROM documents)
 SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS number FROM f WHERE doc_id = first_id""")

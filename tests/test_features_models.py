@@ -131,17 +131,31 @@ def mutated_keys(digits, families, copies, limit, seed):
     return sorted(keys, key=lambda k: hash((seed, k[::-1])))
 
 
-@pytest.mark.parametrize("digits,limit,block", [(16, 3, 128), (16, 1, 128), (64, 10, 128), (64, 10, 4), (12, 8, 2), (8, 6, 2)])
-def test_near_sources_match_brute_force(spark, digits, limit, block):
-    """Includes a shared prefix (a hot bucket) and, with tiny blocks, several rounds of comparison."""
+@pytest.mark.parametrize("digits,limit,block,work", [(16, 3, 128, 10**6), (16, 1, 128, 10**6), (64, 10, 128, 10**6), (64, 10, 4, 400), (12, 8, 2, 10), (8, 6, 2, 10)])
+def test_near_sources_match_brute_force(spark, digits, limit, block, work):
+    """Includes a shared prefix (a hot bucket) and, with little work allowed, several splits of a bucket."""
     keys = mutated_keys(digits, 6, 10, limit, digits + limit)
     hot = ["0" * (digits // 2) + k[digits // 2 :] for k in keys[:25]]
     keys = list(dict.fromkeys(keys + hot))
     df = spark.createDataFrame(list(enumerate(keys)), "id long, key string")
-    got = {r["id"]: r["source"] for r in dedup.near_sources(df, "key", "id", digits, limit, block).collect()}
+    got = {r["id"]: r["source"] for r in dedup.near_sources(df, "key", "id", digits, limit, block, work).collect()}
     assert got == brute_sources(keys, limit)
 
 
+def test_a_planted_hot_bucket_is_split(spark, monkeypatch):
+    """Half of all keys share 40 of 64 digits; half of these are near copies, the others far apart."""
+    monkeypatch.setattr(dedup, "_TASK_MEMBERS", 50)
+    rng = random.Random(8)
+    draw = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    base = draw(24)
+    copies = ["7" * 40 + base[:k] + draw(4) + base[k + 4 :] for k in range(20) for _ in range(2)]
+    keys = list(dict.fromkeys(copies + ["7" * 40 + draw(24) for _ in range(40)] + [draw(64) for _ in range(60)]))
+    rng.shuffle(keys)
+    df = spark.createDataFrame(list(enumerate(keys)), "id long, key string").repartition(4)
+    got = {r["id"]: r["source"] for r in dedup.near_sources(df, "key", "id", 64, 10, 8, 1_000).collect()}
+    assert got == brute_sources(keys, 10) and len(got) > 30
+
+
 def test_find_similar_edges(tables):
     none = sim.find_similar(tables.embeddings, "vec_id", "embedding", -1, 5)
     assert none.count() == 0
