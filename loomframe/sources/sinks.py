@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from datetime import datetime
 from enum import Enum
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomframe.plans.checkpoints import materialize
-
 
 class SinkMode(Enum):
     OVERWRITE = 1
@@ -16,28 +16,84 @@ class SinkMode(Enum):
     BACKUP = 3
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
+def _hadoop(spark: SparkSession, path: str):
+    """(file system, path) through Hadoop's API."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, hadoop = _hadoop(spark, path)
+    return fs.exists(hadoop)
+
+
+def _rename(spark: SparkSession, old: str, new: str) -> None:
+    fs, source = _hadoop(spark, old)
+    if not fs.rename(source, _hadoop(spark, new)[1]):
+        raise OSError(f"cannot rename {old} to {new}")
+
+
+def _marker(path: str) -> str:
+    return f"{path.rstrip('/')}.swap"
+
+
+def finish_swap(spark: SparkSession, path: str) -> None:
+    """Complete a swap that was begun: its marker says what goes where. Each step may have been done before.
+
+    A marker that was not written to its end is no order: the old table is still in place.
+    """
+    fs, marker = _hadoop(spark, _marker(path))
+    if not fs.exists(marker):
+        return
+    text = "".join(r["value"] for r in spark.read.text(_marker(path)).collect())
+    try:
+        order = json.loads(text)
+    except ValueError:
+        order = None
+    if order and order.get("end"):
+        if path_exists(spark, order["fresh"]):
+            if path_exists(spark, path):
+                _rename(spark, path, order["aside"])
+            _rename(spark, order["fresh"], path)
+        if not order["keep"]:
+            fs.delete(_hadoop(spark, order["aside"])[1], True)
+    fs.delete(marker, False)
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """The table, after a swap that was cut off has been completed."""
+    finish_swap(spark, path)
+    return spark.read.parquet(path)
 
 
 def write_table(df: DataFrame, path: str, mode: SinkMode = SinkMode.OVERWRITE, now: datetime | None = None) -> str | None:
     """Write parquet. Returns the backup path when an existing output was kept aside.
 
-    The frame may read the path it replaces, so it is checkpointed before an overwrite.
+    Rows are written once, next to the table; then directories are renamed, the old one to its backup (or away)
+    and the new one into place. A marker file holds the order of the two steps: if the job ends between them, the next
+    ``write_table`` or ``read_table`` completes the swap, so old or new rows are there, never neither. The frame may
+    read the path it replaces. Renaming is one step on file systems such as HDFS; object stores copy instead.
     """
-    spark = df.sparkSession
-    if not path_exists(spark, path):
-        df.write.parquet(path)
+    spark, path = df.sparkSession, path.rstrip("/")
+    finish_swap(spark, path)
+    if mode is SinkMode.KEEP and path_exists(spark, path):
         return None
-    if mode is SinkMode.KEEP:
+    fresh = f"{path}.new-{uuid.uuid4().hex}"
+    df.write.parquet(fresh)
+    if not path_exists(spark, path):
+        _rename(spark, fresh, path)
         return None
-    pinned, backup = materialize(df), None
-    if mode is SinkMode.BACKUP:
-        backup = f"{path}_{(now or datetime.now()).strftime('%H-%M-%S-%b-%d-%Y')}"
-        spark.read.parquet(path).write.parquet(backup)
-    pinned.write.mode("overwrite").parquet(path)
-    return backup
+    keep = mode is SinkMode.BACKUP
+    aside = f"{path}_{(now or datetime.now()).strftime('%H-%M-%S-%b-%d-%Y')}" if keep else f"{path}.old-{uuid.uuid4().hex}"
+    if path_exists(spark, aside):
+        raise FileExistsError(aside)
+    fs, marker = _hadoop(spark, _marker(path))
+    order = {"fresh": fresh, "aside": aside, "keep": keep, "end": True}
+    stream = fs.create(marker, False)
+    stream.write(bytearray(json.dumps(order).encode()))
+    stream.close()
+    finish_swap(spark, path)
+    return aside if keep else None
 
 
 def write_predictions(df: DataFrame, folder: str, name: str, flag: str, now: datetime | None = None) -> str:
