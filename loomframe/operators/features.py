@@ -9,10 +9,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from itertools import combinations_with_replacement
 
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomframe.operators.window import top_label_share
 from loomframe.plans.checkpoints import materialize
+from loomframe.plans.ordered import join_stats, row_numbers
 from loomframe.plans.quantiles import exact_quantiles, unpivot
 
 SCALERS = ("standard", "minmax", "robust")
@@ -135,28 +137,37 @@ def impute(df: DataFrame, params: DataFrame, marker: float | str | None = None)
     )
 
 
-def fit_categories(df: DataFrame, column: str) -> list:
-    """Sorted distinct values, a null last. Each becomes an output column, so the list is schema-sized."""
-    values = [r[0] for r in df.select(column).distinct().collect()]
-    return sorted(v for v in values if v is not None) + ([None] if None in values else [])
+def fit_categories(df: DataFrame, column: str) -> DataFrame:
+    """(column, code): the distinct values in ascending order, numbered from 0; a null is a category, the last one."""
+    return _codes(row_numbers(df.select(column).distinct(), [F.col(column).asc_nulls_last()]), column)
 
 
-def one_hot(df: DataFrame, column: str, categories: Sequence, names: Sequence[str] | None = None) -> DataFrame:
-    """One 0/1 column per fitted category; a value outside the list sets none."""
-    names = names or [f"{column}_{'null' if v is None else v}" for v in categories]
-    return df.withColumns({n: F.col(column).eqNullSafe(F.lit(v)).cast("int") for n, v in zip(names, categories)})
+def fit_top_labels(df: DataFrame, column: str, share: float) -> DataFrame:
+    """(column, code): the first floor(share * distinct) labels by count, numbered from 0."""
+    return _codes(top_label_share(df, column, share), column)
 
 
-def fit_top_labels(df: DataFrame, columns: Sequence[str], share: float) -> dict[str, list[str]]:
-    """The first floor(share * distinct) labels of each column by count; each becomes an output column."""
-    return {c: [r[c] for r in top_label_share(df, c, share).orderBy("rn").collect()] for c in columns}
+def _codes(ranked: DataFrame, column: str) -> DataFrame:
+    return materialize(ranked.select(column, (F.col("rn") - 1).cast("int").alias("code")))
 
 
-def indicators(df: DataFrame, labels: Mapping[str, Sequence[str]], key: Sequence[str]) -> DataFrame:
-    """Only the key and the indicator columns ``<column>=<label>``."""
-    return df.select(
-        *key, *[F.coalesce(F.col(c) == v, F.lit(False)).cast("int").alias(f"{c}={v}") for c, vs in labels.items() for v in vs]
-    )
+def one_hot(df: DataFrame, dictionaries: Mapping[str, DataFrame], out: str) -> DataFrame:
+    """``out``: one sparse vector per row, the indicators of each column's fitted categories one after the other.
+
+    ``dictionaries`` holds (column, code) tables of any size. A value outside its dictionary sets none of the
+    column's indicators. The dictionaries are joined, never listed, and the vector is one column however many
+    categories there are.
+    """
+    keep, codes, vectors = df.columns, [f"_code_{i}" for i in range(len(dictionaries))], [f"_hot_{i}" for i in range(len(dictionaries))]
+    for code, (column, dictionary) in zip(codes, dictionaries.items()):
+        n = dictionary.count()
+        df = join_stats(df, dictionary.select(column, F.col("code").alias(code)), [column], "left")
+        # The size goes along as an attribute; the code after the last one stands for unknown values and is left out.
+        attribute = {"ml_attr": {"type": "nominal", "num_vals": max(n, 1)}}
+        df = df.withColumn(code, F.coalesce(F.col(code), F.lit(max(n, 1))).cast("double").alias(code, metadata=attribute))
+    encoder = OneHotEncoder(inputCols=codes, outputCols=vectors, handleInvalid="keep", dropLast=True)
+    coded = encoder.fit(df).transform(df)
+    return VectorAssembler(inputCols=vectors, outputCol=out).transform(coded).select(*keep, out)
 
 
 def yeo_johnson(c: Column, lam: float | Column) -> Column:

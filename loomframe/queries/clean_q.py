@@ -149,20 +149,19 @@ def first_entries(t):
 
 
 @query("p15_pick_nested", """
-SELECT conv_id,
-       max_by(md5(text), turn) FILTER (WHERE role = 'assistant') AS last_assistant,
-       max_by(md5(text), turn) FILTER (WHERE role NOT IN ('assistant', 'user')) AS last_other,
-       min(turn) FILTER (WHERE role = 'user') AS first_user_turn,
-       count(*) FILTER (WHERE role = 'user')::BIGINT AS user_turns
-FROM conversations GROUP BY conv_id""")
+WITH c AS (SELECT conv_id, turn, lower(md5(coalesce(text, ''))) AS name, CASE role WHEN 'system' THEN 'director' WHEN 'assistant' THEN 'producer' ELSE 'other' END AS job,
+                  CASE WHEN role = 'user' THEN 'writing' ELSE 'crew' END AS department FROM conversations)
+SELECT conv_id, max_by(name, turn) FILTER (job = 'director') AS director, max_by(name, turn) FILTER (job = 'producer' AND department <> 'writing') AS producer,
+       array_to_string(coalesce(list_slice(list(name ORDER BY turn) FILTER (department = 'writing' AND job <> 'director'), 1, 3), []), ',') AS writers
+FROM c GROUP BY conv_id""")
 def pick_nested(t):
-    role, pair = F.col("role"), F.struct("turn", F.md5("text").alias("m"))
-    return t.conversations.groupBy("conv_id").agg(
-        F.max(F.when(role == "assistant", pair))["m"].alias("last_assistant"),
-        F.max(F.when(~role.isin("assistant", "user"), pair))["m"].alias("last_other"),
-        F.min(F.when(role == "user", F.col("turn"))).alias("first_user_turn"),
-        F.count_if(role == "user").alias("user_turns"),
-    )
+    """Turns as a crew: system messages direct, assistants produce, users write."""
+    job = F.when(F.col("role") == "system", "Director").when(F.col("role") == "assistant", "Producer").otherwise("Other")
+    department = F.when(F.col("role") == "user", "Writing").otherwise("Crew")
+    member = F.struct("turn", F.upper(F.md5(F.coalesce("text", F.lit("")))).alias("name"), job.alias("job"), department.alias("department"))
+    crews = t.conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(member)).alias("crew"))
+    picked = crews.select("conv_id", *[c.alias(name) for name, c in clean.pick_crew(F.col("crew")).items()])
+    return picked.withColumn("writers", F.array_join("writers", ","))
 
 
 @query("p16_two_level_and_ratio", f"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from loomframe.functions.hashing import hash_hex
@@ -50,17 +51,18 @@ def whisker_cap(t):
     return ft.cap(df, ft.fit_whiskers(df.filter("train"), ["x"])).select(*LINE_KEY, F.round("x", 4).alias("x"))
 
 
-_SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
-
-
 @query("f4_one_hot", f"""
-WITH {CUST_NULLS} SELECT c_custkey, {", ".join(f"coalesce(c_mktsegment = '{s}', FALSE)::INT AS seg_{s.lower()}" for s in _SEGMENTS)},
-(c_mktsegment IS NULL)::INT AS seg_null FROM cust_nulls""")
+WITH {CUST_NULLS}, c AS (SELECT DISTINCT c_mktsegment FROM cust_nulls)
+SELECT c_custkey, string_agg((u.c_mktsegment IS NOT DISTINCT FROM c.c_mktsegment)::INT::VARCHAR, '' ORDER BY c.c_mktsegment NULLS LAST) AS bits
+FROM cust_nulls u CROSS JOIN c GROUP BY c_custkey""")
 def one_hot(t):
     df = cust_nulls(t).select("c_custkey", "c_mktsegment")
-    values = ft.fit_categories(df, "c_mktsegment")
-    names = [f"seg_{'null' if v is None else v.lower()}" for v in values]
-    return ft.one_hot(df, "c_mktsegment", values, names).drop("c_mktsegment")
+    hot = ft.one_hot(df, {"c_mktsegment": ft.fit_categories(df, "c_mktsegment")}, "hot")
+    return hot.select("c_custkey", _bits("hot").alias("bits"))
+
+
+def _bits(vector):
+    return F.array_join(F.transform(vector_to_array(vector), lambda x: x.cast("int").cast("string")), "")
 
 
 @query("f5_top_label_indicators", """
@@ -72,9 +74,9 @@ kept AS (SELECT * FROM r WHERE rn <= floor(0.8 * k))
 SELECT p_partkey, string_agg(((CASE part_no WHEN 1 THEN p_brand ELSE p_type END) = label)::INT::VARCHAR, '' ORDER BY part_no, rn) AS bits
 FROM part CROSS JOIN kept GROUP BY p_partkey""")
 def top_label_indicators(t):
-    labels = ft.fit_top_labels(t.part, ["p_brand", "p_type"], 0.8)
-    wide = ft.indicators(t.part, labels, ["p_partkey"])
-    return wide.select("p_partkey", F.concat_ws("", *[F.col(f"`{c}`").cast("string") for c in wide.columns[1:]]).alias("bits"))
+    df = t.part.select("p_partkey", "p_brand", "p_type")
+    hot = ft.one_hot(df, {c: ft.fit_top_labels(df, c, 0.8) for c in ("p_brand", "p_type")}, "hot")
+    return hot.select("p_partkey", _bits("hot").alias("bits"))
 
 
 _SCALED = ["l_quantity", "l_extendedprice"]
