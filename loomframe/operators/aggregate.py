@@ -6,14 +6,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from loomframe.plans.gram import product_sums
 from loomframe.plans.ordered import join_stats, row_numbers
 from loomframe.plans.quantiles import exact_quantiles
 
 
 def class_distribution(df: DataFrame, label: str) -> DataFrame:
     """(label, n, percent)."""
-    total = df.agg(F.count(F.lit(1))).scalar()
-    return df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).withColumn("percent", F.col("n") * 100.0 / total)
+    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("percent", F.col("n") * 100.0 / counts.agg(F.sum("n")).scalar())
 
 
 def item_counts(df: DataFrame, item: str) -> DataFrame:
@@ -61,14 +62,17 @@ def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """(a, b, r) Pearson correlation of every named pair in one aggregation."""
-    cells = df.agg(
-        *[
-            F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias("r")).alias(f"_{i}")
-            for i, (a, b) in enumerate(pairs)
-        ]
-    )
-    return cells.select(F.explode(F.array(*cells.columns)).alias("c")).select("c.*")
+    """(a, b, r) Pearson correlation of every named pair over the rows that have both; null without variance.
+
+    One pass of matrix products over the named columns, however many pairs there are.
+    """
+    left, right = list(dict.fromkeys(a for a, _ in pairs)), list(dict.fromkeys(b for _, b in pairs))
+    sums, _ = product_sums(df, left, right)
+    cells = sums.select("i", F.posexplode(F.arrays_zip("n", "sx", "sxx", "sy", "syy", "sxy")).alias("j", "c")).select("i", "j", "c.*")
+    spread = (F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n")) * (F.col("syy") - F.col("sy") * F.col("sy") / F.col("n"))
+    r = F.when((F.col("n") > 0) & (spread > 0), (F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / F.sqrt(spread))
+    wanted = df.sparkSession.createDataFrame([(a, b, left.index(a), right.index(b)) for a, b in pairs], "a string, b string, i int, j int")
+    return wanted.join(cells.select("i", "j", r.alias("r")), ["i", "j"], "left").select("a", "b", "r")
 
 
 def population_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -90,9 +94,9 @@ def vector_centroids(df: DataFrame, group: str, vector: str) -> DataFrame:
 
 def rates_of_total(df: DataFrame, group: str, hit: Column) -> DataFrame:
     """(group, attempts, writes, attempt_rate, write_rate): shares of all attempts and of all writes."""
-    total = df.agg(F.count(F.lit(1))).scalar()
-    written = df.agg(F.count_if(hit)).scalar()
-    return df.groupBy(group).agg(F.count(F.lit(1)).alias("attempts"), F.count_if(hit).alias("writes")).withColumns(
+    counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("attempts"), F.count_if(hit).alias("writes"))
+    total, written = counts.agg(F.sum("attempts")).scalar(), counts.agg(F.sum("writes")).scalar()
+    return counts.withColumns(
         {"attempt_rate": F.col("attempts") / total, "write_rate": F.col("writes") / written}
     )
 

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from hashlib import md5
 from itertools import product
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -24,10 +27,15 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from loomframe.operators.features import fit_scaler, scale
 from loomframe.operators.lookup import nearest_vector
+from loomframe.operators.similarity import normalized
+from loomframe.operators.window import quota
 from loomframe.plans.checkpoints import materialize
+from loomframe.plans.gram import product_sums
+from loomframe.plans.ordered import join_stats, row_numbers
 
 FEATURES = "features"
 
@@ -89,19 +97,17 @@ def k_means(df: DataFrame, vector: str, k: int, seed: str, tolerance: float = 1e
 
 
 def moments(df: DataFrame, columns: Sequence[str], label: str) -> tuple[list[list[float]], list[float], float, int]:
-    """X'X, X'y, y'y (all divided by n) and n, with a leading bias column: one pass over the data."""
-    terms = [F.lit(1.0), *[F.col(c).cast("double") for c in columns]]
-    y = F.col(label).cast("double")
-    d = len(terms)
-    pairs = [(i, j) for i in range(d) for j in range(i, d)]
-    row = df.agg(
-        *[F.avg(terms[i] * terms[j]) for i, j in pairs], *[F.avg(t * y) for t in terms], F.avg(y * y), F.count(F.lit(1))
-    ).first()
-    xx = [[0.0] * d for _ in range(d)]
-    for (i, j), v in zip(pairs, row):
-        xx[i][j] = xx[j][i] = v
-    start = len(pairs)
-    return xx, list(row[start : start + d]), row[start + d], row[start + d + 1]
+    """X'X, X'y, y'y (all divided by n) and n, with a leading bias column: one pass of matrix products.
+
+    The rows that come back are those of a matrix with a column per feature.
+    """
+    one = "_one"
+    every = [one, *columns, label]
+    sums, _ = product_sums(df.withColumn(one, F.lit(1.0)), every, every, shift=False)
+    rows = {r["i"]: (r["n"], r["sxy"]) for r in sums.select("i", "n", "sxy").collect()}
+    d, n = len(columns) + 1, rows[0][0][0] if rows else 0.0
+    mean = [[p / m if m else 0.0 for p, m in zip(rows[i][1], rows[i][0])] for i in range(d + 1)]
+    return [row[:d] for row in mean[:d]], [row[d] for row in mean[:d]], mean[d][d], int(n)
 
 
 def gradient_descent(
@@ -294,8 +300,67 @@ def out_of_fold(df: DataFrame, estimator: Estimator, fold: str, k: int) -> DataF
 # --- recommender --------------------------------------------------------------------------------------
 
 
-def item_tag_vectors(df: DataFrame, item: str, tag: str, weight: str, rank: int = 16, rounds: int = 5, seed: int = 42):
-    """(item vectors, tag vectors) as (id, vector) tables from implicit (item, tag, weight) links."""
-    model = ALS(userCol=item, itemCol=tag, ratingCol=weight, implicitPrefs=True, rank=rank, maxIter=rounds, seed=seed).fit(df)
-    name = lambda f: f.select("id", F.col("features").alias("vector"))
-    return name(model.userFactors), name(model.itemFactors)
+def dense_codes(df: DataFrame, column: str, out: str) -> DataFrame:
+    """(column, out): numbers from 0 for the distinct values of any type, null left out."""
+    distinct = df.select(column).filter(F.col(column).isNotNull()).distinct()
+    return row_numbers(distinct, [column], out="_rn").select(column, (F.col("_rn") - 1).cast("int").alias(out))
+
+
+def item_tag_vectors(df: DataFrame, item: str, tag: str, weight: str, rank: int = 16, rounds: int = 10, penalty: float = 0.1, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(item vectors, tag vectors) as (key, vector) tables from implicit (item, tag, weight) links.
+
+    Keys may be of any type; the factorisation works on dense codes. Links without a key or weight are left out.
+    """
+    items, tags = materialize(dense_codes(df, item, "_item")), materialize(dense_codes(df, tag, "_tag"))
+    links = join_stats(join_stats(df.filter(F.col(weight).isNotNull()), items, [item]), tags, [tag])
+    links = materialize(links.select("_item", "_tag", F.col(weight).cast("float").alias("_weight")))
+    model = ALS(userCol="_item", itemCol="_tag", ratingCol="_weight", implicitPrefs=True, rank=rank, maxIter=rounds, regParam=penalty, seed=seed).fit(links)
+
+    def named(factors: DataFrame, codes: DataFrame, key: str, code: str) -> DataFrame:
+        vectors = factors.select(F.col("id").alias(code), F.col("features").cast("array<double>").alias("vector"))
+        return codes.join(vectors, code).select(F.col(key).alias("key"), "vector")
+
+    return named(model.userFactors, items, item, "_item"), named(model.itemFactors, tags, tag, "_tag")
+
+
+def _block_tops(names: list, asked: np.ndarray, n: int):
+    """Task function: the best ``n`` keys of a task for each asked vector, block by block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, scores = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            own = np.broadcast_to(np.array(batch.column(0).to_pylist(), object), (len(names), batch.num_rows))
+            found = asked @ flat.T
+            keys, scores = (own, found) if keys is None else (np.concatenate([keys, own], axis=1), np.concatenate([scores, found], axis=1))
+            if scores.shape[1] > n:  # ties go to the smaller key
+                order = np.stack([np.array(sorted(range(scores.shape[1]), key=lambda i: (-s[i], k[i]))[:n]) for s, k in zip(scores, keys)])
+                keys, scores = np.take_along_axis(keys, order, 1), np.take_along_axis(scores, order, 1)
+        if keys is not None:
+            rows = [(name, k, float(s)) for q, name in enumerate(names) for k, s in zip(keys[q].tolist(), scores[q].tolist())]
+            yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["query", "key", "score"]), preserve_index=False)
+
+    return run
+
+
+def best_matches(vectors: DataFrame, asked: DataFrame, n: int) -> DataFrame:
+    """(query, place, key, score): the ``n`` rows of (key, vector) with the largest dot product for each (query, vector).
+
+    ``asked`` is a list of named queries and goes to the driver; ``vectors`` may be of any length: each task keeps
+    its best ``n`` per query, and these are merged. Equal scores go in order of the keys.
+    """
+    rows = asked.select("query", "vector").orderBy("query").collect()
+    schema = StructType([StructField("query", StringType()), StructField("key", vectors.schema["key"].dataType), StructField("score", DoubleType())])
+    if not rows:
+        return vectors.sparkSession.createDataFrame([], schema).select("query", F.lit(0).cast("bigint").alias("place"), "key", "score")
+    table = np.array([r["vector"] for r in rows], float)
+    tops = vectors.select("key", "vector").mapInArrow(_block_tops([str(r["query"]) for r in rows], table, n), schema)
+    return quota(tops, ["query"], [F.desc("score"), "key"], n, "place").select("query", "place", "key", "score")
+
+
+def listed_vectors(vectors: DataFrame, lists: DataFrame) -> DataFrame:
+    """(query, vector): the sum of the vectors of each query's keys, from (query, key) rows, as unit vectors."""
+    summed = vectors.join(lists.distinct(), "key").groupBy("query").agg(vector_to_array(Summarizer.sum(array_to_vector(F.col("vector")))).alias("vector"))
+    return normalized(summed, "vector")

@@ -460,10 +460,11 @@ def pca(t):
 
 @query("d8_learned_vectors")
 def learned_vectors(t):
-    links = t.lineitem.groupBy(F.col("l_partkey").cast("int").alias("item"), F.col("l_suppkey").cast("int").alias("tag")).agg(
-        F.count(F.lit(1)).cast("float").alias("weight")
-    )
-    items, tags = md.item_tag_vectors(links, "item", "tag", "weight", rank=8, rounds=3)
-    items, tags = sim.normalized(items, "vector"), sim.normalized(tags, "vector")
-    both = items.select(F.lit("item").alias("kind"), "id", "vector").unionByName(tags.select(F.lit("tag").alias("kind"), "id", "vector"))
-    return both.select("kind", "id", F.size("vector").alias("dims"), F.element_at("vector", 1).alias("first"))
+    """Parts and their suppliers: the most similar parts of three named ones, and the best parts for a list of suppliers."""
+    links = t.lineitem.groupBy(F.concat(F.lit("part "), "l_partkey").alias("item"), F.concat(F.lit("supplier "), "l_suppkey").alias("tag")).agg(
+        F.sum("l_quantity").alias("weight"))
+    items, tags = md.item_tag_vectors(links, "item", "tag", "weight", rank=8)
+    items, tags = md.materialize(sim.normalized(items, "vector")), sim.normalized(tags, "vector")
+    named = items.filter(F.col("key").isin("part 1", "part 2", "part 3")).select(F.col("key").alias("query"), "vector")
+    lists = t.spark.createDataFrame([("suppliers 1 and 2", "supplier 1"), ("suppliers 1 and 2", "supplier 2")], "query string, key string")
+    return md.best_matches(items, named.unionByName(md.listed_vectors(tags, lists)), 10)
