@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from loomframe.plans.gram import product_sums
 from loomframe.plans.ordered import join_stats, row_numbers
-from loomframe.plans.quantiles import exact_quantiles
+from loomframe.plans.quantiles import fit_statistics
 
 
 def class_distribution(df: DataFrame, label: str) -> DataFrame:
@@ -41,24 +41,17 @@ def resample_target(df: DataFrame, label: str, factor: float) -> DataFrame:
 
 
 def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(feature, n_null, mean, std, min, max, q25, q50, q75): one pass plus one sort for the quartiles."""
-    stats = df.agg(
-        *[
-            F.struct(
-                F.lit(c).alias("feature"),
-                F.count_if(F.col(c).isNull()).alias("n_null"),
-                F.avg(c).alias("mean"),
-                F.stddev_samp(c).alias("std"),
-                F.min(c).cast("double").alias("min"),
-                F.max(c).cast("double").alias("max"),
-            ).alias(f"_{i}")
-            for i, c in enumerate(columns)
-        ]
-    ).select(F.explode(F.array(*[f"_{i}" for i in range(len(columns))])).alias("s")).select("s.*")
-    quartiles = exact_quantiles(df, columns, [0.25, 0.5, 0.75]).groupBy("feature").agg(
-        *[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(f"q{int(p * 100)}") for p in (0.25, 0.5, 0.75)]
-    )
-    return join_stats(stats, quartiles, ["feature"], "left")
+    """(feature, n_null, mean, std, min, max, q25, q50, q75): moments come with the rough pass of the quartiles."""
+    names = ("n_null", "mean", "std", "min", "max")
+    rows = df.select(*[F.col(c).alias(f"x{i}") for i, c in enumerate(columns)])
+    also = {}
+    for i in range(len(columns)):
+        x = F.col(f"x{i}")
+        for name, e in zip(names, (F.count_if(x.isNull()), F.avg(x), F.stddev_samp(x), F.min(x).cast("double"), F.max(x).cast("double"))):
+            also[f"{name}_{i}"] = e
+    q, values = fit_statistics(rows, {f"x{i}": [0.25, 0.5, 0.75] for i in range(len(columns))}, also)
+    table = [(c, *[values[f"{name}_{i}"] for name in names], *[q.get((f"x{i}", p)) for p in (0.25, 0.5, 0.75)]) for i, c in enumerate(columns)]
+    return df.sparkSession.createDataFrame(table, "feature string, n_null long, mean double, std double, min double, max double, q25 double, q50 double, q75 double")
 
 
 def correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from loomframe.operators.window import top_label_share
 from loomframe.plans.checkpoints import materialize
 from loomframe.plans.ordered import join_stats, row_numbers
-from loomframe.plans.quantiles import exact_quantiles, unpivot
+from loomframe.plans.quantiles import fit_statistics, unpivot
 
 SCALERS = ("standard", "minmax", "robust")
 
@@ -62,16 +62,54 @@ def equal_width_bin(c: Column, low: float, high: float, bins: int) -> Column:
 
 def fit_whiskers(df: DataFrame, columns: Sequence[str], low: float = 0.26, high: float = 0.76, reach: float = 1.5) -> DataFrame:
     """Lower and upper caps: quartile-like quantiles stretched by ``reach`` times their distance."""
-    q = exact_quantiles(df, columns, [low, high]).groupBy("feature").agg(
-        F.max(F.when(F.col("prob") == low, F.col("value"))).alias("a"),
-        F.max(F.when(F.col("prob") == high, F.col("value"))).alias("b"),
-    )
-    spread = (F.col("b") - F.col("a")) * reach
-    cells = F.array(
-        F.struct(F.lit("low").alias("stat"), (F.col("a") - spread).alias("value")),
-        F.struct(F.lit("high").alias("stat"), (F.col("b") + spread).alias("value")),
-    )
-    return q.select("feature", F.explode(cells).alias("c")).select("feature", "c.*")
+    return fit_together(df, whiskers=columns, low=low, high=high, reach=reach)["whiskers"]
+
+
+def _table(df: DataFrame, rows: Sequence[tuple[str, str, float]]) -> DataFrame:
+    return df.sparkSession.createDataFrame([(f, s, float(v)) for f, s, v in rows], "feature string, stat string, value double")
+
+
+def fit_together(
+    df: DataFrame, medians: Sequence[str] = (), whiskers: Sequence[str] = (), scalers: Mapping[str, str] | None = None,
+    marker: float | None = None, low: float = 0.26, high: float = 0.76, reach: float = 1.5,
+) -> dict[str, DataFrame]:
+    """Parameter tables ``medians``, ``whiskers`` and ``scalers`` of several steps, fitted in two passes over the rows (one without quantiles).
+
+    ``scalers`` names a kind per column. All steps see the rows as they are: a step that builds on another's result
+    is fitted in a second call. ``marker`` stands for a missing value in ``medians``.
+    """
+    scalers = scalers or {}
+    if set(scalers.values()) - set(SCALERS):
+        raise ValueError(f"kind must be one of {SCALERS}")
+    present = [F.when(~_missing(F.col(c), marker), F.col(c)).cast("double").alias(f"m_{c}") for c in medians]
+    used = dict.fromkeys([*whiskers, *scalers])
+    rows = df.select(*present, *[F.col(c).alias(f"x_{c}") for c in used])
+    probs: dict[str, list[float]] = {f"m_{c}": [0.5] for c in medians}
+    for c in whiskers:
+        probs.setdefault(f"x_{c}", []).extend([low, high])
+    for c, kind in scalers.items():
+        if kind == "robust":
+            probs.setdefault(f"x_{c}", []).extend([0.25, 0.5, 0.75])
+    probs = {c: list(dict.fromkeys(float(p) for p in ps)) for c, ps in probs.items()}
+    picks = {"standard": lambda c: (F.avg(c), F.stddev_pop(c)), "minmax": lambda c: (F.min(c), F.max(c) - F.min(c))}
+    also = {f"{stat}_{c}": e.cast("double") for c, kind in scalers.items() if kind != "robust" for stat, e in zip(("center", "scale"), picks[kind](f"x_{c}"))}
+    if probs:
+        q, moments = fit_statistics(rows, probs, also)
+    else:
+        q, moments = {}, rows.agg(*[e.alias(name) for name, e in also.items()], F.lit(0).alias("_none")).first().asDict()
+    out = {"medians": [(c, "fill", q[f"m_{c}", 0.5]) for c in medians if (f"m_{c}", 0.5) in q], "whiskers": [], "scalers": []}
+    for c in whiskers:
+        if (f"x_{c}", float(low)) in q:
+            a, b = q[f"x_{c}", float(low)], q[f"x_{c}", float(high)]
+            out["whiskers"] += [(c, "low", a - (b - a) * reach), (c, "high", b + (b - a) * reach)]
+    for c, kind in scalers.items():
+        if kind == "robust":
+            center, scale_ = (q[f"x_{c}", 0.5], q[f"x_{c}", 0.75] - q[f"x_{c}", 0.25]) if (f"x_{c}", 0.5) in q else (None, None)
+        else:
+            center, scale_ = moments[f"center_{c}"], moments[f"scale_{c}"]
+        if center is not None:  # a column without values has no parameters
+            out["scalers"] += [(c, "center", center), (c, "scale", scale_ or 1.0)]
+    return {name: _table(df, rows) for name, rows in out.items()}
 
 
 def cap(df: DataFrame, params: DataFrame) -> DataFrame:
@@ -85,27 +123,7 @@ def cap(df: DataFrame, params: DataFrame) -> DataFrame:
 
 def fit_scaler(df: DataFrame, columns: Sequence[str], kind: str) -> DataFrame:
     """(feature, stat in center/scale, value); a zero scale becomes one, so constants map to zero."""
-    if kind not in SCALERS:
-        raise ValueError(f"kind must be one of {SCALERS}")
-    if kind == "robust":
-        q = exact_quantiles(df, columns, [0.25, 0.5, 0.75]).groupBy("feature").agg(
-            *[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(n) for n, p in (("a", 0.25), ("m", 0.5), ("b", 0.75))]
-        )
-        center, scale_ = F.col("m"), F.col("b") - F.col("a")
-        cells = F.array(
-            F.struct(F.lit("center").alias("stat"), center.alias("value")),
-            F.struct(F.lit("scale").alias("stat"), F.when(scale_ == 0, 1.0).otherwise(scale_).alias("value")),
-        )
-        return q.select("feature", F.explode(cells).alias("c")).select("feature", "c.*")
-    picks = {
-        "standard": lambda c: (F.avg(c), F.stddev_pop(c)),
-        "minmax": lambda c: (F.min(c), F.max(c) - F.min(c)),
-    }[kind]
-    exprs = []
-    for i, c in enumerate(columns):
-        center, scale_ = picks(c)
-        exprs += [center.alias(f"_{2 * i}"), F.when(scale_ == 0, 1.0).otherwise(scale_).alias(f"_{2 * i + 1}")]
-    return _long(df.agg(*exprs), [(c, s) for c in columns for s in ("center", "scale")])
+    return fit_together(df, scalers={c: kind for c in columns})["scalers"]
 
 
 def scale(df: DataFrame, params: DataFrame) -> DataFrame:
@@ -120,8 +138,7 @@ def _missing(c: Column, marker: float | str | None) -> Column:
 
 def fit_median(df: DataFrame, columns: Sequence[str], marker: float | None = None) -> DataFrame:
     """Exact medians of the present values."""
-    present = df.select(*[F.when(~_missing(F.col(c), marker), F.col(c)).alias(c) for c in columns])
-    return exact_quantiles(present, columns, [0.5]).select("feature", F.lit("fill").alias("stat"), "value")
+    return fit_together(df, medians=columns, marker=marker)["medians"]
 
 
 def fit_most_frequent(df: DataFrame, column: str, marker: str | float | None = None) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
-from operator import or_
+from collections.abc import Mapping, Sequence
+from typing import Any
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from loomframe.plans.checkpoints import materialize
 from loomframe.plans.ordered import join_stats, running_sums, sorted_chunks
 
 
@@ -22,63 +22,63 @@ def unpivot(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataF
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """(by..., feature, prob, value), nulls skipped; exact, for all columns and probabilities together.
 
-    Without groups, an approximate pass brackets every wanted rank; then the values below each bracket
-    are counted, and only those inside it are shuffled and ranked. Should a bracket miss its rank, and for
-    grouped quantiles, all distinct values are sorted instead.
+    Grouped quantiles sort all distinct values; without groups see ``fit_statistics``.
     """
-    if not by:
-        rows = _bracketed(df, cols, probs)
-        if rows is not None:
-            return df.sparkSession.createDataFrame(rows, "feature string, prob double, value double")
-    return _sorted_quantiles(df, cols, probs, by)
+    if by:
+        return _sorted_quantiles(df, cols, probs, by)
+    found, _ = fit_statistics(df, {c: probs for c in cols})
+    rows = [(c, float(p), found[c, float(p)]) for c in cols for p in probs if (c, float(p)) in found]
+    return df.sparkSession.createDataFrame(rows, "feature string, prob double, value double")
 
 
 _RANK_ERROR = 1e-4  # of the approximate pass; brackets reach three times as far
 
 
-def _bracketed(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> list[tuple[str, float, float]] | None:
-    """One (column, probability, value) per wanted quantile, or None when a bracket missed."""
-    reach = 3 * _RANK_ERROR
-    edges = [min(max(p + side * reach, 0.0), 1.0) for p in probs for side in (-1, 1)]
-    accuracy = int(1 / _RANK_ERROR)
-    numbers = [F.col(c).cast("double") for c in cols]
+def fit_statistics(df: DataFrame, wanted: Mapping[str, Sequence[float]], also: Mapping[str, Column] | None = None) -> tuple[dict[tuple[str, float], float], dict[str, Any]]:
+    """({(column, probability): value}, {name: value}): exact quantiles and other aggregates for several fitted steps.
+
+    Two passes answer them all. The rough one brackets every wanted rank and brings the aggregates ``also``. The
+    exact one counts the values below each bracket, map-side, and shuffles only those inside it, which are then
+    ranked. Should a bracket miss its rank, all distinct values are sorted instead. A column without values has no
+    quantiles.
+    """
+    also, reach = also or {}, 3 * _RANK_ERROR
+    cols = list(wanted)
+    numbers = {c: F.col(c).cast("double") for c in cols}
+    edges = {c: [min(max(p + side * reach, 0.0), 1.0) for p in wanted[c] for side in (-1, 1)] for c in cols}
     rough = df.agg(
-        *[e for x in numbers for e in (F.count(x), F.percentile_approx(x, edges, accuracy))]
+        *[e for c in cols for e in (F.count(numbers[c]).alias(f"n_{c}"), F.percentile_approx(numbers[c], edges[c] or [0.5], int(1 / _RANK_ERROR)).alias(f"q_{c}"))],
+        *[e.alias(f"a_{name}") for name, e in also.items()],
+        F.lit(0).alias("_none"),
     ).first()
-    wanted = []  # (cell, column number, prob, low, high, rank)
-    for i in range(len(cols)):
-        n, cuts = rough[2 * i], rough[2 * i + 1]
-        for j, p in enumerate(probs if n else []):
-            low = None if edges[2 * j] == 0.0 else cuts[2 * j]
-            high = None if edges[2 * j + 1] == 1.0 else cuts[2 * j + 1]
-            wanted.append((len(wanted), i, float(p), low, high, float(p) * (n - 1)))
-    if not wanted:
-        return []
-    cells, below = [], []
-    for cell, i, _, low, high, _ in wanted:
-        x = numbers[i]
-        inside = x.isNotNull()
-        inside = inside if low is None else inside & (x >= low)
-        inside = inside if high is None else inside & (x <= high)
-        cells.append(F.when(inside, F.struct(F.lit(cell).alias("cell"), x.alias("value"))))
-        below.append(F.lit(0) if low is None else F.count_if(x < low))
-    under = df.agg(*below).first()
-    hits = df.filter(reduce(or_, [c.isNotNull() for c in cells]))  # a plain filter ahead of the arrays
-    rows = hits.select(F.explode(F.filter(F.array(*cells), lambda c: c.isNotNull())).alias("c")).select("c.*")
-    counts = rows.groupBy("cell", "value").agg(F.count(F.lit(1)).alias("n"))
-    ranks = F.create_map(*[F.lit(v) for cell, *_, rank in wanted for v in (cell, rank - under[cell])])
-    summed = running_sums(counts, ["n"], ["value"], ["cell"])
+    values = {name: rough[f"a_{name}"] for name in also}
+    brackets = []  # (column, probability, low, high, rank)
+    for c in cols:
+        for j, p in enumerate(wanted[c] if rough[f"n_{c}"] else []):
+            low, high = (None if edges[c][2 * j + k] in (0.0, 1.0) and edges[c][2 * j + k] == k else rough[f"q_{c}"][2 * j + k] for k in (0, 1))
+            brackets.append((c, float(p), low, high, float(p) * (rough[f"n_{c}"] - 1)))
+    if not brackets:
+        return {}, values
+    cells = []
+    for cell, (c, _, low, high, _) in enumerate(brackets):
+        x = numbers[c]
+        inside = F.struct(F.lit(cell).alias("cell"), x.alias("value"))
+        below = F.struct(F.lit(cell).alias("cell"), F.lit(None).cast("double").alias("value"))
+        upto = x.isNotNull() if high is None else x <= high
+        cells.append(F.when(upto, inside if low is None else F.when(x < low, below).otherwise(inside)))
+    rows = df.select(F.explode(F.filter(F.array(*cells), lambda c: c.isNotNull())).alias("c")).select("c.*")
+    counts = materialize(rows.groupBy("cell", "value").agg(F.count(F.lit(1)).alias("n")))  # from here on values inside brackets
+    under = {r["cell"]: r["n"] for r in counts.filter("value IS NULL").collect()}
+    ranks = F.create_map(*[F.lit(v) for cell, (*_, rank) in enumerate(brackets) for v in (cell, rank - under.get(cell, 0))])
+    summed = running_sums(counts.filter("value IS NOT NULL"), ["n"], ["value"], ["cell"])
     at, start = F.element_at(ranks, F.col("cell")), F.col("cum_n") - F.col("n")
     holds = lambda r: F.when((r >= start) & (r < F.col("cum_n")), F.col("value"))
-    ends = summed.groupBy("cell").agg(F.max(holds(F.floor(at))).alias("a"), F.max(holds(F.ceil(at))).alias("b"))
-    found = {r["cell"]: (r["a"], r["b"]) for r in ends.collect()}
-    out = []
-    for cell, i, p, _, _, rank in wanted:
-        a, b = found.get(cell, (None, None))
-        if a is None or b is None:
-            return None
-        out.append((cols[i], p, a + (b - a) * (rank - int(rank))))
-    return out
+    ends = {r["cell"]: (r["a"], r["b"]) for r in summed.groupBy("cell").agg(F.max(holds(F.floor(at))).alias("a"), F.max(holds(F.ceil(at))).alias("b")).collect()}
+    if any(None in ends.get(cell, (None,)) for cell in range(len(brackets))):
+        every = sorted({p for c in cols for p in wanted[c]})
+        found = {(r["feature"], r["prob"]): r["value"] for r in _sorted_quantiles(df, cols, every, ()).collect()}
+        return {(c, p): found[c, p] for c, p, *_ in brackets}, values
+    return {(c, p): ends[cell][0] + (ends[cell][1] - ends[cell][0]) * (rank - int(rank)) for cell, (c, p, _, _, rank) in enumerate(brackets)}, values
 
 
 def _sorted_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str]) -> DataFrame:
@@ -114,8 +114,3 @@ def _sorted_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]
     at_hi = F.max(F.when((hi >= start) & (hi < stop), F.col("value")))
     share = F.max(F.col("_seq_pos") - F.floor("_seq_pos"))
     return rows.groupBy(*keys, "prob").agg((at_lo + (at_hi - at_lo) * share).alias("value"))
-
-
-def quantile_map(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict[tuple[str, float], float]:
-    """Quantiles as driver constants: one number per (column, probability)."""
-    return {(r["feature"], r["prob"]): r["value"] for r in exact_quantiles(df, cols, probs).collect()}

@@ -241,8 +241,7 @@ SELECT {KEY_SQL}, train, round((x - mx) / sx, 5) AS x, round((d - d0) / dr, 5) A
 def fit_apply_train_only(t):
     missing = F.when(F.col("l_discount") != 0.05, F.col("l_discount")).alias("d")
     df = lines(t, missing, F.col("l_extendedprice").alias("x"))
-    df = ft.impute(df, ft.fit_median(df.filter("train"), ["d"]))
-    df = ft.cap(df, ft.fit_whiskers(df.filter("train"), ["x"]))
-    df = ft.scale(df, ft.fit_scaler(df.filter("train"), ["x"], "standard"))
-    df = ft.scale(df, ft.fit_scaler(df.filter("train"), ["d"], "minmax"))
+    first = ft.fit_together(df.filter("train"), medians=["d"], whiskers=["x"])
+    df = ft.cap(ft.impute(df, first["medians"]), first["whiskers"])
+    df = ft.scale(df, ft.fit_together(df.filter("train"), scalers={"x": "standard", "d": "minmax"})["scalers"])
     return df.withColumns({c: F.round(c, 5) for c in ("x", "d")})

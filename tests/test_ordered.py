@@ -83,7 +83,7 @@ def test_hashed_order_follows_md5(spark):
 def test_quantiles_match_numpy(spark, values, prob):
     present = [v for v in values if v is not None]
     df = spark.createDataFrame([(v,) for v in values], "x double")
-    got = quantiles.quantile_map(df, ["x"], [prob])
+    got = quantiles.fit_statistics(df, {"x": [prob]})[0]
     if not present:
         assert got == {}
     else:
@@ -108,7 +108,7 @@ def test_quantiles_by_group(skewed):
 
 def test_quantiles_of_a_large_tied_column(skewed):
     frame, df = skewed
-    got = quantiles.quantile_map(df, ["x", "id"], [0.25, 0.5, 0.999])
+    got = quantiles.fit_statistics(df, {"x": [0.25, 0.5, 0.999], "id": [0.25, 0.5, 0.999]})[0]
     for c in ("x", "id"):
         for p in (0.25, 0.5, 0.999):
             assert got[(c, p)] == pytest.approx(np.quantile(frame[c], p))
