@@ -226,18 +226,22 @@ def gradient_trees(df: DataFrame, columns: Sequence[str], label: str, key: Seque
         raw = F.col("raw") + _raw("bins", pending, depth)
         if len(pending) == REFRESH:
             rows, pending, raw = materialize(rows.withColumn("raw", raw)), [], F.col("raw")
-        p = F.expr("1 / (1 + exp(-raw))")
-        state = rows.select("bins", "y", "held", raw.alias("raw"), (draw(F.lit(i)) < subsample).alias("used"))
-        used = state.filter("NOT held AND used").select("bins", (F.col("y") - p).alias("g"), (p * (1 - p)).alias("h"))
-        # The first pass of a round also brings the loss after the last one, under the feature -1.
-        loss = F.expr("log1p(exp(raw)) - y * raw")
-        held = state.filter("held").select(F.lit(0).alias("node"), F.lit(-1).alias("f"), F.lit(0).alias("b"), loss.alias("g"), F.lit(0.0).alias("h"))
+        state = rows.select("bins", "y", "held", raw.alias("raw"), (draw(F.lit(i)) < subsample).alias("used")).withColumn("p", F.expr("1 / (1 + exp(-raw))"))
+        # The first pass of a round also brings the loss after the last one, under the feature -1. Both parts of the
+        # rows are exploded together: a union would have more partitions, and thus a shuffle.
+        state = state.select("bins", "held", "used", F.expr("if(held, log1p(exp(raw)) - y * raw, y - p)").alias("g"), F.expr("if(held, 0D, p * (1 - p))").alias("h"))
+        state = state.filter("held OR used") if i else state.filter("NOT held AND used")
         features, cuts, values = [0] * (2**depth - 1), [n_bins] * (2**depth - 1), [0.0] * 2**depth
         for level in range(depth):
             first = 2**level - 1
             at = F.expr(_node("bins", _tree((features, cuts, values)), level))
-            cells = used.select((at - first).alias("node"), F.posexplode("bins").alias("f", "b"), "g", "h")
-            sums = (cells if level else cells.unionByName(held)).groupBy("node", "f", "b")
+            own = F.expr("transform(bins, (b, f) -> named_struct('f', f, 'b', b))")
+            if level:
+                cells = state.filter("NOT held").select((at - first).alias("node"), F.explode(own).alias("c"), "g", "h")
+            else:
+                apart_ = F.expr("array(named_struct('f', -1, 'b', 0))")
+                cells = state.select(F.lit(0).alias("node"), F.explode(F.when(F.col("held"), apart_).otherwise(own)).alias("c"), "g", "h")
+            sums = cells.groupBy("node", "c.f", "c.b")
             hist, apart = np.zeros((2**level, len(columns), n_bins, 3)), None
             for r in sums.agg(F.count(F.lit(1)).alias("n"), F.sum("g").alias("g"), F.sum("h").alias("h")).collect():
                 if r["f"] < 0:
