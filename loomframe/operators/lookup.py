@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomframe.functions.hashing import hash_long
+from loomframe.plans.checkpoints import materialize
 from loomframe.plans.lookups import lookup_join
 from loomframe.plans.ordered import join_stats, row_numbers
 
@@ -49,25 +51,29 @@ def nearest_vector(vector: Column, centers: Sequence[tuple[Any, Sequence[float]]
 
 
 def rejected_draws(
-    positives: DataFrame, left: str, right: str, n_left: int, n_right: int, wanted: int, seed: str
+    positives: DataFrame, left: str, right: str, n_left: int, n_right: int, wanted: int, seed: str, least_free: float = 1e-3
 ) -> DataFrame:
     """``wanted`` hashed (left, right) code pairs that are not positives, in draw order.
 
-    The pool of draws doubles until enough survive, so the result never depends on its size.
+    Rounds of draws, each as large as the share of free pairs asks for, go on where the last one stopped, so the
+    result does not depend on their sizes. Where fewer than ``least_free`` of all pairs are free, drawing and rejecting
+    is no way to find them, and an error is raised.
     """
     spark = positives.sparkSession
-    known = positives.select(left, right).distinct()
-    if known.count() >= n_left * n_right:
-        raise ValueError("every pair is a positive: no negative can be drawn")
-    pool = max(16, 2 * wanted)
-    while True:
-        draws = spark.range(pool).select(
+    inside = F.col(left).between(0, n_left - 1) & F.col(right).between(0, n_right - 1)
+    known = materialize(positives.select(left, right).distinct())
+    free = 1 - known.filter(inside).count() / (n_left * n_right) if n_left and n_right else 0.0
+    if free < least_free:
+        raise ValueError(f"only {free:.2g} of all pairs are no positives: too few to draw")
+    start, have, valid = 0, 0, None
+    while have < wanted or valid is None:
+        stop = start + max(16, math.ceil(1.1 * (wanted - have) / free))
+        draws = spark.range(start, stop).select(
             F.col("id").alias("draw"),
             (hash_long(f"{seed}-l", "id") % n_left).alias(left),
             (hash_long(f"{seed}-r", "id") % n_right).alias(right),
         )
-        valid = draws.join(known, [left, right], "left_anti")
-        if valid.count() >= wanted:
-            break
-        pool *= 2
+        fresh = materialize(draws.join(known, [left, right], "left_anti"))
+        valid = fresh if valid is None else valid.unionByName(fresh)
+        start, have = stop, have + fresh.count()
     return row_numbers(valid, ["draw"]).filter(F.col("rn") <= wanted).select("rn", left, right)

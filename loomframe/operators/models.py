@@ -30,7 +30,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from loomframe.operators.features import fit_scaler, scale
-from loomframe.operators.lookup import nearest_vector
 from loomframe.operators.similarity import normalized
 from loomframe.operators.window import quota
 from loomframe.plans.checkpoints import materialize
@@ -66,11 +65,35 @@ def box_centers(df: DataFrame, vector: str, k: int, seed: str) -> list[list[floa
     return [[a + unit_draw(seed, i, j) * (b - a) for j, (a, b) in enumerate(zip(low, high))] for i in range(k)]
 
 
+def _nearest_sums(centers: np.ndarray):
+    """Task function: number and sum of the vectors nearest to each center (the first one on ties)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k, d = centers.shape
+        n, sums = np.zeros(k, np.int64), np.zeros((k, d))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                column = batch.column(0).slice(at, 4096).drop_null()
+                if not len(column):
+                    continue
+                points = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), d)
+                nearest = np.stack([((points - c) ** 2).sum(axis=1) for c in centers], axis=1).argmin(axis=1)
+                n += np.bincount(nearest, minlength=k)
+                np.add.at(sums, nearest, points)
+        found = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(n[found]), pa.array(list(sums[found]), pa.list_(pa.float64()))], ["cluster", "n", "sums"])
+
+    return run
+
+
 def lloyd_step(df: DataFrame, vector: str, centers: Sequence[Sequence[float]]) -> DataFrame:
-    """(cluster, center, n): mean of the vectors nearest to each center, one partial aggregation."""
-    placed = df.select(vector, nearest_vector(F.col(vector), list(enumerate(centers))).alias("cluster"))
-    means = placed.groupBy("cluster").agg(Summarizer.mean(array_to_vector(F.col(vector))).alias("m"), F.count(F.lit(1)).alias("n"))
-    return means.select("cluster", vector_to_array("m").alias("center"), "n")
+    """(cluster, center, n): mean of the vectors nearest to each center.
+
+    Batches of vectors meet the centers as matrices; a task passes on one row per center.
+    """
+    parts = df.select(F.col(vector).cast("array<double>").alias("v")).mapInArrow(_nearest_sums(np.array(centers, float)), "cluster int, n long, sums array<double>")
+    added = parts.groupBy("cluster").agg(F.sum("n").alias("n"), vector_to_array(Summarizer.sum(array_to_vector(F.col("sums")))).alias("sums"))
+    return added.select("cluster", F.transform("sums", lambda x: x / F.col("n")).alias("center"), "n")
 
 
 def k_means(df: DataFrame, vector: str, k: int, seed: str, tolerance: float = 1e-3, max_rounds: int = 300) -> list[list[float]]:
@@ -78,18 +101,15 @@ def k_means(df: DataFrame, vector: str, k: int, seed: str, tolerance: float = 1e
 
     A cluster without points keeps its center. Raises when the rounds run out before that.
     """
-    points = df.select(vector).persist()
+    points = materialize(df.select(vector).hint("rebalance"))
     centers = box_centers(points, vector, k, seed)
-    try:
-        for _ in range(max_rounds):
-            moved = {r["cluster"]: r["center"] for r in lloyd_step(points, vector, centers).collect()}  # k rows
-            fresh = [moved.get(i, c) for i, c in enumerate(centers)]
-            shift = sum((a - b) ** 2 for old, new in zip(centers, fresh) for a, b in zip(old, new))
-            centers = fresh
-            if shift <= tolerance:
-                return centers
-    finally:
-        points.unpersist()
+    for _ in range(max_rounds):
+        moved = {r["cluster"]: r["center"] for r in lloyd_step(points, vector, centers).collect()}  # k rows
+        fresh = [moved.get(i, c) for i, c in enumerate(centers)]
+        shift = sum((a - b) ** 2 for old, new in zip(centers, fresh) for a, b in zip(old, new))
+        centers = fresh
+        if shift <= tolerance:
+            return centers
     raise RuntimeError(f"centers still move by {shift} after {max_rounds} rounds")
 
 

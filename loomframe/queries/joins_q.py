@@ -26,14 +26,16 @@ coded AS (SELECT doc_id, pos, code FROM tokens JOIN dict USING (word))
 SELECT doc_id, count(*)::BIGINT AS n, sum(code)::BIGINT AS code_sum, md5(string_agg(word, ' ' ORDER BY pos)) AS decoded
 FROM coded JOIN dict USING (code) GROUP BY doc_id""")
 def encode_decode(t):
-    df = materialize(tokens(t).select("doc_id", "pos", "word"))
+    # A document's equal words travel as one row, with their places.
+    df = materialize(tokens(t).groupBy("doc_id", "word").agg(F.collect_list("pos").alias("places")))
     dictionary = materialize(agg.sorted_codes(df, "word"))
-    coded = lookup.encode(df, dictionary, "word").select("doc_id", "pos", "code")
+    coded = lookup.encode(df, dictionary, "word").select("doc_id", "places", "code")
     labels = lookup.decode(coded, dictionary, "code", "word")
-    in_order = F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"])  # one document's words
+    placed = F.flatten(F.collect_list(F.transform("places", lambda at: F.struct(at.alias("at"), F.col("word").alias("word")))))
+    in_order = F.transform(F.array_sort(placed), lambda x: x["word"])  # one document's words
     return labels.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum("code").alias("code_sum"),
+        F.sum(F.size("places")).alias("n"),
+        F.sum(F.col("code") * F.size("places")).alias("code_sum"),
         F.md5(F.array_join(in_order, " ").cast("binary")).alias("decoded"),
     )
 
@@ -71,10 +73,9 @@ def semi_join(t):
 @query("j6_class_pairs", """
 WITH m AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY md5('pair:' || vec_id), vec_id) AS pos
            FROM embeddings)
-SELECT a.label AS label, a.vec_id AS a_id, b.vec_id AS b_id
-FROM m a JOIN m b ON a.label = b.label AND a.pos < b.pos WHERE a.pos <= 8 AND b.pos <= 8""")
+SELECT a.label AS label, a.vec_id AS a_id, b.vec_id AS b_id FROM m a JOIN m b ON a.label = b.label AND a.pos % 2 = 1 AND b.pos = a.pos + 1""")
 def class_pairs(t):
-    return pairs.class_pairs(t.embeddings, "label", "vec_id", 8, "pair").select("label", "a_id", "b_id")
+    return pairs.paired_members(t.embeddings, "label", "vec_id", "pair")
 
 
 _BANDS = [

@@ -1,4 +1,7 @@
-"""Every query with a SQL twin must give the same rows; every other query must run."""
+"""Every query with a SQL twin must give the same rows; every other query must run.
+
+Two queries boost for minutes and have no twin; ``tests/test_boosting.py`` holds their parts against plain loops.
+"""
 
 import pytest
 
@@ -6,7 +9,7 @@ import __spark_entry__ as entry_module
 import check
 from conftest import SF
 
-SLOW = {"m7_one_vs_rest", "m7_text_svm", "m16_grid_search", "m8_rbf_svm", "m10_ada_boost", "m11_fitted_vote"}
+SLOW = {"m9_gradient_boosting", "m11_fitted_vote"}
 
 
 @pytest.fixture(scope="module")

@@ -158,3 +158,20 @@ def test_sink_modes(spark):
     assert spark.read.parquet(path).count() == 2
     backup = sinks.write_table(spark.read.parquet(path).union(spark.range(3)), path, sinks.SinkMode.BACKUP)
     assert spark.read.parquet(path).count() == 5 and spark.read.parquet(backup).count() == 2
+
+
+def test_rejected_draws_near_a_full_matrix(spark):
+    """Nine in ten pairs are positives; draws repeat with the seed and are never positives."""
+    taken = spark.range(0, 400).selectExpr("id div 20 as l", "id % 20 as r").filter("(l + r) % 10 <> 0")
+    got = lookup.rejected_draws(taken.unionByName(taken), "l", "r", 20, 20, 60, "s").orderBy("rn").collect()
+    assert [r["rn"] for r in got] == list(range(1, 61)) and all((r["l"] + r["r"]) % 10 == 0 for r in got)
+    first = lookup.rejected_draws(taken, "l", "r", 20, 20, 5, "s").orderBy("rn").collect()
+    assert [tuple(r) for r in first] == [tuple(r) for r in got[:5]]
+    assert lookup.rejected_draws(taken, "l", "r", 20, 20, 0, "s").count() == 0
+
+
+def test_rejected_draws_refuse_a_full_matrix(spark):
+    every = spark.range(0, 2000).selectExpr("id div 50 as l", "id % 50 as r")
+    for positives in (every, every.filter("l < 39 OR r < 49")):  # the second has one free pair in 2,000
+        with pytest.raises(ValueError):
+            lookup.rejected_draws(positives, "l", "r", 40, 50, 1, "s")
