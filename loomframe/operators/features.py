@@ -73,7 +73,7 @@ def fit_together(
     df: DataFrame, medians: Sequence[str] = (), whiskers: Sequence[str] = (), scalers: Mapping[str, str] | None = None,
     marker: float | None = None, low: float = 0.26, high: float = 0.76, reach: float = 1.5,
 ) -> dict[str, DataFrame]:
-    """Parameter tables ``medians``, ``whiskers`` and ``scalers`` of several steps, fitted in two passes over the rows (one without quantiles).
+    """Parameter tables ``medians``, ``whiskers`` and ``scalers`` of several steps, fitted in three passes over the rows (one without quantiles).
 
     ``scalers`` names a kind per column. All steps see the rows as they are: a step that builds on another's result
     is fitted in a second call. ``marker`` stands for a missing value in ``medians``.

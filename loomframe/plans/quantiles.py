@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from loomframe.plans.checkpoints import materialize
 from loomframe.plans.ordered import join_stats, running_sums, sorted_chunks
 
 
@@ -37,9 +38,9 @@ _RANK_ERROR = 1e-4  # of the approximate pass; brackets reach three times as far
 def fit_statistics(df: DataFrame, wanted: Mapping[str, Sequence[float]], also: Mapping[str, Column] | None = None) -> tuple[dict[tuple[str, float], float], dict[str, Any]]:
     """({(column, probability): value}, {name: value}): exact quantiles and other aggregates for several fitted steps.
 
-    Two passes answer them all. The rough one brackets every wanted rank and brings the aggregates ``also``. The
-    exact one counts the values below each bracket, map-side, and shuffles only those inside it, which are then
-    ranked. Should a bracket miss its rank, all distinct values are sorted instead. A column without values has no
+    Three passes answer them all, whatever their number. The rough one brackets every wanted rank and brings the
+    aggregates ``also``. The second counts the values below each bracket, the third shuffles only those inside one,
+    which are then ranked. Should a bracket miss its rank, all distinct values are sorted instead. A column without values has no
     quantiles.
     """
     also, reach = also or {}, 3 * _RANK_ERROR
@@ -59,18 +60,20 @@ def fit_statistics(df: DataFrame, wanted: Mapping[str, Sequence[float]], also: M
             brackets.append((c, float(p), low, high, float(p) * (rough[f"n_{c}"] - 1)))
     if not brackets:
         return {}, values
-    cells = []
+    cells, below = [], []
     for cell, (c, _, low, high, _) in enumerate(brackets):
         x = numbers[c]
-        inside = F.struct(F.lit(cell).alias("cell"), x.alias("value"))
-        below = F.struct(F.lit(cell).alias("cell"), F.lit(None).cast("double").alias("value"))
-        upto = x.isNotNull() if high is None else x <= high
-        cells.append(F.when(upto, inside if low is None else F.when(x < low, below).otherwise(inside)))
-    rows = df.select(F.explode(F.filter(F.array(*cells), lambda c: c.isNotNull())).alias("c")).select("c.*")
-    counts = materialize(rows.groupBy("cell", "value").agg(F.count(F.lit(1)).alias("n")))  # from here on values inside brackets
-    under = {r["cell"]: r["n"] for r in counts.filter("value IS NULL").collect()}
-    ranks = F.create_map(*[F.lit(v) for cell, (*_, rank) in enumerate(brackets) for v in (cell, rank - under.get(cell, 0))])
-    summed = running_sums(counts.filter("value IS NOT NULL"), ["n"], ["value"], ["cell"])
+        inside = x.isNotNull()
+        inside = inside if low is None else inside & (x >= low)
+        inside = inside if high is None else inside & (x <= high)
+        cells.append(F.when(inside, F.struct(F.lit(cell).alias("cell"), x.alias("value"))))
+        below.append(F.lit(0) if low is None else F.count_if(x < low))
+    under = df.agg(*below).first()
+    hits = df.filter(reduce(or_, [c.isNotNull() for c in cells]))  # a plain filter ahead of the arrays
+    rows = hits.select(F.explode(F.filter(F.array(*cells), lambda c: c.isNotNull())).alias("c")).select("c.*")
+    counts = rows.groupBy("cell", "value").agg(F.count(F.lit(1)).alias("n"))
+    ranks = F.create_map(*[F.lit(v) for cell, (*_, rank) in enumerate(brackets) for v in (cell, rank - under[cell])])
+    summed = running_sums(counts, ["n"], ["value"], ["cell"])
     at, start = F.element_at(ranks, F.col("cell")), F.col("cum_n") - F.col("n")
     holds = lambda r: F.when((r >= start) & (r < F.col("cum_n")), F.col("value"))
     ends = {r["cell"]: (r["a"], r["b"]) for r in summed.groupBy("cell").agg(F.max(holds(F.floor(at))).alias("a"), F.max(holds(F.ceil(at))).alias("b")).collect()}
