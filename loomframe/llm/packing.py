@@ -305,7 +305,8 @@ def _pack(known, kind: str, window: int, limit: int, last: bool):
     """Pieces (without tokens), and of the first round what did not fill a window (with tokens, as rows to pack)."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get().partitionId() + (last << 17)
+        # A sequence id: one bit for the round, 28 for the task, 12 for the shard in it, 22 for the sequence.
+        task = (TaskContext.get().partitionId() << 34) + (last << 62)
         for shard, (table, stream, ends) in enumerate(_streams(batches, kind, limit)):
             over = None if last else []
             pieces = np.array(pack_shard(stream, ends, window, known.value, over), np.int64).reshape(-1, 5)
@@ -320,7 +321,7 @@ def _pack(known, kind: str, window: int, limit: int, last: bool):
                 [
                     table["id"].combine_chunks().take(pa.array(both)), pa.array([None] * len(doc) + left, pa.binary()), table["row"].combine_chunks().take(pa.array(both)),
                     pa.array(np.append(base[doc] + start, base[rest[:, 0]] + rest[:, 1])), pa.array(whole[both]), *(table[k].combine_chunks().take(pa.array(both)) for k in _KEYS),
-                    pa.array(np.append(length, rest[:, 2])), pa.array(crc + none, pa.int64()), pa.array(((((task << 20) + shard) << 24) + pieces[:, 3]).tolist() + none, pa.int64()), pa.array(pieces[:, 4].tolist() + none, pa.int64()),
+                    pa.array(np.append(length, rest[:, 2])), pa.array(crc + none, pa.int64()), pa.array((task + (shard << 22) + pieces[:, 3]).tolist() + none, pa.int64()), pa.array(pieces[:, 4].tolist() + none, pa.int64()),
                 ],
                 ["id", "tokens", "row", "base", "doc_tokens", *_KEYS, "length", "ids_crc32", "sequence_id", "offset"],
             )
