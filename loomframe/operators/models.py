@@ -227,8 +227,8 @@ def fourier_features(columns: Sequence[str], gamma: float, components: int, seed
     return out
 
 
-def decision_tree(label: str, depth: int = 5, seed: int = 42) -> DecisionTreeClassifier:
-    return DecisionTreeClassifier(featuresCol=FEATURES, labelCol=label, maxDepth=depth, seed=seed)
+def decision_tree(label: str, depth: int = 5, seed: int = 42, bins: int = 32) -> DecisionTreeClassifier:
+    return DecisionTreeClassifier(featuresCol=FEATURES, labelCol=label, maxDepth=depth, maxBins=bins, seed=seed)
 
 
 def random_forest(label: str, trees: int = 50, depth: int = 5, seed: int = 42) -> RandomForestClassifier:

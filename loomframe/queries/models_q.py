@@ -355,6 +355,39 @@ def ada_boost(t):
     return out.select("doc_id", F.col("quality").alias("truth"), F.round("score", 6).alias("score"), F.lit(len(model.members)).alias("rounds"))
 
 
+def _best_splits(rows: str, name: str) -> str:
+    """CTE ``name`` (node, f, cut): per node of ``rows`` (node, x, y) the split of greatest Gini gain, halfway to the feature's next value (``grid``)."""
+    gini = lambda zero, one: f"(1 - pow({zero} / ({zero} + {one}), 2) - pow({one} / ({zero} + {one}), 2))"
+    gain = f"{gini('t0', 't1')} - (l0 + l1) / (t0 + t1) * {gini('l0', 'l1')} - (r0 + r1) / (t0 + t1) * {gini('r0', 'r1')}"
+    return f"""
+{name}_h AS (SELECT node, f, x[f] AS v, count(*) FILTER (y = 0) AS n0, count(*) FILTER (y = 1) AS n1 FROM {rows}, (SELECT unnest(range(1, 6)) AS f) GROUP BY ALL),
+{name}_c AS (SELECT *, t0 - l0 AS r0, t1 - l1 AS r1 FROM (
+  SELECT node, f, v, lead(v) OVER up AS next, (sum(n0) OVER up)::DOUBLE AS l0, (sum(n1) OVER up)::DOUBLE AS l1, (sum(n0) OVER every)::DOUBLE AS t0, (sum(n1) OVER every)::DOUBLE AS t1
+  FROM {name}_h WINDOW up AS (PARTITION BY node, f ORDER BY v), every AS (PARTITION BY node, f)) WHERE next IS NOT NULL),
+{name} AS (SELECT node, f, (v + after) / 2 AS cut FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, v) AS place FROM (SELECT *, {gain} AS gain FROM {name}_c JOIN grid USING (f, v)))
+  WHERE place = 1 AND gain > 0)"""
+
+
+@query("m9_shallow_tree", f"""
+WITH {_DOC_STATS},
+few AS (SELECT doc_id, quality AS y, test, [{", ".join(f"({e})::INT" for e in COARSE.values())}] AS x FROM ranked),
+top AS (SELECT 1 AS node, * FROM few),
+train1 AS (SELECT * FROM top WHERE NOT test),
+grid AS (SELECT f, v, lead(v) OVER (PARTITION BY f ORDER BY v) AS after FROM (SELECT DISTINCT f, x[f] AS v FROM train1, (SELECT unnest(range(1, 6)) AS f))), {_best_splits("train1", "root")},
+halves AS (SELECT t.* REPLACE (CASE WHEN r.f IS NULL THEN 1 WHEN x[r.f] <= r.cut THEN 2 ELSE 3 END AS node) FROM top t LEFT JOIN root r USING (node)),
+train2 AS (SELECT * FROM halves WHERE NOT test AND node > 1), {_best_splits("train2", "low")},
+leaves AS (SELECT h.* REPLACE (CASE WHEN l.f IS NULL THEN 10 * h.node WHEN x[l.f] <= l.cut THEN 10 * h.node + 1 ELSE 10 * h.node + 2 END AS node) FROM halves h LEFT JOIN low l USING (node)),
+classes AS (SELECT node, (count(*) FILTER (y = 1) > count(*) FILTER (y = 0))::INT AS pred FROM leaves WHERE NOT test GROUP BY node)
+SELECT doc_id, y AS truth, pred FROM leaves JOIN classes USING (node) WHERE test""")
+def shallow_tree(t):
+    """A tree of depth 2 over coarse statistics, for which SQL can follow the splits."""
+    df = coarse_stats(t)
+    vectors = md.assemble(df.select("doc_id", "quality", "part", *[F.col(c).cast("double").alias(c) for c in COARSE]), list(COARSE))
+    train = vectors.filter("part = 'train'")
+    out = md.decision_tree("quality", depth=2, bins=256).fit(train).transform(vectors.filter("part = 'test'"))
+    return out.select("doc_id", F.col("quality").alias("truth"), F.col("prediction").cast("int").alias("pred"))
+
+
 @query("m11_fitted_vote")
 def fitted_vote(t):
     """Soft and hard vote of gradient boosting, AdaBoost and a calibrated SVM, fitted on train rows, for the held-out rows."""
