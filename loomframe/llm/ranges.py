@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -36,11 +34,6 @@ def part_of(id_col: Column, bounds: list[int]) -> Column:
     return F.coalesce(F.size(F.filter(array, lambda b: b <= id_col)), F.lit(0)).cast("int")
 
 
-def part_number(value: int | None, bounds: list[int]) -> int:
-    """``part_of`` for one value on the driver."""
-    return 0 if value is None else bisect_right(bounds, value)
-
-
 def parts_for(docs: DataFrame) -> int:
     """Parts to cut the ids into: the session's shuffle partitions."""
     return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
