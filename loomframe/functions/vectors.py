@@ -37,13 +37,6 @@ def squared_distance(a: Column, b: Column) -> Column:
     return total(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)))
 
 
-def nearest_index(point: Sequence[Column], centers: Sequence[Sequence[float]]) -> Column:
-    """0-based index of the closest constant center, the first on ties; a pure projection."""
-    costs = [sum((x - F.lit(float(c))) * (x - F.lit(float(c))) for x, c in zip(point, center)) for center in centers]
-    ranked = F.array(*[F.struct(cost.alias("d"), F.lit(i).alias("i")) for i, cost in enumerate(costs)])
-    return F.array_min(ranked)["i"]
-
-
 def sum_vectors(df, by: Sequence[str], vector: str, out: str = "vector"):
     """Element-wise sum per group as partial aggregates, one per dimension and group."""
     parts = df.select(*by, F.posexplode(doubles(vector)).alias("dim", "x"))

@@ -42,11 +42,6 @@ def read_json_arrays(spark: SparkSession, path: str, columns: Sequence[tuple[str
     return spark.read.text(path).select(*picked)
 
 
-def json_list(cell: Column | str, schema: str = NAME_ROLE) -> Column:
-    """A JSON array inside a text cell; bad text gives null."""
-    return F.from_json(cell, schema)
-
-
 def read_tuples(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
     """One tuple literal of quoted strings per line."""
     cells = F.regexp_extract_all("value", F.lit(r"'([^']*)'"), F.lit(1))

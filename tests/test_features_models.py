@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomframe.functions import scalar, text as tx, vectors
+from loomframe.functions import scalar, text as tx
 from loomframe.operators import clean, dedup, features as ft, images, lookup, metrics as mx, models as md, similarity as sim, web, window
 from loomframe.operators import text as txt
 from loomframe.plans.checkpoints import scratch_path
@@ -166,7 +166,6 @@ def test_find_similar_edges(tables):
 def test_euclidean_floor(spark):
     v = F.array(F.lit(1.0), F.lit(2.0))
     assert one(spark, sim.euclidean(v, v)) == pytest.approx(math.sqrt(1e-7))
-    assert one(spark, vectors.nearest_index([F.lit(1.0)], [[3.0], [1.5], [0.5]])) == 1
 
 
 def test_links(spark):
