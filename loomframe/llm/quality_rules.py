@@ -43,6 +43,7 @@ RULES: dict[str, tuple[str, tuple[float, ...]]] = {
 ALPHA = 0.02  # good documents of a stratum that all rules together may reject
 DELTA = 0.05  # chance that some stratum loses more
 USEFUL = 0.01  # a proposed rule rejects at least this share of the stratum's bad documents
+SALTS = 32  # tasks that share the rows of a stratum where rows meet its rules
 TOLERATED = 0.25  # of a rule's even share of ``alpha``: the good documents that it may reject when it is proposed
 
 
@@ -163,8 +164,10 @@ def certified_cutoffs(counts: DataFrame, labels: DataFrame, id_col: str = "doc_i
     # A few rows per stratum from here on, and one with all rules of a stratum, in order.
     best = best.select("_stratum", "b.stratum", "rule", "b.cutoff", F.row_number().over(Window.partitionBy("_stratum").orderBy(F.desc("b.bad_hit"), "rule")).alias("place"))
     proposed = materialize(best)
-    ladders = materialize(proposed.groupBy("_stratum").agg(F.collect_list(F.struct("place", "rule", "cutoff")).alias("ladder")))  # of known size
-    held = join_stats(known.filter("held AND good"), ladders, ["_stratum"])
+    ladders = materialize(proposed.groupBy("_stratum").agg(F.collect_list(F.struct("place", "rule", "cutoff")).alias("ladder")))
+    # A hot stratum's rows are dealt to several tasks, each of which gets the stratum's one row of rules.
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).alias("_salt")
+    held = known.filter("held AND good").select("_stratum", "values", salt).join(ladders.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["_stratum", "_salt"])
     first = F.array_min(F.transform(F.filter("ladder", lambda x: F.element_at("values", x["rule"]) > x["cutoff"]), lambda x: x["place"]))
     fallen = held.groupBy("_stratum", F.coalesce(first, F.lit(0)).alias("place")).agg(F.count(F.lit(1)).alias("n"))
     sizes = fallen.groupBy("_stratum").agg(F.sum("n").alias("holdout"))
