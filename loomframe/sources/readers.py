@@ -76,11 +76,36 @@ def read_images(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def read_documents(spark: SparkSession, root: str) -> DataFrame:
-    """One document per file, the folder name as category."""
-    files = spark.read.option("recursiveFileLookup", True).text(root, wholetext=True)
+#: Ends a document in a file of many; what stands for it, its escape and a byte order mark inside a text.
+DOCUMENT_END = "\x1e"
+_ESCAPES = [("\x1f", "\x1f0"), (DOCUMENT_END, "\x1f1"), ("\ufeff", "\x1f2")]
+
+
+def document_record(text: Column) -> Column:
+    """A text as a record of a file of many documents; null gives the empty text."""
+    record = F.coalesce(text, F.lit(""))
+    for plain, escaped in _ESCAPES:
+        record = F.replace(record, F.lit(plain), F.lit(escaped))
+    return record
+
+
+def _document_text(record: Column) -> Column:
+    for plain, escaped in reversed(_ESCAPES):
+        record = F.replace(record, F.lit(escaped), F.lit(plain))
+    return record
+
+
+def read_documents(spark: SparkSession, root: str, packed: bool = False) -> DataFrame:
+    """(path, category, text): one row per document, the folder name as category.
+
+    A file is a document, or with ``packed`` any number of them as ``sinks.write_documents`` leaves them. Packed files
+    are split among tasks; of single files each costs an open and a listing, so they do for thousands, not for millions.
+    """
+    source = spark.read.option("recursiveFileLookup", True)
+    files = source.text(root, lineSep=DOCUMENT_END) if packed else source.text(root, wholetext=True)
     path = F.input_file_name()
-    return files.select(path.alias("path"), F.element_at(F.split(path, "/"), -2).alias("category"), F.col("value").alias("text"))
+    text = _document_text(F.col("value")) if packed else F.col("value")
+    return files.select(path.alias("path"), F.element_at(F.split(path, "/"), -2).alias("category"), text.alias("text"))
 
 
 def first_rows(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:

@@ -9,6 +9,8 @@ from enum import Enum
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from loomframe.sources.readers import DOCUMENT_END, document_record
+
 
 class SinkMode(Enum):
     OVERWRITE = 1
@@ -96,6 +98,15 @@ def write_table(df: DataFrame, path: str, mode: SinkMode = SinkMode.OVERWRITE, n
     return aside if keep else None
 
 
+def write_documents(df: DataFrame, category: str, text: str, path: str) -> None:
+    """Texts in a folder ``<category>=<value>`` each, many to a file; ``read_documents(packed=True)`` reads them back.
+
+    A task writes one file a folder, so files grow with the data instead of being as many as the documents.
+    """
+    records = df.select(category, document_record(F.col(text)).alias("value"))
+    records.write.partitionBy(category).text(path, lineSep=DOCUMENT_END)
+
+
 def write_predictions(df: DataFrame, folder: str, name: str, flag: str, now: datetime | None = None) -> str:
     """Predictions as headered CSV with the 0/1 column as true/false, the minute in the file name."""
     path = f"{folder}/{name}_{(now or datetime.now()).strftime('%Y-%m-%d-%H%M')}"
