@@ -139,10 +139,11 @@ def next_matching(
     keyed, by = _keyed(df, by)
     chunks = sorted_chunks(keyed, order, by).withColumn("_seq_hit", F.when(F.col(marked), F.struct(F.col(value).alias("v"))))
     firsts = chunks.groupBy(*by, "_seq_chunk").agg(F.min_by("_seq_hit", F.when(F.col(marked), F.col("_seq_offset"))).alias("_seq_first"))
-    later = Window.partitionBy(*by).orderBy("_seq_chunk").rowsBetween(1, Window.unboundedFollowing)
-    carried = firsts.select(*by, "_seq_chunk", F.first("_seq_first", ignorenulls=True).over(later).alias("_seq_carry"))
-    ahead = Window.partitionBy(*by, "_seq_chunk").orderBy("_seq_offset").rowsBetween(1, Window.unboundedFollowing)
-    local = F.first("_seq_hit", ignorenulls=True).over(ahead)
+    # Backwards: Spark reads a frame that ends at the last row anew for each row, which squares the work of a chunk.
+    later = Window.partitionBy(*by).orderBy(F.desc("_seq_chunk")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = firsts.select(*by, "_seq_chunk", F.last("_seq_first", ignorenulls=True).over(later).alias("_seq_carry"))
+    ahead = Window.partitionBy(*by, "_seq_chunk").orderBy(F.desc("_seq_offset")).rowsBetween(Window.unboundedPreceding, -1)
+    local = F.last("_seq_hit", ignorenulls=True).over(ahead)
     joined = join_stats(chunks.withColumn("_seq_near", local), carried, [*by, "_seq_chunk"])
     return joined.withColumn(out, F.coalesce("_seq_near", "_seq_carry").getField("v")).drop(
         "_seq_chunk", "_seq_offset", "_seq_hit", "_seq_near", "_seq_carry", *by
