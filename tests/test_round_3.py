@@ -4,6 +4,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
+from loomframe.operators import boosting as bo
 from loomframe.plans.ordered import next_matching
 from loomframe.sources import readers, sinks
 
@@ -26,3 +27,14 @@ def test_next_match_reads_no_frame_to_the_end(spark):
     assert "unboundedfollowing" not in plan.lower()
     far = got.filter(~F.col("near").eqNullSafe(F.when(F.col("id") < 299_999, ((F.col("id") + 1) / 100_000).cast("long") * 100_000 + 99_999)))
     assert far.count() == 0
+
+
+def test_boosting_rounds_make_no_sql_plans(spark):
+    """A round was a planned and compiled SQL query (several for trees), which took hundreds of rounds out of their limit."""
+    rows = [(i, float(i * 7919 % 101), float(i * 104729 % 97), int(i * 7919 % 101 + i % 37 > 60)) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, y int")
+    ran = lambda: spark._jsparkSession.sharedState().statusStore().executionsCount()
+    before = ran()
+    assert len(bo.ada_stumps(df, ["a", "b"], "y", rounds=40).members) == 40
+    assert len(bo.gradient_trees(df, ["a", "b"], "y", ["id"], rounds=25, patience=25).trees) == 25
+    assert ran() - before < 30
