@@ -6,9 +6,12 @@ driver and bakes the numbers into the plan as constants. No row of data is joine
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import math
+from collections.abc import Iterator, Mapping, Sequence
 from itertools import combinations_with_replacement
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -198,15 +201,58 @@ def yeo_johnson(c: Column, lam: float | Column) -> Column:
     return F.when(c >= 0, up).otherwise(down)
 
 
-def _likelihoods(df: DataFrame, grid: Mapping[str, Sequence[float]]) -> DataFrame:
-    """(feature, lam, ll): log-likelihood of every grid exponent, folded map-side to one row per exponent."""
-    cells = [F.struct(F.lit(c).alias("f"), F.col(c).cast("double").alias("x"), F.lit(list(lams)).alias("lams")) for c, lams in grid.items()]
-    rows = df.select(F.explode(F.array(*cells)).alias("r")).select("r.f", "r.x", F.explode("r.lams").alias("lam"))
-    rows = rows.filter(F.col("x").isNotNull())
-    jacobian = F.sum(F.signum("x") * F.log1p(F.abs("x")))
-    return rows.groupBy(F.col("f").alias("feature"), "lam").agg(
-        (-F.count(F.lit(1)) / 2 * F.log(F.var_pop(yeo_johnson(F.col("x"), F.col("lam")))) + (F.col("lam") - 1) * jacobian).alias("ll")
-    )
+def _power_moments(grid: Sequence[Sequence[float]]):
+    """Task function: per column and exponent (n, mean, squared deviations) of the transformed values, and the Jacobian's sum."""
+
+    def transformed(x: np.ndarray, lam: float) -> np.ndarray:
+        y, up = np.empty_like(x), ~(x < 0)
+        a, b = x[up], -x[~up]
+        y[up] = np.log1p(a) if lam == 0 else (np.power(a + 1, lam) - 1) / lam
+        y[~up] = -np.log1p(b) if lam == 2 else -(np.power(b + 1, 2 - lam) - 1) / (2 - lam)
+        return y
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict = {}
+        with np.errstate(all="ignore"):
+            for batch in batches:
+                for i, lams in enumerate(grid):
+                    x = batch.column(i).drop_null().to_numpy(zero_copy_only=False)
+                    if not len(x):
+                        continue
+                    jacobian = float((np.sign(x) * np.log1p(np.abs(x))).sum())
+                    for j, lam in enumerate(lams):
+                        y = transformed(x, lam)
+                        n, m, d, g = found.get((i, j), (0, 0.0, 0.0, 0.0))
+                        own = y[0] + (y - y[0]).mean()  # exact where all values are equal, as are the steps below
+                        step, both = (own - m if n else 0.0), n + len(y)
+                        spread = ((y - own) ** 2).sum() + step * step * n * len(y) / both
+                        found[i, j] = both, (m + step * len(y) / both if n else own), d + spread, g + jacobian
+        rows = [(i, j, n, float(m), float(d), g) for (i, j), (n, m, d, g) in found.items()]
+        if rows:  # one per column and exponent leaves the task
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows), kinds)], ["i", "j", "n", "m", "d", "g"])
+
+    return run
+
+
+def _likelihoods(df: DataFrame, grid: Mapping[str, Sequence[float]]) -> dict[str, list[tuple[float, float | None]]]:
+    """(exponent, log-likelihood) of every grid exponent; None where the values do not vary.
+
+    Batches of a column are raised to all exponents as arrays, and a task passes on one row per column and exponent.
+    """
+    numbers = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(grid)])
+    parts = numbers.mapInArrow(_power_moments(list(grid.values())), "i int, j int, n long, m double, d double, g double")
+    sums = parts.groupBy("i", "j").agg(F.sum("n").alias("n"), F.sum("g").alias("g"), F.min("m").alias("low"), F.collect_list(F.struct("n", "m", "d")).alias("tasks"))
+    offset = F.aggregate("tasks", F.lit(0.0), lambda t, p: t + p["n"] * (p["m"] - F.col("low"))) / F.col("n")
+    centered = sums.withColumn("mean", F.col("low") + offset)
+    deviations = F.aggregate("tasks", F.lit(0.0), lambda t, p: t + p["d"] + p["n"] * (p["m"] - F.col("mean")) * (p["m"] - F.col("mean")))
+    rows = centered.select("i", "j", "n", "g", deviations.alias("d")).collect()
+    names, found = list(grid), {}
+    for r in rows:
+        name = names[r["i"]]
+        lam, variance = grid[name][r["j"]], r["d"] / r["n"]
+        found.setdefault(name, []).append((lam, -r["n"] / 2 * math.log(variance) + (lam - 1) * r["g"] if variance > 0 and variance < math.inf else None))
+    return found
 
 
 def fit_yeo_johnson(df: DataFrame, columns: Sequence[str], tolerance: float = 5e-4) -> DataFrame:
@@ -219,9 +265,10 @@ def fit_yeo_johnson(df: DataFrame, columns: Sequence[str], tolerance: float = 5e
     step, span, centers = 0.5, 6, {c: 1.0 for c in columns}
     while True:
         grid = {c: [round(centers[c] + i * step, 10) for i in range(-span, span + 1)] for c in columns}
-        scored = _likelihoods(df, grid).filter("ll IS NOT NULL AND NOT isnan(ll)")
-        best = scored.groupBy("feature").agg(F.max_by("lam", "ll").alias("lam")).collect()
-        centers.update({r["feature"]: r["lam"] for r in best})  # a constant column keeps exponent one
+        for c, scored in _likelihoods(df, grid).items():
+            rated = [(ll, -abs(lam - centers[c]), lam) for lam, ll in scored if ll is not None and ll == ll]
+            if rated:  # a constant column keeps exponent one
+                centers[c] = max(rated)[2]
         if step <= tolerance:
             break
         step, span = step / 10, 10

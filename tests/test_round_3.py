@@ -4,7 +4,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from loomframe.operators import boosting as bo
+from loomframe.operators import boosting as bo, features
 from loomframe.plans.ordered import next_matching
 from loomframe.sources import readers, sinks
 
@@ -38,3 +38,13 @@ def test_boosting_rounds_make_no_sql_plans(spark):
     assert len(bo.ada_stumps(df, ["a", "b"], "y", rounds=40).members) == 40
     assert len(bo.gradient_trees(df, ["a", "b"], "y", ["id"], rounds=25, patience=25).trees) == 25
     assert ran() - before < 30
+
+
+def test_yeo_johnson_fit_repeats_no_rows(spark, monkeypatch):
+    """The grid was exploded into a row per value and exponent; only the parameter table is exploded now."""
+    made = []
+    explode = F.explode
+    monkeypatch.setattr(F, "explode", lambda c: made.append(c) or explode(c))
+    df = spark.range(2000).select((F.exp(F.col("id") / 400) - 3).alias("x"), F.lit(7.0).alias("same"), F.lit(None).cast("double").alias("none"))
+    lam = {r["feature"]: r["value"] for r in features.fit_yeo_johnson(df, ["x", "same", "none"]).filter("stat = 'lambda'").collect()}
+    assert len(made) <= 1 and lam["same"] == lam["none"] == 1.0 and -3 <= lam["x"] <= 3 and lam["x"] != 1.0
