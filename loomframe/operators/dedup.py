@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 from math import comb
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructField, StructType
 
 from loomframe.functions.hashing import hex_to_long
 from loomframe.functions.text import explode_words
@@ -14,7 +18,6 @@ from loomframe.operators.window import flag_repeats
 from loomframe.plans.checkpoints import materialize
 from loomframe.plans.ordered import join_stats, row_numbers
 
-_MAX_MASKS = 2000  # masked copies per key that are still cheaper than comparing
 _MAX_CHOICES = 100  # bucket rows per key
 _BLOCK = 128  # members of a bucket compared inside one array
 _WORK = 4_000_000  # comparisons in a bucket that is not split any further
@@ -100,37 +103,6 @@ def _segment_choices(digits: int, count: int, chosen: int) -> Column:
     return F.array(*options)
 
 
-def _masks(digits: int, holes: int) -> list[list[int]]:
-    return [list(c) for c in combinations(range(1, digits + 1), holes)]
-
-
-def _by_length(low: int, high: int, make) -> Column:
-    """Constant chosen by the length of ``rest``, which lies in low..high."""
-    cells = [x for n in range(low, high + 1) for x in (F.lit(n), make(n))]
-    return F.element_at(F.create_map(*cells), F.length("rest"))
-
-
-def _shared(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows whose bucket holds at least two keys, with the bucket size."""
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    return join_stats(rows, sizes, keys)
-
-
-def _earliest(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(id, source): smallest id among rows that agree on ``keys``; no pairs are formed."""
-    firsts = rows.groupBy(*keys).agg(F.min("id").alias("source"), F.max("id").alias("last")).filter("last > source")
-    return join_stats(rows, firsts.drop("last"), keys).filter(F.col("source") < F.col("id")).select("id", "source")
-
-
-def _masked_sources(rows: DataFrame, low: int, high: int, limit: int) -> DataFrame:
-    """Exact sources inside buckets: two texts differ in at most ``limit`` digits exactly when some
-    choice of ``limit`` blanked digits makes them equal, so masked copies are grouped, never paired."""
-    masks = _by_length(low, high, lambda n: F.lit(_masks(n, min(n, limit))))
-    copies = rows.select("id", "bucket", "rest", F.explode(masks).alias("mask"))
-    blanked = F.aggregate("mask", F.col("rest"), lambda text, i: F.overlay(text, F.lit("."), i))
-    return _earliest(copies.select("id", "bucket", blanked.alias("masked")), ["bucket", "masked"])
-
-
 def _salted(rows: DataFrame, others: DataFrame, spread: str, keys: list[str]) -> DataFrame:
     """Join on ``keys`` with the rows of a key dealt to ``spread`` (a column of ``rows``) tasks.
 
@@ -141,15 +113,33 @@ def _salted(rows: DataFrame, others: DataFrame, spread: str, keys: list[str]) ->
     return dealt.join(sent, [*keys, "salt"]).drop("salt")
 
 
-def _first_match(limit: int) -> Column:
-    """Smallest id among ``members`` that is earlier than ``id`` and near ``cells``."""
-    near = F.filter("members", lambda m: (m["id"] < F.col("id")) & (_cell_distance(m["cells"], F.col("cells")) <= limit))
-    return F.array_min(F.transform(near, lambda m: m["id"]))
+def _members(rows: Column) -> list[Column]:
+    """``ids`` and ``texts``, the texts joined, of a sorted array of {id, rest}."""
+    return [F.transform(rows, lambda m: m["id"]).alias("ids"), F.array_join(F.transform(rows, lambda m: m["rest"]), "").alias("texts")]
+
+
+def _first_near(limit: int):
+    """The first of the sorted ``ids`` whose text is within the limit; a bucket's texts have one length, a byte a digit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, places = batch["ids"], []
+            starts = np.asarray(ids.offsets)[:-1]
+            for start, rest, texts in zip(starts.tolist(), batch["rest"].to_pylist(), batch["texts"].to_pylist()):
+                cells = np.frombuffer(rest.encode(), np.uint8)
+                near = np.count_nonzero(np.frombuffer(texts.encode(), np.uint8).reshape(-1, len(cells)) != cells, axis=1) <= limit
+                first = int(near.argmax())
+                places.append(start + first if near[first] else None)
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["bucket"], ids.values.take(pa.array(places, pa.int64()))], ["id", "bucket", "source"])
+
+    return run
 
 
 def _matches(tried: DataFrame, limit: int) -> DataFrame:
-    best = tried.select("id", "bucket", _first_match(limit).alias("source")).filter("source IS NOT NULL")
-    return best.groupBy("id", "bucket").agg(F.min("source").alias("source"))
+    """(id, bucket, source): the smallest id among ``ids`` that is earlier and near ``rest``."""
+    shape = StructType([*tried.select("id", "bucket").schema, StructField("source", tried.schema["id"].dataType)])
+    first = tried.select("id", "bucket", "rest", "ids", "texts").mapInArrow(_first_near(limit), shape)
+    return first.filter("source < id").groupBy("id", "bucket").agg(F.min("source").alias("source"))
 
 
 def _compared(rows: DataFrame, limit: int, block: int) -> DataFrame:
@@ -158,12 +148,11 @@ def _compared(rows: DataFrame, limit: int, block: int) -> DataFrame:
     The members of a bucket are dealt to as many tasks as their number asks for; the seekers, few where the members are
     many, go to all of these.
     """
-    cells = rows.select("id", "bucket", "seeks", "n", F.split("rest", "").alias("cells"))
     parts = F.ceil(F.col("n") / F.lit(_TASK_MEMBERS)).cast("long")
-    listed = cells.withColumn("list", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / F.lit(block)).cast("long")))
-    lists = listed.groupBy("bucket", "list").agg(F.collect_list(F.struct("id", "cells")).alias("members"), F.first(parts).alias("parts"))
-    seekers = cells.filter("seeks").select("id", "bucket", "cells", parts.alias("parts"))
-    return _matches(_salted(lists, seekers, "parts", ["bucket"]), limit)
+    listed = rows.withColumn("list", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / F.lit(block)).cast("long")))
+    lists = listed.groupBy("bucket", "list").agg(F.sort_array(F.collect_list(F.struct("id", "rest"))).alias("members"), F.first(parts).alias("parts"))
+    seekers = rows.filter("seeks").select("id", "bucket", "rest", parts.alias("parts"))
+    return _matches(_salted(lists.select("bucket", "list", *_members("members"), "parts"), seekers, "parts", ["bucket"]), limit)
 
 
 def _against_first(rows: DataFrame, limit: int, block: int) -> DataFrame:
@@ -171,13 +160,12 @@ def _against_first(rows: DataFrame, limit: int, block: int) -> DataFrame:
 
     In a dense bucket nearly all end here, and no match can be earlier.
     """
-    cells = rows.select("id", "bucket", "seeks", "n", F.split("rest", "").alias("cells"))
     parts = F.ceil(F.col("n") / F.lit(_TASK_MEMBERS)).cast("long")
-    some = cells.groupBy("bucket", F.pmod(F.xxhash64("id"), parts).alias("part")).agg(
-        F.slice(F.sort_array(F.collect_list(F.struct("id", "cells"))), 1, block).alias("members"), F.first(parts).alias("parts"))
+    some = rows.groupBy("bucket", F.pmod(F.xxhash64("id"), parts).alias("part")).agg(
+        F.slice(F.sort_array(F.collect_list(F.struct("id", "rest"))), 1, block).alias("members"), F.first(parts).alias("parts"))
     first = some.groupBy("bucket", "parts").agg(F.slice(F.sort_array(F.flatten(F.collect_list("members"))), 1, block).alias("members"))
-    seekers = cells.filter("seeks").select("id", "bucket", "cells", parts.alias("parts"))
-    return _matches(_salted(seekers, first, "parts", ["bucket"]), limit)
+    seekers = rows.filter("seeks").select("id", "bucket", "rest", parts.alias("parts"))
+    return _matches(_salted(seekers, first.select("bucket", *_members("members"), "parts"), "parts", ["bucket"]), limit)
 
 
 def _split_sources(rows: DataFrame, limit: int, block: int, work: int) -> DataFrame:
@@ -233,16 +221,12 @@ def near_sources(df: DataFrame, key: str, order: str, digits: int, limit: int, b
 
     Keys must be unique (de-duplicate exactly first) and ``digits`` long. Two keys within the limit agree
     on at least ``spare`` of ``limit + spare`` segments, so every choice of ``spare`` segments is a bucket.
-    Keys alone in a bucket drop out at once. The rest are matched exactly: by grouping masked copies when
-    the limit is small, else by comparing them, after large buckets were split further.
+    Keys alone in a bucket drop out at once. The rest are matched exactly by comparing them, after large
+    buckets were split further. A digit is one byte.
     """
     spare = max(n for n in (1, 2, 3) if n == 1 or (comb(limit + n, n) <= _MAX_CHOICES and limit + n <= digits))
-    segments = [n for _, n in _segments(digits, limit + spare)]
-    low = digits - sum(sorted(segments, reverse=True)[:spare])
-    high = digits - sum(sorted(segments)[:spare])
     rows = _bucket_rows(df.select(F.col(order).alias("id"), F.col(key).alias("rest"), F.lit("").alias("bucket")), _segment_choices(digits, limit + spare, spare))
-    found = _bucket_sources(rows, low, high, limit, block, work)
-    return found.groupBy("id").agg(F.min("source").alias("source"))
+    return _split_sources(rows, limit, block, work).groupBy("id").agg(F.min("source").alias("source"))
 
 
 def _bucket_rows(rows: DataFrame, choices: Column) -> DataFrame:
@@ -255,15 +239,6 @@ def _bucket_rows(rows: DataFrame, choices: Column) -> DataFrame:
     )
 
 
-def _bucket_sources(rows: DataFrame, low: int, high: int, limit: int, block: int, work: int) -> DataFrame:
-    """Sources over buckets whose remaining texts are low..high digits long."""
-    if high <= limit:
-        return _earliest(_shared(rows, ["bucket"]), ["bucket"])
-    if comb(high, limit) <= _MAX_MASKS:
-        return _masked_sources(_shared(rows, ["bucket"]), low, high, limit)
-    return _split_sources(rows, limit, block, work)
-
-
 def near_duplicates(df: DataFrame, key: str, order: str, digits: int, limit: int) -> DataFrame:
     """Rows with ``first_id`` of their exact key and ``source_id``: the earliest near match of that key,
     or the key's own first row. A row survives when it is its own source."""
