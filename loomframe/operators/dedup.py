@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import md5
 from itertools import combinations
 from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from loomframe.functions.hashing import hex_to_long
-from loomframe.functions.text import explode_words
+from loomframe.functions.text import words
 from loomframe.functions.vectors import doubles
 from loomframe.operators.window import flag_repeats
 from loomframe.plans.checkpoints import materialize
@@ -27,7 +28,7 @@ _TASK_MEMBERS = 16_384  # members of a bucket that one task holds
 def median_bits(vector: Column | str, dims: int) -> Column:
     """Fingerprint of a vector: bit = value >= median, packed into dims / 4 hex digits."""
     v = doubles(vector)
-    ordered = F.array_sort(v)
+    ordered = F.concat(F.sort_array(F.array_compact(v)), F.filter(v, F.isnull))  # nulls last; array_sort calls a comparator
     median = (F.element_at(ordered, (dims + 1) // 2) + F.element_at(ordered, dims // 2 + 1)) / 2
     bits = F.element_at(
         F.transform(F.array(median), lambda m: F.array_join(F.transform(v, lambda x: F.when(x >= m, "1").otherwise("0")), "")), 1
@@ -36,18 +37,46 @@ def median_bits(vector: Column | str, dims: int) -> Column:
     return F.concat(*chunks)
 
 
+def _cell_counts(cells: int):
+    """(key, cell, n) of each row: a batch's distinct words are hashed once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch["words"]
+            coded = lists.flatten().dictionary_encode()
+            hashed = [int.from_bytes(md5(w.encode()).digest()[:4], "big") % cells for w in coded.dictionary.to_pylist()]
+            owner = np.repeat(np.arange(len(lists)), np.asarray(pc.fill_null(pc.list_value_length(lists), 0)))
+            counts = np.bincount(owner * cells + np.array(hashed, np.int64)[np.asarray(coded.indices)], minlength=1)
+            some = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([batch["key"].take(pa.array(some // cells)), pa.array(some % cells), pa.array(counts[some])], ["key", "cell", "n"])
+
+    return run
+
+
+def _dense(cells: int):
+    """(key, vector) of rows with lists of {cell, n}; no list gives zeros."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch["counts"]
+            owner = np.repeat(np.arange(len(lists)), np.asarray(pc.fill_null(pc.list_value_length(lists), 0)))
+            entries, out = lists.flatten(), np.zeros((len(lists), cells))
+            out[owner, np.asarray(entries.field("cell"))] = np.asarray(entries.field("n"))
+            vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(lists) + 1, dtype=np.int32) * cells), pa.array(out.ravel()))
+            yield pa.RecordBatch.from_arrays([batch["key"], vectors], ["key", "vector"])
+
+    return run
+
+
 def word_histogram(df: DataFrame, key: str, text: str, cells: int) -> DataFrame:
     """(key, vector): how many words of a text fall into each hashed cell; texts without words give zeros."""
-    words_ = explode_words(df, text, [key]).select(key, (hex_to_long(F.md5("word")) % cells).alias("cell"))
-    counts = words_.groupBy(key, "cell").agg(F.count(F.lit(1)).alias("n"))
-    packed = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("cell", "n"))).alias("counts"))
-    full = F.transform(
-        F.sequence(F.lit(0), F.lit(cells - 1)),
-        lambda i: F.coalesce(F.element_at("counts", i.cast("bigint")), F.lit(0)).cast("double"),
-    )
-    return df.select(key).join(packed, key, "left").select(
-        key, F.coalesce(full, F.array_repeat(F.lit(0.0), cells)).alias("vector")
-    )
+    rows = df.select(F.col(key).alias("key"), words(text).alias("words"))
+    shape = rows.select("key").schema
+    parts = rows.mapInArrow(_cell_counts(cells), StructType([*shape.fields]).add("cell", "long").add("n", "long"))
+    counts = parts.groupBy("key", "cell").agg(F.sum("n").alias("n"))
+    packed = counts.groupBy("key").agg(F.collect_list(F.struct("cell", "n")).alias("counts"))
+    full = rows.select("key").join(packed, "key", "left")
+    return full.mapInArrow(_dense(cells), StructType([*shape.fields]).add("vector", ArrayType(DoubleType()))).withColumnRenamed("key", key)
 
 
 def digit_distance(a: Column, b: Column) -> Column:
