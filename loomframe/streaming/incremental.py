@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegralType, LongType, StringType, StructField, StructType
 
 from loomframe.operators.state import save_split, update_split
 from loomframe.operators.window import pair_numbers
@@ -79,34 +79,45 @@ def newer_pairs(df: DataFrame, time: str, mark, order: Sequence[str], last_pair:
     return pair_numbers(fresh, [], order, offset=last_pair).drop("rn")
 
 
-def _pair_up(time: str, order: Sequence[str], names: Sequence[str]):
-    """State function of one key: (last time, last pair, the unpaired item's values or nothing)."""
+def _pair_up(time: str, order: Sequence[str], names: Sequence[str], integers: Sequence[str]):
+    """State function of a bucket of keys: of each key (last time, last pair, the unpaired item's values or nothing)."""
+    at, places = list(names).index(time), [list(names).index(o) for o in order]
 
-    def run(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, pair, waiting = state.get if state.exists else (None, 0, None)
-        rows = pd.concat([c.astype(object).where(c.notna(), None) for c in chunks], ignore_index=True)[list(names)]
-        rows = rows[rows[time].notna()]
-        if last is not None:
-            rows = rows[rows[time] > last]
-        if rows.empty:
+    def read(chunk: pd.DataFrame, name: str) -> list:
+        return [None if v is None else int(v) for v in chunk[name].tolist()] if name in integers else chunk[name].tolist()
+
+    def place(row: tuple) -> list:
+        return [(row[p] is None, row[p]) for p in places]  # nulls last
+
+    def run(bucket: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known, fresh, done, pairs = {k: rest for k, *rest in (state.get[0] if state.exists else [])}, {}, [], []
+        for chunk in chunks:
+            for key, *row in zip(chunk["_key"].tolist(), *(read(chunk, n) for n in names)):
+                row = tuple(None if v is pd.NaT or isinstance(v, float) and v != v else v for v in row)
+                if row[at] is not None and (key not in known or row[at] > known[key][0]):
+                    fresh.setdefault(key, []).append(row)
+        if not fresh:
             return
-        rows = rows.sort_values(list(order), kind="stable", ignore_index=True)
-        newest = rows[time].iloc[-1]
-        if waiting is not None:  # the partner of the item left over is the first newer one
-            rows = pd.concat([pd.DataFrame([list(waiting)], columns=list(names), dtype=object), rows], ignore_index=True)
-        whole = len(rows) // 2 * 2
-        spare = tuple(rows.iloc[whole].tolist()) if whole < len(rows) else None
-        state.update((newest.to_pydatetime() if isinstance(newest, pd.Timestamp) else newest, pair + whole // 2, spare))
-        if whole:
-            done = rows.iloc[:whole].copy()
-            done["pair"] = pair + 1 + done.index // 2
-            done["side"] = ["A", "B"] * (whole // 2)
-            yield done
+        for key, rows in fresh.items():
+            _, pair, waiting = known.get(key, (None, 0, None))
+            rows.sort(key=place)
+            newest = rows[-1][at]
+            if waiting is not None:  # the partner of the item left over is the first newer one
+                rows.insert(0, tuple(waiting))
+            whole = len(rows) // 2 * 2
+            spare = rows[whole] if whole < len(rows) else None
+            known[key] = (newest.to_pydatetime() if isinstance(newest, pd.Timestamp) else newest, pair + whole // 2, spare)
+            done += rows[:whole]
+            pairs += [pair + 1 + i // 2 for i in range(whole)]
+        state.update(([(key, *rest) for key, rest in known.items()],))
+        if done:
+            columns = {n: pd.Series(values, dtype=object) for n, values in zip(names, zip(*done))}
+            yield pd.DataFrame({**columns, "pair": pairs, "side": ["A", "B"] * (len(done) // 2)})
 
     return run
 
 
-def paired_stream(stream: DataFrame, keys: Sequence[str], time: str, order: Sequence[str]) -> DataFrame:
+def paired_stream(stream: DataFrame, keys: Sequence[str], time: str, order: Sequence[str], buckets: int = 256) -> DataFrame:
     """Each key's items as A/B pairs, numbered on from batch to batch: the columns, ``pair`` and ``side``.
 
     The state of a key holds the time of its last item, the number of its last pair, and an item without a
@@ -114,13 +125,18 @@ def paired_stream(stream: DataFrame, keys: Sequence[str], time: str, order: Sequ
     one were processed before and are passed over, as are items without a time. ``order`` starts with ``time``.
     A stream that ends and starts again from its checkpoint numbers on where it stopped.
 
-    One key's items of one micro-batch are sorted together, so the source's batch size bounds what a task holds,
-    whatever share of the rows a key has.
+    Keys share the state of one of ``buckets`` buckets, since a call of the state function costs more than a key's
+    items; take more for many millions of keys (a checkpoint goes on with its own number only). A bucket's items of one
+    micro-batch are held together, so the source's batch size bounds what a task holds, whatever share a key has.
     """
     fields = stream.schema.fields
     names = [f.name for f in fields]
     out = StructType([*fields, StructField("pair", LongType()), StructField("side", StringType())])
     waiting = StructType([StructField(f.name, f.dataType, True) for f in fields])
-    kept = StructType([StructField("last", stream.schema[time].dataType), StructField("pair", LongType()), StructField("waiting", waiting)])
-    grouped = stream.groupBy(*keys) if keys else stream.withColumn("_all", F.lit(0)).groupBy("_all")
-    return grouped.applyInPandasWithState(_pair_up(time, order, names), out, kept, "append", GroupStateTimeout.NoTimeout)
+    entry = StructType([StructField("key", StringType()), StructField("last", stream.schema[time].dataType), StructField("pair", LongType()), StructField("waiting", waiting)])
+    kept = StructType([StructField("keys", ArrayType(entry))])
+    key = F.to_json(F.struct(*keys)) if keys else F.lit("")
+    integers = [f.name for f in fields if isinstance(f.dataType, IntegralType)]  # as text: pandas makes floats of them beside nulls
+    keyed = stream.withColumn("_key", key).withColumns({c: F.col(c).cast("string") for c in integers})
+    grouped = keyed.withColumn("_bucket", F.pmod(F.xxhash64("_key"), F.lit(buckets))).groupBy("_bucket")
+    return grouped.applyInPandasWithState(_pair_up(time, order, names, integers), out, kept, "append", GroupStateTimeout.NoTimeout)
