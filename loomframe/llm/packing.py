@@ -33,6 +33,7 @@ SHARD_TOKENS = 1 << 20  # tokens that a shard has on average
 CLUSTERS = 2  # centres for each shard
 SAMPLE, STEPS = 16, 10  # documents for each centre that the centres are fitted on, and rounds of the fit
 DIMS = 64  # of a projected document
+SIGNS = 4  # of them that a term adds to
 KEY_TERMS = 3  # telling terms of a document that give its place in a cluster
 K1, B = 1.2, 0.75  # customary BM25 parameters
 
@@ -84,16 +85,25 @@ class Bm25Shard:
         self.posting_doc = doc[by_term]
         self.posting_weight = weight[by_term]
         self.postings = np.searchsorted(term[by_term], np.arange(vocabulary + 1))
-        self.n = n
+        self.n = self.left = n
 
     def scores(self, seed: int) -> np.ndarray:
-        """BM25 of every document of the shard for the distinct terms of ``seed``."""
+        """BM25 of every document of the shard that is not dropped for the distinct terms of ``seed``."""
         terms = self.term[self.terms_of[seed] : self.terms_of[seed + 1]]
         low, count = self.postings[terms], self.postings[terms + 1] - self.postings[terms]
         ends = np.cumsum(count)
         at = np.repeat(low - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)
         return np.bincount(self.posting_doc[at], self.posting_weight[at], minlength=self.n)
 
+    def drop(self, used: np.ndarray) -> None:
+        """Postings of ``used`` documents go as soon as a quarter of those left are used."""
+        left = self.n - np.count_nonzero(used)
+        if left > 0.75 * self.left:
+            return
+        kept = ~used[self.posting_doc]
+        self.postings = np.concatenate([[0], np.cumsum(kept)])[self.postings]
+        self.posting_doc, self.posting_weight, self.left = self.posting_doc[kept], self.posting_weight[kept], left
+
 
 def pack_shard(ids: np.ndarray, ends: np.ndarray, window: int, known: Statistics | None = None, over: list | None = None) -> list[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) of every piece; ``ids`` hold the end tokens already.
@@ -123,20 +133,23 @@ def pack_shard(ids: np.ndarray, ends: np.ndarray, window: int, known: Statistics
             doc = None
             continue
         parts, free, seed, rest = [(doc, start, left)], window - left, doc, None
+        index.drop(used)
         score = index.scores(seed)
         score[used] = 0
         near = np.flatnonzero(score)
         near = near[np.argsort(-score[near], kind="stable")]
-        skipped = None
-        for other, size in zip(near.tolist(), lengths[near].tolist()):
-            if size <= free:
-                parts.append((other, 0, size))
-                used[other] = True
-                free -= size
-                if not free:
-                    break
-            elif skipped is None:
-                skipped = other
+        sizes, at, skipped = lengths[near], 0, None
+        while free and at < len(near):
+            fits = sizes[at:] <= free
+            step = int(fits.argmax())
+            if not fits[0] and skipped is None:
+                skipped = int(near[at])
+            if not fits[step]:
+                break
+            other, size, at = int(near[at + step]), int(sizes[at + step]), at + step + 1
+            parts.append((other, 0, size))
+            used[other] = True
+            free -= size
         while free:
             if skipped is None:
                 while following < n and used[following]:
@@ -183,7 +196,7 @@ def _encode(path: str, fold: bool, end_id: int, kind: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(path, fold)
-        for table in bounded(batches):
+        for table in bounded(batches, limit=2 * BATCH_BYTES):
             ids, ends = encoder.texts(table["text"])
             ends = ends + np.arange(table.num_rows + 1)
             stream = np.full(ends[-1], end_id, kind)
@@ -225,13 +238,16 @@ def _frequencies(kind: str):
 
 
 def projected(doc: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, terms: int) -> np.ndarray:
-    """Unit vectors of ``DIMS`` numbers; zero for documents without a telling term."""
-    directions = np.random.default_rng(0).standard_normal((terms, DIMS), np.float32)
-    out = np.zeros((n, DIMS), np.float32)
-    for at in range(0, len(doc), 1 << 16):
-        part = slice(at, at + (1 << 16))
-        some, starts = np.unique(doc[part], return_index=True)
-        out[some] += np.add.reduceat(weight[part, None].astype(np.float32) * directions[term[part]], starts, axis=0)
+    """Unit vectors of ``DIMS`` numbers; zero for documents without a telling term.
+
+    A term's direction is sparse: ``SIGNS`` of the numbers are 1 or -1, one in each of as many equal stretches, the others 0.
+    """
+    random, stretch = np.random.default_rng(0), DIMS // SIGNS
+    out = np.zeros(n * DIMS)
+    for k in range(SIGNS):
+        place, sign = k * stretch + random.integers(0, stretch, terms), random.choice([-1.0, 1.0], terms)
+        out += np.bincount(doc * DIMS + place[term], weight * sign[term], minlength=n * DIMS)
+    out = out.reshape(n, DIMS).astype(np.float32)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 

@@ -98,3 +98,15 @@ def test_neighbours_meet_across_files_and_shards(spark, monkeypatch):
         score[i] = 0
         met += bool(shards[i] & shards[int(score.argmax())])
     assert met > 0.5 * 480  # 0.58 of the true nearest neighbours
+
+
+def test_dropped_documents_leave_the_other_scores_alone():
+    rng = np.random.default_rng(3)
+    ends = np.concatenate([[0], np.cumsum(rng.integers(5, 40, 60))])
+    ids = rng.integers(0, 300, ends[-1])
+    whole, shrunk = packing.Bm25Shard(ids, ends), packing.Bm25Shard(ids, ends)
+    used = rng.random(60) < 0.6
+    shrunk.drop(used)
+    assert len(shrunk.posting_doc) < len(whole.posting_doc)
+    for seed in range(60):
+        assert np.array_equal(np.where(used, 0, whole.scores(seed)), shrunk.scores(seed))

@@ -60,3 +60,16 @@ def test_token_counts_on_odd_rows(odd_docs, no_docs):
     assert token_counts(no_docs, WORDS).collect() == []
     pieces = token_counts(odd_docs, public_tokenizers.path("piece_bpe_32k.model"))
     assert pieces.count() == len(rows)
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_words_of_letters_go_to_the_library_together(name):
+    encoder = tokens.ChunkEncoder(public_tokenizers.path(name))
+    plain = [f" wort{chr(97 + k % 26)}{chr(97 + k // 26)}ü" for k in range(300)] + [" İstanbul", " straße", " 漢字", " ǅ"]
+    chunks = [c.encode() for c in [*plain, "  two", " a1", " 12", "x", " a-b", " ", " ét", "!"]]
+    ids, lengths = encoder.encode(chunks)
+    want = [encoder.tokenizer.encode(c.decode(), add_special_tokens=False).ids for c in chunks]
+    assert lengths.tolist() == [len(w) for w in want]
+    assert ids.tolist() == [i for w in want for i in w]
+    own, n = encoder._joint(plain[:256])
+    assert n.tolist() == [len(w) for w in want[:256]] and own.tolist() == [i for w in want[:256] for i in w]
