@@ -22,6 +22,9 @@ last two symbols of the context, so that a bucket has all occurrences of its con
 tests them from short to long and answers with the chance of every position asked. Contexts of one symbol are counted
 and tested before, and a symbol's go to the buckets of that symbol, of which a frequent one has many. The driver and
 the broadcast hold one number per symbol.
+
+An answer holds values only, in the order in which they were asked: the texts of a block put its words and positions
+in that order once more. Arrays travel packed (``pack``).
 """
 
 from __future__ import annotations
@@ -47,6 +50,7 @@ _BITS = 10  # of a symbol
 _DEPTH_SHIFT = _BITS * (DEPTH + 1)
 _FLUSH = 4_000_000  # distinct counts a task holds before it hands them in
 _NONE = 0xFFFFFFFF  # in place of a symbol before the start
+_PACKED = pa.Codec("zstd", compression_level=1)
 _LOWER = np.array([x | 32 if 65 <= x <= 90 else x for x in range(256)], np.uint8)
 
 
@@ -78,6 +82,26 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     return words.indices.to_numpy(), words.dictionary, np.searchsorted(starts, offsets)
 
 
+def pack(values: np.ndarray) -> bytes:
+    """An array as compressed bytes, those of equal significance together."""
+    planes = np.ascontiguousarray(values).reshape(-1).view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+    return len(planes).to_bytes(8, "little") + _PACKED.compress(planes, asbytes=True)
+
+
+def unpack(data: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(_PACKED.decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+
+
+def pack_sorted(keys: np.ndarray) -> bytes:
+    """Sorted unsigned keys, packed as their distances."""
+    return pack(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data, np.uint64), dtype=np.uint64)
+
+
 def hashes(words: list[bytes]) -> np.ndarray:
     from xxhash import xxh64_intdigest
 
@@ -212,6 +236,16 @@ class Model:
         salts = np.arange(self.salts[last])
         return np.unique(self.bucket(np.full(len(salts), last), salts))
 
+    def arranged(self, spots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first place of each distinct position, its bucket, place of every position among them), in the order of asking."""
+        _, first, where = np.unique(spot_keys(spots), return_index=True, return_inverse=True)
+        last, salt = spots[1, first], _mixed(spots[2, first].astype(np.uint64))
+        bucket = self.bucket(last, salt % self.salts[last].astype(np.uint64)).astype(np.min_scalar_type(self.buckets))
+        order = np.argsort(bucket, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return first[order], bucket[order], place[where]
+
     def within(self, symbol: np.ndarray, count: np.ndarray) -> np.ndarray:
         """log10 of the chance of each word, given its symbol."""
         known = np.log10(np.maximum(count - self.discount, 1e-300) / max(self.other, 1))
@@ -311,7 +345,7 @@ def _ask(buckets: int):
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([int(bucket[a]) for a, _ in spans], pa.int32()), pa.array([block] * len(spans), pa.int64()),
-                pa.array([keys[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([n[a:b].tobytes() for a, b in spans], pa.binary()),
+                pa.array([pack_sorted(keys[a:b]) for a, b in spans], pa.binary()), pa.array([pack(n[a:b]) for a, b in spans], pa.binary()),
             ],
             ["bucket", "block", "keys", "n"],
         )
@@ -327,11 +361,7 @@ def _add_up(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys, np.bincount(where, np.concatenate([n for _, n in parts]), minlength=len(keys)).astype(np.int64)
 
 
-def _put_together(parts: list[tuple[np.ndarray, np.ndarray]], of: type) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys of the parts with their values; each key was asked of one bucket."""
-    keys, values = (np.concatenate([p[k] for p in parts]) if parts else np.empty(0, t) for k, t in enumerate((np.uint64, of)))
-    order = np.argsort(keys, kind="stable")
-    return keys[order], values[order]
+_ANSWERED = ["kind", "block", "part", "keys", "totals"]
 
 
 def _answer():
@@ -340,30 +370,30 @@ def _answer():
     Rows come sorted by bucket; what the blocks ask of one bucket is held at once.
     """
 
-    def row(kind: int, block: int, keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+    def row(kind: int, block: int, part: int, keys: bytes, values: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
-            [pa.array([kind], pa.int32()), pa.array([block], pa.int64()), pa.array([keys.tobytes()], pa.binary()), pa.array([values.astype(np.int64).tobytes()], pa.binary())],
-            ["kind", "block", "keys", "totals"],
+            [pa.array([kind], pa.int32()), pa.array([block], pa.int64()), pa.array([part], pa.int32()), pa.array([keys], pa.binary()), pa.array([pack(values.astype(np.int64))], pa.binary())],
+            _ANSWERED,
         )
 
-    def close(held: list) -> Iterator[pa.RecordBatch]:
+    def close(bucket: int, held: list) -> Iterator[pa.RecordBatch]:
         keys, total = _add_up([(k, n) for _, k, n in held])
         for block, asked, _ in held:
-            yield row(1, block, asked, total[np.searchsorted(keys, asked)])
-        yield row(2, 0, np.empty(0, np.int64), np.array([total.sum(), (total > 0).sum(), (total == 1).sum(), (total == 2).sum()]))
-        yield row(3, 0, keys[total > 0], total[total > 0])
+            yield row(1, block, bucket, b"", total[np.searchsorted(keys, asked)])
+        yield row(2, 0, bucket, b"", np.array([total.sum(), (total > 0).sum(), (total == 1).sum(), (total == 2).sum()]))
+        yield row(3, 0, bucket, pack_sorted(keys[total > 0]), total[total > 0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, held = None, []
         for batch in batches:
             for b, block, keys, n in zip(*(batch.column(k).to_pylist() for k in ("bucket", "block", "keys", "n"))):
                 if bucket is not None and b != bucket:
-                    yield from close(held)
+                    yield from close(bucket, held)
                     held = []
                 bucket = b
-                held.append((block, np.frombuffer(keys, np.uint64), np.frombuffer(n, np.int64)))
+                held.append((block, unpack_sorted(keys), unpack(n, np.int64)))
         if held:
-            yield from close(held)
+            yield from close(bucket, held)
 
     return run
 
@@ -374,8 +404,8 @@ def _pairs_of(kind: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for keys, totals in zip(batch.column("keys").to_pylist(), batch.column("totals").to_pylist()):
-                n = np.frombuffer(totals, np.int64)
-                key = np.frombuffer(keys, np.int64) if kind == 3 else np.arange(len(n))
+                n = unpack(totals, np.int64)
+                key = unpack_sorted(keys).view(np.int64) if kind == 3 else np.arange(len(n))
                 yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(n, pa.int64())], ["key", "n"])
 
     return run
@@ -425,7 +455,7 @@ def _single_contexts(model):
         cuts = np.searchsorted(where, np.arange(len(state) + 1))
         for k in np.flatnonzero(kept):
             a, b, buckets = cuts[k], cuts[k + 1], model.value.buckets_of(state[k]).tolist()
-            keys, values = symbol[a:b].astype(np.uint32).tobytes(), np.append(left[k], chance[a:b]).tobytes()
+            keys, values = pack(symbol[a:b].astype(np.uint32)), pack(np.append(left[k], chance[a:b]))
             many = len(buckets)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(buckets, pa.int32()), pa.array([0] * many, pa.int32()), pa.array([int(state[k])] * many, pa.int64()), pa.array([keys] * many, pa.binary()), pa.array([values] * many, pa.binary())], _ASKED
@@ -455,18 +485,14 @@ def _ask_spots(model):
 
     def rows(block: int, held: list) -> pa.RecordBatch:
         spots, counted = np.concatenate([x for x, _ in held], axis=1), np.concatenate([t for _, t in held])
-        _, first, where = np.unique(spot_keys(spots), return_index=True, return_inverse=True)
+        first, bucket, where = model.value.arranged(spots)
         n, spots = np.bincount(where, counted, minlength=len(first)).astype(np.uint32), spots[:, first]
-        salt = _mixed(spots[2].astype(np.uint64)) % model.value.salts[spots[1]].astype(np.uint64)
-        bucket = model.value.bucket(spots[1], salt)
-        order = np.lexsort((*spots, bucket))  # by the bucket, then from the oldest symbol on
-        bucket, spots, n = bucket[order], spots[:, order], n[order]
         cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
         spans = list(zip(cuts, cuts[1:]))
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([int(bucket[a]) for a, _ in spans], pa.int32()), pa.array([1] * len(spans), pa.int32()), pa.array([block] * len(spans), pa.int64()),
-                pa.array([spots[:, a:b].tobytes() for a, b in spans], pa.binary()), pa.array([n[a:b].tobytes() for a, b in spans], pa.binary()),
+                pa.array([pack(spots[:, a:b]) for a, b in spans], pa.binary()), pa.array([pack(n[a:b]) for a, b in spans], pa.binary()),
             ],
             _ASKED,
         )
@@ -480,7 +506,7 @@ def _answer_spots(model):
     Rows come sorted by bucket, its contexts of one symbol first; what the blocks ask of one bucket is held at once.
     """
 
-    def close(singles: dict, held: list) -> Iterator[pa.RecordBatch]:
+    def close(bucket: int, singles: dict, held: list) -> Iterator[pa.RecordBatch]:
         spots, n = np.concatenate([x for _, x, _ in held], axis=1), np.concatenate([x for _, _, x in held])
         keys, first, where = np.unique(spot_keys(spots), return_index=True, return_inverse=True)
         n, spots = np.bincount(where, n, minlength=len(keys)), spots[:, first]
@@ -496,11 +522,10 @@ def _answer_spots(model):
         chance = spot_chances(spots, n, chance)
         start = 0
         for block, asked, _ in held:
-            own = np.unique(where[start : start + asked.shape[1]])
+            own = where[start : start + asked.shape[1]]
             start += asked.shape[1]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([2], pa.int32()), pa.array([block], pa.int64()), pa.array([keys[own].tobytes()], pa.binary()), pa.array([chance[own].tobytes()], pa.binary())],
-                ["kind", "block", "keys", "totals"],
+                [pa.array([2], pa.int32()), pa.array([block], pa.int64()), pa.array([bucket], pa.int32()), pa.array([b""], pa.binary()), pa.array([pack(chance[own])], pa.binary())], _ANSWERED
             )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -509,14 +534,14 @@ def _answer_spots(model):
             for b, kind, block, keys, n in zip(*(batch.column(k).to_pylist() for k in _ASKED)):
                 if b != bucket:
                     if held:
-                        yield from close(singles, held)
+                        yield from close(bucket, singles, held)
                     bucket, singles, held = b, {}, []
                 if kind == 0:
-                    singles[block] = np.frombuffer(keys, np.uint32), np.frombuffer(n)
+                    singles[block] = unpack(keys, np.uint32), unpack(n, np.float64)
                 else:
-                    held.append((block, np.frombuffer(keys, np.uint32).reshape(model.value.depth + 1, -1), np.frombuffer(n, np.uint32)))
+                    held.append((block, unpack(keys, np.uint32).reshape(model.value.depth + 1, -1), unpack(n, np.uint32)))
         if held:
-            yield from close(singles, held)
+            yield from close(bucket, singles, held)
 
     return run
 
@@ -525,22 +550,37 @@ _SCORES = (("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.in
 
 
 def _score(broadcast):
-    """Rows come sorted by block, a block's answers before its texts."""
+    """Rows come sorted by block, a block's answers before its texts, each kind of answers by bucket.
 
-    def score(part: pa.Table, keys: np.ndarray, totals: np.ndarray, spots: np.ndarray, chances: np.ndarray) -> pa.RecordBatch:
-        model: Model = broadcast.value
+    Of the texts of a block only the words and symbols are held until all are there.
+    """
+
+    def read(part: pa.Table) -> tuple:
         codes, distinct, firsts = words_of(part["text"])
         own = hashes(distinct.to_pylist())
-        c = totals[np.searchsorted(keys, own)] if len(own) else np.empty(0, np.int64)
-        symbol, n = model.symbols(own), part.num_rows
-        symbols, lengths = _sequences(codes, firsts, symbol)
+        return part.select(["id", "held_out"]), codes, own, *_sequences(codes, firsts, broadcast.value.symbols(own))
+
+    def close(texts: list, totals: list, chances: list) -> Iterator[pa.RecordBatch]:
+        if not texts:
+            return
+        totals, chances = (np.concatenate(x) if x else np.empty(0) for x in (totals, chances))
+        keys = np.unique(np.concatenate([own for _, _, own, _, _ in texts]))
+        symbols, lengths = (np.concatenate([text[k] for text in texts]) for k in (3, 4))
+        after = np.log10(chances)[broadcast.value.arranged(spots_of(symbols, lengths, broadcast.value.depth))[2]]
+        start = 0
+        for part, codes, own, symbols, lengths in texts:
+            yield score(part, codes, own, totals[np.searchsorted(keys, own)], lengths, after[start : start + len(symbols)])
+            start += len(symbols)
+
+    def score(part: pa.Table, codes: np.ndarray, own: np.ndarray, c: np.ndarray, lengths: np.ndarray, after: np.ndarray) -> pa.RecordBatch:
+        model: Model = broadcast.value
+        n = part.num_rows
         owner = np.repeat(np.arange(n), lengths)
         words = np.repeat(np.arange(n), lengths - 1)
         add = lambda x: np.bincount(words, x[codes], minlength=n)
         base_total = model.tokens + 0.1 * (model.distinct + 1)
         base = add(np.log10((c + 0.1) / base_total)) + np.log10((model.ends + 0.1) / base_total)
-        after = chances[np.searchsorted(spots, spot_keys(spots_of(symbols, lengths, model.depth)))]
-        spelled = np.bincount(owner, np.log10(after), minlength=n) + add(model.within(symbol, c))
+        spelled = np.bincount(owner, after, minlength=n) + add(model.within(model.symbols(own), c))
         columns = [
             part["held_out"].combine_chunks(), pa.array(lengths), pa.array(add(c > 0).astype(np.int64) + bool(model.ends)),
             pa.array(np.full(n, model.tokens, np.int64)), pa.array(base), pa.array(spelled),
@@ -548,21 +588,23 @@ def _score(broadcast):
         return pa.RecordBatch.from_arrays([part["id"].combine_chunks(), *columns], ["id", *[name for name, _ in _SCORES]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, answers, chances = None, [], []
+        block, texts, totals, chances = None, [], [], []
         for table in bounded(batches):
             blocks, kinds = table["block"].to_numpy(), table["kind"].to_numpy()
             cuts = np.flatnonzero((np.diff(blocks) != 0) | (np.diff(kinds) != 0)) + 1
             edges = [0, *cuts.tolist(), len(blocks)]
             for a, b in zip(edges, edges[1:]):
                 if blocks[a] != block:
-                    block, answers, chances = blocks[a], [], []
+                    yield from close(texts, totals, chances)
+                    block, texts, totals, chances = blocks[a], [], [], []
                 part = table.slice(a, b - a)
-                if kinds[a] < 3:
-                    packed, of = zip(part["keys"].to_pylist(), part["totals"].to_pylist()), np.int64 if kinds[a] == 1 else np.float64
-                    (answers if kinds[a] == 1 else chances).extend((np.frombuffer(k, np.uint64), np.frombuffer(n, of)) for k, n in packed)
-                    continue
-                answers, chances = [_put_together(answers, np.int64)], [_put_together(chances, np.float64)]
-                yield score(part, *answers[0], *chances[0])
+                if kinds[a] == 1:
+                    totals.extend(unpack(n, np.int64) for n in part["totals"].to_pylist())
+                elif kinds[a] == 2:
+                    chances.extend(unpack(n, np.float64) for n in part["totals"].to_pylist())
+                else:
+                    texts.append(read(part))
+        yield from close(texts, totals, chances)
 
     return run
 
@@ -585,7 +627,7 @@ def language_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     block = F.floor(F.monotonically_increasing_id() / BLOCK_ROWS).cast("long")
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), held.alias("held_out"), block.alias("block"))
     asked = rows.select("text", "held_out", "block").mapInArrow(_ask(buckets), "bucket int, block long, keys binary, n binary")
-    packed = "kind int, block long, keys binary, totals binary"
+    packed = "kind int, block long, part int, keys binary, totals binary"
     answers = materialize(asked.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer(), packed))
     pairs = lambda kind: answers.filter(F.col("kind") == kind).select("keys", "totals").mapInArrow(_pairs_of(kind), "key long, n long")
     sums = {r["key"]: r["n"] for r in pairs(2).groupBy("key").agg(F.sum("n").alias("n")).collect()}
@@ -611,11 +653,10 @@ def language_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     spots = rows.select("text", "held_out", "block").mapInArrow(_ask_spots(sent), asked).unionByName(counted.mapInArrow(_single_contexts(sent), asked))
     chances = spots.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_answer_spots(sent), packed)
 
-    shape = "cast(null as binary) as keys", "cast(null as binary) as totals"
-    asking = rows.selectExpr("block", "3 as kind", "id", "text", "held_out", *shape)
+    asking = rows.selectExpr("block", "3 as kind", "cast(null as int) as part", "id", "text", "held_out", "cast(null as binary) as totals")
     id_type = dict(rows.dtypes)["id"]
-    answering = answers.filter("kind = 1").unionByName(chances).selectExpr("block", "kind", f"cast(null as {id_type}) as id", "'' as text", "false as held_out", "keys", "totals")
-    met = answering.unionByName(asking).repartition(parts, "block").sortWithinPartitions("block", "kind")
+    answering = answers.filter("kind = 1").unionByName(chances).selectExpr("block", "kind", "part", f"cast(null as {id_type}) as id", "'' as text", "false as held_out", "totals")
+    met = answering.unionByName(asking).repartition(parts, "block").sortWithinPartitions("block", "kind", "part")
     schema = rows.select("id").schema
     for name, kind in _SCORES:
         schema = schema.add(name, {pa.bool_(): "boolean", pa.int64(): "long", pa.float64(): "double"}[kind])

@@ -155,3 +155,29 @@ def test_the_tree_grows_with_the_corpus():
     sizes = [10**k for k in range(3, 13)]
     assert [model.depth_for(n) for n in sizes] == [2, 2, 2, 2, 3, 3, 4, 4, 5, 5]
     assert all(model.symbols_for(a) < model.symbols_for(b) for a, b in zip(sizes[4:], sizes[5:])) and model.symbols_for(0) == 500
+
+
+def test_answers_hold_values_only(tables):
+    """What a block is answered takes a few bytes a word and less than nine a position; with keys it was 16."""
+    class Sent:
+        value = model.Model(np.empty(0, np.uint64), np.full(3, 1 / 3), 3, np.ones(3, np.int64), 64, 1, 1, 1, 0.5, 1, 1)
+
+    texts = [r["text"] for r in tables.documents.limit(200).collect()]
+    table = pa.table({"text": pa.array(texts), "held_out": pa.array([False] * len(texts)), "block": pa.array([7] * len(texts), pa.int64())})
+    asked = list(model._ask(64)(table.to_batches()))
+    words = sum(len(model.unpack_sorted(k)) for b in asked for k in b.column("keys").to_pylist())
+    assert words == len({w for t in texts for w in split(t)})
+    answers = [r for b in model._answer()(iter(asked)) for r in b.to_pylist() if r["kind"] == 1]
+    n = np.concatenate([model.unpack(r["totals"], np.int64) for r in answers])
+    assert n.sum() == sum(len(split(t)) for t in texts)
+    assert sum(len(r["keys"]) + len(r["totals"]) for r in answers) < 4 * words + 64 * len(answers)
+    spots = list(model._ask_spots(Sent)(table.to_batches()))
+    size = sum(len(model.unpack(k, np.uint32)) // 4 for b in spots for k in b.column("keys").to_pylist())
+    found = [r for b in model._answer_spots(Sent)(iter(spots)) for r in b.to_pylist()]
+    assert sum(len(model.unpack(r["totals"], np.float64)) for r in found) == size
+    assert sum(len(r["keys"]) + len(r["totals"]) for r in found) < 9 * size + 64 * len(found)
+
+
+@pytest.mark.parametrize("values", [np.empty(0, np.uint64), np.array([0, 3, 2**64 - 1], np.uint64), np.arange(1000, dtype=np.uint64) * 977])
+def test_packing_is_reversible(values):
+    assert (model.unpack(model.pack(values), np.uint64) == values).all() and (model.unpack_sorted(model.pack_sorted(values)) == values).all()
