@@ -27,10 +27,10 @@ def first_seen_codes(df: DataFrame, label: str, position: Sequence[str], start:
     return row_numbers(first, ["first_position"], out="place").select(label, (F.col("place") - 1 + start).alias("code"))
 
 
-def sorted_codes(df: DataFrame, label: str) -> DataFrame:
-    """(label, code): distinct labels numbered in alphabetical order from 0."""
-    distinct = df.select(label).distinct()
-    return row_numbers(distinct, [label], out="place").select(label, (F.col("place") - 1).alias("code"))
+def sorted_codes(df: DataFrame, label: str, counted: str | None = None) -> DataFrame:
+    """(label, code): distinct labels numbered in alphabetical order from 0; ``counted`` names a column for their rows."""
+    distinct = df.groupBy(label).agg(F.count(F.lit(1)).alias(counted)) if counted else df.select(label).distinct()
+    return row_numbers(distinct, [label], out="place").select(label, (F.col("place") - 1).alias("code"), *([counted] if counted else []))
 
 
 def resample_target(df: DataFrame, label: str, factor: float) -> DataFrame:

@@ -4,18 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from loomframe.functions.text import latin_words
 from loomframe.operators.aggregate import first_seen_codes
 from loomframe.operators.lookup import encode
 from loomframe.plans.checkpoints import materialize
-from loomframe.plans.lookups import lookup_join
+from loomframe.plans.lookups import frequent, lookup_join, whole_key, without_frequent
 
 
 def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, tf) of lower-cased ``[a-zA-Z]+`` words."""
-    return df.select(key, F.explode(latin_words(text)).alias("term")).groupBy(key, "term").agg(
+    """(_key, key, term, tf) of lower-cased ``[a-zA-Z]+`` words.
+
+    Texts move to the task of their key (``_key``, without nulls) before they are cut, so words and counts do not move.
+    """
+    moved = df.select(whole_key(key).alias("_key"), key, text).repartition("_key")
+    return moved.select("_key", key, F.explode(latin_words(text)).alias("term")).groupBy("_key", key, "term").agg(
         F.count(F.lit(1)).alias("tf")
     )
 
@@ -36,13 +40,29 @@ def fit_vocabulary(
 def tf_idf(counts: DataFrame, vocabulary: DataFrame, key: str, sublinear: bool = False) -> DataFrame:
     """(key, term, weight), unit length per document; terms outside the vocabulary drop out.
 
-    The vocabulary is the fitted table, stored and size-checked before a broadcast. The length is a
-    window over one document's own terms.
+    The vocabulary is the fitted table, stored. Its most frequent terms are broadcast, so their counts stay with their
+    document if they come from ``term_counts``; only those of the other terms move to the vocabulary and back. The
+    length is that of one document's own terms, which are held as one array.
     """
     tf = F.log("tf") + 1 if sublinear else F.col("tf")
-    raw = lookup_join(counts, vocabulary.select("term", "idf"), ["term"]).withColumn("raw", tf * F.col("idf"))
-    length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
-    return raw.select(key, "term", (F.col("raw") / length).alias("weight"))
+    keyed = counts if "_key" in counts.columns else counts.withColumn("_key", whole_key(key))
+
+    def rated(rows: DataFrame, entries: DataFrame) -> DataFrame:
+        raw = lookup_join(rows, entries.select("term", "idf"), ["term"]).withColumn("raw", tf * F.col("idf"))
+        return raw.groupBy("_key").agg(F.first(key).alias(key), F.sum(F.col("raw") * F.col("raw")).alias("squares"), F.collect_list(F.struct("term", "raw")).alias("terms"))
+
+    common = frequent(vocabulary, "term", "df")
+    whole = rated(keyed, F.broadcast(common))
+    if common.count() < vocabulary.count():
+        rest = rated(without_frequent(keyed, common, "term"), vocabulary).toDF("_key", "_id", "_squares", "_terms")
+        none = F.array().cast(whole.schema["terms"].dataType)
+        whole = whole.join(rest, "_key", "full_outer").select(
+            F.coalesce(key, "_id").alias(key),
+            (F.coalesce("squares", F.lit(0.0)) + F.coalesce("_squares", F.lit(0.0))).alias("squares"),
+            F.concat(F.coalesce("terms", none), F.coalesce("_terms", none)).alias("terms"),
+        )
+    weights = whole.select(key, F.sqrt("squares").alias("_length"), F.inline("terms"))
+    return weights.select(key, "term", (F.col("raw") / F.col("_length")).alias("weight"))
 
 
 def label_codes(df: DataFrame, key: str, labels: str, pattern: str = r",\s*") -> DataFrame:

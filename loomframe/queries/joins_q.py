@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomframe.functions.hashing import hash_hex
+from loomframe.functions.text import explode_words
 from loomframe.operators import aggregate as agg, lookup, pairs, window
 from loomframe.plans.checkpoints import materialize
+from loomframe.plans.lookups import frequent, whole_key, without_frequent
 from loomframe.queries.frames import LINE_KEY, hour_number, hourly, tokens
 from loomframe.queries.sql import HOURLY, LINE_KEY as KEY_SQL, TOKENS, h
 from loomframe.registry import query
@@ -26,14 +28,28 @@ coded AS (SELECT doc_id, pos, code FROM tokens JOIN dict USING (word))
 SELECT doc_id, count(*)::BIGINT AS n, sum(code)::BIGINT AS code_sum, md5(string_agg(word, ' ' ORDER BY pos)) AS decoded
 FROM coded JOIN dict USING (code) GROUP BY doc_id""")
 def encode_decode(t):
-    df = materialize(tokens(t).select("doc_id", "pos", "word"))
-    dictionary = materialize(agg.sorted_codes(df, "word"))
-    coded = lookup.encode(df, dictionary, "word").select("doc_id", "pos", "code")
-    labels = lookup.decode(coded, dictionary, "code", "word")
-    in_order = F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"])  # one document's words
-    return labels.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum("code").alias("code_sum"),
+    dictionary = materialize(agg.sorted_codes(tokens(t), "word", "n"))
+    common = frequent(dictionary, "word", "n")
+    docs = t.documents.select(whole_key("doc_id").alias("_key"), "doc_id", "text")
+
+    def through_codes(words, entries):
+        coded = lookup.encode(words, entries, "word").select("_key", "doc_id", "code", "pos")
+        labels = lookup.decode(coded, entries, "code", "word")
+        return labels.groupBy("_key").agg(
+            F.first("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"), F.sum("code").alias("code_sum"), F.collect_list(F.struct("pos", "word")).alias("words")
+        )
+
+    # Frequent words meet their codes where their document is, to which its text moved before it was cut; the others move.
+    near = through_codes(explode_words(docs.repartition("_key"), "text", ["_key", "doc_id"]), F.broadcast(common))
+    far = through_codes(without_frequent(explode_words(docs, "text", ["_key", "doc_id"]), common, "word"), dictionary)
+    both = near.join(far.select("_key", *[F.col(c).alias(f"_{c}") for c in ("doc_id", "n", "code_sum", "words")]), "_key", "full_outer")
+    added = lambda c: F.coalesce(c, F.lit(0)) + F.coalesce(f"_{c}", F.lit(0))
+    none = F.array().cast(near.schema["words"].dataType)
+    in_order = F.sort_array(F.concat(F.coalesce("words", none), F.coalesce("_words", none)))["word"]  # one document's words
+    return both.select(
+        F.coalesce("doc_id", "_doc_id").alias("doc_id"),
+        added("n").alias("n"),
+        added("code_sum").alias("code_sum"),
         F.md5(F.array_join(in_order, " ").cast("binary")).alias("decoded"),
     )
 

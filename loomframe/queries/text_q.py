@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from loomframe.functions.hashing import hash_hex
 from loomframe.functions.text import clean_document
 from loomframe.operators import text
-from loomframe.plans.checkpoints import materialize
 from loomframe.queries.frames import STOP_WORDS
 from loomframe.queries.scalar_q import CLEAN_SQL
 from loomframe.registry import query
@@ -49,7 +48,7 @@ SELECT doc_id, term, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id))
 
 def _tfidf(t, min_df, sublinear: bool):
     in_train = F.substring(hash_hex("split", "doc_id"), 1, 1) < "d"
-    counts = materialize(text.term_counts(t.documents, "doc_id", "text"))
+    counts = text.term_counts(t.documents, "doc_id", "text")  # cut twice: stored, a row a term is many times the text
     vocabulary = text.fit_vocabulary(counts.filter(in_train), t.documents.filter(in_train).count(), min_df)
     weights = text.tf_idf(counts, vocabulary, "doc_id", sublinear)
     return weights.withColumn("weight", F.round("weight", 6))

@@ -316,3 +316,33 @@ def test_saved_pipeline_scores_alike(spark, blobs):
     md.save_pipeline(model, path)
     left = model.transform(df).select("id", "prediction")
     assert left.exceptAll(md.load_pipeline(path).transform(df).select("id", "prediction")).count() == 0
+
+
+def test_lookups_of_words_keep_to_their_document(spark, monkeypatch, tmp_path):
+    """Only rare words move: with two frequent entries the rows are the same, null and repeated keys included."""
+    from loomframe.plans import lookups
+    from loomframe.queries import joins_q
+    from loomframe.registry import Tables
+
+    docs = [(1, "b a b c"), (None, "c a"), (1, "d a"), (2, "b"), (3, ""), (None, "e e a"), (4, "z")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    folder = tmp_path / "documents.parquet"
+    frame.withColumns({"lang": F.lit("en"), "source": F.lit("x")}).write.parquet(str(folder))
+
+    def weights():
+        counts = txt.term_counts(frame, "doc_id", "text")
+        assert "Exchange hashpartitioning(doc_id" not in counts._jdf.queryExecution().executedPlan().toString()
+        vocabulary = txt.fit_vocabulary(counts.filter("term <> 'z'"), 6)
+        return sorted(((r["doc_id"] or 0, r["term"], round(r["weight"], 9)) for r in txt.tf_idf(counts, vocabulary, "doc_id").collect()))
+
+    def decoded():
+        return sorted((r["doc_id"] or 0, r["n"], r["code_sum"], r["decoded"]) for r in joins_q.encode_decode(Tables(spark, str(tmp_path))).collect())
+
+    whole = weights(), decoded()
+    monkeypatch.setattr(lookups, "FREQUENT_ROWS", 2)
+    assert (weights(), decoded()) == whole
+    monkeypatch.setattr(lookups, "FREQUENT_BYTES", 0)
+    assert (weights(), decoded()) == whole
+    assert [r[:3] for r in whole[1]] == [(0, 5, 0 + 2 + 4 + 4 + 0), (1, 6, 1 + 0 + 1 + 2 + 3 + 0), (2, 1, 1), (4, 1, 5)]
+    for i in (0, 1, 2):
+        assert sum(w * w for k, _, w in whole[0] if k == i) == pytest.approx(1)
