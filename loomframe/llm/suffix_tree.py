@@ -16,22 +16,25 @@ an unseen word, one class like in the base model:
 with C the occurrences and V the number of distinct other words, n1 and n2 the number seen once and twice.
 
 Size: neither the word counts nor the tree are gathered. Blocks of rows send their distinct words to hash buckets, the
-buckets add up and answer each block, and answers meet the texts of their block in sorted order. The tree goes the
-same way: a block sends its distinct positions (context and next symbol, with their training counts) to buckets by the
-last two symbols of the context, so that a bucket has all occurrences of its contexts of two and more symbols; it
-tests them from short to long and answers with the chance of every position asked. Contexts of one symbol are counted
-and tested before, and a symbol's go to the buckets of that symbol, of which a frequent one has many. The driver and
-the broadcast hold one number per symbol.
-
-An answer holds values only, in the order in which they were asked: the texts of a block put its words and positions
-in that order once more. Arrays travel packed (``pack``).
+buckets add up and answer each block. The tree goes the same way: a block sends its distinct positions (context and next
+symbol, with their training counts) to buckets, so that a bucket has all occurrences of the contexts it tests, from short
+to long, and answers with the chance of every position asked. A context that would fill half a bucket is a hot one: what
+follows it is counted before and goes to all buckets with its positions, which are dealt by the symbol before it (at the
+full length by the next symbol), so that the contexts longer by one symbol lie together again. A few rows show which
+contexts are hot (``heavy_contexts``); they decide where a position is tested, never what is counted. The driver and the
+broadcast hold one number per symbol and the keys of the hot contexts.
+
+An answer holds values only, in the order in which they were asked: the words of a block as codes travel with its
+positions and put its words and positions in that order once more. Positions are ordered by last and next symbol, where
+most chances repeat. Arrays travel packed (``pack``).
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +51,12 @@ OTHER, STOP, START = 0, 1, 2  # the common words follow from 3
 _FIRST_WORD = 3
 _BITS = 10  # of a symbol
 _DEPTH_SHIFT = _BITS * (DEPTH + 1)
-_FLUSH = 4_000_000  # distinct counts a task holds before it hands them in
+_FLUSH = 1_000_000  # distinct counts a task holds before it hands them in
+_BUCKET_TOKENS = 1 << 21  # training tokens to a bucket of positions
+_GROUP = 1 << 18  # positions that a bucket tests together
+_SEEN = 1000  # tokens to a bucket that are looked at for hot contexts, 2^20 at least
+_PIECE = 1 << 20  # positions after which the next rows of a block ask by themselves
+_LEAST = 32  # of those tokens, to make a context hot
 _NONE = 0xFFFFFFFF  # in place of a symbol before the start
 _PACKED = pa.Codec("zstd", compression_level=1)
 _LOWER = np.array([x | 32 if 65 <= x <= 90 else x for x in range(256)], np.uint8)
@@ -83,14 +91,25 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
 
 
 def pack(values: np.ndarray) -> bytes:
-    """An array as compressed bytes, those of equal significance together."""
-    planes = np.ascontiguousarray(values).reshape(-1).view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
-    return len(planes).to_bytes(8, "little") + _PACKED.compress(planes, asbytes=True)
+    """An array as compressed bytes: where values differ from the one before, and those, bytes of equal significance together."""
+    flat = np.ascontiguousarray(values).reshape(-1)
+    bits = flat.view(f"u{flat.itemsize}")
+    fresh = np.ones(len(flat), bool)
+    np.not_equal(bits[1:], bits[:-1], out=fresh[1:])
+    body = np.packbits(fresh).tobytes() + flat[fresh].view(np.uint8).reshape(-1, flat.itemsize).T.tobytes()
+    return len(flat).to_bytes(4, "little") + len(body).to_bytes(4, "little") + _PACKED.compress(body, asbytes=True)
 
 
 def unpack(data: bytes, kind: type) -> np.ndarray:
-    planes = np.frombuffer(_PACKED.decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True), np.uint8)
-    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+    many = packed_size(data)
+    body = np.frombuffer(_PACKED.decompress(data[8:], int.from_bytes(data[4:8], "little"), asbytes=True), np.uint8)
+    flags = (many + 7) // 8
+    values = np.ascontiguousarray(body[flags:].reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+    return values if len(values) == many else values[np.cumsum(np.unpackbits(body[:flags], count=many)) - 1]
+
+
+def packed_size(data: bytes) -> int:
+    return int.from_bytes(data[:4], "little")
 
 
 def pack_sorted(keys: np.ndarray) -> bytes:
@@ -213,7 +232,7 @@ class Model:
     common: np.ndarray  # sorted hashes of the words that are symbols
     root: np.ndarray  # chance of each symbol without a context
     depth: int
-    salts: np.ndarray  # buckets that share the contexts ending in a symbol
+    salts: np.ndarray  # shares that the positions after a symbol are dealt in
     buckets: int
     tokens: int
     distinct: int
@@ -221,6 +240,10 @@ class Model:
     discount: float
     other: int  # occurrences and distinct number of the other words
     others: int
+    hot: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)  # by length: sorted keys, first share, shares
+    suffix: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))  # number of each hot context's suffix, -1: none
+    deal: np.ndarray | None = None  # bucket of each share
+    needed: list[np.ndarray] = field(default_factory=list)  # buckets that ask for a hot context or one that it ends
 
     def symbols(self, keys: np.ndarray) -> np.ndarray:
         """Symbol of each word hash; the order of the sorted hashes numbers the common words."""
@@ -229,19 +252,33 @@ class Model:
         at = np.minimum(np.searchsorted(self.common, keys), len(self.common) - 1)
         return np.where(self.common[at] == keys, at + _FIRST_WORD, OTHER)
 
-    def bucket(self, last: np.ndarray, salt: np.ndarray) -> np.ndarray:
-        return (_mixed(_mixed(last.astype(np.uint64)) + salt.astype(np.uint64)) % np.uint64(self.buckets)).astype(np.int64)
-
-    def buckets_of(self, last: int) -> np.ndarray:
-        salts = np.arange(self.salts[last])
-        return np.unique(self.bucket(np.full(len(salts), last), salts))
+    def routed(self, spots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(share, number of the longest hot context or -1, its length) of every position."""
+        share = (np.cumsum(self.salts) - self.salts)[spots[1]]
+        number, length = np.full(len(share), -1, np.int32), np.zeros(len(share), np.uint8)
+        at, key, before = np.arange(len(share)), _chained(np.zeros(len(share), np.uint64), spots[1]), 0
+        for k, (keys, first, salts) in enumerate(self.hot, 1):
+            i = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            hit = np.flatnonzero(keys[i] == key)
+            at, i = at[hit], i[hit]
+            then = spots[k + 1 if k < self.depth else 0][at]
+            share[at] = first[i] + (_mixed(then.astype(np.uint64)) % salts[i].astype(np.uint64)).astype(np.int64)
+            number[at], length[at] = before + i, k
+            key, before = _chained(key[hit], then), before + len(keys)
+        return share, number, length
+
+    def bucket(self, share: np.ndarray) -> np.ndarray:
+        return (_mixed(share.astype(np.uint64)) % np.uint64(self.buckets)).astype(np.int64) if self.deal is None else self.deal[share]
 
     def arranged(self, spots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(first place of each distinct position, its bucket, place of every position among them), in the order of asking."""
         _, first, where = np.unique(spot_keys(spots), return_index=True, return_inverse=True)
-        last, salt = spots[1, first], _mixed(spots[2, first].astype(np.uint64))
-        bucket = self.bucket(last, salt % self.salts[last].astype(np.uint64)).astype(np.min_scalar_type(self.buckets))
-        order = np.argsort(bucket, kind="stable")
+        distinct = spots[:, first]
+        bucket = self.bucket(self.routed(distinct)[0])
+        by, wide = bucket.astype(np.uint64), np.uint64(len(self.root) + 1)
+        for symbol in (1, 0, 2) if self.buckets * int(wide) ** 3 < 2**64 else (1, 0):
+            by = by * wide + (distinct[symbol] + np.uint32(1)).astype(np.uint64)
+        order = np.argsort(by, kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         return first[order], bucket[order], place[where]
@@ -283,27 +320,77 @@ def spot_keys(spots: np.ndarray) -> np.ndarray:
     return key
 
 
-def spot_chances(spots: np.ndarray, n: np.ndarray, chance: np.ndarray) -> np.ndarray:
-    """Chance of each distinct position from all that share its last two symbols.
+def heavy_contexts(spots: np.ndarray, most: float, depth: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """(sorted keys by length, number of each one's suffix) of the contexts that come before more than ``most`` positions.
 
-    ``n`` are the counts in training; ``chance`` is that after the longest kept context of up to one symbol.
+    They are numbered by length, then key. The suffixes of one are among them.
+    """
+    found, suffix, before = [], [], 0
+    at, key, parent = np.arange(spots.shape[1]), np.zeros(spots.shape[1], np.uint64), np.full(spots.shape[1], -1)
+    for k in range(1, depth + 1):
+        known = spots[k][at] != _NONE
+        at, parent = at[known], parent[known]
+        key = _chained(key[known], spots[k][at])
+        keys, first, where, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+        heavy = n > most
+        if not heavy.any():
+            break
+        found.append(keys[heavy])
+        suffix.append(parent[first[heavy]])
+        number, inside = before + np.cumsum(heavy) - 1, heavy[where]
+        at, key, parent = at[inside], key[inside], number[where[inside]]
+        before += len(found[-1])
+    return found, np.concatenate([np.empty(0, np.int64), *suffix])
+
+
+def deal_out(model: Model, spots: np.ndarray) -> None:
+    """Set which contexts are hot, in how many shares their positions are dealt, and the bucket of every share.
+
+    ``spots`` are positions of rows taken by chance. A share is to fill half a bucket at most; shares go to the
+    bucket with the least so far, the largest first.
     """
-    key = _chained(np.zeros(spots.shape[1], np.uint64), spots[1])
-    for symbol in spots[2:]:
+    most = max(spots.shape[1] / (2 * model.buckets), _LEAST)
+    found, model.suffix = heavy_contexts(spots, most, model.depth)
+    none = lambda keys: np.zeros(len(keys), np.int64)
+    model.hot = [(keys, none(keys), none(keys) + 1) for keys in found]
+    alone = np.bincount(model.routed(spots)[1] + 1, minlength=len(model.suffix) + 1)[1:]  # positions whose longest hot context it is
+    salts = np.maximum(np.ceil(alone / most), 1).astype(np.int64)
+    first = len(model.salts) + np.cumsum(salts) - salts
+    cuts = np.cumsum([0, *map(len, found)])
+    model.hot = [(keys, first[a:b], salts[a:b]) for keys, a, b in zip(found, cuts, cuts[1:])]
+    load = np.bincount(model.routed(spots)[0], minlength=len(model.salts) + salts.sum())
+    deal, full = np.empty(len(load), np.int64), [(0.0, b) for b in range(model.buckets)]
+    for share in np.argsort(-load, kind="stable").tolist():
+        size, b = full[0]
+        deal[share] = b
+        heapq.heapreplace(full, (size + load[share] + 0.01, b))
+    model.deal, needed = deal, [set(deal[a : a + n].tolist()) for a, n in zip(first, salts)]
+    for k in range(len(needed) - 1, -1, -1):
+        if model.suffix[k] >= 0:
+            needed[model.suffix[k]] |= needed[k]
+    model.needed = [np.array(sorted(x), np.int64) for x in needed]
+
+
+def spot_chances(spots: np.ndarray, n: np.ndarray, chance: np.ndarray, tested_to: np.ndarray) -> np.ndarray:
+    """Chance of each distinct position, from all that share its contexts longer than ``tested_to`` symbols.
+
+    ``n`` are the counts in training; ``chance`` is that after the longest kept context of up to ``tested_to`` symbols.
+    """
+    key, chance = np.zeros(spots.shape[1], np.uint64), chance.copy()
+    for back, symbol in enumerate(spots[1:], 1):
         key = _chained(key, symbol)
-        usable = np.flatnonzero(symbol != _NONE)
+        usable = np.flatnonzero((symbol != _NONE) & (tested_to < back))
         edge = _chained(key[usable], spots[0][usable])
         known = np.flatnonzero(n[usable])
         edges, first, where = np.unique(edge[known], return_index=True, return_inverse=True)
         if not len(edges):
-            return chance
+            continue
         one = usable[known[first]]
         state, of, kept, left, after = tested(key[one], np.bincount(where, n[usable[known]]), chance[one])
         i = np.minimum(np.searchsorted(state, key[usable]), len(state) - 1)
         hit = (state[i] == key[usable]) & kept[i]
         j = np.minimum(np.searchsorted(edges, edge), len(edges) - 1)
         found = edges[j] == edge
-        chance = chance.copy()
         chance[usable] = np.where(hit, np.where(found, after[j], left[i] * chance[usable]), chance[usable])
     return chance
 
@@ -411,20 +498,45 @@ def _pairs_of(kind: int):
     return run
 
 
-def _count_pairs(model):
-    """(key, n) of pairs of adjacent symbols: the contexts of one symbol and what follows them."""
+def _lines(model):
+    """The symbols of the rows with their ends, packed, and the lengths."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in bounded(batches):
+            codes, distinct, firsts = words_of(table["text"])
+            symbols, lengths = _sequences(codes, firsts, model.value.symbols(hashes(distinct.to_pylist())))
+            yield pa.RecordBatch.from_arrays([pa.array([pack(symbols.astype(np.int64))], pa.binary()), pa.array([pack(lengths.astype(np.int64))], pa.binary())], ["symbols", "lengths"])
+
+    return run
+
+
+def _count_edges(model):
+    """What follows the hot contexts: per context its sorted next symbols and their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def hand_in() -> pa.RecordBatch:
             keys, n = _add_up(held)
-            return pa.RecordBatch.from_arrays([pa.array((keys >> np.uint64(32)).astype(np.int64)), pa.array((keys & np.uint64(_NONE)).astype(np.int64)), pa.array(n)], ["last", "symbol", "n"])
+            cuts = np.cumsum([0, *(len(k) for k, _, _ in model.value.hot)])
+            for a, b in reversed([*zip(cuts, cuts[1:])][1:]):  # what follows a context follows its suffix
+                part = slice(*np.searchsorted(keys, np.array([a, b], np.uint64) << np.uint64(32)))
+                suffix = model.value.suffix[(keys[part] >> np.uint64(32)).astype(np.int64)].astype(np.uint64)
+                keys, n = _add_up([(keys, n), ((suffix << np.uint64(32)) | (keys[part] & np.uint64(_NONE)), n[part])])
+            context = (keys >> np.uint64(32)).astype(np.int64)
+            cuts = [0, *(np.flatnonzero(np.diff(context)) + 1).tolist(), len(keys)] if len(keys) else []
+            spans, symbol = list(zip(cuts, cuts[1:])), (keys & np.uint64(_NONE)).astype(np.uint32)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([context[a] for a, _ in spans], pa.int64()), pa.array([pack(np.diff(symbol[a:b], prepend=np.uint32(0))) for a, b in spans], pa.binary()), pa.array([pack(n[a:b]) for a, b in spans], pa.binary())],
+                ["context", "symbols", "n"],
+            )
 
         for table in bounded(batches):
             codes, distinct, firsts = words_of(table["text"])
-            spots = spots_of(*_sequences(codes, firsts, model.value.symbols(hashes(distinct.to_pylist()))), 1).astype(np.uint64)
-            held.append(np.unique((spots[1] << np.uint64(32)) | spots[0], return_counts=True))
+            spots = spots_of(*_sequences(codes, firsts, model.value.symbols(hashes(distinct.to_pylist()))), model.value.depth)
+            number = model.value.routed(spots)[1]
+            hot = np.flatnonzero(number >= 0)
+            held.append(np.unique((number[hot].astype(np.uint64) << np.uint64(32)) | spots[0, hot], return_counts=True))
             size += len(held[-1][0])
             if size > _FLUSH:
                 held = [_add_up(held)]
@@ -438,110 +550,183 @@ def _count_pairs(model):
     return run
 
 
-_ASKED = ["bucket", "kind", "block", "keys", "n"]
+_ASKED = ["bucket", "kind", "block", "part", "keys", "n"]
+
 
+def _hot_edges(model):
+    """The counts after each hot context, as one row for each bucket that needs them. Rows come sorted by context."""
 
-def _single_contexts(model):
-    """The kept contexts of one symbol, as one row for each bucket of the symbol; all rows of a symbol lie together."""
+    def rows(context: int, total: np.ndarray) -> pa.RecordBatch:
+        buckets, symbols = model.value.needed[context].tolist(), np.flatnonzero(total)
+        many, keys, n = len(buckets), pack(symbols.astype(np.uint32)), pack(total[symbols])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(buckets, pa.int32()), pa.array([0] * many, pa.int32()), pa.array([context] * many, pa.int64()), pa.array([0] * many, pa.int32()), pa.array([keys] * many, pa.binary()), pa.array([n] * many, pa.binary())], _ASKED
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [[batch.column(k).to_numpy() for k in ("last", "symbol", "n")] for batch in batches]
-        if not found:
-            return
-        last, symbol, n = (np.concatenate(x) for x in zip(*found))
-        order = np.lexsort((symbol, last))
-        last, symbol, n = last[order], symbol[order], n[order].astype(float)
-        state, where, kept, left, chance = tested(last, n, model.value.root[symbol])
-        cuts = np.searchsorted(where, np.arange(len(state) + 1))
-        for k in np.flatnonzero(kept):
-            a, b, buckets = cuts[k], cuts[k + 1], model.value.buckets_of(state[k]).tolist()
-            keys, values = pack(symbol[a:b].astype(np.uint32)), pack(np.append(left[k], chance[a:b]))
-            many = len(buckets)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(buckets, pa.int32()), pa.array([0] * many, pa.int32()), pa.array([int(state[k])] * many, pa.int64()), pa.array([keys] * many, pa.binary()), pa.array([values] * many, pa.binary())], _ASKED
-            )
+        context, total = None, None
+        for batch in batches:
+            for c, symbols, n in zip(*(batch.column(k).to_pylist() for k in ("context", "symbols", "n"))):
+                if c != context:
+                    if context is not None:
+                        yield rows(context, total)
+                    context, total = c, np.zeros(len(model.value.root), np.int64)
+                total[np.cumsum(unpack(symbols, np.uint32))] += unpack(n, np.int64)
+        if context is not None:
+            yield rows(context, total)
 
     return run
 
 
-def _ask_spots(model):
-    """Distinct positions of each block, as one row per (block, bucket) with their training counts."""
+def _ask_spots(model, spelled: bool = False):
+    """Distinct positions of each block, as one row per (block, bucket) with their training counts (kind 1).
+
+    Where ``spelled``, also a row with the ids and words of the block (kind 3): (2 * length + held out) of its rows and
+    the symbols of its words, and the words as codes in the order of their hashes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held = None, []
         for table in bounded(batches):
-            blocks, training = table["block"].to_numpy(), ~table["held_out"].to_numpy(zero_copy_only=False)
+            blocks = table["block"].to_numpy()
             edges = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
             for a, b in zip(edges, edges[1:]):
                 if block is not None and blocks[a] != block:
-                    yield rows(block, held)
+                    yield from rows(block, held)
                     held = []
                 block = int(blocks[a])
-                codes, distinct, firsts = words_of(table["text"].slice(a, b - a))
-                symbols, lengths = _sequences(codes, firsts, model.value.symbols(hashes(distinct.to_pylist())))
-                held.append((spots_of(symbols, lengths, model.value.depth), np.repeat(training[a:b], lengths)))
+                held.append(read(table.slice(a, b - a)))
         if block is not None:
-            yield rows(block, held)
+            yield from rows(block, held)
 
-    def rows(block: int, held: list) -> pa.RecordBatch:
-        spots, counted = np.concatenate([x for x, _ in held], axis=1), np.concatenate([t for _, t in held])
-        first, bucket, where = model.value.arranged(spots)
-        n, spots = np.bincount(where, counted, minlength=len(first)).astype(np.uint32), spots[:, first]
-        cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
-        spans = list(zip(cuts, cuts[1:]))
-        return pa.RecordBatch.from_arrays(
-            [
+    def read(part: pa.Table) -> tuple:
+        codes, distinct, firsts = words_of(part["text"])
+        return part["id"] if spelled else None, part["held_out"].to_numpy(), codes.astype(np.uint32), hashes(distinct.to_pylist()), np.diff(firsts)
+
+    def rows(block: int, held: list) -> Iterator[pa.RecordBatch]:
+        ids, out, codes, own, words = zip(*held)
+        keys = np.unique(np.concatenate(own))
+        codes = np.concatenate([np.searchsorted(keys, k)[c] for k, c in zip(own, codes)]).astype(np.uint32)
+        out, words, symbol = np.concatenate(out), np.concatenate(words), model.value.symbols(keys)
+        if spelled:
+            about = np.concatenate([[len(words)], 2 * (words + 1) + out, symbol]).astype(np.int64)
+            column = pa.chunked_array([c for x in ids for c in x.chunks]).combine_chunks()
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([int(_mixed(np.array([block], np.uint64))[0] % np.uint64(model.value.buckets))], pa.int32()), pa.array([3], pa.int32()), pa.array([block], pa.int64()), pa.array([0], pa.int32()),
+                    pa.array([pack(about)], pa.binary()), pa.array([pack(codes)], pa.binary()), pa.ListArray.from_arrays([0, len(column)], column),
+                ],
+                [*_ASKED, "ids"],
+            )
+        symbols, lengths = spelling(codes, words + 1, symbol)
+        for piece, (a, b) in enumerate(pieces(lengths)):
+            spots, size = spots_of(symbols[lengths[:a].sum() : lengths[:b].sum()], lengths[a:b], model.value.depth), model.value.buckets
+            first, bucket, where = model.value.arranged(spots)
+            n, spots = np.bincount(where, np.repeat(~out[a:b], lengths[a:b]), minlength=len(first)).astype(np.uint32), spots[:, first]
+            cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+            spans = list(zip(cuts, cuts[1:]))
+            columns = [
                 pa.array([int(bucket[a]) for a, _ in spans], pa.int32()), pa.array([1] * len(spans), pa.int32()), pa.array([block] * len(spans), pa.int64()),
+                pa.array([piece * size + int(bucket[a]) for a, _ in spans], pa.int32()),
                 pa.array([pack(spots[:, a:b]) for a, b in spans], pa.binary()), pa.array([pack(n[a:b]) for a, b in spans], pa.binary()),
-            ],
-            _ASKED,
-        )
+            ]
+            if spelled:
+                columns.append(pa.nulls(len(spans), pa.list_(column.type)))
+            yield pa.RecordBatch.from_arrays(columns, [*_ASKED, "ids"][: len(columns)])
 
     return run
 
 
+def spelling(codes: np.ndarray, lengths: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return _sequences(codes, np.concatenate([[0], np.cumsum(lengths - 1)]), symbol)
+
+
+def pieces(lengths: np.ndarray) -> list[tuple[int, int]]:
+    """Spans of rows that ask together: as many as start within ``_PIECE`` positions."""
+    which = (np.cumsum(lengths) - lengths) // _PIECE
+    cuts = [0, *(np.flatnonzero(np.diff(which)) + 1).tolist(), len(lengths)]
+    return list(zip(cuts, cuts[1:]))
+
+
 def _answer_spots(model):
-    """Per bucket: the chance of every position that a block asks for (kind 2).
+    """Per bucket: the chance of every position that a block asks for (kind 2). The words of blocks go through (kind 3).
 
-    Rows come sorted by bucket, its contexts of one symbol first; what the blocks ask of one bucket is held at once.
+    Rows come sorted by bucket, what follows its hot contexts first. What the blocks ask of one bucket is held at once,
+    and tested by groups of shares.
     """
 
-    def close(bucket: int, singles: dict, held: list) -> Iterator[pa.RecordBatch]:
-        spots, n = np.concatenate([x for _, x, _ in held], axis=1), np.concatenate([x for _, _, x in held])
+    def hot_chances(tables: dict):
+        """Chance of every symbol after the longest kept context, by number of the longest hot one."""
+        known = {-1: model.value.root}
+
+        def after(number: int) -> np.ndarray:
+            if number not in known:
+                shorter = after(int(model.value.suffix[number]))
+                if number in tables:
+                    symbols, n = tables[number]
+                    _, _, kept, left, chance = tested(np.zeros(len(symbols), np.int64), n.astype(float), shorter[symbols])
+                    if kept[0]:
+                        shorter = left[0] * shorter
+                        shorter[symbols] = chance
+                known[number] = shorter
+            return known[number]
+
+        return after
+
+    def group(spots: np.ndarray, n: np.ndarray, number: np.ndarray, length: np.ndarray, after) -> np.ndarray:
         keys, first, where = np.unique(spot_keys(spots), return_index=True, return_inverse=True)
-        n, spots = np.bincount(where, n, minlength=len(keys)), spots[:, first]
-        chance = model.value.root[spots[0]]
-        order = np.argsort(spots[1], kind="stable")
-        lasts, starts = np.unique(spots[1][order], return_index=True)
-        for last, a, b in zip(lasts.tolist(), starts, [*starts[1:], len(order)]):
-            if last in singles:
-                symbol, values = singles[last]
-                at = order[a:b]
-                j = np.minimum(np.searchsorted(symbol, spots[0][at]), len(symbol) - 1)
-                chance[at] = np.where(symbol[j] == spots[0][at], values[1:][j], values[0] * chance[at])
-        chance = spot_chances(spots, n, chance)
-        start = 0
-        for block, asked, _ in held:
-            own = where[start : start + asked.shape[1]]
-            start += asked.shape[1]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([2], pa.int32()), pa.array([block], pa.int64()), pa.array([bucket], pa.int32()), pa.array([b""], pa.binary()), pa.array([pack(chance[own])], pa.binary())], _ANSWERED
-            )
+        n, spots, number = np.bincount(where, n, minlength=len(keys)), spots[:, first], number[first]
+        chance = np.empty(len(keys))
+        order = np.argsort(number, kind="stable")
+        numbers, starts = np.unique(number[order], return_index=True)
+        for k, a, b in zip(numbers.tolist(), starts, [*starts[1:], len(order)]):
+            chance[order[a:b]] = after(k)[spots[0][order[a:b]]]
+        return spot_chances(spots, n, chance, length[first])[where]
+
+    def close(tables: dict, held: list, listed: pa.DataType | None) -> Iterator[pa.RecordBatch]:
+        cuts = np.cumsum([0, *(packed_size(n) for _, _, _, n in held)])
+        spots, n = np.empty((model.value.depth + 1, cuts[-1]), np.uint32), np.empty(cuts[-1], np.uint32)
+        share, number, length = np.empty(cuts[-1], np.uint32), np.empty(cuts[-1], np.int32), np.empty(cuts[-1], np.uint8)
+        for i, (block, part, asked, counts) in enumerate(held):
+            spots[:, cuts[i] : cuts[i + 1]] = unpack(asked, np.uint32).reshape(len(spots), -1)
+            n[cuts[i] : cuts[i + 1]] = unpack(counts, np.uint32)
+            held[i] = block, part
+        for a in range(0, len(n), _GROUP):
+            share[a : a + _GROUP], number[a : a + _GROUP], length[a : a + _GROUP] = model.value.routed(spots[:, a : a + _GROUP])
+        order = np.argsort(share, kind="stable")
+        starts = np.flatnonzero(np.diff(share[order], prepend=-1))
+        groups = starts[np.flatnonzero(np.diff(starts // _GROUP, prepend=-1))].tolist()
+        chance, after = np.empty(len(n)), hot_chances(tables)
+        for a, b in zip(groups, [*groups[1:], len(order)]):
+            at = order[a:b]
+            chance[at] = group(spots[:, at], n[at], number[at], length[at], after)
+        for i, (block, part) in enumerate(held):
+            yield answer(2, block, part, b"", pack(chance[cuts[i] : cuts[i + 1]]), listed and pa.nulls(1, listed))
+
+    def answer(kind: int, block: int, part: int, keys: bytes, totals: bytes, ids: pa.Array | None = None) -> pa.RecordBatch:
+        columns = [pa.array([kind], pa.int32()), pa.array([block], pa.int64()), pa.array([part], pa.int32()), pa.array([keys], pa.binary()), pa.array([totals], pa.binary())]
+        if ids is not None:
+            columns.append(ids)
+        return pa.RecordBatch.from_arrays(columns, [*_ANSWERED, "ids"][: len(columns)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, singles, held = None, {}, []
+        bucket, tables, held, listed = None, {}, [], None
         for batch in batches:
-            for b, kind, block, keys, n in zip(*(batch.column(k).to_pylist() for k in _ASKED)):
+            if "ids" in batch.schema.names:
+                listed = batch.schema.field("ids").type
+            for i, (b, kind, block, part, keys, n) in enumerate(zip(*(batch.column(k).to_pylist() for k in _ASKED))):
                 if b != bucket:
                     if held:
-                        yield from close(bucket, singles, held)
-                    bucket, singles, held = b, {}, []
+                        yield from close(tables, held, listed)
+                    bucket, tables, held = b, {}, []
                 if kind == 0:
-                    singles[block] = unpack(keys, np.uint32), unpack(n, np.float64)
+                    tables[block] = unpack(keys, np.uint32), unpack(n, np.int64)
+                elif kind == 1:
+                    held.append((block, part, keys, n))
                 else:
-                    held.append((block, unpack(keys, np.uint32).reshape(model.value.depth + 1, -1), unpack(n, np.uint32)))
+                    yield answer(3, block, part, keys, n, batch.column("ids").slice(i, 1))
         if held:
-            yield from close(bucket, singles, held)
+            yield from close(tables, held, listed)
 
     return run
 
@@ -550,61 +735,41 @@ _SCORES = (("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.in
 
 
 def _score(broadcast):
-    """Rows come sorted by block, a block's answers before its texts, each kind of answers by bucket.
-
-    Of the texts of a block only the words and symbols are held until all are there.
-    """
+    """Rows come sorted by block: its totals by bucket, its chances by piece and bucket, its words."""
 
-    def read(part: pa.Table) -> tuple:
-        codes, distinct, firsts = words_of(part["text"])
-        own = hashes(distinct.to_pylist())
-        return part.select(["id", "held_out"]), codes, own, *_sequences(codes, firsts, broadcast.value.symbols(own))
-
-    def close(texts: list, totals: list, chances: list) -> Iterator[pa.RecordBatch]:
-        if not texts:
-            return
-        totals, chances = (np.concatenate(x) if x else np.empty(0) for x in (totals, chances))
-        keys = np.unique(np.concatenate([own for _, _, own, _, _ in texts]))
-        symbols, lengths = (np.concatenate([text[k] for text in texts]) for k in (3, 4))
-        after = np.log10(chances)[broadcast.value.arranged(spots_of(symbols, lengths, broadcast.value.depth))[2]]
-        start = 0
-        for part, codes, own, symbols, lengths in texts:
-            yield score(part, codes, own, totals[np.searchsorted(keys, own)], lengths, after[start : start + len(symbols)])
-            start += len(symbols)
-
-    def score(part: pa.Table, codes: np.ndarray, own: np.ndarray, c: np.ndarray, lengths: np.ndarray, after: np.ndarray) -> pa.RecordBatch:
+    def close(totals: list, chances: list, about: bytes, codes: bytes, ids: pa.Array) -> pa.RecordBatch:
         model: Model = broadcast.value
-        n = part.num_rows
-        owner = np.repeat(np.arange(n), lengths)
-        words = np.repeat(np.arange(n), lengths - 1)
+        about, codes = unpack(about, np.int64), unpack(codes, np.uint32)
+        n = int(about[0])
+        lengths, out, symbol = about[1 : n + 1] // 2, about[1 : n + 1] % 2 == 1, about[n + 1 :]
+        c, chances = (np.concatenate([np.empty(0, k), *(unpack(x, k) for x in xs)]) for xs, k in ((totals, np.int64), (chances, np.float64)))
+        symbols, lengths = spelling(codes, lengths, symbol)
+        after, asked, start = np.empty(len(symbols)), 0, 0
+        for a, b in pieces(lengths):
+            stop = start + lengths[a:b].sum()
+            first, _, where = model.arranged(spots_of(symbols[start:stop], lengths[a:b], model.depth))
+            after[start:stop] = np.log10(chances[asked : asked + len(first)])[where]
+            asked, start = asked + len(first), stop
+        owner, words = np.repeat(np.arange(n), lengths), np.repeat(np.arange(n), lengths - 1)
         add = lambda x: np.bincount(words, x[codes], minlength=n)
         base_total = model.tokens + 0.1 * (model.distinct + 1)
         base = add(np.log10((c + 0.1) / base_total)) + np.log10((model.ends + 0.1) / base_total)
-        spelled = np.bincount(owner, after, minlength=n) + add(model.within(model.symbols(own), c))
+        spelled = np.bincount(owner, after, minlength=n) + add(model.within(symbol, c))
         columns = [
-            part["held_out"].combine_chunks(), pa.array(lengths), pa.array(add(c > 0).astype(np.int64) + bool(model.ends)),
+            pa.array(out), pa.array(lengths), pa.array(add(c > 0).astype(np.int64) + bool(model.ends)),
             pa.array(np.full(n, model.tokens, np.int64)), pa.array(base), pa.array(spelled),
         ]
-        return pa.RecordBatch.from_arrays([part["id"].combine_chunks(), *columns], ["id", *[name for name, _ in _SCORES]])
+        return pa.RecordBatch.from_arrays([ids, *columns], ["id", *[name for name, _ in _SCORES]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, texts, totals, chances = None, [], [], []
-        for table in bounded(batches):
-            blocks, kinds = table["block"].to_numpy(), table["kind"].to_numpy()
-            cuts = np.flatnonzero((np.diff(blocks) != 0) | (np.diff(kinds) != 0)) + 1
-            edges = [0, *cuts.tolist(), len(blocks)]
-            for a, b in zip(edges, edges[1:]):
-                if blocks[a] != block:
-                    yield from close(texts, totals, chances)
-                    block, texts, totals, chances = blocks[a], [], [], []
-                part = table.slice(a, b - a)
-                if kinds[a] == 1:
-                    totals.extend(unpack(n, np.int64) for n in part["totals"].to_pylist())
-                elif kinds[a] == 2:
-                    chances.extend(unpack(n, np.float64) for n in part["totals"].to_pylist())
+        totals, chances = [], []
+        for batch in batches:
+            for i, (kind, keys, values) in enumerate(zip(*(batch.column(k).to_pylist() for k in ("kind", "keys", "totals")))):
+                if kind == 3:
+                    yield close(totals, chances, keys, values, batch.column("ids").slice(i, 1).flatten())
+                    totals, chances = [], []
                 else:
-                    texts.append(read(part))
-        yield from close(texts, totals, chances)
+                    (totals if kind == 1 else chances).append(values)
 
     return run
 
@@ -640,23 +805,25 @@ def language_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     top = sorted((r["key"] % 2**64, r["n"]) for r in top)
     seen = np.array([other, ends, 0, *(n for _, n in top)], float)  # in the order of OTHER, STOP, START and the common words
     kinds = max(np.count_nonzero(seen), 1)
-    follows = np.where(np.arange(len(seen)) == START, ends, seen)
-    salts = np.ceil(2 * buckets * follows / max(words + ends, 1)).astype(np.int64).clip(1)
+    spot_buckets = max(buckets, (words + ends) // _BUCKET_TOKENS)
     model = Model(
-        np.array([k for k, _ in top], np.uint64), (seen + kinds / len(seen)) / (seen.sum() + kinds), depth, salts, buckets,
+        np.array([k for k, _ in top], np.uint64), (seen + kinds / len(seen)) / (seen.sum() + kinds), depth, np.ones(len(seen), np.int64), spot_buckets,
         int(words + ends), int(distinct + bool(ends)), int(ends), discount, int(other), int(others),
     )
+    looked = rows.withColumn("row", F.monotonically_increasing_id()).filter(F.pmod(F.xxhash64("row"), F.lit(1 << 30)) <= (1 << 30) * max(_SEEN * spot_buckets, 1 << 20) / max(words + ends, 1))
+    lines = looked.select("text").mapInArrow(_lines(spark.sparkContext.broadcast(model)), "symbols binary, lengths binary").collect()
+    unpacked = lambda k: np.concatenate([np.empty(0, np.int64), *(unpack(bytes(r[k]), np.int64) for r in lines)])
+    deal_out(model, spots_of(unpacked("symbols"), unpacked("lengths"), depth))
     sent = spark.sparkContext.broadcast(model)
-    counted = rows.filter("not held_out").select("text").mapInArrow(_count_pairs(sent), "last long, symbol long, n long")
-    counted = counted.groupBy("last", "symbol").agg(F.sum("n").alias("n")).repartition(parts, "last")
-    asked = "bucket int, kind int, block long, keys binary, n binary"
-    spots = rows.select("text", "held_out", "block").mapInArrow(_ask_spots(sent), asked).unionByName(counted.mapInArrow(_single_contexts(sent), asked))
-    chances = spots.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_answer_spots(sent), packed)
-
-    asking = rows.selectExpr("block", "3 as kind", "cast(null as int) as part", "id", "text", "held_out", "cast(null as binary) as totals")
-    id_type = dict(rows.dtypes)["id"]
-    answering = answers.filter("kind = 1").unionByName(chances).selectExpr("block", "kind", "part", f"cast(null as {id_type}) as id", "'' as text", "false as held_out", "totals")
-    met = answering.unionByName(asking).repartition(parts, "block").sortWithinPartitions("block", "kind", "part")
+    counted = rows.filter("not held_out").select("text").mapInArrow(_count_edges(sent), "context long, symbols binary, n binary")
+    counted = counted.repartition(parts, "context").sortWithinPartitions("context")
+    listed = f"array<{dict(rows.dtypes)['id']}>"
+    asked = "bucket int, kind int, block long, part int, keys binary, n binary"
+    spots = rows.mapInArrow(_ask_spots(sent, spelled=True), f"{asked}, ids {listed}")
+    spots = spots.unionByName(counted.mapInArrow(_hot_edges(sent), asked).selectExpr("*", f"cast(null as {listed}) as ids"))
+    answered = spots.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_answer_spots(sent), f"{packed}, ids {listed}")
+    met = answers.filter("kind = 1").selectExpr("*", f"cast(null as {listed}) as ids").unionByName(answered)
+    met = met.repartition(parts, "block").sortWithinPartitions("block", "kind", "part")
     schema = rows.select("id").schema
     for name, kind in _SCORES:
         schema = schema.add(name, {pa.bool_(): "boolean", pa.int64(): "long", pa.float64(): "double"}[kind])

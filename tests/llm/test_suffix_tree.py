@@ -181,3 +181,80 @@ def test_answers_hold_values_only(tables):
 @pytest.mark.parametrize("values", [np.empty(0, np.uint64), np.array([0, 3, 2**64 - 1], np.uint64), np.arange(1000, dtype=np.uint64) * 977])
 def test_packing_is_reversible(values):
     assert (model.unpack(model.pack(values), np.uint64) == values).all() and (model.unpack_sorted(model.pack_sorted(values)) == values).all()
+
+
+def rare_lines(rows, seed=5):
+    """Texts in which most words are none of the symbols, and the same few follow each other."""
+    rng = np.random.default_rng(seed)
+    words = [*(f"rare{i}" for i in range(3000)), *["the", "of", "and"] * 150]
+    return [" ".join(words[i] for i in rng.integers(0, len(words), rng.integers(0, 60))) for _ in range(rows)]
+
+
+def test_no_bucket_has_the_contexts_of_unknown_words():
+    """Nine in ten symbols are that of the other words; their context once sent its positions to one bucket."""
+    number = {w: i + 3 for i, w in enumerate(["the", "of", "and"])}
+    lines = [[*(number.get(w, OTHER) for w in t.split()), STOP] for t in rare_lines(4000)]
+    rng = np.random.default_rng(8)
+    lines = [[x if x or rng.random() < 0.9 else int(rng.integers(6, 60)) for x in t] for t in lines]
+    symbols, lengths = np.array([x for t in lines for x in t]), np.array([len(t) for t in lines])
+    spots = model.spots_of(symbols, lengths, 4)
+    dealt = model.Model(np.empty(0, np.uint64), np.full(60, 1 / 60), 4, np.ones(60, np.int64), 64, 1, 1, 1, 0.5, 1, 1)
+    model.deal_out(dealt, spots[:, : spots.shape[1] // 4])
+    assert len(dealt.hot) == 4 and (symbols == OTHER).mean() > 0.7
+    first, bucket, where = dealt.arranged(spots)
+    assert np.bincount(bucket).max() < 3 * len(bucket) / 64
+    assert (np.diff(bucket) >= 0).all() and (spots[:, first][:, where] == spots).all()
+    share, longest, length = dealt.routed(spots)
+    for k in range(1, 5):  # a context that is not hot lies in one bucket
+        cold = np.flatnonzero((length < k) & (spots[k] != model._NONE))
+        contexts = {}
+        for context, b in zip(zip(*spots[1 : k + 1, cold].tolist()), dealt.bucket(share[cold]).tolist()):
+            assert contexts.setdefault(context, b) == b
+    for k, b in set(zip(longest.tolist(), dealt.bucket(share).tolist())):
+        while k >= 0:
+            assert b in dealt.needed[k]
+            k = int(dealt.suffix[k])
+
+
+@pytest.mark.parametrize("depth", [2, 4])
+def test_scores_after_hot_contexts(spark, monkeypatch, depth):
+    monkeypatch.setitem(globals(), "DEPTH", depth)
+    monkeypatch.setattr(model, "BLOCK_ROWS", 64)
+    made = []
+    monkeypatch.setattr(model, "deal_out", lambda m, spots, deal=model.deal_out: (deal(m, spots), made.append(m)))
+    rows = list(enumerate(rare_lines(500)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).cache()
+    same(language_scores(docs, common=8, depth=depth).collect(), expected(rows, 8))
+    assert len(made) == 1 and len(made[0].hot) == depth and made[0].deal.max() > 32
+
+
+def test_a_block_asks_in_pieces(monkeypatch):
+    monkeypatch.setattr(model, "_PIECE", 4)
+    assert model.pieces(np.array([3, 9, 1, 2, 1, 1])) == [(0, 2), (2, 5), (5, 6)] and model.pieces(np.array([1])) == [(0, 1)]
+
+    class Sent:
+        value = model.Model(np.empty(0, np.uint64), np.full(3, 1 / 3), 3, np.ones(3, np.int64), 64, 1, 1, 1, 0.5, 1, 1)
+
+    texts = rare_lines(90)
+    table = pa.table({"id": range(90), "text": pa.array(texts), "held_out": [i % 9 == 0 for i in range(90)], "block": pa.array([7] * 50 + [8] * 40, pa.int64())})
+    totals = [b for b in model._answer()(iter([*model._ask(64)(table.to_batches())])) if b.column("kind")[0].as_py() == 1]
+    found = []
+    for size in (1, 100, 1 << 20):
+        monkeypatch.setattr(model, "_PIECE", size)
+        asked = [b.slice(i, 1) for b in model._ask_spots(Sent, spelled=True)(table.to_batches()) for i in range(b.num_rows)]
+        asked.sort(key=lambda b: [b.column(k)[0].as_py() for k in ("bucket", "kind")])
+        parts = [*model._answer_spots(Sent)(iter(asked))]
+        parts += [b.append_column("ids", pa.nulls(b.num_rows, parts[0].schema.field("ids").type)) for b in totals]
+        parts.sort(key=lambda b: [b.column(k)[0].as_py() for k in ("block", "kind", "part")])
+        found.append([tuple(r.values()) for b in model._score(Sent)(iter(parts)) for r in b.to_pylist()])
+    assert [r[0] for r in found[0]] == [*range(90)] and [r[1] for r in found[0]] == [i % 9 == 0 for i in range(90)]
+    for other in found[1:]:
+        assert [r[:5] for r in other] == [r[:5] for r in found[0]]
+        assert [r[5] for r in other] == [r[5] for r in found[0]] and [r[6] for r in other] == pytest.approx([r[6] for r in found[0]])
+
+
+@pytest.mark.parametrize("values", [np.zeros(1000), np.repeat([0.25, np.pi, 0.25], [3, 500, 1]), np.array([7], np.uint32)])
+def test_repeats_travel_once(values):
+    packed = model.pack(values)
+    assert model.packed_size(packed) == len(values) and (model.unpack(packed, values.dtype.type) == values).all()
+    assert len(packed) < 100
