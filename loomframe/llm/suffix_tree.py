@@ -46,7 +46,7 @@ from loomframe.plans.checkpoints import materialize
 DEPTH = 2  # longest context of a small corpus
 COMMON = 500  # symbols of a small corpus
 EDGE_SHARE = 0  # share of the tokens below which a count would be dropped: none is
-BLOCK_ROWS = 512  # rows of a scan partition that ask together
+BLOCK_ROWS = 1024  # rows of a scan partition that ask together
 OTHER, STOP, START = 0, 1, 2  # the common words follow from 3
 _FIRST_WORD = 3
 _BITS = 10  # of a symbol
@@ -244,13 +244,14 @@ class Model:
     suffix: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))  # number of each hot context's suffix, -1: none
     deal: np.ndarray | None = None  # bucket of each share
     needed: list[np.ndarray] = field(default_factory=list)  # buckets that ask for a hot context or one that it ends
+    numbers: np.ndarray | None = None  # symbol of each of the common words, the most frequent first; in order if not given
 
     def symbols(self, keys: np.ndarray) -> np.ndarray:
-        """Symbol of each word hash; the order of the sorted hashes numbers the common words."""
+        """Symbol of each word hash."""
         if not len(self.common):
             return np.zeros(len(keys), np.int64)
         at = np.minimum(np.searchsorted(self.common, keys), len(self.common) - 1)
-        return np.where(self.common[at] == keys, at + _FIRST_WORD, OTHER)
+        return np.where(self.common[at] == keys, at + _FIRST_WORD if self.numbers is None else self.numbers[at], OTHER)
 
     def routed(self, spots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(share, number of the longest hot context or -1, its length) of every position."""
@@ -449,6 +450,13 @@ def _add_up(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 
 _ANSWERED = ["kind", "block", "part", "keys", "totals"]
+_ANSWERS = 256  # rows of a batch
+
+
+def _answers(rows: list[tuple], ids: pa.Array | None = None) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+    columns = [pa.array(values, kind) for values, kind in zip(zip(*rows), kinds)]
+    return pa.RecordBatch.from_arrays(columns if ids is None else [*columns, ids], _ANSWERED if ids is None else [*_ANSWERED, "ids"])
 
 
 def _answer():
@@ -457,18 +465,13 @@ def _answer():
     Rows come sorted by bucket; what the blocks ask of one bucket is held at once.
     """
 
-    def row(kind: int, block: int, part: int, keys: bytes, values: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array([kind], pa.int32()), pa.array([block], pa.int64()), pa.array([part], pa.int32()), pa.array([keys], pa.binary()), pa.array([pack(values.astype(np.int64))], pa.binary())],
-            _ANSWERED,
-        )
-
     def close(bucket: int, held: list) -> Iterator[pa.RecordBatch]:
         keys, total = _add_up([(k, n) for _, k, n in held])
-        for block, asked, _ in held:
-            yield row(1, block, bucket, b"", total[np.searchsorted(keys, asked)])
-        yield row(2, 0, bucket, b"", np.array([total.sum(), (total > 0).sum(), (total == 1).sum(), (total == 2).sum()]))
-        yield row(3, 0, bucket, pack_sorted(keys[total > 0]), total[total > 0])
+        rows = [(1, block, bucket, b"", total[np.searchsorted(keys, asked)]) for block, asked, _ in held]
+        rows.append((2, 0, bucket, b"", np.array([total.sum(), (total > 0).sum(), (total == 1).sum(), (total == 2).sum()])))
+        rows.append((3, 0, bucket, pack_sorted(keys[total > 0]), total[total > 0]))
+        for a in range(0, len(rows), _ANSWERS):
+            yield _answers([(*row, pack(values.astype(np.int64))) for *row, values in rows[a : a + _ANSWERS]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, held = None, []
@@ -582,7 +585,7 @@ def _ask_spots(model, spelled: bool = False):
     """Distinct positions of each block, as one row per (block, bucket) with their training counts (kind 1).
 
     Where ``spelled``, also a row with the ids and words of the block (kind 3): (2 * length + held out) of its rows and
-    the symbols of its words, and the words as codes in the order of their hashes.
+    the symbols of its words by hash, and the words as codes (``coded``).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -614,7 +617,7 @@ def _ask_spots(model, spelled: bool = False):
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([int(_mixed(np.array([block], np.uint64))[0] % np.uint64(model.value.buckets))], pa.int32()), pa.array([3], pa.int32()), pa.array([block], pa.int64()), pa.array([0], pa.int32()),
-                    pa.array([pack(about)], pa.binary()), pa.array([pack(codes)], pa.binary()), pa.ListArray.from_arrays([0, len(column)], column),
+                    pa.array([pack(about)], pa.binary()), pa.array([pack(coded(symbol)[1][codes])], pa.binary()), pa.ListArray.from_arrays([0, len(column)], column),
                 ],
                 [*_ASKED, "ids"],
             )
@@ -637,6 +640,14 @@ def _ask_spots(model, spelled: bool = False):
     return run
 
 
+def coded(symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word of each code, code of each word): common words by symbol, the others behind them in the order given."""
+    order = np.argsort(np.where(symbol == OTHER, _NONE, symbol), kind="stable")
+    codes = np.empty(len(order), np.uint32)
+    codes[order] = np.arange(len(order))
+    return order, codes
+
+
 def spelling(codes: np.ndarray, lengths: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return _sequences(codes, np.concatenate([[0], np.cumsum(lengths - 1)]), symbol)
 
@@ -700,14 +711,9 @@ def _answer_spots(model):
         for a, b in zip(groups, [*groups[1:], len(order)]):
             at = order[a:b]
             chance[at] = group(spots[:, at], n[at], number[at], length[at], after)
-        for i, (block, part) in enumerate(held):
-            yield answer(2, block, part, b"", pack(chance[cuts[i] : cuts[i + 1]]), listed and pa.nulls(1, listed))
-
-    def answer(kind: int, block: int, part: int, keys: bytes, totals: bytes, ids: pa.Array | None = None) -> pa.RecordBatch:
-        columns = [pa.array([kind], pa.int32()), pa.array([block], pa.int64()), pa.array([part], pa.int32()), pa.array([keys], pa.binary()), pa.array([totals], pa.binary())]
-        if ids is not None:
-            columns.append(ids)
-        return pa.RecordBatch.from_arrays(columns, [*_ANSWERED, "ids"][: len(columns)])
+        for a in range(0, len(held), _ANSWERS):
+            rows = [(2, block, part, b"", pack(chance[cuts[i] : cuts[i + 1]])) for i, (block, part) in enumerate(held[a : a + _ANSWERS], a)]
+            yield _answers(rows, listed and pa.nulls(len(rows), listed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, tables, held, listed = None, {}, [], None
@@ -724,7 +730,7 @@ def _answer_spots(model):
                 elif kind == 1:
                     held.append((block, part, keys, n))
                 else:
-                    yield answer(3, block, part, keys, n, batch.column("ids").slice(i, 1))
+                    yield _answers([(3, block, part, keys, n)], batch.column("ids").slice(i, 1))
         if held:
             yield from close(tables, held, listed)
 
@@ -743,6 +749,7 @@ def _score(broadcast):
         n = int(about[0])
         lengths, out, symbol = about[1 : n + 1] // 2, about[1 : n + 1] % 2 == 1, about[n + 1 :]
         c, chances = (np.concatenate([np.empty(0, k), *(unpack(x, k) for x in xs)]) for xs, k in ((totals, np.int64), (chances, np.float64)))
+        codes = coded(symbol)[0][codes]
         symbols, lengths = spelling(codes, lengths, symbol)
         after, asked, start = np.empty(len(symbols)), 0, 0
         for a, b in pieces(lengths):
@@ -802,13 +809,14 @@ def language_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     top = pairs(3).orderBy(F.desc("n"), "key").limit(common).collect()
     discount = min(max(once / (once + 2 * twice), 0.1), 0.9) if once + twice else 0.5
     other, others = words - sum(r["n"] for r in top), distinct - len(top)
-    top = sorted((r["key"] % 2**64, r["n"]) for r in top)
-    seen = np.array([other, ends, 0, *(n for _, n in top)], float)  # in the order of OTHER, STOP, START and the common words
+    seen = np.array([other, ends, 0, *(r["n"] for r in top)], float)  # in the order of OTHER, STOP, START and the common words
+    top = np.array([r["key"] % 2**64 for r in top], np.uint64)
     kinds = max(np.count_nonzero(seen), 1)
     spot_buckets = max(buckets, (words + ends) // _BUCKET_TOKENS)
     model = Model(
-        np.array([k for k, _ in top], np.uint64), (seen + kinds / len(seen)) / (seen.sum() + kinds), depth, np.ones(len(seen), np.int64), spot_buckets,
+        np.sort(top), (seen + kinds / len(seen)) / (seen.sum() + kinds), depth, np.ones(len(seen), np.int64), spot_buckets,
         int(words + ends), int(distinct + bool(ends)), int(ends), discount, int(other), int(others),
+        numbers=np.argsort(top) + _FIRST_WORD,
     )
     looked = rows.withColumn("row", F.monotonically_increasing_id()).filter(F.pmod(F.xxhash64("row"), F.lit(1 << 30)) <= (1 << 30) * max(_SEEN * spot_buckets, 1 << 20) / max(words + ends, 1))
     lines = looked.select("text").mapInArrow(_lines(spark.sparkContext.broadcast(model)), "symbols binary, lengths binary").collect()

@@ -237,13 +237,14 @@ def test_a_block_asks_in_pieces(monkeypatch):
 
     texts = rare_lines(90)
     table = pa.table({"id": range(90), "text": pa.array(texts), "held_out": [i % 9 == 0 for i in range(90)], "block": pa.array([7] * 50 + [8] * 40, pa.int64())})
-    totals = [b for b in model._answer()(iter([*model._ask(64)(table.to_batches())])) if b.column("kind")[0].as_py() == 1]
+    alone = lambda batches: [b.slice(i, 1) for b in batches for i in range(b.num_rows)]
+    totals = [b for b in alone(model._answer()(model._ask(64)(table.to_batches()))) if b.column("kind")[0].as_py() == 1]
     found = []
     for size in (1, 100, 1 << 20):
         monkeypatch.setattr(model, "_PIECE", size)
-        asked = [b.slice(i, 1) for b in model._ask_spots(Sent, spelled=True)(table.to_batches()) for i in range(b.num_rows)]
+        asked = alone(model._ask_spots(Sent, spelled=True)(table.to_batches()))
         asked.sort(key=lambda b: [b.column(k)[0].as_py() for k in ("bucket", "kind")])
-        parts = [*model._answer_spots(Sent)(iter(asked))]
+        parts = alone(model._answer_spots(Sent)(iter(asked)))
         parts += [b.append_column("ids", pa.nulls(b.num_rows, parts[0].schema.field("ids").type)) for b in totals]
         parts.sort(key=lambda b: [b.column(k)[0].as_py() for k in ("block", "kind", "part")])
         found.append([tuple(r.values()) for b in model._score(Sent)(iter(parts)) for r in b.to_pylist()])
